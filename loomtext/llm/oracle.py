@@ -9,4 +9,19 @@ SQL = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM f""",
+    "op8_minhash_components": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g
+            FROM w),
+        e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+              GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+        u AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        r AS (SELECT doc_id AS node, doc_id AS dest FROM s UNION SELECT r.node, u.b FROM r JOIN u ON r.dest = u.a)
+        SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c.low AS component_id, s.doc_id = c.low AS kept
+        FROM s JOIN (SELECT node, min(dest) AS low FROM r GROUP BY node) c ON c.node = s.doc_id""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import langid, mixing, shards, warc
+from loomtext.llm import langid, minhash, mixing, shards, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,12 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(_table(spark, sf_dir, "documents"), 8)
 
 
+def op8_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), 85)
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op3_warc_transactions, op5_language_id, op7_byte_shards, op10_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op3_warc_transactions, op5_language_id, op7_byte_shards, op8_minhash_components, op10_pareto_mix)}
