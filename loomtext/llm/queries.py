@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import langid, minhash, mixing, shards, warc
+from loomtext.llm import hmm, langid, minhash, mixing, shards, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_digests(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("uri")
 
 
+def op4_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -31,4 +35,4 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op3_warc_transactions, op5_language_id, op7_byte_shards, op8_minhash_components, op10_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op3_warc_transactions, op4_hmm_scores, op5_language_id, op7_byte_shards, op8_minhash_components, op10_pareto_mix)}
