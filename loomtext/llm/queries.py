@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import hmm, langid, minhash, mixing, shards, warc
+from loomtext.llm import chunks, hmm, langid, minhash, mixing, qgram, shards, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_digests(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("uri")
 
@@ -31,8 +35,12 @@ def op8_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), 85)
 
 
+def op9_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qgram.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op3_warc_transactions, op4_hmm_scores, op5_language_id, op7_byte_shards, op8_minhash_components, op10_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op2_chunk_dedup, op3_warc_transactions, op4_hmm_scores, op5_language_id, op7_byte_shards, op8_minhash_components, op9_qgram_decontamination, op10_pareto_mix)}
