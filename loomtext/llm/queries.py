@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomtext.llm import chunks, hmm, langid, minhash, mixing, qgram, shards, warc
+from loomtext.llm import chunks, hmm, langid, minhash, mixing, mtree, qgram, shards, warc
+from loomtext.llm.common import materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op6_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = materialise(mtree.integer_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+    return mtree.search(vectors, vectors.filter(F.pmod("id", F.lit(100)) == 0), 10)
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(_table(spark, sf_dir, "documents"), 8)
 
@@ -43,4 +50,4 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op2_chunk_dedup, op3_warc_transactions, op4_hmm_scores, op5_language_id, op7_byte_shards, op8_minhash_components, op9_qgram_decontamination, op10_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op2_chunk_dedup, op3_warc_transactions, op4_hmm_scores, op5_language_id, op6_mtree_topk, op7_byte_shards, op8_minhash_components, op9_qgram_decontamination, op10_pareto_mix)}
