@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import chunks, hmm, langid, minhash, mixing, mtree, qgram, shards, warc
+from loomtext.llm import chunks, hmm, langid, minhash, mixing, mtree, qgram, shards, warc, wrappers
 from loomtext.llm.common import materialise
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_wrapper_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -50,4 +54,4 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op2_chunk_dedup, op3_warc_transactions, op4_hmm_scores, op5_language_id, op6_mtree_topk, op7_byte_shards, op8_minhash_components, op9_qgram_decontamination, op10_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op1_wrapper_texts, op2_chunk_dedup, op3_warc_transactions, op4_hmm_scores, op5_language_id, op6_mtree_topk, op7_byte_shards, op8_minhash_components, op9_qgram_decontamination, op10_pareto_mix)}
