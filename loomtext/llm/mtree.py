@@ -172,9 +172,10 @@ def build(vectors: DataFrame) -> tuple[DataFrame, float, int, np.ndarray]:
     """The pages of an M-tree over id, v: written as a table; with it the largest squared norm, the dimension, and a sample of rows."""
     n, most, dim = vectors.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e.cast("double"))), F.max(F.size("v"))).first()
     most, dim = float(most or 0), max(int(dim or 0), 1)
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SEEDS).collect()
+    u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)  # SEEDS rows in expectation, whatever the number of tasks
+    sample = sorted(vectors.filter(u < SEEDS / max(1, n)).collect(), key=lambda r: (r["id"], r["v"]))
     ids, seeds = np.array([r["id"] for r in sample], np.int64), _matrix([r["v"] for r in sample], dim)
-    top = seeds[: max(1, min(TOP, -(-n // (SUBTREE // 2))))]
+    top = seeds[: max(1, min(TOP, -(-n // (SUBTREE // 2))))] if len(seeds) else np.zeros((1, dim), np.int64)
     placed = materialise(vectors.mapInArrow(_assigner(top, most, dim), "id long, v array<long>, pivot int")) if n else vectors.withColumn("pivot", F.lit(0))
     sizes = {r["pivot"]: r["n"] for r in placed.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # TOP rows
     parts = F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(k, 0) // SUBTREE))) for k in range(len(top))] or [F.lit(1)]), F.col("pivot") + 1)
