@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """file (name) and text of whole text files."""
-    return spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text"))
 
 
 def numbered(files: DataFrame, file: str, text: str) -> DataFrame:
