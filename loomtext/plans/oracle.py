@@ -13,16 +13,23 @@ def words(x: str) -> str:
     return f"list_filter(regexp_split_to_array(coalesce({x}, ''), '{SP}'), lambda t: t <> '')"
 
 
-def grams(x: str, n: int) -> str:
-    b = f"regexp_replace(coalesce({x}, ''), '{SP}', '', 'g')"
+def bare(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '{SP}', '', 'g')"
+
+
+def grams(b: str, n: int) -> str:
+    """Of a column without white space; an expression here would be evaluated for every element of the lambda."""
     return f"CASE WHEN length({b}) >= {n} THEN list_distinct(list_transform(range(1, length({b}) - {n} + 2), lambda i: substr({b}, i, {n}))) ELSE [] END"
 
 
-def chrf_of(r: str, c: str) -> str:
-    """Over columns r1..r3 and c1..c3."""
-    p = " + ".join(f"CASE WHEN len({r}{n}) > 0 AND len({c}{n}) > 0 THEN len(list_intersect({r}{n}, {c}{n})) / len({c}{n}) ELSE 0 END" for n in (1, 2, 3))
-    q = " + ".join(f"CASE WHEN len({r}{n}) > 0 AND len({c}{n}) > 0 THEN len(list_intersect({r}{n}, {c}{n})) / len({r}{n}) ELSE 0 END" for n in (1, 2, 3))
-    return f"CASE WHEN ({p}) > 0 AND ({q}) > 0 THEN round(2 * ({p}) * ({q}) / (({p}) + ({q})) / 3, 4) ELSE 0 END"
+def shares(r: str, c: str) -> str:
+    """Columns precision and recall over the gram sets r1..r3 and c1..c3."""
+    both = {n: f"len(list_intersect({r}{n}, {c}{n}))" for n in (1, 2, 3)}
+    per = {side: " + ".join(f"CASE WHEN len({r}{n}) > 0 AND len({c}{n}) > 0 THEN {both[n]} / len({side}{n}) ELSE 0 END" for n in (1, 2, 3)) for side in (r, c)}
+    return f"{per[c]} AS precision_, {per[r]} AS recall_"
+
+
+CHRF = "CASE WHEN precision_ > 0 AND recall_ > 0 THEN round(2 * precision_ * recall_ / (precision_ + recall_) / 3, 4) ELSE 0 END"
 
 
 def all_grams(x: str, name: str) -> str:
@@ -31,7 +38,11 @@ def all_grams(x: str, name: str) -> str:
 
 TURNS = "turns AS (SELECT a.conv_id, a.turn, a.role, a.text AS ref, b.text AS cand FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 BLEU = "CASE WHEN len(rw) > 0 AND len(cw) > 0 THEN round(exp(least(0, 1 - len(rw) / len(cw))) * len(list_filter(cw, lambda t: list_contains(rw, t))) / len(cw), 4) ELSE 0 END"
-METRICS = f"{TURNS}, g AS (SELECT *, {all_grams('ref', 'r')}, {all_grams('cand', 'c')}, {words('ref')} AS rw, {words('cand')} AS cw FROM turns), m AS (SELECT *, {chrf_of('r', 'c')} AS chrf, {BLEU} AS bleu1 FROM g)"
+METRICS = (
+    f"{TURNS}, f AS MATERIALIZED (SELECT *, {bare('ref')} AS rb, {bare('cand')} AS cb FROM turns), "
+    f"g AS MATERIALIZED (SELECT *, {all_grams('rb', 'r')}, {all_grams('cb', 'c')}, {words('ref')} AS rw, {words('cand')} AS cw FROM f), "
+    f"h AS MATERIALIZED (SELECT conv_id, turn, role, ref, cand, {BLEU} AS bleu1, {shares('r', 'c')} FROM g), m AS MATERIALIZED (SELECT *, {CHRF} AS chrf FROM h)"
+)
 
 
 def gate_sql(glossary: dict[str, tuple[str, ...]], source: str = "turns") -> str:
@@ -87,9 +98,10 @@ _TOP = "greatest(" + ", ".join(_SCORES.values()) + ")"
 TAGGED = "SELECT doc_id, CASE WHEN " + _TOP + " = 0 THEN 'english' " + " ".join(f"WHEN {s} = {_TOP} THEN '{k}'" for k, s in _SCORES.items()) + " END AS tongue FROM documents"
 TERM_HIT = " OR ".join([f"starts_with(t, '{t}')" for t in X.TERMS if len(t) >= 4] + [f"(length(t) >= 4 AND starts_with('{t}', t))" for t in X.TERMS])
 SCHOOL = "SELECT *, " + case([(" OR ".join(f"contains(source, '{p}')" for p in ps), k) for k, ps in X.FRAGMENTS.items()], "'Unclassified'") + " AS school FROM documents"
-DISAGREE = f"""v AS (SELECT conv_id, turn, {all_grams('text', 'g')} FROM conversations WHERE role = 'assistant' AND length(text) >= 8),
-    p AS (SELECT a.conv_id, a.g1 AS a1, a.g2 AS a2, a.g3 AS a3, b.g1 AS b1, b.g2 AS b2, b.g3 AS b3 FROM v a JOIN v b ON a.conv_id = b.conv_id AND a.turn < b.turn),
-    s AS (SELECT conv_id, avg(c) AS agree FROM (SELECT conv_id, {chrf_of('a', 'b')} AS c FROM p) GROUP BY 1),
+DISAGREE = f"""o AS MATERIALIZED (SELECT conv_id, turn, {bare('text')} AS tb FROM conversations WHERE role = 'assistant' AND length(text) >= 8),
+    v AS MATERIALIZED (SELECT conv_id, turn, {all_grams('tb', 'g')} FROM o),
+    p AS MATERIALIZED (SELECT a.conv_id, a.g1 AS a1, a.g2 AS a2, a.g3 AS a3, b.g1 AS b1, b.g2 AS b2, b.g3 AS b3 FROM v a JOIN v b ON a.conv_id = b.conv_id AND a.turn < b.turn),
+    w AS MATERIALIZED (SELECT conv_id, {shares('a', 'b')} FROM p), s AS (SELECT conv_id, avg({CHRF}) AS agree FROM w GROUP BY 1),
     n AS (SELECT conv_id, count(*) FILTER (role = 'assistant' AND length(text) >= 8) AS n_valid FROM conversations GROUP BY 1),
     d AS (SELECT n.conv_id, n_valid, round(coalesce(agree, 1), 3) AS agreement, round(1 - coalesce(agree, 1), 3) AS disagreement FROM n LEFT JOIN s USING (conv_id))"""
 PARALLELS = """tok AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: length(t) >= 4)) AS t FROM benchmark),

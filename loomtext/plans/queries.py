@@ -256,7 +256,7 @@ def register_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text.with_metrics(turns(spark, sf_dir), "ref", "cand")
     g = gates.gate(gates.blocking(F.col("ref"), F.col("cand")))
-    t = t.select("conv_id", "turn", text.pair_hash(F.col("ref")).alias("source_sha"), text.pair_hash(F.col("cand")).alias("candidate_sha"), g.alias("gate"), gates.decision(g).alias("decision"), F.format_number("chrf", "0.0000").alias("chrf_text"))
+    t = t.select("conv_id", "turn", text.pair_hash(F.col("ref")).alias("source_sha"), text.pair_hash(F.col("cand")).alias("candidate_sha"), g.alias("gate"), gates.decision(g).alias("decision"), F.format_string("%.4f", "chrf").alias("chrf_text"))
     return t.withColumn("artifact_hash", provenance.content_hash(*[F.col(c) for c in ("source_sha", "candidate_sha", "gate", "decision", "chrf_text")]))
 
 
