@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -57,6 +58,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of the Arrow batches that go to and from Python, at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """Bounds the session's Arrow batches, so that long texts don't fill the memory of executors and their Python workers; lower settings stay."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"\d+$", str(conf.get(key, str(2**31 - 2))))
+        if not now or not 0 < int(now[0]) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -85,7 +100,7 @@ def binary(batch, column: str) -> list:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
-def runs(texts: list, most_bytes: int = 1 << 20):
+def runs(texts: list, most_bytes: int = 1 << 19):
     """Index ranges of consecutive texts of about so many bytes, one text at least: bounds the memory of vectorised steps."""
     start = total = 0
     for i, t in enumerate(texts):

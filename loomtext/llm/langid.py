@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import binary, fold, runs
+from loomtext.llm.common import binary, fold, lean, runs
 
 #: Hashed features, n-gram lengths, and how many labelled rows of a language are expected in the training sample at most.
 FEATURES, LENGTHS, ROWS_PER_LANG = 1 << 16, (1, 2, 3), 3000
@@ -64,7 +64,7 @@ def train(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> tuple[list
     in expectation. Counts are summed by task, then by language and feature; at most languages x 65,536 numbers reach the
     driver. Rows with a null text or language teach nothing. No rows at all: no languages, and every text is "und".
     """
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = lean(labelled).filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return [], np.zeros((FEATURES, 0), np.float32)
@@ -104,7 +104,7 @@ def predict(docs: DataFrame, key: str, text: str, model: tuple[list[str], np.nda
     A null text or one without a letter is "und" with score 0. Ties go to the first language by code point.
     """
     langs, table = model
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # languages x 256 KB
+    shared = lean(docs).sparkSession.sparkContext.broadcast(table)  # languages x 256 KB
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(_scorer(langs, shared), f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 

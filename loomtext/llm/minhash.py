@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import binary, materialise, runs, small, words
+from loomtext.llm.common import binary, lean, materialise, runs, small, words
 from loomtext.llm.components import components
 
 #: Words in a shingle; bands and rows: a pair of similarity 0.85 shares no band with probability 8e-8, one of 0.8 with 2e-5.
@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     links. Rows that repeat an id form one node; a null id is linked with nothing; an empty table gives an empty result;
     other columns play no part. Returns doc_id, n_shingles, component_id (smallest doc_id that can be reached), kept.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sketch = materialise(texts.mapInArrow(_sketch, "doc_id long, n long, d1 long, d2 long, bands array<long>"))
     classes = materialise(sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("size")))
     first = sketch.join(classes, ["d1", "d2"]).filter("doc_id = node")

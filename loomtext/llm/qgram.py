@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import binary, runs
+from loomtext.llm.common import binary, lean, runs
 
 #: Bytes in a q-gram; the edits allowed, as a share of an item's length; bits of the first filter's table.
 Q, RATE, TABLE_BITS = 8, 0.08, 21
@@ -159,7 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     table on either side gives an empty result; other columns play no part.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     out = None
     for index in indexes(benchmark):
         part = rows.mapInArrow(_finder(spark.sparkContext.broadcast(index)), "doc_id long, item_id long, edits long, start long, end long")
@@ -183,5 +183,5 @@ def _keeper(shared, position: int):
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, columns unchanged, that hold no benchmark item."""
     for index in indexes(benchmark):
-        docs = docs.mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")), docs.schema)
+        docs = lean(docs).mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")), docs.schema)
     return docs

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import scratch
+from loomtext.llm.common import lean, scratch
 
 CRLF = "\r\n"
 END = CRLF * 2
@@ -137,7 +137,7 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of gzip archives under a path, streamed: a task holds one record at a time. Blocks are split into HTTP head and payload."""
     pieces = spark.read.option("lineSep", END).schema("value string").text(path)
-    return pieces.select(F.col("value").cast("binary").alias("value")).mapInArrow(_parse, _SQL)
+    return lean(pieces).select(F.col("value").cast("binary").alias("value")).mapInArrow(_parse, _SQL)
 
 
 def transactions(records: DataFrame, payload: bool = False) -> DataFrame:
