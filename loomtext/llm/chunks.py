@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import binary, materialise, runs
+from loomtext.llm.common import binary, lean, materialise, runs
 
 #: Bytes in a chunk at least and at most; the gear hash cuts at one of 2**CUT_BITS places.
 SHORTEST, LONGEST, CUT_BITS = 16, 256, 5
@@ -30,29 +30,19 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def cuts(text: bytes) -> list[int]:
-    """The ends of a text's chunks: places where the top CUT_BITS of the gear hash are 0, SHORTEST to LONGEST bytes apart."""
-    n = len(text)
-    if n == 0:
+    """The ends of a text's chunks, SHORTEST to LONGEST bytes apart: places where the top CUT_BITS of the gear hash are 0; where
+    none is near enough, the first place of the least hash, so that monotonous text too is cut by its content alone."""
+    if not text:
         return []
-    return _ends(np.flatnonzero(gear(np.frombuffer(text, np.uint8)) < np.uint32(1 << (32 - CUT_BITS))) + 1, n)
-
-
-def _ends(places: np.ndarray, n: int) -> list[int]:
+    h = gear(np.frombuffer(text, np.uint8))
     out, last = [], 0
-    for p in places.tolist():
-        if p - last < SHORTEST:
-            continue
+    for p in [*(np.flatnonzero(h < np.uint32(1 << (32 - CUT_BITS))) + 1).tolist(), len(text)]:
         while p - last > LONGEST:
-            last += LONGEST
+            last += SHORTEST + int(h[last + SHORTEST - 1 : last + LONGEST].argmin())
             out.append(last)
-        if p - last >= SHORTEST:
+        if p - last >= SHORTEST or p == len(text) > last:
             out.append(p)
             last = p
-    while n - last > LONGEST:
-        last += LONGEST
-        out.append(last)
-    if n > last:
-        out.append(n)
     return out
 
 
@@ -88,7 +78,7 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chunk_table(docs: DataFrame) -> DataFrame:
     """One row for each chunk of each text: doc_id, digest, its number, its bytes, and the numbers of words begun before it and up to its end."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return texts.mapInArrow(_chunk, "doc_id long, digest long, " + ", ".join(f"{c} int" for c in _PLACES))
 
 

@@ -280,6 +280,11 @@ def test_chunks_resist_shifts_and_repeats_are_found(spark, docs, odd, empty):
     a, b = {text[i:j] for i, j in zip([0, *chunks.cuts(text)], chunks.cuts(text))}, b"inserted words here " + text
     shifted = {b[i:j] for i, j in zip([0, *chunks.cuts(b)], chunks.cuts(b))}
     assert len(a & shifted) > 0.98 * len(a)
+    for t in (text, b"and " * 900, b"x" * 700, b"short"):
+        ends = chunks.cuts(t)
+        assert ends[-1] == len(t) and all(0 < j - i <= chunks.LONGEST for i, j in zip([0, *ends], ends)) and all(j - i >= chunks.SHORTEST for i, j in zip([0, *ends[:-1]], ends[:-1]))
+    same = [{t[i:j] for i, j in zip([0, *chunks.cuts(t)], chunks.cuts(t))} for t in (b"one begins " + b"and " * 300, b"another one begins so " + b"and " * 280)]
+    assert same[0] & same[1]  # monotonous text is cut in step
     data = np.frombuffer(text[:500], np.uint8)
     h = 0
     for i, c in enumerate(data):
