@@ -15,6 +15,16 @@ SQL = {
               FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    # The CRC-32 is spelled out: a table by its rule, then a reduction over the bytes of each text.
+    "op7_byte_shards": """
+        WITH t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+        h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        b AS (SELECT doc_id, length(x) // 2 + 1 AS size, list_transform(range(1, length(x) // 2 + 1), lambda i: CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT)) AS bytes FROM h),
+        s AS (SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(xor(list_reduce(list_prepend(4294967295, bytes), lambda c, e: xor(c // 256, tab[xor(c, e) % 256 + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM b, t),
+        p AS (SELECT *, CAST(sum(size) OVER (ORDER BY doc_id) AS BIGINT) - size AS before, CAST(sum(size) OVER () AS BIGINT) AS total FROM s),
+        q AS (SELECT *, CAST(least(7, before * 8 // total) AS INTEGER) AS shard FROM p)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM q""",
     "op8_minhash_components": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
