@@ -95,7 +95,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     Returns doc_id, first_doc_id (the smallest id that holds a chunk of the passage), start_byte, end_byte, n_words, n_chunks.
     """
     table = materialise(chunk_table(docs).filter("doc_id IS NOT NULL"))
-    kept = table.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first")
+    # Written first: a join of the aggregate as it stands would keep its partitioning, and hot digests could not be split.
+    kept = materialise(table.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first"))
     again = table.join(kept, "digest").filter("doc_id > first").select("doc_id", "nth", "start_byte", "end_byte", "start_word", "end_word", "first")
     order = Window.partitionBy("doc_id").orderBy("nth", "end_byte")
     runs_of = again.withColumn("run", F.col("nth") - F.dense_rank().over(order))  # chunks that follow each other
