@@ -1,4 +1,5 @@
-"""Substring deduplication by content-defined chunks: cuts where a gear rolling hash says so, duplicates by digest."""
+"""Substring deduplication by content-defined chunks: cuts where a gear rolling hash says so, duplicates by digest; and every
+longer passage by windows of words, so that no cut can lose it."""
 
 from __future__ import annotations
 
@@ -14,8 +15,10 @@ from loomtext.llm.common import binary, lean, materialise, runs
 
 #: Bytes in a chunk at least and at most; the gear hash cuts at one of 2**CUT_BITS places.
 SHORTEST, LONGEST, CUT_BITS = 16, 256, 5
-#: Words in a run of duplicate chunks from which it counts as a repeated passage: one of over 50 words loses at most its ends.
+#: Words in a run of duplicate chunks from which it counts as a repeated passage.
 LEAST_WORDS = 30
+#: Words of a repeated passage that is told wherever its chunks are cut: over 50.
+PASSAGE_WORDS = 51
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -47,10 +50,13 @@ def cuts(text: bytes) -> list[int]:
 
 
 _PLACES = ("nth", "start_byte", "end_byte", "start_word", "end_word")
+#: Where a run begins and ends, in bytes, words and chunks: minima and maxima in turn.
+_SPAN = ("start_byte", "end_byte", "start_word", "end_word", "first_chunk", "last_chunk")
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = binary(batch, "text")
@@ -73,37 +79,171 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first_word += [0, *begun[:-1]]
                 last_word += begun
             owner = np.repeat(np.arange(a, b), sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(np.array(digest, np.uint64).view(np.int64), pa.int64()), *(pa.array(x, pa.int32()) for x in (nth, begin, end, first_word, last_word))], ["doc_id", "digest", *_PLACES])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(owner)) for c in (0, 1)), pa.array(np.array(digest, np.uint64).view(np.int64), pa.int64()), *(pa.array(x, pa.int32()) for x in (nth, begin, end, first_word, last_word))], ["doc_id", "part", "digest", *_PLACES])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, body (the text's digest), part (a number that tells apart the texts of an id) and text of the rows that have both."""
+    texts = lean(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return texts.withColumn("body", F.unhex(F.md5("text"))).select("doc_id", "body", F.hash("body").alias("part"), "text")
+
+
+def chunk_table(texts: DataFrame) -> DataFrame:
+    """One row for each chunk of each text: doc_id, part, digest, its number, its bytes, and the numbers of words begun before it and up to its end."""
+    return texts.select("doc_id", "part", "text").mapInArrow(_chunk, "doc_id long, part int, digest long, " + ", ".join(f"{c} int" for c in _PLACES))
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """One row for each chunk of each text: doc_id, digest, its number, its bytes, and the numbers of words begun before it and up to its end."""
-    texts = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(_chunk, "doc_id long, digest long, " + ", ".join(f"{c} int" for c in _PLACES))
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes where words begin and where they end."""
+    space = _SPACE[data]
+    first, last = ~space, ~space
+    first[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Passages of documents (doc_id, text) that a document with a smaller id holds too: what substring deduplication removes.
+def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The least value of each range, by minima over powers of two."""
+    level = np.frexp(end - begin)[1] - 1
+    out = np.empty(len(begin), values.dtype)
+    for k in range(int(level.max(initial=-1)) + 1):
+        here = level == k
+        out[here] = np.minimum(values[begin[here]], values[end[here] - (1 << k)])
+        values = np.minimum(values[: -(1 << k)], values[1 << k :])
+    return out
+
+
+def windows(text: bytes, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and owner of each n_words words in a row. The owner is the end of the gram with the least gear hash in the window,
+    the last of equals: it depends on the window's bytes alone, so that equal windows have equal owners wherever they are."""
+    data = np.frombuffer(text, np.uint8)
+    begin, end = words_of(data)
+    begin, end = begin[: max(0, len(begin) - n_words + 1)], end[n_words - 1 :]
+    if not len(begin):
+        return begin, begin, begin
+    gram = _gram(n_words)
+    h = gear(data).astype(np.uint64) & np.uint64((1 << gram) - 1)  # the low bits depend on so many bytes
+    packed = (h << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(len(data), dtype=np.uint64))
+    owner = np.uint64(0xFFFFFFFF) - (_least(packed, begin + gram - 1, end) & np.uint64(0xFFFFFFFF))
+    return begin, end, owner.astype(np.int64) + 1
+
+
+def _gram(n_words: int) -> int:
+    """Bytes of a gram: as many as the gear hash sees, unless n_words words can be shorter."""
+    return min(32, 2 * n_words - 1)
+
+
+def _digests(text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    found = (xxhash.xxh3_64_intdigest(text[i:j]) for i, j in zip(begin.tolist(), end.tolist()))
+    return np.fromiter(found, np.uint64, len(begin)).view(np.int64)
+
+
+def _grams(n_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = binary(batch, "text")
+            for a, b in runs(texts):
+                places, grams = [], []
+                for t in texts[a:b]:
+                    begin, end = words_of(np.frombuffer(t, np.uint8))
+                    owners = np.unique(windows(t, n_words)[2])
+                    grams.append(np.unique(_digests(t, owners - _gram(n_words), owners)))
+                    ends = cuts(t)
+                    places.append((begin[0], end[-1], 0, len(begin), *np.searchsorted(ends, (begin[0], end[-1] - 1), "right")) if len(begin) else (0,) * 6)
+                offsets = np.cumsum([0, *map(len, grams)])
+                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(grams), pa.int64()))
+                cols = [pa.array(np.array(x), pa.int32()) for x in zip(*places)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *cols, listed], ["doc_id", "body", *_SPAN, "grams"])
+
+    return run
+
+
+def _windows_of(n_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, hits = binary(batch, "text"), batch.column(3)
+            for a, b in runs(texts):
+                sizes, digests, places = [], [], []
+                for k in range(a, b):
+                    t = texts[k]
+                    begin, end, owner = windows(t, n_words)
+                    owners, which = np.unique(owner, return_inverse=True)
+                    known = np.isin(_digests(t, owners - _gram(n_words), owners), hits[k].values.to_numpy())
+                    nth = np.flatnonzero(known[which])
+                    begin, end, ends = begin[nth], end[nth], cuts(t)
+                    sizes.append(len(nth))
+                    digests.append(_digests(t, begin, end))
+                    places.append((begin, end, nth, nth + n_words, np.searchsorted(ends, begin, "right"), np.searchsorted(ends, end - 1, "right")))
+                owner = pa.array(np.repeat(np.arange(a, b), sizes))
+                cols = [pa.array(np.concatenate(x), pa.int32()) for x in zip(*places)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.concatenate(digests), pa.int64()), *cols], ["doc_id", "body", "digest", *_SPAN])
+
+    return run
+
+
+def _firsts(table: DataFrame, key: str) -> DataFrame:
+    """The smallest id of each key that several documents hold. Written first: a join of the aggregate as it stands would keep its
+    partitioning, and hot keys could not be split."""
+    return materialise(table.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select(key, "first"))
+
+
+def _span() -> list:
+    return [(F.min if k % 2 == 0 else F.max)(c).alias(c) for k, c in enumerate(_SPAN)]
+
+
+def chunk_runs(texts: DataFrame, least_words: int) -> DataFrame:
+    """Runs of chunks that follow each other and that smaller ids hold too, of least_words words at least."""
+    table = materialise(chunk_table(texts))
+    again = table.join(_firsts(table, "digest"), "digest").filter("doc_id > first").drop("digest")
+    order = Window.partitionBy("doc_id", "part").orderBy("nth", "end_byte")
+    runs_of = again.select("*", (F.col("nth") - F.dense_rank().over(order)).alias("run"), F.col("nth").alias("first_chunk"), F.col("nth").alias("last_chunk"))
+    told = runs_of.groupBy("doc_id", "part", "run").agg(F.min("first").alias("first_doc_id"), *_span())
+    return told.filter(F.col("end_word") - F.col("start_word") >= least_words).drop("run")
+
+
+def word_runs(texts: DataFrame, n_words: int) -> DataFrame:
+    """Runs of windows of n_words words, one word after the other, that smaller ids hold too: every repetition of so many words.
+
+    Windows are compared by digest, but only where they can repeat: each is owned by the gram of least gear hash in it, and
+    those whose gram no other document holds are left out before windows are dealt. Copies of a whole text are told by its
+    digest, and only the copy with the smallest id is cut.
+    """
+    ints = ", ".join(f"{c} int" for c in _SPAN)
+    table = materialise(texts.select("doc_id", "body", "text").mapInArrow(_grams(n_words), f"doc_id long, body binary, {ints}, grams array<long>"))
+    bodies = table.filter(F.col("end_word") >= n_words)
+    copies = materialise(bodies.drop("grams").join(_firsts(bodies, "body"), "body").filter("doc_id > first").distinct())
+    grams = bodies.join(copies, ["doc_id", "body"], "left_anti").select("doc_id", "body", F.explode("grams").alias("gram"))
+    hits = materialise(grams.join(_firsts(grams, "gram"), "gram").groupBy("doc_id", "body").agg(F.collect_set("gram").alias("hits")))
+    found = texts.join(hits, ["doc_id", "body"]).select("doc_id", "body", "text", "hits")
+    dealt = materialise(found.mapInArrow(_windows_of(n_words), f"doc_id long, body binary, digest long, {ints}"))
+    again = dealt.join(_firsts(dealt, "digest"), "digest").filter("doc_id > first").drop("digest")
+    runs_of = again.withColumn("run", F.col("start_word") - F.dense_rank().over(Window.partitionBy("doc_id", "body").orderBy("start_word")))
+    told = materialise(runs_of.groupBy("doc_id", "body", "run").agg(F.min("first").alias("first_doc_id"), *_span()).drop("run"))
+    # The copy that is cut may itself repeat what still earlier documents hold.
+    earlier = told.groupBy(F.col("doc_id").alias("first"), "body").agg(F.min("first_doc_id").alias("earliest"))
+    whole = copies.join(earlier, ["first", "body"], "left").select("doc_id", "body", F.coalesce("earliest", "first").alias("first_doc_id"), *_SPAN)
+    return told.unionByName(whole).withColumn("part", F.hash("body")).drop("body")
+
+
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """Passages of documents (doc_id, text) that documents with a smaller id hold too: what substring deduplication removes.
 
     Texts are cut into chunks by content, so that an insertion shifts no chunk but its own. A chunk is a duplicate in all
-    documents but that with the smallest id, which keeps it. Runs of duplicate chunks that follow each other are passages;
-    those of at least least_words words are told, so common words and short lines are left alone. First ids are aggregated
-    by digest before they are joined back, and the join's hot digests are split by adaptive execution.
+    documents but that with the smallest id, which keeps it. Runs of duplicate chunks that follow each other are passages,
+    if they have at least least_words words, so common words and short lines are left alone. Chunks at a passage's ends
+    also hold foreign text and can hide all of it; so every repetition of passage_words words or more is also found by
+    windows of words, to its first and last word, and what overlaps is one passage. First ids are aggregated by digest
+    before they are joined back, and the joins' hot digests are split by adaptive execution.
 
     Null and empty texts have no chunks; rows that repeat an id are one document, and repetitions within it are no duplicates;
     a null id takes no part; an empty table gives an empty result; other columns play no part.
-    Returns doc_id, first_doc_id (the smallest id that holds a chunk of the passage), start_byte, end_byte, n_words, n_chunks.
+    Returns doc_id, first_doc_id (the smallest id that holds a chunk or window of the passage), start_byte, end_byte, n_words, n_chunks.
     """
-    table = materialise(chunk_table(docs).filter("doc_id IS NOT NULL"))
-    # Written first: a join of the aggregate as it stands would keep its partitioning, and hot digests could not be split.
-    kept = materialise(table.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first"))
-    again = table.join(kept, "digest").filter("doc_id > first").select("doc_id", "nth", "start_byte", "end_byte", "start_word", "end_word", "first")
-    order = Window.partitionBy("doc_id").orderBy("nth", "end_byte")
-    runs_of = again.withColumn("run", F.col("nth") - F.dense_rank().over(order))  # chunks that follow each other
-    words_in = (F.max("end_word") - F.min("start_word")).cast("long")
-    return (
-        runs_of.groupBy("doc_id", "run")
-        .agg(F.min("first").alias("first_doc_id"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), words_in.alias("n_words"), (F.max("nth") - F.min("nth") + 1).cast("long").alias("n_chunks"))
-        .filter(F.col("n_words") >= least_words)
-        .drop("run")
-    )
+    texts = _texts(docs)
+    told = materialise(chunk_runs(texts, least_words)).unionByName(word_runs(texts, passage_words))
+    order = Window.partitionBy("doc_id", "part").orderBy("start_byte", "end_byte")
+    apart = F.col("start_byte") >= F.coalesce(F.max("end_byte").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    merged = told.withColumn("apart", apart.cast("int")).withColumn("passage", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = merged.groupBy("doc_id", "part", "passage").agg(F.min("first_doc_id").alias("first_doc_id"), *_span())
+    n_words, n_chunks = F.col("end_word") - F.col("start_word"), F.col("last_chunk") - F.col("first_chunk") + 1
+    return merged.select("doc_id", "first_doc_id", "start_byte", "end_byte", n_words.cast("long").alias("n_words"), n_chunks.cast("long").alias("n_chunks"))

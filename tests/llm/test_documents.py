@@ -295,3 +295,48 @@ def test_chunks_resist_shifts_and_repeats_are_found(spark, docs, odd, empty):
     for r in chunks.repeated_passages(docs).limit(20).collect():  # the passage is really there
         t = {x.doc_id: x.text.encode() for x in docs.filter(docs.doc_id.isin(r.doc_id, r.first_doc_id)).collect()}
         assert t[r.doc_id][r.start_byte : r.start_byte + 16] in t[r.first_doc_id]
+
+
+def brute_passages(rows, n):
+    """Every run of windows of n words that a smaller id holds too, as (doc_id, first_doc_id, start_byte, end_byte, n_words)."""
+    first, cut = {}, []
+    for d, t in rows:
+        t = (t or "").encode()
+        spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        keys = [t[spans[i][0] : spans[i + n - 1][1]] for i in range(len(spans) - n + 1)]
+        cut.append((d, spans, keys))
+        for k in keys:
+            first[k] = min(d, first.get(k, d))
+    out = []
+    for d, spans, keys in cut:
+        told = [i for i, k in enumerate(keys) if first[k] < d]
+        for i in [i for i in told if i - 1 not in told]:
+            j = i
+            while j + 1 < len(keys) and first[keys[j + 1]] < d:
+                j += 1
+            out.append((d, min(first[k] for k in keys[i : j + 1]), spans[i][0], spans[j + n - 1][1], j - i + n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least", [chunks.PASSAGE_WORDS, 5])
+def test_word_runs_equal_brute_force_and_are_told(spark, docs, odd, least):
+    for df in (docs, odd):
+        rows = [(r.doc_id, r.text) for r in df.filter("doc_id IS NOT NULL").select("doc_id", "text").distinct().collect()]
+        want = brute_passages(rows, least)
+        got = chunks.word_runs(chunks._texts(df), least).collect()
+        assert sorted((r.doc_id, r.first_doc_id, r.start_byte, r.end_byte, r.end_word - r.start_word) for r in got) == want
+        told = chunks.repeated_passages(df, passage_words=least).collect()
+        assert all(any(r.doc_id == d and r.start_byte <= i and j <= r.end_byte and r.first_doc_id <= f and r.n_words >= n for r in told) for d, f, i, j, n in want)
+
+
+def test_no_passage_of_51_words_is_lost(spark, docs):
+    words = " ".join(r.text for r in docs.filter("text IS NOT NULL").orderBy("doc_id").limit(60).collect()).split()
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(400):  # a passage within foreign text, twice
+        at = int(rng.integers(0, len(words) - 51))
+        for half in (0, 1):
+            own = [f"{half}{k}x{i}" for i in range(80)]
+            rows.append((1000 * half + k, " ".join(own[:40] + words[at : at + 51] + own[40:])))
+    got = {r.doc_id for r in chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got >= set(range(1000, 1400))
