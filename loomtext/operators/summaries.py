@@ -43,18 +43,23 @@ def challenge_rates(rows: DataFrame, family: str, passed: str) -> DataFrame:
 def price_lookup(usage: DataFrame, model: str, prices: DataFrame, price_id: str, order: str) -> DataFrame:
     """Each distinct model with its price: of the equal id, else of its last path segment, else of the first id that contains its first two parts.
 
-    The catalogue is small; it is joined three times by key or containment and the best match of each model is aggregated.
+    The catalogue is cut to the first row of each id, which is the best match of all that the id matches. It is joined by key; only the
+    distinct first two parts of models that no key finds are held against every id, and the first id of each is aggregated. No side
+    is broadcast unless it is small: Spark otherwise goes through the product in blocks of both.
     """
+    fields = [c for c in prices.columns if c not in (price_id, order)]
+    p = prices.groupBy(price_id).agg(F.min_by(F.struct(order, *fields), F.struct(order)).alias("p")).select(price_id, "p.*")
     m = usage.select(model).distinct().withColumn("last", F.element_at(F.split(model, "/"), -1))
     parts = F.split("last", "-")
     m = m.withColumn("p1", F.get(parts, F.lit(0))).withColumn("p2", F.get(parts, F.lit(1)))
-    p = F.broadcast(prices)
     exact = m.join(p, F.col(model) == F.col(price_id)).withColumn("level", F.lit(1))
     by_last = m.join(p, F.col("last") == F.col(price_id)).withColumn("level", F.lit(2))
-    loose = m.join(p, F.col("p2").isNotNull() & F.col(price_id).contains(F.col("p1")) & F.col(price_id).contains(F.col("p2"))).withColumn("level", F.lit(3))
-    every = exact.unionByName(by_last).unionByName(loose)
-    fields = [c for c in prices.columns if c not in (price_id, order)]
-    best = every.groupBy(model).agg(F.min_by(F.struct(price_id, "level", *fields), F.struct("level", order)).alias("b"))
+    row = F.struct(price_id, "level", *fields)
+    keyed = exact.unionByName(by_last).groupBy(model).agg(F.min_by(row, F.struct("level", order)).alias("b"))
+    rest = m.filter("p2 IS NOT NULL").join(keyed, model, "left_anti")
+    pairs = rest.select("p1", "p2").distinct().join(p, F.col(price_id).contains(F.col("p1")) & F.col(price_id).contains(F.col("p2"))).withColumn("level", F.lit(3))
+    loose = rest.select(model, "p1", "p2").join(pairs.groupBy("p1", "p2").agg(F.min_by(row, F.struct(order)).alias("b")), ["p1", "p2"])
+    best = keyed.unionByName(loose.select(model, "b"))
     return usage.select(model).distinct().join(best, model, "left").select(model, f"b.{price_id}", F.col("b.level").alias("match_level"), *[f"b.{c}" for c in fields])
 
 

@@ -108,6 +108,33 @@ def test_ready_and_prices(spark):
     assert {r.model: (r.id, r.match_level) for r in summaries.price_lookup(use, "model", prices, "id", "ord").collect()} == {"m-x": ("m-x", 1), "v/m-x": ("m-x", 2), "v/big-one": ("big-one-2", 3), "none": (None, None)}
 
 
+def brute_prices(models, prices):
+    """The best (id, level, prompt) of each model, of prices (id, prompt, ord)."""
+    out = {}
+    for model in models:
+        last = model.split("/")[-1]
+        two = last.split("-")[:2]
+        found = [(1 if i == model else 2 if i == last else 3, o, i, x) for i, x, o in prices if i in (model, last) or len(two) == 2 and all(t in i for t in two)]
+        out[model] = (lambda level, o, i, x: (i, level, x))(*min(found)) if found else (None, None, None)
+    return out
+
+
+def test_prices_equal_brute_force(spark):
+    prices = [(f"{a}-{b}{c}", float(k), 90 - k) for k, (a, b, c) in enumerate((a, b, c) for a in ("big", "low", "big") for b in ("one", "two", "x") for c in ("", "-v2", "-old"))] + [("v/big-one", 99.0, 3), ("solo", 98.0, 2)]
+    models = [f"{v}{a}-{b}{c}" for v in ("", "v/", "a/b/") for a in ("big", "low", "none") for b in ("one", "two") for c in ("", "-v2", "-v3")] + ["solo", "v/solo", "one-big", "nothing", "", "-"]
+    found = summaries.price_lookup(spark.createDataFrame([(m,) for m in models * 2] + [(None,)], "model string"), "model", spark.createDataFrame(prices + [(None, 1.0, 0)], "id string, prompt double, ord int"), "id", "ord").collect()
+    assert {r.model: (r.id, r.match_level, r.prompt) for r in found if r.model is not None} == brute_prices(models, prices) and len(found) == len(set(models)) + 1
+
+
+def test_every_part_is_priced(spark, sf_dir):
+    from loomtext.plans import queries
+
+    parts = sorted((r.p_partkey, r.p_name.replace(" ", "-")) for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect())
+    models = {("vendor/" if k % 2 == 0 else "") + n + ("-v2" if k % 3 == 0 else "") for k, n in parts}
+    want = brute_prices(models, [(n, k, k) for k, n in parts])
+    assert {r.model: (r.id, r.match_level) for r in queries.price_lookup(spark, sf_dir).collect()} == {m: b[:2] for m, b in want.items()}
+
+
 def test_sources_and_sinks(spark, tmp_path):
     for name, body in {"a_krama.json": {"passage_id": "p1", "source": {"source_text": "śiva text"}, "stages": {"T1": {"close_translation": "Homage to the lord"}}}, "b.json": {"passage_id": "p2", "source": {"source_text": "s"}, "stages": {"L2": ["one", "two"]}}, "c.json": {"passage_id": "p3", "source": {"source_text": ""}}}.items():
         (tmp_path / "rec").mkdir(exist_ok=True)
