@@ -267,8 +267,8 @@ def extract(html: str | None, wrapper: dict | None) -> str:
 
 
 def _infer_host(pdf: pd.DataFrame) -> pd.DataFrame:
-    pages = pdf.sort_values("page_id")["html"].tolist()[:SAMPLES]
-    w = infer([p for p in pages if p])
+    pages = dict.fromkeys(p for p in pdf.sort_values("page_id")["html"] if p)
+    w = infer(list(pages)[:SAMPLES])
     return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps({k: w[k] for k in ("region", "template")})], "expression": [json.dumps(w["wrapper"])]})
 
 
@@ -279,9 +279,9 @@ def host_of(url: Column) -> Column:
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (JSON: region, template) and expression (JSON of the regular expression) for each host, from at most SAMPLES of its pages.
 
-    The sample is the smallest page_id of each of SAMPLES hash buckets of the host's pages, found by a pre-aggregated
-    minimum: a host with a third of all pages costs no more than another."""
-    rows = pages.filter("page_id IS NOT NULL").select(host_of(F.col("url")).alias("host"), "page_id", F.pmod(F.xxhash64("page_id"), F.lit(SAMPLES)).alias("bucket"))
+    The sample is the smallest page_id of each of SAMPLES hash buckets of the host's payloads, found by a pre-aggregated
+    minimum: copies of a page are one payload, and a host with a third of all pages costs no more than another."""
+    rows = pages.filter("page_id IS NOT NULL").select(host_of(F.col("url")).alias("host"), "page_id", F.pmod(F.xxhash64("html"), F.lit(SAMPLES)).alias("bucket"))
     chosen = rows.groupBy("host", "bucket").agg(F.min("page_id").alias("page_id")).select("page_id").distinct()
     return pages.select(host_of(F.col("url")).alias("host"), "page_id", "html").join(small(chosen, 200_000), "page_id", "left_semi").groupBy("host").applyInPandas(_infer_host, "host string, wrapper string, expression string")
 

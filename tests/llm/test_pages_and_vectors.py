@@ -30,6 +30,13 @@ def test_main_text_of_a_host(spark):
     assert len(got) == len(rows) and wrappers.main_texts(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_make_no_template(spark):
+    rows = [(k, "http://h.example/", page(1)) for k in range(200)] + [(200 + k, "http://h.example/", page(k)) for k in range(2, 5)]
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = "Head %d\n\nFirst para é's bold line\n\nSecond"
+    assert {got[k] for k in range(200)} == {want % 1 + " word"} and all(got[200 + k] == want % k + " word" * k for k in range(2, 5))
+
+
 def test_joined_wrappers_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"http://h.example/{k}", page(k)) for k in range(6)], "page_id long, url string, html string")
     want = sorted(map(tuple, wrappers.main_texts(df).collect()))
