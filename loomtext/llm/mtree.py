@@ -17,13 +17,20 @@ from loomtext.llm.common import binary, materialise
 SUBTREE, PAGE, TOP, SEEDS = 4096, 256, 64, 1024
 #: Queries that are searched for at once: the block that every task holds.
 QUERY_BLOCK = 2048
+#: Bits before the point of a component at most.
+WIDEST = 40
 
 
 def integer_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
-    """id and v, an array of floor(scale * x); rows with a null id or vector, or with a null or non-finite component, are left out."""
+    """id and v, an array of floor(scale * x); rows with a null id or vector, or with a null or non-finite component, are left out.
+
+    A finite component of 2**WIDEST or more would not keep products and bounds exact: it is an error that names the row's id, not a row less.
+    """
     x = F.col(vector_col)
-    fine = x.isNotNull() & F.forall(x, lambda e: F.coalesce(~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float(1 << 40)), F.lit(False)))
-    return table.filter(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v"))
+    fine = x.isNotNull() & F.forall(x, lambda e: F.coalesce(~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")), F.lit(False)))
+    told = F.concat(F.lit(f"a component of 2**{WIDEST} or more in the vector of "), F.col(id_col).cast("string"))
+    whole = lambda e: F.when(F.abs(e.cast("double")) < float(1 << WIDEST), F.floor(e.cast("double") * scale)).otherwise(F.raise_error(told).cast("long"))
+    return table.filter(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(x, whole).alias("v"))
 
 
 def _matrix(column: list, dim: int) -> np.ndarray:

@@ -98,6 +98,15 @@ def test_top_k_equals_brute_force(spark, monkeypatch, page_size):
     assert mtree.search(few, few, 10).count() == 12 and mtree.search(v.limit(0), v.limit(0), 10).count() == 0
 
 
+def test_wide_vectors_are_not_dropped_in_silence(spark):
+    near = 2.0**40 - 1
+    df = spark.createDataFrame([(1, [near, -near]), (2, [float("inf"), 0.0]), (3, [float("nan"), 0.0]), (4, None)], "vec_id long, embedding array<double>")
+    assert [(r.id, r.v) for r in mtree.integer_vectors(df, "vec_id", "embedding").collect()] == [(1, [1024 * int(near), -1024 * int(near)])]
+    for wide in (2.0**40, -1e300):
+        with pytest.raises(Exception, match="vector of 5"):
+            mtree.integer_vectors(df.union(spark.createDataFrame([(5, [1.0, wide])], df.schema)), "vec_id", "embedding").collect()
+
+
 def test_expression_is_kept(spark):
     df = spark.createDataFrame([(k, "http://h.example/", page(k)) for k in range(4)], "page_id long, url string, html string")
     [w] = wrappers.wrappers(df).collect()
