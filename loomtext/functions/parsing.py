@@ -37,33 +37,28 @@ def judgment(reply: Column, most: int = 160) -> Column:
     return F.substring(F.get_json_object(object_text(reply), "$.judgment"), 1, most)
 
 
-def balanced_object(text: str | None) -> str | None:
-    """The first object whose braces balance (braces in strings count too), trailing commas mended, as canonical JSON; null if unreadable."""
-    text = re.sub(r"```(?:json)?", "", text or "")
-    start = text.find("{")
-    if start < 0:
-        return None
-    depth = 0
-    for end in range(start, len(text)):
-        depth += (text[end] == "{") - (text[end] == "}")
-        if depth == 0:
-            break
-    else:
+#: A string of an object, which is left as it is, or a comma with nothing after it.
+_STRAY_COMMA = re.compile(r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])')
+
+
+def first_object(reply: str | None) -> str | None:
+    """The object that begins at a reply's first brace, as canonical JSON, whatever comes after it; null if there is none or it is broken.
+
+    Braces and commas within strings are text. Commas before a closing bracket are forgiven.
+    """
+    _, brace, rest = (reply or "").partition("{")
+    try:
+        found, _ = json.JSONDecoder().raw_decode(_STRAY_COMMA.sub(lambda m: m[1] or "", brace + rest))
+    except ValueError:
         return None
-    body = text[start : end + 1]
-    for attempt in (body, re.sub(r",\s*([}\]])", r"\1", body)):
-        try:
-            return json.dumps(json.loads(attempt), sort_keys=True, ensure_ascii=False)
-        except ValueError:
-            continue
-    return None
+    return json.dumps(found, sort_keys=True, ensure_ascii=False)
 
 
 def extract_object(text: Column) -> Column:
-    """balanced_object of a column, by Arrow batches: there is no native matcher of nested braces."""
+    """first_object of a column, by Arrow batches: there is no native matcher of nested braces."""
 
     @F.pandas_udf("string")
     def read(texts: pd.Series) -> pd.Series:
-        return texts.map(balanced_object)
+        return texts.map(first_object)
 
     return read(text)

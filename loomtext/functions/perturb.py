@@ -9,22 +9,22 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Families in the order of application, each with what its instruction says is done.
+# Families in the order of application, each with its instruction.
 FAMILIES = {
-    "SCOPE_NEGATION": "so a negation marker is removed or inverted",
-    "MORPHOLOGY": "so a number (singular/plural) is swapped",
-    "TECHNICAL_TERM": "so a technical term is mistranslated as a generic word",
-    "POETIC_METAPHOR": "so a metaphor is flattened to a literal statement",
-    "TEXTUAL_STRUCTURE": "so the quoted speaker / quotation boundary is confused",
-    "ACCURACY_OMISSION": "by dropping a content element",
-    "ACCURACY_ADDITION": "by adding content not in the source",
-    "ACCURACY_MISTRANSLATION": "so a source element is rendered incorrectly",
-    "SYNTAX_KARAKA": "so an agent/patient (who does what to whom) is swapped",
-    "LEXICAL_SENSE": "so a polysemous term is given the wrong sense",
-    "COREFERENCE": "so a pronoun / implicit subject refers to the wrong entity",
-    "COMPOUND_SAMASA": "so a compound / phrase is re-ordered to the wrong head",
-    "SEGMENTATION_SANDHI": "so a word boundary is split wrongly",
-    "STYLE": "into a mismatched register",
+    "SCOPE_NEGATION": "Perturb the translation so a negation marker is removed or inverted (a controlled bad translation).",
+    "MORPHOLOGY": "Perturb the translation so a number (singular/plural) is swapped (a controlled bad translation).",
+    "TECHNICAL_TERM": "Perturb the translation so a technical term is mistranslated as a generic word (a controlled bad translation).",
+    "POETIC_METAPHOR": "Perturb the translation so a metaphor is flattened to a literal statement (a controlled bad translation).",
+    "TEXTUAL_STRUCTURE": "Perturb the translation so the quoted speaker / quotation boundary is confused (a controlled bad translation).",
+    "ACCURACY_OMISSION": "Perturb the translation by dropping a content element (a controlled bad translation).",
+    "ACCURACY_ADDITION": "Perturb the translation by adding content not in the source (a controlled bad translation).",
+    "ACCURACY_MISTRANSLATION": "Perturb the translation so a source element is rendered incorrectly (a controlled bad translation).",
+    "SYNTAX_KARAKA": "Perturb the translation so an agent/patient (who does what to whom) is swapped (a controlled bad translation).",
+    "LEXICAL_SENSE": "Perturb the translation so a polysemous term is given the wrong sense (a controlled bad translation).",
+    "COREFERENCE": "Perturb the translation so a pronoun / implicit subject refers to the wrong entity (a controlled bad translation).",
+    "COMPOUND_SAMASA": "Perturb the translation so a compound / phrase is re-ordered to the wrong head (a controlled bad translation).",
+    "SEGMENTATION_SANDHI": "Perturb the translation so a word boundary is split wrongly (a controlled bad translation).",
+    "STYLE": "Perturb the translation into a mismatched register (a controlled bad translation).",
 }
 # Words and what takes their place, by rule.
 ANTONYMS = {
@@ -41,6 +41,7 @@ STOPWORDS = frozenset(
 )
 ADDED, GENERIC, GENERIC_PREFIX = ", and this was not stated in the original text", "the being", "the thing (term left generic) "
 
+# What a token and a negation look like.
 _TOKEN, _NEGATION = re.compile(r"\b[\w'-]+\b"), re.compile(r"\b(not|no|never|nor)\b", re.I)
 
 
@@ -97,10 +98,11 @@ def _speaker(s: _Line):
 
 
 def _omission(s: _Line):
-    head, comma, tail = s.text.rpartition(",")
-    if comma and tail.strip() and len(_TOKEN.findall(tail)) > 3:
+    """Without the last clause, if a comma parts one off and the whole text has more than 3 tokens; else without the last token."""
+    head, comma, clause = s.text.rpartition(",")
+    if comma and clause.strip() and len(s.at) > 3:
         return head.rstrip(" ,")
-    return s.text[: s.at[-1][0]].rstrip(" ,") if len(s.at) > 1 else None
+    return s.text[: s.at[-1][0]].rstrip() if len(s.at) > 1 else None
 
 
 def _mistranslation(s: _Line):
@@ -135,7 +137,7 @@ RULES = {
     "POETIC_METAPHOR": _image,
     "TEXTUAL_STRUCTURE": _speaker,
     "ACCURACY_OMISSION": _omission,
-    "ACCURACY_ADDITION": lambda s: s.text + ADDED,
+    "ACCURACY_ADDITION": lambda s: (s.text + ADDED).strip(),
     "ACCURACY_MISTRANSLATION": _mistranslation,
     "SYNTAX_KARAKA": _roles,
     "LEXICAL_SENSE": lambda s: s.replaced(ANTONYMS),
@@ -163,4 +165,4 @@ def all_perturbations(text: Column) -> Column:
 
 
 def instruction(family: str) -> str:
-    return f"Perturb the translation {FAMILIES[family]} (a controlled bad translation)."
+    return FAMILIES[family]

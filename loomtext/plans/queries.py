@@ -201,14 +201,14 @@ def dag_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
 def schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     raw = F.when(F.pmod("event_id", F.lit(11)) == 0, F.substring("props", 1, 5)).when(F.pmod("event_id", F.lit(7)) == 0, F.regexp_replace("props", ": ", ': "')).otherwise(F.col("props"))
-    bad = contracts.violations(F.when(F.pmod("event_id", F.lit(77)) == 7, '{"k": "1"}').otherwise(F.when(F.pmod("event_id", F.lit(13)) == 0, "{}").otherwise(raw)), "k:I")
+    bad = contracts.violations(F.when(F.pmod("event_id", F.lit(77)) == 7, '{"k": "1"}').otherwise(F.when(F.pmod("event_id", F.lit(13)) == 0, "{}").otherwise(raw)), {"k": "integer"})
     return e.select(F.explode_outer(bad).alias("violation")).groupBy(F.coalesce("violation", F.lit("valid")).alias("violation")).agg(F.count("*").alias("n"))
 
 
 def annotation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "A").when(F.pmod("doc_id", F.lit(5)) == 0, "neither").otherwise("tie").alias("preference"), F.when(F.col("toxic") == 1, F.lit(None)).otherwise(F.pmod("doc_id", F.lit(2)) == 0).alias("no_major_error"))
     rec = F.to_json(F.struct(F.col("doc_id").cast("string").alias("passage_id"), "preference", "no_major_error"))
-    v = contracts.violations(rec, "passage_id:S preference:S no_major_error:B", {"preference": ("A", "B", "tie", "")})
+    v = contracts.violations(rec, {"passage_id": "text", "preference": "text", "no_major_error": "truth"}, {"preference": ("A", "B", "tie", "")})
     return d.select("doc_id", F.array_join(v, ";").alias("violations"))
 
 

@@ -58,6 +58,9 @@ BAD = {
 
 def test_perturbations(spark):
     assert {f: perturb.perturb(LINE, f) for f in perturb.FAMILIES} == BAD
+    omitted = {"a, b c d": "a", "one two, three": "one two,", "one": None, "a b c d,": "a b c", "x, y z w ,, ": "x, y z", "a\tb": "a", "a, b": "a,"}
+    assert {t: perturb.perturb(t, "ACCURACY_OMISSION") for t in omitted} == omitted
+    assert perturb.perturb(" x y ", "ACCURACY_ADDITION") == "x y , and this was not stated in the original text"
     assert all(perturb.perturb(t, f) is None for t in (None, "", " ,") for f in perturb.FAMILIES)
     golds = spark.createDataFrame([(f"s{i}", f"{LINE} and-so number {i}, he said many good things", i) for i in range(30)], "source string, gold string, ord int")
     rows = steps.challenge(golds, 200).collect()
@@ -90,14 +93,15 @@ def test_contracts(spark):
     assert got == {0: [], 1: ["bad type step", "bad type ts"], 2: ["missing step"], 3: ["invalid JSON"], 4: []}
     assert df.filter("i = 4").select(contracts.violations(F.col("r"), "AGENT_RUN", strict=True).alias("v")).first().v == ["unknown field"]
     n = spark.createDataFrame([('{"a": 1, "b": 1.5, "c": true, "d": [], "e": {}, "f": null}',)], "r string")
-    assert n.select(contracts.violations(F.col("r"), "a:F b:I c:B d:L e:D f:S?").alias("v")).first().v == ["bad type b"]
+    assert n.select(contracts.violations(F.col("r"), {"a": "number", "b": "integer", "c": "truth", "d": "list", "e": "object", "f": "text or null"}).alias("v")).first().v == ["bad type b"]
 
 
 def test_parsing(spark):
     df = spark.createDataFrame([(0, '```json\n{"fidelity": 4, "judgment": "negation lost"}\n```'), (1, "none"), (2, '{"fidelity": 9}'), (3, '{"fidelity": "x"}'), (4, None)], "i int, r string")
     got = {r.i: (r.f, r.fam) for r in df.select("i", parsing.fidelity(F.col("r")).alias("f"), lexicon.error_family(parsing.judgment(F.col("r"))).alias("fam")).collect()}
     assert got == {0: (0.8, "negation loss"), 1: (None, "novel"), 2: (1.0, "novel"), 3: (None, "novel"), 4: (None, "novel")}
-    assert parsing.balanced_object('x {"a": {"b": [1,]},} y }') == '{"a": {"b": [1]}}' and parsing.balanced_object("{") is None
+    assert parsing.first_object('x {"a": {"b": [1,]},} y }') == '{"a": {"b": [1]}}' and parsing.first_object("{") is None
+    assert parsing.first_object('```json\n{"a": "}{ ,]", "b": "\\",}"}\n```') == '{"a": "}{ ,]", "b": "\\",}"}' and parsing.first_object(None) is parsing.first_object("none") is None
 
 
 def test_ready_and_prices(spark):
