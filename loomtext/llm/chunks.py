@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import binary, lean, materialise, runs
+from loomtext.llm.common import binary, forget, lean, materialise, runs
 
 #: Bytes in a chunk at least and at most; the gear hash cuts at one of 2**CUT_BITS places.
 SHORTEST, LONGEST, CUT_BITS = 16, 256, 5
@@ -49,14 +49,15 @@ def cuts(text: bytes) -> list[int]:
     return out
 
 
+#: A digest has 96 bits, so that no two of 10**13 pieces share one by chance.
+_DIGEST = ("digest", "check")
+_DIGEST_SQL = "digest long, check int"
 _PLACES = ("nth", "start_byte", "end_byte", "start_word", "end_word")
 #: Where a run begins and ends, in bytes, words and chunks: minima and maxima in turn.
 _SPAN = ("start_byte", "end_byte", "start_word", "end_word", "first_chunk", "last_chunk")
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
-
-
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = binary(batch, "text")
@@ -68,7 +69,7 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not ends:
                     continue
                 begins = [0, *ends[:-1]]
-                digest += [xxhash.xxh3_64_intdigest(t[i:j]) for i, j in zip(begins, ends)]
+                digest.append(_digests(t, begins, ends))
                 nth += range(len(ends))
                 begin += begins
                 end += ends
@@ -79,7 +80,7 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first_word += [0, *begun[:-1]]
                 last_word += begun
             owner = np.repeat(np.arange(a, b), sizes)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(owner)) for c in (0, 1)), pa.array(np.array(digest, np.uint64).view(np.int64), pa.int64()), *(pa.array(x, pa.int32()) for x in (nth, begin, end, first_word, last_word))], ["doc_id", "part", "digest", *_PLACES])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(owner)) for c in (0, 1)), *_joined(digest), *(pa.array(x, pa.int32()) for x in (nth, begin, end, first_word, last_word))], ["doc_id", "part", *_DIGEST, *_PLACES])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def chunk_table(texts: DataFrame) -> DataFrame:
     """One row for each chunk of each text: doc_id, part, digest, its number, its bytes, and the numbers of words begun before it and up to its end."""
-    return texts.select("doc_id", "part", "text").mapInArrow(_chunk, "doc_id long, part int, digest long, " + ", ".join(f"{c} int" for c in _PLACES))
+    return texts.select("doc_id", "part", "text").mapInArrow(_chunk, f"doc_id long, part int, {_DIGEST_SQL}, " + ", ".join(f"{c} int" for c in _PLACES))
 
 
 def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,9 +134,19 @@ def _gram(n_words: int) -> int:
     return min(32, 2 * n_words - 1)
 
 
-def _digests(text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    found = (xxhash.xxh3_64_intdigest(text[i:j]) for i, j in zip(begin.tolist(), end.tolist()))
-    return np.fromiter(found, np.uint64, len(begin)).view(np.int64)
+def _digests(text: bytes, begin, end) -> np.ndarray:
+    """The low and high 64 bits of the digest of each piece of a text."""
+    found = b"".join(xxhash.xxh3_128_digest(text[i:j]) for i, j in zip(begin, end))
+    return np.frombuffer(found, ">u8").astype(np.uint64).reshape(-1, 2)[:, ::-1]
+
+
+def _joined(digests: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    found = np.concatenate(digests) if digests else np.zeros((0, 2), np.uint64)
+    return pa.array(found[:, 0].astype(np.int64), pa.int64()), pa.array((found[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), pa.int32())
+
+
+def _low(text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return _digests(text, begin.tolist(), end.tolist())[:, 0].astype(np.int64)
 
 
 def _grams(n_words: int):
@@ -147,7 +158,7 @@ def _grams(n_words: int):
                 for t in texts[a:b]:
                     begin, end = words_of(np.frombuffer(t, np.uint8))
                     owners = np.unique(windows(t, n_words)[2])
-                    grams.append(np.unique(_digests(t, owners - _gram(n_words), owners)))
+                    grams.append(np.unique(_low(t, owners - _gram(n_words), owners)))
                     ends = cuts(t)
                     places.append((begin[0], end[-1], 0, len(begin), *np.searchsorted(ends, (begin[0], end[-1] - 1), "right")) if len(begin) else (0,) * 6)
                 offsets = np.cumsum([0, *map(len, grams)])
@@ -168,41 +179,53 @@ def _windows_of(n_words: int):
                     t = texts[k]
                     begin, end, owner = windows(t, n_words)
                     owners, which = np.unique(owner, return_inverse=True)
-                    known = np.isin(_digests(t, owners - _gram(n_words), owners), hits[k].values.to_numpy())
+                    known = np.isin(_low(t, owners - _gram(n_words), owners), hits[k].values.to_numpy())
                     nth = np.flatnonzero(known[which])
                     begin, end, ends = begin[nth], end[nth], cuts(t)
                     sizes.append(len(nth))
-                    digests.append(_digests(t, begin, end))
+                    digests.append(_digests(t, begin.tolist(), end.tolist()))
                     places.append((begin, end, nth, nth + n_words, np.searchsorted(ends, begin, "right"), np.searchsorted(ends, end - 1, "right")))
                 owner = pa.array(np.repeat(np.arange(a, b), sizes))
                 cols = [pa.array(np.concatenate(x), pa.int32()) for x in zip(*places)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.concatenate(digests), pa.int64()), *cols], ["doc_id", "body", "digest", *_SPAN])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *_joined(digests), *cols], ["doc_id", "body", *_DIGEST, *_SPAN])
 
     return run
 
 
-def _firsts(table: DataFrame, key: str) -> DataFrame:
+def _firsts(table: DataFrame, *key: str) -> DataFrame:
     """The smallest id of each key that several documents hold. Written first: a join of the aggregate as it stands would keep its
     partitioning, and hot keys could not be split."""
-    return materialise(table.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select(key, "first"))
+    return materialise(table.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select(*key, "first"))
 
 
 def _span() -> list:
     return [(F.min if k % 2 == 0 else F.max)(c).alias(c) for k, c in enumerate(_SPAN)]
 
 
+def _in_step(pieces: DataFrame, nth: str) -> DataFrame:
+    """Runs of pieces (chunks or windows) that follow each other both in their document and in the one with the smallest id that
+    holds them, so that each run stands there byte by byte. The piece's place in that document is the first one."""
+    held = materialise(pieces.join(_firsts(pieces, *_DIGEST), list(_DIGEST)))
+    place = (F.col("part").cast("long") * (1 << 32) + F.col(nth)).alias("place")
+    places = materialise(held.filter("doc_id = first").select(*_DIGEST, place).groupBy(*_DIGEST).agg(F.min("place").alias("place")))
+    again = held.filter("doc_id > first").join(places, list(_DIGEST)).withColumn("step", F.col("place") - F.col(nth))
+    order = Window.partitionBy("doc_id", "part", "first", "step").orderBy(nth)
+    again = again.withColumn("run", F.col(nth) - F.dense_rank().over(order))
+    out = materialise(again.groupBy("doc_id", "part", "first", "step", "run").agg(*_span()).select("doc_id", "part", F.col("first").alias("first_doc_id"), *_SPAN))
+    forget(held, places)
+    return out
+
+
 def chunk_runs(texts: DataFrame, least_words: int) -> DataFrame:
-    """Runs of chunks that follow each other and that smaller ids hold too, of least_words words at least."""
+    """Runs of chunks that follow each other and that one smaller id holds too, of least_words words at least."""
     table = materialise(chunk_table(texts))
-    again = table.join(_firsts(table, "digest"), "digest").filter("doc_id > first").drop("digest")
-    order = Window.partitionBy("doc_id", "part").orderBy("nth", "end_byte")
-    runs_of = again.select("*", (F.col("nth") - F.dense_rank().over(order)).alias("run"), F.col("nth").alias("first_chunk"), F.col("nth").alias("last_chunk"))
-    told = runs_of.groupBy("doc_id", "part", "run").agg(F.min("first").alias("first_doc_id"), *_span())
-    return told.filter(F.col("end_word") - F.col("start_word") >= least_words).drop("run")
+    told = _in_step(table.withColumns({"first_chunk": F.col("nth"), "last_chunk": F.col("nth")}), "nth")
+    forget(table)
+    return told.filter(F.col("end_word") - F.col("start_word") >= least_words)
 
 
 def word_runs(texts: DataFrame, n_words: int) -> DataFrame:
-    """Runs of windows of n_words words, one word after the other, that smaller ids hold too: every repetition of so many words.
+    """Runs of windows of n_words words, one word after the other, that one smaller id holds too: every repetition of so many words.
 
     Windows are compared by digest, but only where they can repeat: each is owned by the gram of least gear hash in it, and
     those whose gram no other document holds are left out before windows are dealt. Copies of a whole text are told by its
@@ -214,36 +237,34 @@ def word_runs(texts: DataFrame, n_words: int) -> DataFrame:
     copies = materialise(bodies.drop("grams").join(_firsts(bodies, "body"), "body").filter("doc_id > first").distinct())
     grams = bodies.join(copies, ["doc_id", "body"], "left_anti").select("doc_id", "body", F.explode("grams").alias("gram"))
     hits = materialise(grams.join(_firsts(grams, "gram"), "gram").groupBy("doc_id", "body").agg(F.collect_set("gram").alias("hits")))
+    forget(table)
     found = texts.join(hits, ["doc_id", "body"]).select("doc_id", "body", "text", "hits")
-    dealt = materialise(found.mapInArrow(_windows_of(n_words), f"doc_id long, body binary, digest long, {ints}"))
-    again = dealt.join(_firsts(dealt, "digest"), "digest").filter("doc_id > first").drop("digest")
-    runs_of = again.withColumn("run", F.col("start_word") - F.dense_rank().over(Window.partitionBy("doc_id", "body").orderBy("start_word")))
-    told = materialise(runs_of.groupBy("doc_id", "body", "run").agg(F.min("first").alias("first_doc_id"), *_span()).drop("run"))
-    # The copy that is cut may itself repeat what still earlier documents hold.
-    earlier = told.groupBy(F.col("doc_id").alias("first"), "body").agg(F.min("first_doc_id").alias("earliest"))
-    whole = copies.join(earlier, ["first", "body"], "left").select("doc_id", "body", F.coalesce("earliest", "first").alias("first_doc_id"), *_SPAN)
-    return told.unionByName(whole).withColumn("part", F.hash("body")).drop("body")
+    dealt = materialise(found.mapInArrow(_windows_of(n_words), f"doc_id long, body binary, {_DIGEST_SQL}, {ints}"))
+    told = _in_step(dealt.withColumn("part", F.hash("body")).drop("body"), "start_word")
+    forget(dealt, hits)
+    return told.unionByName(copies.select("doc_id", F.hash("body").alias("part"), F.col("first").alias("first_doc_id"), *_SPAN))
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """Passages of documents (doc_id, text) that documents with a smaller id hold too: what substring deduplication removes.
 
     Texts are cut into chunks by content, so that an insertion shifts no chunk but its own. A chunk is a duplicate in all
-    documents but that with the smallest id, which keeps it. Runs of duplicate chunks that follow each other are passages,
-    if they have at least least_words words, so common words and short lines are left alone. Chunks at a passage's ends
-    also hold foreign text and can hide all of it; so every repetition of passage_words words or more is also found by
-    windows of words, to its first and last word, and what overlaps is one passage. First ids are aggregated by digest
-    before they are joined back, and the joins' hot digests are split by adaptive execution.
+    documents but that with the smallest id, which keeps it. Runs of duplicate chunks that follow each other, in the document
+    and in the one that keeps them, are passages, if they have at least least_words words, so common words and short lines
+    are left alone. Chunks at a passage's ends also hold foreign text and can hide all of it; so every repetition of
+    passage_words words or more is also found by windows of words, to its first and last word. A passage that lies within
+    another one is not told again. First ids are aggregated by digest before they are joined back, and the joins' hot digests
+    are split by adaptive execution.
 
     Null and empty texts have no chunks; rows that repeat an id are one document, and repetitions within it are no duplicates;
     a null id takes no part; an empty table gives an empty result; other columns play no part.
-    Returns doc_id, first_doc_id (the smallest id that holds a chunk or window of the passage), start_byte, end_byte, n_words, n_chunks.
+    Returns doc_id, first_doc_id (a smaller id whose text holds the passage byte by byte), start_byte, end_byte, n_words, n_chunks.
+    What is repeated partly from one document and partly from another is told as two passages, which may overlap.
     """
     texts = _texts(docs)
-    told = materialise(chunk_runs(texts, least_words)).unionByName(word_runs(texts, passage_words))
-    order = Window.partitionBy("doc_id", "part").orderBy("start_byte", "end_byte")
-    apart = F.col("start_byte") >= F.coalesce(F.max("end_byte").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    merged = told.withColumn("apart", apart.cast("int")).withColumn("passage", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = merged.groupBy("doc_id", "part", "passage").agg(F.min("first_doc_id").alias("first_doc_id"), *_span())
+    told = chunk_runs(texts, least_words).unionByName(word_runs(texts, passage_words)).distinct()
+    order = Window.partitionBy("doc_id", "part").orderBy("start_byte", F.desc("end_byte"), "first_doc_id", "start_word", F.desc("end_word"))
+    upto = F.max("end_byte").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    outer = told.withColumn("upto", upto).filter(F.col("upto").isNull() | (F.col("upto") < F.col("end_byte")))
     n_words, n_chunks = F.col("end_word") - F.col("start_word"), F.col("last_chunk") - F.col("first_chunk") + 1
-    return merged.select("doc_id", "first_doc_id", "start_byte", "end_byte", n_words.cast("long").alias("n_words"), n_chunks.cast("long").alias("n_chunks"))
+    return outer.select("doc_id", "first_doc_id", "start_byte", "end_byte", n_words.cast("long").alias("n_words"), n_chunks.cast("long").alias("n_chunks"))

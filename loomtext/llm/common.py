@@ -44,6 +44,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def forget(*frames: DataFrame) -> None:
+    """Removes the tables that materialise() wrote for these frames, once nothing reads them any more; shuffle files of frames that
+    are gone are let go with them."""
+    spark = frames[0].sparkSession
+    for df in frames:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/loomtext-" in path:
+                _remove(spark, path)
+    spark.sparkContext._jvm.System.gc()  # the cleaner of shuffle files follows the driver's garbage collector
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_folder(spark).rstrip('/')}/loomtext-{uuid.uuid4().hex}"
