@@ -1,5 +1,5 @@
-"""Substring deduplication by content-defined chunks: cuts where a gear rolling hash says so, duplicates by digest; and every
-longer passage by windows of words, so that no cut can lose it."""
+"""Substring deduplication by content-defined chunks: cuts where a gear rolling hash says so, duplicates by digest; and windows of
+words wherever chunks don't tell already, so that no cut can lose a passage or its ends."""
 
 from __future__ import annotations
 
@@ -8,16 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import binary, forget, lean, materialise, runs
 
 #: Bytes in a chunk at least and at most; the gear hash cuts at one of 2**CUT_BITS places.
 SHORTEST, LONGEST, CUT_BITS = 16, 256, 5
-#: Words in a run of duplicate chunks from which it counts as a repeated passage.
-LEAST_WORDS = 30
-#: Words of a repeated passage that is told wherever its chunks are cut: over 50.
+#: Words of a repeated passage: over 50.
 PASSAGE_WORDS = 51
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -169,25 +167,34 @@ def _grams(n_words: int):
     return run
 
 
+def _within(begin: np.ndarray, end: np.ndarray, spans: list | None) -> np.ndarray:
+    """Whether each range lies within one of the spans (start, end)."""
+    if not spans:
+        return np.zeros(len(begin), bool)
+    starts, ends = np.array(sorted((x["start_byte"], x["end_byte"]) for x in spans)).T
+    last = np.searchsorted(starts, begin, "right") - 1
+    return (last >= 0) & (np.maximum.accumulate(ends)[last] >= end)
+
+
 def _windows_of(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, hits = binary(batch, "text"), batch.column(3)
+            texts, hits, known = binary(batch, "text"), batch.column(3), batch.column(4)
             for a, b in runs(texts):
                 sizes, digests, places = [], [], []
                 for k in range(a, b):
                     t = texts[k]
                     begin, end, owner = windows(t, n_words)
                     owners, which = np.unique(owner, return_inverse=True)
-                    known = np.isin(_low(t, owners - _gram(n_words), owners), hits[k].values.to_numpy())
-                    nth = np.flatnonzero(known[which])
+                    hit = np.isin(_low(t, owners - _gram(n_words), owners), hits[k].values.to_numpy())
+                    nth = np.flatnonzero(hit[which] & ~_within(begin, end, known[k].as_py()))
                     begin, end, ends = begin[nth], end[nth], cuts(t)
                     sizes.append(len(nth))
                     digests.append(_digests(t, begin.tolist(), end.tolist()))
                     places.append((begin, end, nth, nth + n_words, np.searchsorted(ends, begin, "right"), np.searchsorted(ends, end - 1, "right")))
                 owner = pa.array(np.repeat(np.arange(a, b), sizes))
                 cols = [pa.array(np.concatenate(x), pa.int32()) for x in zip(*places)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *_joined(digests), *cols], ["doc_id", "body", *_DIGEST, *_SPAN])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *_joined(digests), *cols], ["doc_id", "part", *_DIGEST, *_SPAN])
 
     return run
 
@@ -206,55 +213,67 @@ def _in_step(pieces: DataFrame, nth: str) -> DataFrame:
     """Runs of pieces (chunks or windows) that follow each other both in their document and in the one with the smallest id that
     holds them, so that each run stands there byte by byte. The piece's place in that document is the first one."""
     held = materialise(pieces.join(_firsts(pieces, *_DIGEST), list(_DIGEST)))
-    place = (F.col("part").cast("long") * (1 << 32) + F.col(nth)).alias("place")
-    places = materialise(held.filter("doc_id = first").select(*_DIGEST, place).groupBy(*_DIGEST).agg(F.min("place").alias("place")))
-    again = held.filter("doc_id > first").join(places, list(_DIGEST)).withColumn("step", F.col("place") - F.col(nth))
+    places = materialise(held.filter("doc_id = first").select(*_DIGEST, _place(F.col("part"), F.col("start_byte")).alias("place")).groupBy(*_DIGEST).agg(F.min("place").alias("place")))
+    again = held.filter("doc_id > first").join(places, list(_DIGEST)).withColumn("step", F.col("place") - F.col("start_byte"))
     order = Window.partitionBy("doc_id", "part", "first", "step").orderBy(nth)
     again = again.withColumn("run", F.col(nth) - F.dense_rank().over(order))
-    out = materialise(again.groupBy("doc_id", "part", "first", "step", "run").agg(*_span()).select("doc_id", "part", F.col("first").alias("first_doc_id"), *_SPAN))
+    out = materialise(again.groupBy("doc_id", "part", "first", "step", "run").agg(*_span()).select(*_RUN, *_SPAN))
     forget(held, places)
     return out
 
 
-def chunk_runs(texts: DataFrame, least_words: int) -> DataFrame:
-    """Runs of chunks that follow each other and that one smaller id holds too, of least_words words at least."""
+#: What tells runs apart: where they stand, and by how much the first document's copy is off.
+_RUN = ("doc_id", "part", "first", "step")
+
+
+def _place(part: Column, byte: Column) -> Column:
+    """A byte of one of an id's texts as one number."""
+    return part.cast("long") * (1 << 32) + byte
+
+
+def chunk_runs(texts: DataFrame, n_words: int) -> DataFrame:
+    """Runs of chunks that follow each other and that one smaller id holds too, of n_words words at least."""
     table = materialise(chunk_table(texts))
     told = _in_step(table.withColumns({"first_chunk": F.col("nth"), "last_chunk": F.col("nth")}), "nth")
     forget(table)
-    return told.filter(F.col("end_word") - F.col("start_word") >= least_words)
+    return told.filter(F.col("end_word") - F.col("start_word") >= n_words)
 
 
-def word_runs(texts: DataFrame, n_words: int) -> DataFrame:
+def word_runs(texts: DataFrame, n_words: int, known: DataFrame | None = None) -> DataFrame:
     """Runs of windows of n_words words, one word after the other, that one smaller id holds too: every repetition of so many words.
 
-    Windows are compared by digest, but only where they can repeat: each is owned by the gram of least gear hash in it, and
-    those whose gram no other document holds are left out before windows are dealt. Copies of a whole text are told by its
-    digest, and only the copy with the smallest id is cut.
+    Windows are compared by digest, but only where they can repeat and what lies within a known run is left out: the smallest
+    id that holds a window always deals it. Each is owned by the gram of least gear hash in it, and those whose gram no other
+    document holds are left out too. Copies of a whole text are told by its digest, and only the copy with the smallest id
+    is cut.
     """
     ints = ", ".join(f"{c} int" for c in _SPAN)
     table = materialise(texts.select("doc_id", "body", "text").mapInArrow(_grams(n_words), f"doc_id long, body binary, {ints}, grams array<long>"))
     bodies = table.filter(F.col("end_word") >= n_words)
     copies = materialise(bodies.drop("grams").join(_firsts(bodies, "body"), "body").filter("doc_id > first").distinct())
-    grams = bodies.join(copies, ["doc_id", "body"], "left_anti").select("doc_id", "body", F.explode("grams").alias("gram"))
-    hits = materialise(grams.join(_firsts(grams, "gram"), "gram").groupBy("doc_id", "body").agg(F.collect_set("gram").alias("hits")))
+    grams = bodies.join(copies, ["doc_id", "body"], "left_anti").select("doc_id", F.hash("body").alias("part"), F.explode("grams").alias("gram"))
+    hits = grams.join(_firsts(grams, "gram"), "gram").groupBy("doc_id", "part").agg(F.collect_set("gram").alias("hits"))
+    if known is not None:
+        hits = hits.join(known.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("known")), ["doc_id", "part"], "left")
+    hits = materialise(hits if known is not None else hits.withColumn("known", F.lit(None).cast("array<struct<start_byte:int,end_byte:int>>")))
     forget(table)
-    found = texts.join(hits, ["doc_id", "body"]).select("doc_id", "body", "text", "hits")
-    dealt = materialise(found.mapInArrow(_windows_of(n_words), f"doc_id long, body binary, {_DIGEST_SQL}, {ints}"))
-    told = _in_step(dealt.withColumn("part", F.hash("body")).drop("body"), "start_word")
+    found = texts.join(hits, ["doc_id", "part"]).select("doc_id", "part", "text", "hits", "known")
+    dealt = materialise(found.mapInArrow(_windows_of(n_words), f"doc_id long, part int, {_DIGEST_SQL}, {ints}"))
+    told = _in_step(dealt, "start_word")
     forget(dealt, hits)
-    return told.unionByName(copies.select("doc_id", F.hash("body").alias("part"), F.col("first").alias("first_doc_id"), *_SPAN))
+    return told.unionByName(copies.withColumn("part", F.hash("body")).withColumn("step", _place(F.col("part"), F.lit(0))).select(*_RUN, *_SPAN))
 
 
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """Passages of documents (doc_id, text) that documents with a smaller id hold too: what substring deduplication removes.
+def repeated_passages(docs: DataFrame, n_words: int = PASSAGE_WORDS) -> DataFrame:
+    """Passages of n_words words or more of documents (doc_id, text) that a document with a smaller id holds too: what substring deduplication removes.
 
     Texts are cut into chunks by content, so that an insertion shifts no chunk but its own. A chunk is a duplicate in all
     documents but that with the smallest id, which keeps it. Runs of duplicate chunks that follow each other, in the document
-    and in the one that keeps them, are passages, if they have at least least_words words, so common words and short lines
-    are left alone. Chunks at a passage's ends also hold foreign text and can hide all of it; so every repetition of
-    passage_words words or more is also found by windows of words, to its first and last word. A passage that lies within
-    another one is not told again. First ids are aggregated by digest before they are joined back, and the joins' hot digests
-    are split by adaptive execution.
+    and in the one that keeps them, are passages. Chunks at a passage's ends also hold foreign text, and can hide all of a
+    short one; so outside of those runs and at their ends windows of n_words words are compared as well, which tells every
+    repetition of so many words to its first and last one. Runs in step with one document that meet are one passage; a passage
+    that lies within another one is not told again. First ids are aggregated by digest before they are joined back, and the
+    joins' hot digests are split by adaptive execution.
 
     Null and empty texts have no chunks; rows that repeat an id are one document, and repetitions within it are no duplicates;
     a null id takes no part; an empty table gives an empty result; other columns play no part.
@@ -262,9 +281,14 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, passage_w
     What is repeated partly from one document and partly from another is told as two passages, which may overlap.
     """
     texts = _texts(docs)
-    told = chunk_runs(texts, least_words).unionByName(word_runs(texts, passage_words)).distinct()
-    order = Window.partitionBy("doc_id", "part").orderBy("start_byte", F.desc("end_byte"), "first_doc_id", "start_word", F.desc("end_word"))
+    chunked = chunk_runs(texts, n_words)
+    told = chunked.unionByName(word_runs(texts, n_words, chunked))
+    order = Window.partitionBy(*_RUN).orderBy("start_byte", "end_byte")
+    apart = F.col("start_byte") > F.coalesce(F.max("end_byte").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    merged = told.withColumn("apart", apart.cast("int")).withColumn("passage", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = merged.groupBy(*_RUN, "passage").agg(*_span())
+    order = Window.partitionBy("doc_id", "part").orderBy("start_byte", F.desc("end_byte"), "first", "step")
     upto = F.max("end_byte").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    outer = told.withColumn("upto", upto).filter(F.col("upto").isNull() | (F.col("upto") < F.col("end_byte")))
-    n_words, n_chunks = F.col("end_word") - F.col("start_word"), F.col("last_chunk") - F.col("first_chunk") + 1
-    return outer.select("doc_id", "first_doc_id", "start_byte", "end_byte", n_words.cast("long").alias("n_words"), n_chunks.cast("long").alias("n_chunks"))
+    outer = merged.withColumn("upto", upto).filter(F.col("upto").isNull() | (F.col("upto") < F.col("end_byte")))
+    words, chunks = F.col("end_word") - F.col("start_word"), F.col("last_chunk") - F.col("first_chunk") + 1
+    return outer.select("doc_id", F.col("first").alias("first_doc_id"), "start_byte", "end_byte", words.cast("long").alias("n_words"), chunks.cast("long").alias("n_chunks"))
