@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import checkpoint
+from loomtext.llm.common import forget, materialise
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -16,20 +16,22 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int =
     """(node, component) for every node of an edge list of ids: component is the smallest id that can be reached.
 
     Large-star hangs each node's larger neighbours on its smallest one, small-star its smaller neighbours; both aggregate
-    a minimum before they join, so that a hub's neighbours never meet in one task. Each round is checkpointed. Edges with a
-    null end and loops say nothing; nodes without an edge are not in the result.
+    a minimum first. The minima and the edges are written before they are joined: the join then deals its sides anew, and
+    adaptive execution splits a hub's neighbours over tasks, which it cannot do while the aggregate's partitioning is kept.
+    Edges with a null end and loops say nothing; nodes without an edge are not in the result.
     """
     e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col("u") != F.col("v"))).distinct()
-    e = checkpoint(e)
+    e = materialise(e)
     mark = _mark(e)
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(low, "u")
-        small = tied.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = checkpoint(small)
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = materialise(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
+        tied = large.join(least, "u")
+        small = tied.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        old, e = e, materialise(small)
+        forget(old, low, large, least)
         was, mark = mark, _mark(e)
         if mark == was:
             break

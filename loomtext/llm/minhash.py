@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import binary, lean, materialise, runs, small, words
+from loomtext.llm.common import binary, forget, lean, materialise, runs, small, words
 from loomtext.llm.components import components
 
 #: Words in a shingle; bands and rows: a pair of similarity 0.85 shares no band with probability 8e-8, one of 0.8 with 2e-5.
@@ -111,10 +111,13 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
 
 def _block_links(percent: int):
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of a block's links between different components."""
-        pdf = pdf.drop_duplicates("node")
-        nodes, n = pdf["node"].to_numpy(), pdf["n"].to_numpy()
-        shared = _shared([np.asarray(x) for x in pdf["grams"]])
+        """A spanning forest of a block's links between different components. A node may have several sets."""
+        sets = [np.asarray(x) for x in pdf["grams"]]
+        fresh = dict.fromkeys(zip(pdf["node"], (x.tobytes() for x in sets)))
+        pdf = pdf.drop_duplicates("node").set_index("node").loc[[node for node, _ in fresh]].reset_index()
+        sets = [np.frombuffer(x, np.int64) for _, x in fresh]
+        nodes, n = pdf["node"].to_numpy(), np.array([len(x) for x in sets])
+        shared = _shared(sets)
         linked = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
         root = {c: c for c in pdf["comp"]}
         comp, out = pdf["comp"].tolist(), []
@@ -144,7 +147,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     of links joins it anyway, and no step emits all pairs of a group.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased. A null or empty text has no shingles and no
-    links. Rows that repeat an id form one node; a null id is linked with nothing; an empty table gives an empty result;
+    links. Rows that repeat an id form one node, linked by each of its texts; a null id is linked with nothing; an empty table gives an empty result;
     other columns play no part. Returns doc_id, n_shingles, component_id (smallest doc_id that can be reached), kept.
     """
     texts = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -152,11 +155,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = materialise(sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("size")))
     first = sketch.join(classes, ["d1", "d2"]).filter("doc_id = node")
     entries = materialise(first.select("node", "n", F.explode("bands").alias("key")).distinct())
-    sizes = entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    # What is joined to a key is written first, so that adaptive execution can split the rows of a hot one.
+    sizes = materialise(entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
     met = materialise(entries.join(sizes, "key"))
+    forget(entries, sizes)
     wide = met.groupBy("node").agg(F.sum("c").alias("wide"))
     met = materialise(met.join(wide, "node"))
     leaders = met.groupBy("key").agg(F.max(F.struct("wide", (-F.col("node")).alias("minus"), "n")).alias("l")).select("key", (-F.col("l.minus")).alias("leader"), F.col("l.n").alias("leader_n"))
+    leaders = materialise(leaders)
     met = materialise(met.join(leaders, "key").select("key", "node", "n", "leader", "leader_n"))
     fits = f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)"
     pairs = met.filter(f"node <> leader AND {fits}").select("leader", "node").distinct()
@@ -175,7 +181,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     blocks = F.ceil(F.col("c") / F.lit(float(BLOCK))).cast("long")
     mine = F.pmod(F.xxhash64("node"), F.col("g"))
     todo = rest.join(buckets.select("key", blocks.alias("g")), "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    todo = todo.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "node", "n", "comp").join(sets, "node")
+    todo = todo.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "node", "comp").distinct().join(sets, "node")
     more = materialise(todo.groupBy("block").applyInPandas(_block_links(percent), "u long, v long"))
     label = components(links.unionByName(more))
 
@@ -185,6 +191,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs, columns unchanged, of one document of each group: that with the smallest doc_id."""
+    """One row, columns unchanged, for each group of documents: that with the smallest doc_id.
+
+    Of the rows that repeat a kept id the first by text, then by all columns, stays; no others are shuffled for it. A row
+    with a null id is linked with nothing and stays.
+    """
     gone = materialise(near_duplicates(docs, percent).filter("NOT kept").select("doc_id").distinct())
-    return docs.join(small(gone, MOST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(small(gone, MOST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    again = materialise(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__loom_n")).filter("__loom_n > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    once = left.join(small(again, MOST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    order = Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*docs.columns)))
+    first = left.join(small(again, MOST_IDS), "doc_id", "left_semi").withColumn("__loom_nth", F.row_number().over(order)).filter("__loom_nth = 1")
+    return once.unionByName(first.select(*docs.columns))
