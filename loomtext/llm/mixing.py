@@ -33,72 +33,113 @@ def _targets(totals: DataFrame, weights: tuple[float, ...], share: float, most_c
     return t.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.least(F.col("cap"), level * F.col("weight")))).select("source", "source_size", "n_docs", "target")
 
 
-def _rank(size: Column, mean: Column, doc_id: Column, seed: int) -> Column:
-    """The random odds over the document's own odds, mapped from (0, inf) to (0, 1); the source's common odds do not change the order."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), doc_id, size), F.lit(2**52)) + 0.5) / float(2**52)
-    own = F.sqrt((size + 1) / (mean + 1))
-    q = u / (1 - u) / own
-    return q / (1 + q)
+def _weight(size: Column) -> Column:
+    """What a document's wish to be included grows with: about the square root of its size, equal for sizes of an eighth of a doubling."""
+    return F.pow(F.lit(2.0), F.floor(F.log2(size + 1) * 8) / 16)
 
 
-def _plan(sized: DataFrame, weights, share, most_copies, seed) -> tuple[DataFrame, DataFrame]:
-    """The sized rows with their rank, and a row for each source: whole copies of all, and the rank and id up to which one more is taken."""
+def _scales(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """source and scale: inclusion probabilities are least(1, scale * weight), and the words expected of them are what is left to take.
+
+    Documents whose probability would pass 1 are certain; the largest weights are reached first, so running sums over the few
+    weights of a source tell which, and the others share what is left.
+    """
+    by_weight = sized.groupBy("source", _weight(F.col("size")).alias("weight")).agg(F.sum("size").alias("words"))
+    w = by_weight.alias("w").join(small(plan, MOST_SOURCES).alias("p"), F.expr("w.source <=> p.source")).select("w.*", "p.rest")
+    down = Window.partitionBy("source").orderBy(F.desc("weight"))  # some hundreds of rows at most
+    before, on = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    w = w.withColumn("left", F.col("rest") - F.coalesce(F.sum("words").over(before), F.lit(0))).withColumn("heavy", F.sum(F.col("words") * F.col("weight")).over(on))
+    certain = F.col("left") * F.col("weight") >= F.col("heavy")
+    sums = w.groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(certain, F.col("words"))), F.lit(0))).alias("left"), F.sum(F.when(~certain, F.col("words") * F.col("weight"))).alias("heavy"))
+    return sums.select("source", F.coalesce(F.greatest(F.col("left"), F.lit(0.0)) / F.nullif("heavy", F.lit(0.0)), F.lit(0.0)).alias("scale"))
+
+
+def _inclusion(size: Column, scale: Column) -> Column:
+    return F.least(F.lit(1.0), scale * _weight(size))
+
+
+def _rank(size: Column, scale: Column, doc_id: Column, mark: Column, seed: int) -> Column:
+    """Random odds over inclusion odds, mapped from (0, inf) to (0, 1); certain documents come before all others, at -1."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), doc_id, size, mark), F.lit(2**52)) + 0.5) / float(2**52)
+    p = _inclusion(size, scale)
+    return F.when(p >= 1, -1.0).otherwise(u * (1 - p) / (u * (1 - p) + (1 - u) * p))
+
+
+def _plan(sized: DataFrame, weights, share, most_copies, seed) -> DataFrame:
+    """A row for each source: whole copies of all, and the rank, id and row up to which one more is taken."""
     totals = checkpoint(_targets(checkpoint(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))), weights, share, most_copies))
-    mean = F.col("source_size") / F.col("n_docs")
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    plan = totals.withColumn("mean", mean).withColumn("whole", times).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = totals.withColumn("whole", times).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    scales = _scales(sized, plan).alias("s")
+    plan = checkpoint(plan.alias("p").join(scales, F.expr("p.source <=> s.source")).select("p.*", "s.scale"))
     joined = small(plan, MOST_SOURCES).alias("p")
-    ranked = sized.alias("d").join(joined, F.expr("d.source <=> p.source")).select("d.*", "p.rest", _rank(F.col("d.size"), F.col("p.mean"), F.col("d.doc_id"), seed).alias("rank"))
-    ranked = ranked.withColumn("bin", F.floor(F.col("rank") * BINS).cast("int"))
+    rank = _rank(F.col("d.size"), F.col("p.scale"), F.col("d.doc_id"), F.col("d.mark"), seed)
+    ranked = sized.alias("d").join(joined, F.expr("d.source <=> p.source")).select("d.*", "p.rest", rank.alias("rank"))
+    ranked = ranked.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.greatest(F.col("rank"), F.lit(-1 / BINS)) * BINS)).cast("int"))
     bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"), F.first("rest").alias("rest"))
     upto = F.sum("in_bin").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cut = bins.withColumn("upto", upto).filter((F.col("upto") - F.col("in_bin") < F.col("rest")) & (F.col("upto") >= F.col("rest")))
     cut = checkpoint(cut.select("source", "bin", (F.col("upto") - F.col("in_bin")).alias("before"), F.col("rest").alias("goal")))
-    edge = ranked.alias("r").join(small(cut, MOST_SOURCES).alias("c"), F.expr("r.source <=> c.source AND r.bin = c.bin")).select("r.source", "r.rank", F.coalesce("r.doc_id", F.lit(_LEAST)).alias("id"), "r.size", "c.before", "c.goal", "c.bin")
-    run = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edge = ranked.alias("r").join(small(cut, MOST_SOURCES).alias("c"), F.expr("r.source <=> c.source AND r.bin = c.bin")).select("r.source", _key(F.col("r.rank"), F.col("r.doc_id"), F.col("r.row")).alias("key"), "r.size", "c.before", "c.goal", "c.bin")
+    run = F.sum("size").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     last = (
         edge.withColumn("run", run)
         .filter(F.col("before") + F.col("run") - F.col("size") / 2 <= F.col("goal"))  # a document enters if that brings the sum nearer
         .groupBy("source")
-        .agg(F.max(F.struct("rank", "id")).alias("last"))
+        .agg(F.max("key").alias("last"))
     )
     ends = cut.alias("c").join(last.alias("l"), F.expr("c.source <=> l.source"), "left").select("c.source", "c.bin", "l.last")
-    whole_bins = F.struct((F.col("e.bin") / BINS).alias("rank"), F.lit(_LEAST).alias("id"))  # none of the cut bin enters
+    whole_bins = _key(F.col("e.bin") / BINS, F.lit(None).cast("long"), F.lit(_LEAST))  # none of the cut bin enters
     out = plan.alias("p").join(small(ends, MOST_SOURCES).alias("e"), F.expr("p.source <=> e.source"), "left")
-    out = out.select("p.source", "p.source_size", "p.target", "p.mean", "p.whole", F.coalesce("e.last", F.when(F.col("e.bin").isNotNull(), whole_bins)).alias("last"), (F.col("p.rest") > 0).alias("more"))
-    return ranked, checkpoint(out)
+    out = out.select("p.source", "p.source_size", "p.target", "p.scale", "p.whole", F.coalesce("e.last", F.when(F.col("e.bin").isNotNull(), whole_bins)).alias("last"), (F.col("p.rest") > 0).alias("more"))
+    return checkpoint(out)
+
 
+def _key(rank: Column, doc_id: Column, row: Column) -> Column:
+    return F.struct(rank.cast("double").alias("rank"), F.coalesce(doc_id, F.lit(_LEAST)).alias("id"), row.cast("long").alias("row"))
 
-def _copies(last: Column, more: Column, whole: Column, rank: Column, doc_id: Column) -> Column:
-    key = F.struct(rank.alias("rank"), F.coalesce(doc_id, F.lit(_LEAST)).alias("id"))
+
+def _copies(last: Column, more: Column, whole: Column, key: Column) -> Column:
     return (whole + F.when(more & last.isNotNull() & (key <= last), 1).otherwise(0)).cast("int")
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, mark (a hash of the text) and row, a number of each row's own in the scan of the table."""
+    rows = docs.withColumn("__loom_row", F.monotonically_increasing_id())
+    return materialise(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"), F.col("__loom_row").alias("row")))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most_copies: float = 2.0, seed: int = 7) -> DataFrame:
     """How many words of each document a mix of the sources to target weights takes.
 
     Sources, by code point with null last, weigh weights in turn and share `share` times all words; a source's target stops
     at most_copies times its words and the excess goes to the others by weight. A source whose target is r times its words
-    takes floor(r) whole copies of each document; the rest is a Pareto order sample: documents are ranked by random odds over
-    inclusion odds (here growing with the square root of the length) and enter until their words come nearest to what is left.
+    takes floor(r) whole copies of each document; the rest is a Pareto order sample of unequal inclusion probabilities: these
+    grow with about the square root of the length, documents that would pass 1 are certain, and the words expected of them
+    are the rest. Documents are ranked by random odds over inclusion odds and enter until their words come nearest to the rest.
     Only the few rows of one rank bin in each source are ever sorted, so a source with a third of all rows is no burden.
 
     A null text or one without words has size 0 and takes 0 words; a null source is a source; rows that repeat an id rank
-    alike; an empty table gives an empty result; other columns play no part. Equal input and seed give equal results.
-    Returns doc_id, size, source_size, target, taken, copies, source.
+    each for itself, equal rows by their place in the table, of which it doesn't matter which enters; an empty table gives an
+    empty result; other columns play no part. Equal input and seed give equal results.
+    Returns doc_id, size, source_size, target, taken, copies, source, inclusion (the probability that one more copy is taken).
     """
-    sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")))
-    _, plan = _plan(sized, weights, share, most_copies, seed)
+    sized = _sized(docs)
+    plan = _plan(sized, weights, share, most_copies, seed)
     d = sized.alias("d").join(small(plan, MOST_SOURCES).alias("p"), F.expr("d.source <=> p.source"))
-    d = d.withColumn("copies", _copies(F.col("p.last"), F.col("p.more"), F.col("p.whole"), _rank(F.col("d.size"), F.col("p.mean"), F.col("d.doc_id"), seed), F.col("d.doc_id")))
-    return d.select("d.doc_id", "d.size", F.col("p.source_size").cast("long").alias("source_size"), F.col("p.target").cast("double").alias("target"), (F.col("d.size") * F.col("copies")).cast("long").alias("taken"), "copies", "d.source")
+    rank = _rank(F.col("d.size"), F.col("p.scale"), F.col("d.doc_id"), F.col("d.mark"), seed)
+    d = d.withColumn("copies", _copies(F.col("p.last"), F.col("p.more"), F.col("p.whole"), _key(rank, F.col("d.doc_id"), F.col("d.row"))))
+    return d.select("d.doc_id", "d.size", F.col("p.source_size").cast("long").alias("source_size"), F.col("p.target").cast("double").alias("target"), (F.col("d.size") * F.col("copies")).cast("long").alias("taken"), "copies", "d.source", _inclusion(F.col("d.size"), F.col("p.scale")).alias("inclusion"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most_copies: float = 2.0, seed: int = 7) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as mix() takes it. Texts are not shuffled while the sources fit a broadcast."""
-    sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")))
-    _, plan = _plan(sized, weights, share, most_copies, seed)
-    d = docs.alias("d").join(small(plan, MOST_SOURCES).alias("p"), F.expr("d.source <=> p.source"))
-    rank = _rank(n_words(F.col("d.text")), F.col("p.mean"), F.col("d.doc_id").cast("long"), seed)
-    d = d.withColumn("__loom_copies", _copies(F.col("p.last"), F.col("p.more"), F.col("p.whole"), rank, F.col("d.doc_id").cast("long"))).filter("__loom_copies > 0")
-    return d.select("d.*", F.explode(F.sequence(F.lit(1), F.col("__loom_copies"))).alias("__loom_copy")).drop("__loom_copy")
+    """The mix itself: the rows of docs, each as often as mix() takes it. Texts are not shuffled while the sources fit a broadcast.
+
+    docs is read twice, and equal rows are told apart by their place in it: a table scan, which gives them the same places again.
+    """
+    plan = _plan(_sized(docs), weights, share, most_copies, seed)
+    d = docs.withColumn("__loom_row", F.monotonically_increasing_id()).alias("d").join(small(plan, MOST_SOURCES).alias("p"), F.expr("d.source <=> p.source"))
+    doc_id = F.col("d.doc_id").cast("long")
+    rank = _rank(n_words(F.col("d.text")), F.col("p.scale"), doc_id, F.xxhash64("d.text"), seed)
+    d = d.withColumn("__loom_copies", _copies(F.col("p.last"), F.col("p.more"), F.col("p.whole"), _key(rank, doc_id, F.col("__loom_row")))).filter("__loom_copies > 0")
+    return d.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__loom_copies"))).alias("__loom_copy")).drop("__loom_copy")

@@ -51,7 +51,7 @@ def op9_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "inclusion")
 
 
 QUERIES = {f.__name__: f for f in (op1_wrapper_texts, op2_chunk_dedup, op3_warc_transactions, op4_hmm_scores, op5_language_id, op6_mtree_topk, op7_byte_shards, op8_minhash_components, op9_qgram_decontamination, op10_pareto_mix)}
