@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import binary, lean, runs
+from loomtext.llm.common import binary, forget, lean, materialise, runs
 
 #: Bytes in a q-gram; the edits allowed, as a share of an item's length; bits of the first filter's table.
 Q, RATE, TABLE_BITS = 8, 0.08, 21
-#: Benchmark items are indexed and broadcast in blocks of about so many bytes.
+#: Benchmark items are indexed and broadcast in blocks of about so many bytes, with some 24 bytes of index for each.
 BLOCK_BYTES = 4 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -39,21 +39,31 @@ def _slot(grams: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Of a block of benchmark items: the places of each q-gram, and each item's edit budget and least count of shared q-grams."""
+    """Of a block of benchmark items: the places of each q-gram, and each item's edit budget and least count of shared q-grams.
+
+    Items of fewer than Q bytes have no q-gram and no edit: they are looked up as sequences of whole words.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]]):
+        short = [(i, t) for i, t in items if 0 < len(t) < Q]
         items = [(i, t) for i, t in items if len(t) >= Q]
+        self.n_long, self.short = len(items), {}
+        for k, (_, t) in enumerate(short):
+            self.short.setdefault(t, []).append(len(items) + k)
+        self.widths = sorted({t.count(b" ") + 1 for t in self.short})
+        grams = [_grams(t) for _, t in items]
+        items += short
         self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
         lengths = np.array([len(t) for t in self.texts], np.int64)
         self.budget = np.minimum((RATE * lengths).astype(np.int64), (lengths - Q) // Q)  # at least one q-gram survives
         self.least = lengths - Q + 1 - Q * self.budget
-        grams = [_grams(t) for t in self.texts]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        item = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.zeros(0, np.int32)
         order = np.argsort(flat, kind="stable")
         self.item, self.place = item[order], place[order]
-        self.grams, self.begin, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.grams, begin, count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.begin, self.count = begin.astype(np.int32), count.astype(np.int32)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[_slot(self.grams)] = True
 
@@ -81,10 +91,26 @@ def align(pattern: bytes, text: bytes, low: int, high: int, most: int) -> tuple[
     return int(row[best]), len(p) + first + best
 
 
+def _find_short(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
+    for d, text in enumerate(texts):
+        words, told = text.split(b" "), set()
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        for width in index.widths:
+            for k in range(len(words) - width + 1):
+                for i in index.short.get(b" ".join(words[k : k + width]), ()):
+                    if i not in told:
+                        told.add(i)
+                        end = int(ends[k + width - 1])
+                        yield d, i, 0, end - len(index.texts[i]), end
+
+
 def find(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
     """(text, item, edits, start, end) of the best match of each item in each normal text, in order."""
-    if not index.ids:
-        return []
+    out = _find_long(index, texts) if index.n_long else []
+    return sorted([*out, *_find_short(index, texts)]) if index.short else out
+
+
+def _find_long(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
     gap = bytes(Q)
     starts = np.cumsum([0] + [len(t) + Q for t in texts])
     data = gap.join(texts) + gap
@@ -93,7 +119,7 @@ def find(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, int
     which = np.minimum(np.searchsorted(index.grams, grams[hit]), len(index.grams) - 1)
     true = index.grams[which] == grams[hit]
     hit, which = hit[true], which[true]
-    counts = index.count[which]
+    counts = index.count[which].astype(np.int64)
     pos = np.repeat(hit, counts)
     entry = np.repeat(index.begin[which] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(hit) else np.zeros(0, np.int64)
     item = index.item[entry]
@@ -138,14 +164,13 @@ def _finder(shared):
     return scan
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes over blocks of the benchmark (item_id, text) of about BLOCK_BYTES each: what is collected and broadcast has a bounded size."""
+def indexes(benchmark: DataFrame) -> tuple[int, Iterator[Index]]:
+    """The number of blocks of the benchmark (item_id, text) of about BLOCK_BYTES each, and their indexes, one made at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).filter("text IS NOT NULL AND item_id IS NOT NULL")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    total = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES)
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield Index(sorted((r["item_id"], normal(bytes(r["text"]))) for r in part.collect()))
+    part = lambda k: items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+    return blocks, (Index(sorted((r["item_id"], normal(bytes(r["text"]))) for r in part(k))) for k in range(blocks))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -154,15 +179,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Texts are compared as UTF-8 with A-Z lower-cased and white space as single spaces; start and end count bytes there. By
     the q-gram lemma such a passage shares at least (length - Q + 1) - Q * budget q-grams with its item, on diagonals at
     most `budget` apart; regions with so many are verified by an alignment in the band. Of several passages that
-    match an item the one with fewest edits, then the first, is told. Whole texts are searched, without a shuffle.
-    Null and empty texts and items of fewer than Q bytes match nothing; repeated rows are told each for itself; an empty
+    match an item the one with fewest edits, then the first, is told. Whole texts are searched, without a shuffle. A
+    benchmark of several blocks is gone through block by block, each block's result written before the next index is made,
+    so that no task and no driver ever holds two.
+
+    Items of fewer than Q bytes are found where their words stand as whole words, without edits; so of a short item the
+    first place. Null and empty texts and items match nothing; repeated rows are told each for itself; an empty
     table on either side gives an empty result; other columns play no part.
     """
     spark = docs.sparkSession
     rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    blocks, made = indexes(benchmark)
     out = None
-    for index in indexes(benchmark):
-        part = rows.mapInArrow(_finder(spark.sparkContext.broadcast(index)), "doc_id long, item_id long, edits long, start long, end long")
+    for index in made:
+        shared = spark.sparkContext.broadcast(index)
+        part = rows.mapInArrow(_finder(shared), "doc_id long, item_id long, edits long, start long, end long")
+        if blocks > 1:
+            part = materialise(part)
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, edits long, start long, end long")
 
@@ -181,7 +215,16 @@ def _keeper(shared, position: int):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, columns unchanged, that hold no benchmark item."""
-    for index in indexes(benchmark):
-        docs = lean(docs).mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")), docs.schema)
+    """The rows of docs, columns unchanged, that hold no benchmark item. Between the blocks of a large benchmark what is left is written."""
+    blocks, made = indexes(benchmark)
+    written = None
+    for index in made:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = lean(docs).mapInArrow(_keeper(shared, docs.columns.index("text")), docs.schema)
+        if blocks > 1:
+            docs = materialise(docs)
+            shared.destroy()
+            if written is not None:
+                forget(written)
+            written = docs
     return docs
