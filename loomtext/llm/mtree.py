@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,14 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import binary, materialise
+from loomtext.llm.common import forget, materialise
 
-#: Objects of a subtree and of a leaf page at most; routing objects of the top level; sampled objects that give first bounds.
+#: Objects of a subtree and of a leaf page at most; routing objects below one of the level above; sampled objects that give first bounds.
 SUBTREE, PAGE, TOP, SEEDS = 4096, 256, 64, 1024
+#: Levels of routing objects above the subtrees at most, and routing objects of a level that are collected and broadcast at most.
+LEVELS, MOST_PIVOTS = 6, 65_536
 #: Queries that are searched for at once: the block that every task holds.
 QUERY_BLOCK = 2048
 #: Bits before the point of a component at most.
 WIDEST = 40
+_LOWEST = -(1 << 63)
 
 
 def integer_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
@@ -53,19 +55,31 @@ def _distances(points: np.ndarray, point: np.ndarray) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows; in doubles where those are exact."""
+    """Exact inner products of integer rows: in doubles where those are exact, in 64 bits where those suffice, else in Python's integers."""
     top = max(int(np.abs(a).max(initial=0)), 1) * max(int(np.abs(b).max(initial=0)), 1) * max(a.shape[1], 1)
-    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if top < 1 << 53 else a @ b.T
+    if top < 1 << 53:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    if top < 1 << 63:
+        return a @ b.T
+    exact = a.astype(object) @ b.astype(object).T
+    if exact.size and (exact.max() >= 1 << 63 or exact.min() <= _LOWEST):
+        raise OverflowError("an inner product does not fit a 64-bit score")
+    return exact.astype(np.int64)
 
 
-def _assigner(pivots: np.ndarray, most: float, dim: int):
-    lifted = _lift(pivots, most)
+def _assigner(pivots: dict[int, tuple[int, np.ndarray]], most: float, dim: int):
+    """Deals the rows of the cells that pivots names, each with its first new cell and its routing objects, to the nearest of these."""
+    lifted = {cell: (first, _lift(v, most)) for cell, (first, v) in pivots.items()}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _lift(_matrix(batch.column(1).to_pylist(), dim), most)
-            near = ((lifted * lifted).sum(axis=1)[None, :] - 2 * x @ lifted.T).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32())], ["id", "v", "pivot"])
+            x, cells = _lift(_matrix(batch.column(1).to_pylist(), dim), most), batch.column(2).to_numpy(zero_copy_only=False).copy()
+            for cell in np.unique(cells).tolist():
+                if cell in lifted:
+                    first, p = lifted[cell]
+                    mine = np.flatnonzero(cells == cell)
+                    cells[mine] = first + ((p * p).sum(axis=1)[None, :] - 2 * x[mine] @ p.T).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.int64())], ["id", "v", "cell"])
 
     return assign
 
@@ -109,54 +123,62 @@ def _builder(most: float, dim: int):
 class _Best:
     """A query's k best so far, by score and then smaller id; `bar` is the score that a candidate must reach."""
 
-    def __init__(self, k: int, bar: float):
+    def __init__(self, k: int, bar: int):
         self.k, self.bar, self.scores, self.ids = k, bar, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        keep = scores >= self.bar
-        if not keep.any():
-            return
-        s, i = np.concatenate([self.scores, scores[keep]]), np.concatenate([self.ids, ids[keep]])
-        order = np.lexsort((i, -s))[: self.k]
+        s, i = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
+        order = np.lexsort((i, np.invert(s)))[: self.k]  # the complement falls as the score rises, without overflow
         self.scores, self.ids = s[order], i[order]
         if len(order) == self.k:
-            self.bar = max(self.bar, float(self.scores[-1]))
+            self.bar = max(self.bar, int(self.scores[-1]))
 
 
 def _searcher(shared, most: float, dim: int, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Best-first through the pages of each subtree. With a routing object's distance to its parent p and radius r, nothing
-        below it is nearer to the query than |d(query, parent) - p| - r, which is known before d(query, object) is computed."""
+        below it is nearer to the query than |d(query, parent) - p| - r, which is known before d(query, object) is computed.
+        Each query goes to its pages in the order of that bound, until none can hold a better candidate; queries whose turn
+        comes to the same page are taken together."""
         qids, q, bars = shared.value
         lifted = np.column_stack([q.astype(np.float64), np.zeros(len(q))])
-        norms = (lifted * lifted).sum(axis=1)
-        best = [_Best(k, b) for b in bars]
-
-        def reach(n: int) -> float:  # the distance of a candidate that just reaches the bar, with room for rounding
-            return float(np.sqrt(max(0.0, norms[n] + most - 2 * best[n].bar)) * (1 + 1e-9) + 1e-6) if best[n].bar > -np.inf else np.inf
+        far = (lifted * lifted).sum(axis=1) + most
+        best, bar, reach = [_Best(k, int(b)) for b in bars], bars.copy(), np.empty(len(qids))
+
+        def extend(at: np.ndarray) -> None:  # the distance of a candidate that just reaches the bar, with room for rounding
+            near = np.sqrt(np.maximum(0.0, far[at] - 2 * bar[at].astype(np.float64)))
+            reach[at] = np.where(bar[at] == _LOWEST, np.inf, near * (1 + 1e-9) + 1e-7 * np.sqrt(far[at]) + 1e-6)
+
+        extend(np.arange(len(qids)))
+
+        def page(p: tuple, some: np.ndarray) -> None:
+            _, _, at, cover, _, ids, vectors, to_page = p
+            d = _distances(lifted[some], at)
+            some, d = some[d - cover <= reach[some]], d[d - cover <= reach[some]]
+            near = np.abs(d[:, None] - to_page[None, :]) <= reach[some][:, None]
+            columns = np.flatnonzero(near.any(axis=0))
+            if not len(columns):
+                return
+            scores, ids = _products(q[some], vectors[columns]), ids[columns]
+            good = near[:, columns] & (scores >= bar[some][:, None]) & (ids[None, :] != qids[some][:, None])
+            for row in np.flatnonzero(good.any(axis=1)).tolist():
+                n = some[row]
+                best[n].add(scores[row, good[row]], ids[good[row]])
+                bar[n] = best[n].bar
+            extend(some)
 
         def subtree(pages: list[tuple]) -> None:
             from_root = _distances(lifted, pages[0][0])
-            covers = np.array([p[3] for p in pages])
-            parents = np.array([p[4] for p in pages])
-            for n in range(len(qids)):
-                if from_root[n] - pages[0][1] > reach(n):
-                    continue
-                bounds = np.maximum(0.0, np.abs(from_root[n] - parents) - covers)
-                queue = [(b, 0, j, 0.0) for j, b in enumerate(bounds.tolist()) if b <= reach(n)]
-                heapq.heapify(queue)
-                while queue:
-                    bound, known, j, d = heapq.heappop(queue)
-                    if bound > reach(n):
-                        break
-                    _, _, at, cover, _, ids, vectors, to_page = pages[j]
-                    if not known:  # only now is the distance to the page's routing object needed
-                        d = float(np.sqrt(((lifted[n] - at) ** 2).sum()))
-                        heapq.heappush(queue, (max(bound, d - cover), 1, j, d))
-                        continue
-                    near = np.flatnonzero((np.abs(d - to_page) <= reach(n)) & (ids != qids[n]))
-                    if len(near):
-                        best[n].add(_products(q[n : n + 1], vectors[near])[0], ids[near])
+            some = np.flatnonzero(from_root - pages[0][1] <= reach)
+            covers, parents = np.array([p[3] for p in pages]), np.array([p[4] for p in pages])
+            bounds = np.maximum(0.0, np.abs(from_root[some, None] - parents[None, :]) - covers[None, :])
+            order = np.argsort(bounds, axis=1, kind="stable")
+            for turn in range(len(pages)):
+                at = order[:, turn]
+                live = bounds[np.arange(len(some)), at] <= reach[some]
+                some, bounds, order, at = some[live], bounds[live], order[live], at[live]
+                for j in np.unique(at).tolist():
+                    page(pages[j], some[at == j])
 
         pages, tree = [], None
         for batch in batches:
@@ -175,19 +197,51 @@ def _searcher(shared, most: float, dim: int, k: int):
     return search
 
 
+def _cells(vectors: DataFrame, n: int, most: float, dim: int) -> tuple[DataFrame, dict[int, int]]:
+    """Rows with the cell of their nearest routing object, and the sizes of cells that are still larger than a subtree.
+
+    A crowded cell gets routing objects of its own, sampled from its members, level by level, so that every cell is a ball of
+    near objects. A cell that they don't part (equal vectors) is left, and so are all once a level would need more than
+    MOST_PIVOTS routing objects.
+    """
+    placed = materialise(vectors.withColumn("cell", F.lit(0).cast("long")))
+    crowded, first = {0: n} if n > SUBTREE else {}, 1
+    for level in range(LEVELS):
+        wanted = {c: min(TOP, -(-size // (SUBTREE // 2))) for c, size in crowded.items()}
+        if not wanted or sum(wanted.values()) > MOST_PIVOTS:
+            break
+        shares = placed.sparkSession.createDataFrame([(c, wanted[c] / crowded[c]) for c in wanted], "cell long, share double")
+        u = F.pmod(F.xxhash64(F.lit(level), "id", F.to_json("v")), F.lit(1 << 30)) / float(1 << 30)
+        rows = placed.join(F.broadcast(shares), "cell").filter(u < F.col("share")).select("cell", "v").distinct().collect()
+        pivots: dict[int, tuple[int, np.ndarray]] = {}
+        for c in sorted({r["cell"] for r in rows}):
+            mine = sorted(r["v"] for r in rows if r["cell"] == c)
+            pivots[c] = (first, _matrix(mine, dim))
+            first += len(mine)
+        old, placed = placed, materialise(placed.mapInArrow(_assigner(pivots, most, dim), "id long, v array<long>, cell long"))
+        forget(old)
+        sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > SUBTREE).collect()}
+        parted = {c: range(f, f + len(v)) for c, (f, v) in pivots.items() if len(v) > 1}
+        flat = {c for c, size in sizes.items() if not any(c in r for r in parted.values()) or any(c in r and size == crowded[p] for p, r in parted.items())}
+        crowded = {c: size for c, size in sizes.items() if c not in flat}
+        if not crowded:
+            break
+    return placed, {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > SUBTREE).collect()}
+
+
 def build(vectors: DataFrame) -> tuple[DataFrame, float, int, np.ndarray]:
     """The pages of an M-tree over id, v: written as a table; with it the largest squared norm, the dimension, and a sample of rows."""
-    n, most, dim = vectors.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e.cast("double"))), F.max(F.size("v"))).first()
+    n, most, dim = vectors.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))), F.max(F.size("v"))).first()
     most, dim = float(most or 0), max(int(dim or 0), 1)
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)  # SEEDS rows in expectation, whatever the number of tasks
     sample = sorted(vectors.filter(u < SEEDS / max(1, n)).collect(), key=lambda r: (r["id"], r["v"]))
     ids, seeds = np.array([r["id"] for r in sample], np.int64), _matrix([r["v"] for r in sample], dim)
-    top = seeds[: max(1, min(TOP, -(-n // (SUBTREE // 2))))] if len(seeds) else np.zeros((1, dim), np.int64)
-    placed = materialise(vectors.mapInArrow(_assigner(top, most, dim), "id long, v array<long>, pivot int")) if n else vectors.withColumn("pivot", F.lit(0))
-    sizes = {r["pivot"]: r["n"] for r in placed.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # TOP rows
-    parts = F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(k, 0) // SUBTREE))) for k in range(len(top))] or [F.lit(1)]), F.col("pivot") + 1)
-    tree = F.col("pivot") + F.lit(TOP) * F.pmod(F.xxhash64("id", F.lit(1)), parts.cast("long"))  # a crowded routing object gets several subtrees
-    pages = placed.select("id", "v", tree.cast("long").alias("tree")).groupBy("tree").applyInPandas(_builder(most, dim), _PAGE_SQL)
+    placed, crowded = _cells(vectors, n, most, dim)
+    # What distance does not part is dealt by a hash: equal vectors, mostly.
+    extra = vectors.sparkSession.createDataFrame([(c, -(-size // SUBTREE)) for c, size in crowded.items()], "cell long, parts long")
+    dealt = placed.join(F.broadcast(extra), "cell", "left") if crowded else placed.withColumn("parts", F.lit(1).cast("long"))
+    tree = F.xxhash64("cell", F.pmod(F.xxhash64("id", F.lit(1)), F.coalesce("parts", F.lit(1).cast("long"))))
+    pages = dealt.select("id", "v", tree.alias("tree")).groupBy("tree").applyInPandas(_builder(most, dim), _PAGE_SQL)
     return materialise(pages), most, dim, (ids, seeds)
 
 
@@ -196,7 +250,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Queries, of any number, are taken in blocks of QUERY_BLOCK; a block is broadcast and every task searches the subtrees it
     holds, beginning with the bound that a sample of SEEDS vectors gives; the tasks' k best are merged by query. Scores are
-    exact integers; ties go to the smaller id. Rows that repeat an id: all are candidates, the first by value is the query.
+    exact integers, and one that does not fit 64 bits is an error; ties go to the smaller id. Rows that repeat an id: all are candidates, the first by value is the query.
     Shorter vectors count as filled up with zeros. Returns query_id, rank, vec_id, score.
     """
     spark = vectors.sparkSession
@@ -209,8 +263,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         ids, q = np.array([r["id"] for r in rows], np.int64), _matrix([r["v"] for r in rows], dim)
         if not len(ids):
             continue
-        first = np.where(ids[:, None] == seed_ids[None, :], -np.inf, _products(q, seeds).astype(np.float64))
-        bars = np.sort(first, axis=1)[:, -k] if first.shape[1] >= k else np.full(len(ids), -np.inf)
+        first = np.where(ids[:, None] == seed_ids[None, :], _LOWEST, _products(q, seeds))
+        bars = np.sort(first, axis=1)[:, -k] if first.shape[1] >= k else np.full(len(ids), _LOWEST, np.int64)
         found = pages.mapInArrow(_searcher(spark.sparkContext.broadcast((ids, q, bars)), most, dim, k), "query_id long, vec_id long, score long")
         out = out.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -94,10 +94,27 @@ def test_top_k_equals_brute_force(spark, monkeypatch, page_size):
     ints = [(i, np.floor(1024 * y).astype(np.int64)) for i, y in enumerate(x)]
     got = sorted(tuple(r) for r in mtree.search(v, v.filter("id % 20 = 0"), 10).collect())
     assert got == sorted(brute(ints, [q for q in ints if q[0] % 20 == 0]))
+    twice = v.unionByName(v.filter("id IN (3, 40)")).unionByName(spark.createDataFrame([(40, [9, -9, 0, 5000, 1]), (601, [7000, 1]), (602, [])], "id long, v array<long>"))
+    wide = [(i, np.array([*r, 0, 0, 0, 0, 0][:5], np.int64)) for i, r in twice.collect()]
+    first = {i: r for i, r in sorted(((i, r) for i, r in wide), key=lambda x: (x[0], x[1].tolist()), reverse=True)}
+    got = sorted(tuple(r) for r in mtree.search(twice, twice.filter("id % 20 = 0"), 10).collect())
+    assert got == sorted(brute(wide, [(i, r) for i, r in first.items() if i % 20 == 0]))  # repeated ids, and vectors of different lengths
     few = v.filter("id < 4")
     assert mtree.search(few, few, 10).count() == 12 and mtree.search(v.limit(0), v.limit(0), 10).count() == 0
 
 
+def test_wide_products_are_exact(spark):
+    rng = np.random.default_rng(2)
+    for wide in (2**30, 2**31 + 12345):  # products of up to 62 bits; those of the second can't be told to fit beforehand
+        rows = [(i, [int(rng.integers(-wide, wide)), *(int(x) for x in rng.integers(-9, 9, 5))]) for i in range(300)]
+        v = spark.createDataFrame(rows, "id long, v array<long>")
+        want = sorted((q, r, i, -s) for q, x in rows[::30] for r, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q)[:10], 1))
+        assert sorted(tuple(r) for r in mtree.search(v, v.filter("id % 30 = 0"), 10).collect()) == want
+    with pytest.raises(Exception, match="64-bit"):
+        huge = spark.createDataFrame([(1, [2**40] * 3), (2, [2**40] * 3)], "id long, v array<long>")
+        mtree.search(huge, huge, 1).collect()
+
+
 def test_wide_vectors_are_not_dropped_in_silence(spark):
     near = 2.0**40 - 1
     df = spark.createDataFrame([(1, [near, -near]), (2, [float("inf"), 0.0]), (3, [float("nan"), 0.0]), (4, None)], "vec_id long, embedding array<double>")

@@ -59,7 +59,12 @@ def brute_language(rows):
 
 def brute_dedup(rows):
     known = brute_components([r[:2] for r in rows if r[0] is not None], 80)
-    return [r for r in rows if r[0] is None or known[r[0]][1] == r[0]]
+    kept, seen = [], set()
+    for r in sorted(rows, key=lambda r: (r[1], str(r[2:]))):  # one row of an id
+        if r[0] is None or known[r[0]][1] == r[0] and r[0] not in seen:
+            seen.add(r[0])
+            kept.append(r)
+    return kept
 
 
 def brute_decontamination(rows):
@@ -69,22 +74,35 @@ def brute_decontamination(rows):
 
 
 def brute_mixing(rows):
-    def rank(d, size, mean):
+    def weight(size):
+        return 2 ** (math.floor(math.log2(size + 1) * 8) / 16)
+
+    def scale(sizes, rest):
+        """By bisection, not by running sums."""
+        low, high = 0.0, 1e9
+        for _ in range(200):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(k * min(1, c * weight(k)) for k in sizes) < rest else (low, c)
+        return low
+
+    def rank(d, size, text, c):
         h = xxhash.xxh64_intdigest(struct.pack("<i", 7), 42)
         for x in (d, size):
             h = h if x is None else xxhash.xxh64_intdigest(struct.pack("<q", x), h)
-        u = (h % 2**52 + 0.5) / 2**52
-        q = u / (1 - u) / math.sqrt((size + 1) / (mean + 1))
-        return q / (1 + q)
+        mark = struct.pack("<Q", xxhash.xxh64_intdigest(text.encode(), 42))
+        u = (xxhash.xxh64_intdigest(mark, h) % 2**52 + 0.5) / 2**52
+        p = min(1, c * weight(size))
+        return -1 if p > 1 - 1e-9 else u * (1 - p) / (u * (1 - p) + (1 - u) * p)
 
     size = [len(tokens(r[1])) for r in rows]
-    total, n = Counter(), Counter(r[3] for r in rows)
+    total = Counter()
     for r, k in zip(rows, size):
         total[r[3]] += k
     out = []
     for s, target in brute_targets(total).items():
-        mine = sorted(((rank(r[0], k, total[s] / n[s]), -(2**63) if r[0] is None else r[0]), k, r) for r, k in zip(rows, size) if r[3] == s)
         whole = int(target // total[s])
+        c = scale([k for r, k in zip(rows, size) if r[3] == s], target - whole * total[s])
+        mine = sorted(((rank(r[0], k, r[1], c), -(2**63) if r[0] is None else r[0]), k, r) for r, k in zip(rows, size) if r[3] == s)
         run, left, taken = 0, target - whole * total[s], 0
         for i, (_, k, _) in enumerate(mine, 1):
             run += k
