@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import html as html_lib
 import json
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -16,8 +19,11 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import lean, materialise, small
 
-#: Sample pages of a host at most; folded tokens of a page that is aligned at most; tokens in one turn of a repeated group at most.
-SAMPLES, MOST_TOKENS, TURN = 8, 4000, 24
+#: Distinct sample pages of a host at most, and at least for it to have constants; of them so many, and a quarter, must agree on a text for it
+#: to be the host's; tokens in one turn of a repeated group at most.
+SAMPLES, FEWEST, LEAST_AGREED, TURN = 16, 4, 3, 24
+#: Token streams are compared whole while the product of their lengths is at most this, longer ones between tokens that each has once.
+MOST_CELLS = 1 << 20
 #: Wrappers of up to so many hosts, and bytes, are broadcast; more are joined by host, with pages of a host spread over SALTS.
 MOST_HOSTS, MOST_BYTES, SALTS = 20_000, 16 << 20, 16
 
@@ -102,26 +108,30 @@ class _Walk:
                 return
 
 
-def blocks(toks: list[tuple[str, str, str]], region: str | None, template: frozenset[str] = frozenset()) -> list[str]:
-    """The article's blocks: texts outside of what is no article, inside the region if one is named."""
-    walk, out, parts = _Walk(region), [], []
+def blocks(toks: list[tuple[str, str, str]], region: str | None, constant: frozenset[int] | set[int] = frozenset(), most: int = 1 << 30) -> list[str]:
+    """The article's blocks: texts outside of what is no article, inside the region if one is named. A block of at most `most` text
+    tokens that are all constant (by index) is the host's and no article's, unless it is a heading."""
+    walk, out, parts, held = _Walk(region), [], [], []
 
     def flush(heading: bool = False) -> None:
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
-            if text and (heading or text not in template):
+            if text and (heading or len(held) > most or not constant.issuperset(held)):
                 out.append(text)
             parts.clear()
+        held.clear()
 
-    for kind, tag, x in toks:
+    for i, (kind, tag, x) in enumerate(toks):
         if kind == "T":
-            if not walk.stack:
-                if region is None:
-                    parts.append(x)
-            else:
+            if walk.stack:
                 _, _, outside, inside = walk.stack[-1]
-                if not outside and (inside or region is None):
-                    parts.append(x)
+                taken = not outside and (inside or region is None)
+            else:
+                taken = region is None
+            if taken:
+                parts.append(x)
+                if not x.isspace():
+                    held.append(i)
         elif tag == "br":
             if parts:
                 parts.append(" ")
@@ -136,39 +146,38 @@ def blocks(toks: list[tuple[str, str, str]], region: str | None, template: froze
     return out
 
 
-# Wrappers: lists of nodes ("tag", label), ("text", constant), ("slot", ""), ("opt", nodes), ("rep", nodes).
-
-
-def _key(node: tuple) -> object:
-    kind, x = node
-    if kind in ("text", "slot"):
-        return "#text"
-    return (kind, x) if kind == "tag" else (kind, tuple(map(_key, x)))
+class Node(NamedTuple):
+    """A node of a page's token stream or of a wrapper, a union-free regular expression.
 
+    key: "<label" a start tag, ">tag" an end tag, "#" a text, "(..)+" a repeated group; pages: how many pages have it, so that a
+    node of fewer than all is optional; texts: of a page, the index of each text; of a wrapper, how many pages have each text;
+    turn: the keys of one turn of a repeated group.
+    """
 
-def _merge(a: tuple, b: tuple) -> tuple:
-    """Two nodes of one key as one: texts that differ become a slot."""
-    if a[0] in ("opt", "rep"):
-        return a[0], [_merge(x, y) for x, y in zip(a[1], b[1])]
-    return a if a == b or a[0] == "tag" else ("slot", "")
+    key: str
+    pages: int
+    texts: dict
+    turn: tuple[str, ...] = ()
 
 
-def fold(nodes: list[tuple]) -> list[tuple]:
+def fold(nodes: list[Node]) -> list[Node]:
     """Turns that follow each other with equal keys become one repeated group, inner ones first."""
     changed = True
     while changed:
-        changed, keys = False, [_key(x) for x in nodes]
+        changed, keys = False, [x.key for x in nodes]
         for turn in range(1, min(TURN, len(nodes) // 2) + 1):
             out, i, hit = [], 0, False
             while i < len(nodes):
                 j = i + turn
-                body = None
-                if keys[i] != "#text" and j + turn <= len(nodes) and not (turn == 1 and nodes[i][0] != "tag"):
-                    while keys[j : j + turn] == keys[i : i + turn] and len(keys[j : j + turn]) == turn:
-                        body = [_merge(x, y) for x, y in zip(body or nodes[i : i + turn], nodes[j : j + turn])]
+                if keys[i] != "#" and not (turn == 1 and keys[i][0] == "("):
+                    while keys[j : j + turn] == keys[i : i + turn] and j + turn <= len(nodes):
                         j += turn
-                if body:
-                    out.append(("rep", [("slot", "") if x[0] == "text" else x for x in body]))
+                if j > i + turn:
+                    texts: dict = {}
+                    for x in nodes[i:j]:
+                        for t, at in x.texts.items():
+                            texts[t] = texts.get(t, ()) + at
+                    out.append(Node("(" + " ".join(keys[i : i + turn]) + ")+", 1, texts, tuple(keys[i : i + turn])))
                     i, hit = j, True
                 else:
                     out.append(nodes[i])
@@ -179,81 +188,170 @@ def fold(nodes: list[tuple]) -> list[tuple]:
     return nodes
 
 
-def stream(html: str) -> list[tuple]:
-    """A page as a wrapper that matches it alone: its tokens, with repeated groups folded."""
+def stream(toks: list[tuple[str, str, str]]) -> list[Node]:
+    """A page's tokens as the expression that matches it alone, with repeated groups folded."""
     out = []
-    for kind, tag, x in tokens(html):
+    for i, (kind, tag, x) in enumerate(toks):
         if kind == "T":
             text = " ".join(html_lib.unescape(x).split())
             if text:
-                out.append(("text", text))
+                out.append(Node("#", 1, {text: (i,)}))
         else:
-            out.append(("tag", x if kind == "S" else "/" + tag))
+            out.append(Node("<" + x if kind == "S" else ">" + tag, 1, {}))
     return fold(out)
 
 
-def generalise(a: list[tuple], b: list[tuple]) -> list[tuple]:
-    """The wrapper that matches what a and b match: common nodes are merged, the others become optional, a single turn joins its group."""
-    ka, kb = [_key(x) for x in a], [_key(x) for x in b]
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of pairs, ordered by the first number, that rises in the second."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(pairs)
+    for k, (_, y) in enumerate(pairs):
+        at = bisect.bisect_left(ends, y)
+        before[k] = last[at - 1] if at else -1
+        ends[at : at + 1], last[at : at + 1] = [y], [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def differences(a: list[str], b: list[str]) -> Iterator[tuple[bool, int, int, int, int]]:
+    """Ranges of a and b in turn, (equal, i, j, k, n). Long lists are first cut at keys that each has once, and where there are
+    none in step by length, so that no length is too much."""
+    if len(a) * len(b) <= MOST_CELLS:
+        for op, i, j, k, n in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            yield op == "equal", i, j, k, n
+        return
+    once_a, once_b = ({x: i for i, x in enumerate(y) if counts[x] == 1} for y, counts in ((a, Counter(a)), (b, Counter(b))))
+    cuts = [(i, k, 1) for i, k in _rising([(i, once_b[x]) for x, i in once_a.items() if x in once_b])]
+    if not cuts:
+        parts = math.isqrt(len(a) * len(b) // MOST_CELLS) + 2
+        cuts = [(len(a) * p // parts, len(b) * p // parts, 0) for p in range(1, parts)]
+    i = k = 0
+    for end_a, end_b, same in [*cuts, (len(a), len(b), 0)]:
+        for equal, p, q, r, t in differences(a[i:end_a], b[k:end_b]):
+            yield equal, i + p, i + q, k + r, k + t
+        if same:
+            yield True, end_a, end_a + 1, end_b, end_b + 1
+        i, k = end_a + same, end_b + same
+
+
+def aligned(wrapper: list[Node], page: list[Node]) -> Iterator[tuple[list[Node], list[Node]]]:
+    """Nodes of a wrapper with the nodes of a page that they match, or either side alone. A single turn matches its repeated group."""
+    for equal, i, j, k, n in differences([x.key for x in wrapper], [x.key for x in page]):
+        left, right = wrapper[i:j], page[k:n]
+        if equal:
+            yield from (([x], [y]) for x, y in zip(left, right))
+        elif any(len(group) == 1 and group[0].turn and group[0].turn == tuple(x.key for x in turn) for group, turn in ((left, right), (right, left))):
+            yield left, right
+        else:
+            if left:
+                yield left, []
+            if right:
+                yield [], right
+
+
+def generalise(wrapper: list[Node], page: list[Node]) -> list[Node]:
+    """The wrapper that also matches the page: nodes that match are merged, the others become optional."""
     out = []
-    for op, i, j, k, n in difflib.SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
-        if op == "equal":
-            out += [_merge(x, y) for x, y in zip(a[i:j], b[k:n])]
+    for left, right in aligned(wrapper, page):
+        if not left or not right:
+            out += left or [x._replace(texts=dict.fromkeys(x.texts, 1)) for x in right]
             continue
-        left, right = a[i:j], b[k:n]
-        for group, turn in ((left, right), (right, left)):
-            if len(group) == 1 and group[0][0] == "rep" and list(map(_key, group[0][1])) == list(map(_key, turn)):
-                out.append(group[0])
-                break
-        else:
-            out += [x if x[0] == "opt" else ("opt", [x]) for x in left] if all(x[0] == "opt" for x in left) else [("opt", left)] if left else []
-            out += [x if x[0] == "opt" else ("opt", [x]) for x in right] if all(x[0] == "opt" for x in right) else [("opt", right)] if right else []
+        texts = Counter()
+        for x in left:
+            texts.update(x.texts)
+        texts.update({t for x in right for t in x.texts})
+        group = next((x for x in (*left, *right) if x.turn), left[0])
+        out.append(Node(group.key, max(x.pages for x in left) + 1, texts, group.turn))
+    return out
+
+
+def expression(wrapper: list[Node], total: int) -> str:
+    """A wrapper as a regular expression: a text that all pages share as it is, others as (.*), nodes that not all pages have as (..)?."""
+    out, optional = [], False
+    for x in wrapper:
+        if (x.pages < total) != optional:
+            out.append(")?" if optional else "(")
+            optional = not optional
+        shared = next((t for t, n in x.texts.items() if n == x.pages), None) if x.key == "#" else None
+        out.append("(.*)" if x.key == "#" and shared is None else re.escape(shared) if shared else x.key.replace("#", "(.*)"))
+    return " ".join(out + [")?"] * optional)
+
+
+def constants(wrapper: list[Node], total: int) -> list[tuple[Node, frozenset[str], bool]]:
+    """Each node with its texts that are the host's, which at least LEAST_AGREED pages and a quarter of all have there, and whether
+    the node is a short text that all pages share outside of headings and repeated groups. Fewer than FEWEST pages tell nothing."""
+    out, before = [], ""
+    for x in wrapper:
+        same = frozenset(t for t, n in x.texts.items() if total >= FEWEST and n >= max(LEAST_AGREED, total / 4))
+        firm = x.key == "#" and x.pages == total and any(x.texts[t] == total and len(t) <= 100 for t in same) and before[1:].split(".")[0] not in HEADINGS
+        out.append((x, same, firm))
+        before = x.key
+    return out
+
+
+def constant_texts(known: list[tuple[Node, frozenset[str], bool]], toks: list[tuple[str, str, str]], firm: bool) -> set[int]:
+    """Indexes of the page's texts that are constants of the wrapper's nodes that they match; firm: only of such nodes."""
+    of = {id(x): same for x, same, sure in known if sure or not firm}
+    out: set[int] = set()
+    for left, right in aligned([x for x, _, _ in known], stream(toks)):
+        same = frozenset().union(*(of.get(id(x), ()) for x in left))
+        out.update(i for y in right for t, at in y.texts.items() if t in same for i in at)
     return out
 
 
 def infer(pages: list[str]) -> dict:
-    """The wrapper of a host's sample pages and what extraction needs of it: the element that holds the article (or None) and template texts.
+    """The wrapper of a host's distinct sample pages and what extraction needs of it: the element that holds the article (or
+    None), and the expression's nodes with their constants, where these change the text of a sample page.
 
     The article's element is `article` or `main` where the wrapper always has one; else the innermost element that every page
-    has and in which four fifths of all texts that may be an article's lie. Template texts are constants at a fixed place of
-    four pages or more, outside of repeated groups and headings, of 100 characters at most.
+    has and in which four fifths of all texts lie that may be an article's and that are no constants of the host.
     """
-    streams = [s for s in map(stream, pages) if s and len(s) <= MOST_TOKENS]
-    if not streams:
-        return {"region": None, "template": [], "wrapper": []}
-    wrapper = streams[0]
-    for s in streams[1:]:
-        wrapper = generalise(wrapper, s)
-    fixed = [x for kind, x in wrapper if kind == "tag" and not x.startswith("/")]
+    read = [t for t in map(tokens, pages) if t]
+    if not read:
+        return {"region": None, "nodes": [], "expression": ""}
+    wrapper: list[Node] = []
+    for k, toks in enumerate(read):
+        page = stream(toks)
+        wrapper = generalise(wrapper, page) if k else [x._replace(texts=dict.fromkeys(x.texts, 1)) for x in page]
+    known = constants(wrapper, len(read))
+    fixed = [x.key[1:] for x in wrapper if x.key[0] == "<" and x.pages == len(read)]
     region = next((x for tag in ("article", "main") for x in fixed if x.split(".")[0] == tag and not _outside(tag, x)), None)
     if region is None:
         held: Counter = Counter()
         depth: dict[str, int] = {}
         total = 0
-        for page in pages:
-            walk = _Walk(None)
-            for kind, tag, x in tokens(page):
+        for toks in read:
+            walk, same = _Walk(None), constant_texts(known, toks, False)
+            for i, (kind, tag, x) in enumerate(toks):
                 if kind == "S":
                     walk.start(tag, x)
                     depth[x] = max(depth.get(x, 0), len(walk.stack))
                 elif kind == "E":
                     walk.end(tag)
-                elif walk.stack and not walk.stack[-1][2]:
+                elif i not in same and not (walk.stack and walk.stack[-1][2]):
                     n = len(x.strip())
                     total += n
                     held.update({label: n for label in {e[1] for e in walk.stack}})
         good = [x for x in dict.fromkeys(fixed) if x in held and held[x] >= 0.8 * total and x.split(".")[0] not in ("p", *HEADINGS)]
         region = max(good, key=lambda x: depth[x], default=None)
-    template = []
-    if len(streams) >= 4:
-        for i, (kind, x) in enumerate(wrapper):
-            if kind == "text" and len(x) <= 100 and not (i and wrapper[i - 1][0] == "tag" and wrapper[i - 1][1].split(".")[0] in HEADINGS):
-                template.append(x)
-    return {"region": region, "template": template, "wrapper": wrapper}
+    plain = {"region": region, "nodes": []}
+    full = {"region": region, "nodes": known}
+    changed = any(same for _, same, _ in known) and any(extract(p, plain) != extract(p, full) for p in pages)
+    return (full if changed else plain) | {"expression": expression(wrapper, len(read))}
 
 
 def extract(html: str | None, wrapper: dict | None) -> str:
-    """The main text of a page; where the host's wrapper names no region that the page has, everything that may be an article's."""
+    """The main text of a page: what its host's wrapper has as slots, within the article's element.
+
+    Where the wrapper names no element that the page has, the first `article` or `main` will do, else everything that may be
+    an article's. Within an `article`, `main` or an element with a name of its own all is the article's but short texts that
+    every sample page has at their place, alone in their block; elsewhere all constants of the wrapper, optional and repeated
+    ones too, are the host's.
+    """
     if not html:
         return ""
     toks = tokens(html)
@@ -263,13 +361,25 @@ def extract(html: str | None, wrapper: dict | None) -> str:
     if region is None:
         labels = [x for k, t, x in toks if k == "S" and t in ("article", "main") and not _outside(t, x)]
         region = labels[0] if labels else None
-    return "\n\n".join(blocks(toks, region, frozenset(wrapper["template"]) if wrapper else frozenset()))
+    told = region is not None and (region.split(".")[0] in ("article", "main") or "." in region)
+    same = constant_texts(wrapper["nodes"], toks, told) if wrapper and wrapper["nodes"] else set()
+    return "\n\n".join(blocks(toks, region, same, 1 if told else 1 << 30))
+
+
+def _dump(w: dict) -> str:
+    """region and nodes as JSON: of a node its key, turn, constants and whether they are firm."""
+    return json.dumps({"region": w["region"], "nodes": [[x.key, x.turn, sorted(same), firm] for x, same, firm in w["nodes"]]})
+
+
+def _load(text: str) -> dict:
+    w = json.loads(text)
+    return {"region": w["region"], "nodes": [(Node(key, 1, {}, tuple(turn)), frozenset(same), firm) for key, turn, same, firm in w["nodes"]]}
 
 
 def _infer_host(pdf: pd.DataFrame) -> pd.DataFrame:
     pages = dict.fromkeys(p for p in pdf.sort_values("page_id")["html"] if p)
     w = infer(list(pages)[:SAMPLES])
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps({k: w[k] for k in ("region", "template")})], "expression": [json.dumps(w["wrapper"])]})
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [_dump(w)], "expression": [w["expression"]]})
 
 
 def host_of(url: Column) -> Column:
@@ -277,7 +387,7 @@ def host_of(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON: region, template) and expression (JSON of the regular expression) for each host, from at most SAMPLES of its pages.
+    """host, wrapper (JSON: region, nodes) and expression (the regular expression) for each host, from at most SAMPLES of its pages.
 
     The sample is the smallest page_id of each of SAMPLES hash buckets of the host's payloads, found by a pre-aggregated
     minimum: copies of a page are one payload, and a host with a third of all pages costs no more than another."""
@@ -297,7 +407,7 @@ def _extractor(known: dict[str, dict] | None):
                     w = known.get(col["host"][i])
                 else:
                     w = col["wrapper"][i]
-                    w = w and (read.get(w) or read.setdefault(w, json.loads(w)))
+                    w = w and (read.get(w) or read.setdefault(w, _load(w)))
                 texts.append(extract(page, w))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -307,8 +417,9 @@ def _extractor(known: dict[str, dict] | None):
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of the main text of every row of pages (page_id, url, html).
 
-    Wrappers are inferred by host from a bounded sample of its pages; each whole page is then cut by its host's wrapper. A
-    null or empty html has the empty text; a null url is a host of its own; rows that repeat a page_id are cut each for
+    Wrappers are inferred by host from a bounded sample of its pages; each whole page is then aligned with its host's wrapper
+    and cut by it. Pages of any length are inferred from and aligned. A host of fewer than FEWEST distinct pages has no
+    constants: its pages are cut by elements and marks alone. Copies of a page count once. A null or empty html has the empty text; a null url is a host of its own; rows that repeat a page_id are cut each for
     itself; broken markup is read as far as it goes; an empty table gives an empty result; other columns play no part.
     """
     pages = lean(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -317,7 +428,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     out = "page_id long, url string, text string, n_chars long"
     keyed = pages.withColumn("host", host_of(F.col("url")))
     if n <= MOST_HOSTS and size <= MOST_BYTES:
-        known = {r["host"]: json.loads(r["wrapper"]) for r in found.collect()}
+        known = {r["host"]: _load(r["wrapper"]) for r in found.collect()}
         return keyed.mapInArrow(_extractor(known), out)
     salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     joined = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS))).join(salted, ["host", "salt"], "left")
