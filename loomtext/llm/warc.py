@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import lean, scratch
+from loomtext.llm.common import lean, materialise, scratch, small
 
 CRLF = "\r\n"
 END = CRLF * 2
 #: Payloads of fewer bytes are never revisits.
 LEAST_SHARED = 100
-_SALTS = 16
+#: Tables of up to so many shared payloads (about 120 bytes each) are broadcast, longer ones joined by a shuffle.
+MOST_SHARED = 200_000
+#: A gzip member's last byte is 0 if it holds fewer bytes than this: that byte is the text writer's line separator.
+_SMALL = 1 << 24
 _DATE = "2024-01-01T00:00:00Z"
 _RECORDS = pa.schema([("type", pa.string()), ("id", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("digest", pa.string()), ("http", pa.string()), ("block", pa.binary())])
 _SQL = "type string, id string, concurrent_to string, refers_to string, uri string, date string, digest string, http string, block binary"
@@ -32,22 +36,57 @@ def _one_line(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]+", " ")
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as gzip members without their last byte, which is 0: a record of _SMALL bytes or more is followed by an empty member."""
+    for batch in batches:
+        out = []
+        for text in batch.column(0).cast(pa.binary()).to_pylist():
+            record = text + b"\r\n\r\n"
+            member = gzip.compress(record, 6, mtime=0)
+            if len(record) >= _SMALL:
+                member += gzip.compress(b"", mtime=0)
+            out.append(member[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+
+
+def _name_archives(spark: SparkSession, path: str) -> None:
+    """Gives the written files the suffix of archives, by which readers know that they are compressed."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(folder):
+        name = f.getPath().getName()
+        if name.startswith("part-") and not name.endswith(".gz"):
+            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name.split(".")[0] + ".warc.gz"))
+
+
 def write_captures(pages: DataFrame, path: str, least: int = LEAST_SHARED) -> None:
     """Writes three records for each row of pages (page_id, url, html): request, response or revisit, metadata.
 
     A payload (html in UTF-8; null: empty) of at least `least` bytes is stored once, in the response of the smallest page_id;
-    the others with its digest become revisits, which keep the HTTP head and refer to that response. The files are gzip
-    text: the line separator of Spark's text writer is the blank-line pair that ends a WARC record. Rows that repeat the
-    smallest page_id are all responses. A null page_id never wins over one that is set.
+    the others with its digest become revisits, which keep the HTTP head and name that response's id. Each record is a gzip
+    member of its own, so archives can be read from any record on. Ids are made of the page_id and the digest, so that a
+    task that is tried again writes the same ones; only rows that repeat both are numbered by their place in the table.
+
+    Only digests are aggregated; those that several rows share are joined to the pages, by a broadcast up to MOST_SHARED of
+    them, else by a shuffle whose hot digests adaptive execution splits. Rows that repeat the smallest page_id are all
+    responses. A null page_id never wins over one that is set.
     """
+    spark = pages.sparkSession
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).alias("n"))
-    rows = rows.withColumn("seq", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(_SALTS)))
-    firsts = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    # A payload may be that of a third of all pages: its rows are spread over salts, its one row here repeated for each.
-    firsts = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("salt"))
-    rows = rows.join(firsts, ["digest", "salt"], "left").withColumn("revisit", F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull()))
-    me = F.concat(F.lit("urn:capture:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.col("seq").cast("string"))
+    rows = pages.select(F.monotonically_increasing_id().alias("seq"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).alias("n"))
+    held = rows.groupBy("digest", "page_id").agg(F.count("*").alias("c"), F.min("seq").alias("lead"), F.min("n").alias("n"))
+    held = held.groupBy("digest").agg(F.min("n").alias("n"), F.sum("c").alias("c"), F.max("c").alias("most"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "c", "lead")).alias("f"))
+    first = held.filter("c > 1").select("digest", "most", (F.col("n") >= least).alias("shared"), F.col("f.page_id").alias("first"), (F.col("f.c") > 1).alias("twice"), "f.lead")
+    first = materialise(first)  # so that a shuffled join with it can be split
+    rows = rows.join(small(first, MOST_SHARED), "digest", "left")
+    revisit = F.coalesce(F.col("shared"), F.lit(False)) & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    rows = rows.withColumn("revisit", revisit)
+
+    def named(page_id: Column, seq: Column, numbered: Column) -> Column:
+        return F.concat(F.lit("urn:capture:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), F.substring("digest", 1, 32), F.when(numbered, F.concat(F.lit(":"), seq.cast("string"))).otherwise(""))
+
+    me = named(F.col("page_id"), F.col("seq"), F.coalesce(F.col("most") > 1, F.lit(False)))
     main, target = F.concat(me, F.lit(":response")), ("WARC-Target-URI", F.nullif(_one_line(F.col("url")), F.lit("")))
     joined = ("WARC-Concurrent-To", F.concat(F.lit("<"), main, F.lit(">")))
     path_of = F.regexp_replace(_one_line(F.col("url")), r"^[a-zA-Z]+://[^/?#]*", "")
@@ -55,15 +94,17 @@ def write_captures(pages: DataFrame, path: str, least: int = LEAST_SHARED) -> No
     asked = F.concat(F.lit("GET "), F.when(path_of == "", "/").otherwise(path_of), F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(END))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(END))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
-    refers = ("WARC-Refers-To", F.when(F.col("revisit"), F.concat(F.lit("<urn:capture:"), F.col("first").cast("string"), F.lit(">"))))
+    refers = ("WARC-Refers-To", F.when(F.col("revisit"), F.concat(F.lit("<"), named(F.col("first"), F.col("lead"), F.col("most") > 1), F.lit(":response>"))))
     profile = ("WARC-Profile", F.when(F.col("revisit"), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))
-    notes = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF), F.lit("payload-bytes: "), F.col("n").cast("string"), F.lit(CRLF))
+    notes = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
     records = F.array(
         _record(F.lit("request"), F.concat(me, F.lit(":request")), [target, joined], "application/http;msgtype=request", asked),
         _record(F.when(F.col("revisit"), "revisit").otherwise("response"), main, [target, digest, refers, profile], "application/http;msgtype=response", F.concat(head, F.when(F.col("revisit"), "").otherwise(F.col("html")))),
         _record(F.lit("metadata"), F.concat(me, F.lit(":metadata")), [target, joined], "application/warc-fields", notes),
     )
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    members = lean(rows.select(F.explode(records).alias("value"))).mapInArrow(_members, "value binary")
+    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
+    _name_archives(spark, path)
 
 
 class _Stream:
@@ -135,7 +176,10 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of gzip archives under a path, streamed: a task holds one record at a time. Blocks are split into HTTP head and payload."""
+    """The records of gzip archives under a path, streamed: a task holds one record at a time. Blocks are split into HTTP head and payload.
+
+    Any cut of the stream will do for that: here at blank lines.
+    """
     pieces = spark.read.option("lineSep", END).schema("value string").text(path)
     return lean(pieces).select(F.col("value").cast("binary").alias("value")).mapInArrow(_parse, _SQL)
 
@@ -143,35 +187,40 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def transactions(records: DataFrame, payload: bool = False) -> DataFrame:
     """One nested row for each capture: its response or revisit joined with the request and metadata records that are concurrent to it.
 
-    A capture without request or metadata has null there; a request or metadata record whose capture is missing is left out.
-    payload: whether the stored payload itself is kept, next to its length and SHA-256.
+    A revisit also has `original`, the response that it refers to by id, which is looked up among the records; null where the
+    archive doesn't hold it. A capture without request or metadata has null there; a request or metadata record whose capture
+    is missing is left out. payload: whether the stored payload itself is kept, next to its length and SHA-256.
     """
     key = F.coalesce("concurrent_to", "id")
     main = F.col("type").isin("response", "revisit")
-    stored = F.struct("type", "id", "refers_to", "uri", "date", "digest", "http", F.octet_length("block").alias("n_stored"), F.sha2("block", 256).alias("stored_digest"), *([F.col("block").alias("payload")] if payload else []))
+    stored = F.struct("type", "id", "refers_to", "uri", "date", "digest", "http", F.octet_length("block").cast("long").alias("n_stored"), F.sha2("block", 256).alias("stored_digest"), *([F.col("block").alias("payload")] if payload else []))
     asked, notes = F.struct("id", "http"), F.struct("id", F.col("block").cast("string").alias("fields"))
     slim = records.select(key.alias("capture"), F.when(main, stored).alias("response"), F.when(F.col("type") == "request", asked).alias("request"), F.when(F.col("type") == "metadata", notes).alias("metadata"))
-    whole = slim.groupBy("capture").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("request", "response", "metadata")])
-    return whole.filter(F.col("response").isNotNull())
+    whole = slim.groupBy("capture").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("request", "response", "metadata")]).filter(F.col("response").isNotNull())
+    whole = materialise(whole)  # read once more for the originals; hot ones are split
+    wanted = whole.filter(F.col("response.refers_to").isNotNull()).select(F.col("response.refers_to").alias("capture")).distinct()
+    heads = whole.filter("response.type = 'response'").select("capture", F.struct("capture", "response.n_stored", "response.stored_digest", "metadata.fields").alias("original"))
+    originals = materialise(heads.join(wanted, "capture", "left_semi").withColumnRenamed("capture", "refers"))
+    return whole.withColumn("refers", F.col("response.refers_to")).join(originals, "refers", "left").drop("refers")
 
 
 def capture_digests(pages: DataFrame, path: str | None = None, least: int = LEAST_SHARED) -> DataFrame:
     """Writes pages to archives (in the shared folder unless a path is given), reads them back and tells of each capture what it stored.
 
-    An empty html gives an empty payload; an empty table an archive without records and an empty result. A revisit's digest
-    and length are those of the payload that it refers to, from its own head.
+    An empty html gives an empty payload; an empty table an archive without records and an empty result. A revisit's digest,
+    length and refers_to are those of the response that its record refers to, as it is found in the archives.
     """
     spark = pages.sparkSession
     path = path or scratch(spark)
     write_captures(pages, path, least)
     t = transactions(read_records(spark, path))
-    number = lambda name: F.nullif(F.regexp_extract("metadata.fields", name + r": (-?\d+)", 1), F.lit("")).cast("long")
+    page = lambda fields: F.nullif(F.regexp_extract(fields, r"page-id: (-?\d+)", 1), F.lit("")).cast("long")
     revisit = F.col("response.type") == "revisit"
     return t.select(
-        number("page-id").alias("page_id"),
-        F.when(revisit, F.regexp_extract("response.http", r"Content-Length: (\d+)", 1).cast("long")).otherwise(F.col("response.n_stored").cast("long")).alias("payload_bytes"),
-        F.when(revisit, F.col("response.digest")).otherwise(F.col("response.stored_digest")).alias("payload_digest"),
+        page("metadata.fields").alias("page_id"),
+        F.when(revisit, F.col("original.n_stored")).otherwise(F.col("response.n_stored")).alias("payload_bytes"),
+        F.when(revisit, F.col("original.stored_digest")).otherwise(F.col("response.stored_digest")).alias("payload_digest"),
         F.col("response.type").alias("record_type"),
-        F.nullif(F.regexp_extract("response.refers_to", r"urn:capture:(-?\d+)", 1), F.lit("")).cast("long").alias("refers_to"),
+        page("original.fields").alias("refers_to"),
         F.col("response.uri").alias("uri"),
     )
