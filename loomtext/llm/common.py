@@ -106,6 +106,20 @@ def words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def word_lists(text: bytes | None, most_bytes: int = 1 << 20):
+    """The words of a text in order, as lists from pieces of about so many bytes that are cut at white space: bounds what a very long text takes."""
+    text, at = text or b"", 0
+    while at < len(text):
+        end = at + most_bytes
+        while end < len(text) and text[end] not in _SPACE:
+            end += 1
+        yield words(text[at:end])
+        at = end
+
+
+_SPACE = b" \t\n\x0b\x0c\r"
+
+
 def binary(batch, column: str) -> list:
     """A binary column of an Arrow batch as a list of bytes or None."""
     return batch.column(batch.schema.get_field_index(column)).to_pylist()

@@ -5,20 +5,25 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import binary, fold, lean, materialise, runs, words
+from loomtext.llm.common import binary, fold, lean, materialise, runs, word_lists
 
 #: Hidden states; words that are symbols of their own; classes of the other words, by the crc32 of their last three bytes.
 STATES, HEAD, CLASSES = 8, 8192, 512
 #: Words whose counts every task holds (a broadcast of fixed size); longer words than LONGEST bytes are looked up by a join.
 KNOWN, LONGEST = 65536, 64
-#: Baum-Welch over all training texts; before it, so many steps over so many of them give the first parameters.
-ROUNDS, FIRST_STEPS, FIRST_DOCS = 2, 12, 400
+#: Baum-Welch over all training texts: rounds at most, and the relative gain in likelihood below which no further one follows.
+ROUNDS, LEAST_GAIN = 4, 0.002
+#: Before it, so many steps over so many texts of at most so many tokens give the first parameters.
+FIRST_STEPS, FIRST_DOCS, FIRST_LONGEST = 12, 400, 20_000
+#: Tokens that are taken together: several texts of so many at most, or a longer text block by block.
+BLOCK = 300_000
 _FLUSH = 200_000
 END = b""
 
@@ -27,11 +32,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
     for batch in batches:
         for t in binary(batch, "text"):
-            seen.update(words(t))
             seen[END] += 1
-            if len(seen) > _FLUSH:
-                yield _counted(seen)
-                seen.clear()
+            for ws in word_lists(t):
+                seen.update(ws)
+                if len(seen) > _FLUSH:
+                    yield _counted(seen)
+                    seen.clear()
     if seen:
         yield _counted(seen)
 
@@ -85,15 +91,18 @@ def _encoder(shared):
             for a, b in runs(texts):
                 cols: list[list] = [[] for _ in range(6)]
                 for t in texts[a:b]:
-                    ws = words(t)
-                    ws.append(END)
-                    ids = np.fromiter((lex.ids.get(w, -1) for w in ws), np.int64, len(ws))
-                    known = ids >= 0
-                    symbols = np.zeros(len(ws), np.uint16)
-                    symbols[known] = lex.symbol[ids[known]]
-                    rare = [ws[i] for i in np.flatnonzero(~known)]
-                    symbols[~known] = [HEAD + zlib.crc32(w[-3:]) % CLASSES for w in rare]
-                    for col, x in zip(cols, (len(ws), int(known.sum()), lex.base[ids[known]].sum(), lex.inside[ids[known]].sum(), symbols.tobytes(), rare)):
+                    coded, rare, n_common, base, inside = bytearray(), [], 0, 0.0, 0.0
+                    for ws in chain(word_lists(t), [[END]]):
+                        ids = np.fromiter((lex.ids.get(w, -1) for w in ws), np.int64, len(ws))
+                        known = ids >= 0
+                        symbols = np.zeros(len(ws), np.uint16)
+                        symbols[known] = lex.symbol[ids[known]]
+                        others = [ws[i] for i in np.flatnonzero(~known)]
+                        symbols[~known] = [HEAD + zlib.crc32(w[-3:]) % CLASSES for w in others]
+                        coded += symbols.tobytes()
+                        rare += others
+                        n_common, base, inside = n_common + int(known.sum()), base + lex.base[ids[known]].sum(), inside + lex.inside[ids[known]].sum()
+                    for col, x in zip(cols, (len(coded) // 2, n_common, base, inside, bytes(coded), rare)):
                         col.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), *map(pa.array, cols, kinds)], ["row", "doc_id", "held_out", "n_tokens", "n_common", "base", "inside", "symbols", "rare"])
@@ -139,8 +148,63 @@ def _pack(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return order, lengths, live, flat
 
 
+def _ahead(model: Hmm, seq: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward probabilities of a block of one sequence and their scales; before: those of the states ahead of its first symbol."""
+    b = model.emit[seq]
+    alphas, scales = np.empty((len(seq), STATES)), np.empty(len(seq))
+    for t in range(len(seq)):
+        alpha = before * b[t]
+        scales[t] = alpha.sum()
+        alphas[t] = alpha / scales[t]
+        before = alphas[t] @ model.move
+    return alphas, scales
+
+
+def _blocks(seq: np.ndarray) -> list[slice]:
+    return [slice(k, k + BLOCK) for k in range(0, len(seq), BLOCK)]
+
+
+def _long_likelihood(model: Hmm, seq: np.ndarray) -> float:
+    total, before = 0.0, model.start
+    for part in _blocks(seq):
+        alphas, scales = _ahead(model, seq[part], before)
+        total, before = total + float(np.log10(scales).sum()), alphas[-1] @ model.move
+    return total
+
+
+def _long_counts(model: Hmm, seq: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
+    """expected_counts of one long sequence. Going forward only what enters each block is kept; going back each block's forward
+    probabilities are computed again, so that the memory is that of one block."""
+    total, enters, before = 0.0, [], model.start
+    for part in _blocks(seq):
+        enters.append(before)
+        alphas, scales = _ahead(model, seq[part], before)
+        total, before = total + float(np.log10(scales).sum()), alphas[-1] @ model.move
+    beta, ahead = np.ones(STATES), None
+    for part, before in zip(reversed(_blocks(seq)), reversed(enters)):
+        mine = seq[part]
+        alphas, scales = _ahead(model, mine, before)
+        b = model.emit[mine] / scales[:, None]
+        betas = np.empty_like(alphas)
+        aheads = np.empty_like(alphas)
+        for t in range(len(mine) - 1, -1, -1):
+            if ahead is not None:
+                beta = model.move @ ahead
+            betas[t] = beta
+            aheads[t] = np.zeros(STATES) if ahead is None else ahead
+            ahead = beta * b[t]
+        move += (alphas.T @ aheads) * model.move
+        gamma = alphas * betas
+        for k in range(STATES):
+            emit[:, k] += np.bincount(mine, gamma[:, k], minlength=len(emit))
+    start += gamma[0]
+    return total
+
+
 def log10_likelihoods(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     """The exact log10 probability of each symbol sequence, by the scaled forward recursion over all of them at once."""
+    if len(seqs) == 1 and len(seqs[0]) > BLOCK:
+        return np.array([_long_likelihood(model, seqs[0])])
     order, _, live, flat = _pack(seqs)
     total, at = np.zeros(len(seqs)), 0
     alpha = np.tile(model.start, (len(seqs), 1))
@@ -155,8 +219,10 @@ def log10_likelihoods(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(model: Hmm, seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-    """Adds the Baum-Welch counts of the sequences to start, move and emit."""
+def expected_counts(model: Hmm, seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
+    """Adds the Baum-Welch counts of the sequences to start, move and emit, and returns their log10 likelihood."""
+    if len(seqs) == 1 and len(seqs[0]) > BLOCK:
+        return _long_counts(model, seqs[0], start, move, emit)
     _, _, live, flat = _pack(seqs)
     begins = np.concatenate([[0], np.cumsum(live)])
     gamma, scales = np.empty((len(flat), STATES)), np.empty(len(flat))
@@ -182,14 +248,16 @@ def expected_counts(model: Hmm, seqs: list[np.ndarray], start: np.ndarray, move:
     start += gamma[: live[0]].sum(axis=0)
     for k in range(STATES):
         emit[:, k] += np.bincount(flat, gamma[:, k], minlength=len(emit))
+    return float(np.log10(scales).sum())
 
 
 def _tokens(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint16) for x in binary(batch, column)]
 
 
-def _groups(seqs: list[np.ndarray], most: int = 300_000):
-    """Slices of at most so many symbols: bounds the memory of a step. A longer sequence is a slice of its own."""
+def _groups(seqs: list[np.ndarray]):
+    """Slices of at most BLOCK symbols: bounds the memory of a step. A longer sequence is a slice of its own."""
+    most = BLOCK
     start = total = 0
     for i, s in enumerate(seqs):
         if i > start and total + len(s) > most:
@@ -203,30 +271,42 @@ def _groups(seqs: list[np.ndarray], most: int = 300_000):
 def _expecter(shared, symbols: int):
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((symbols, STATES))
-        any_row = False
+        any_row, fit = False, np.zeros(STATES)
         for batch in batches:
             seqs = _tokens(batch, "symbols")
             for a, b in _groups(seqs):
                 any_row = True
-                expected_counts(shared.value, seqs[a:b], start, move, emit)
+                fit[0] += expected_counts(shared.value, seqs[a:b], start, move, emit)
         if any_row:
             used = np.flatnonzero(emit.any(axis=1))
-            at = np.concatenate([used, symbols + np.arange(STATES + 1)])
-            rows = np.concatenate([emit[used], move, start[None]])
+            at = np.concatenate([used, symbols + np.arange(STATES + 2)])
+            rows = np.concatenate([emit[used], move, start[None], fit[None]])
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(rows[:, k]) for k in range(STATES))], ["at", *(f"s{k}" for k in range(STATES))])
 
     return expect
 
 
-def baum_welch(model: Hmm, coded: DataFrame, symbols: int) -> Hmm:
-    """One round over all rows: tasks add up expected counts, Spark sums them by symbol, and (symbols + states + 1) rows reach the driver."""
+def baum_welch(model: Hmm, coded: DataFrame, symbols: int) -> tuple[Hmm, float]:
+    """One round over all rows, and the log10 likelihood of the rows under the model it began with: tasks add up expected counts,
+    Spark sums them by symbol, and (symbols + states + 2) rows reach the driver."""
     shared = coded.sparkSession.sparkContext.broadcast(model)
     names = [f"s{k}" for k in range(STATES)]
     got = coded.select("symbols").mapInArrow(_expecter(shared, symbols), "at int, " + ", ".join(f"{k} double" for k in names))
     got = got.groupBy("at").agg(*[F.sum(k).alias(k) for k in names]).toArrow()
-    sums = np.zeros((symbols + STATES + 1, STATES))
+    sums = np.zeros((symbols + STATES + 2, STATES))
     sums[got["at"].to_numpy()] = np.stack([got[k].to_numpy() for k in names], axis=1) if len(got) else sums[:0]
-    return Hmm.of_counts(sums[-1], sums[symbols : symbols + STATES], sums[:symbols])
+    return Hmm.of_counts(sums[-2], sums[symbols : symbols + STATES], sums[:symbols]), float(sums[-1, 0])
+
+
+def fit(model: Hmm, coded: DataFrame, symbols: int) -> Hmm:
+    """Rounds over all rows until one gains less than LEAST_GAIN of the likelihood, at most ROUNDS."""
+    before = None
+    for _ in range(ROUNDS):
+        model, now = baum_welch(model, coded, symbols)
+        if before is not None and now - before < LEAST_GAIN * abs(before):
+            break
+        before = now
+    return model
 
 
 def _scorer(shared):
@@ -251,9 +331,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
     The tokens of a text are its words (A-Z lower-cased) and one end. The model is a hidden Markov chain of STATES states
     over symbols: the HEAD commonest words, and CLASSES classes of the others; within its class a word has the smoothed share
     of its count, one slot being left for all unseen words, the same in each state. So a text's probability is that of its symbols,
-    by the forward recursion, times those shares; all texts' probabilities sum to 1. Word counts, base scores and two rounds
-    of Baum-Welch cover all training texts; a bounded sample gives only their starting point. Counts of the KNOWN commonest
-    words are broadcast; those of all others are joined by the word.
+    by the forward recursion, times those shares. It is a probability of texts in which all unseen words of a class count as
+    one word. Word counts, base scores and the rounds of Baum-Welch cover all training texts, whole; a bounded sample gives
+    only their starting point. Counts of the KNOWN commonest words are broadcast; those of all others are joined by the word.
+    A text of more than BLOCK tokens is gone through in blocks, exactly, so that its length does not set the memory.
 
     A null text is empty: it has the end alone. Rows that repeat an id are scored each for itself; a null doc_id counts as
     the empty text in the fold; an empty table gives an empty result; other columns play no part.
@@ -269,7 +350,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     learn, symbols = coded.filter("NOT held_out"), HEAD + CLASSES
     u = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) / float(1 << 30)  # FIRST_DOCS texts in expectation
-    chosen = learn.filter(u < FIRST_DOCS / max(1, learn.count())).select("row", "symbols").collect()
+    short = F.length("symbols") <= 2 * FIRST_LONGEST
+    chosen = learn.filter(short & (u < FIRST_DOCS / max(1, learn.count()))).select("row", "symbols").collect()
     sample = [np.frombuffer(r["symbols"], np.uint16) for r in sorted(chosen, key=lambda r: r["row"])]
     weights = np.bincount(np.concatenate(sample), minlength=symbols).astype(float) if sample else np.zeros(symbols)
     model = Hmm.first(symbols, weights)
@@ -278,8 +360,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         for a, b in _groups(sample):
             expected_counts(model, sample[a:b], start, move, emit)
         model = Hmm.of_counts(start, move, emit)
-    for _ in range(ROUNDS):
-        model = baum_welch(model, learn, symbols)
+    model = fit(model, learn, symbols)
 
     rare = coded.select("row", F.explode("rare").alias("token")).join(counts, "token", "left")
     kind = F.pmod(F.crc32(F.expr("substring(token, -3, 3)")), F.lit(CLASSES))
