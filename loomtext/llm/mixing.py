@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import checkpoint, materialise, n_words, small
 
-#: Ranks are first counted in so many equal bins, so that only the rows of the bin at the cut are ordered.
-BINS = 65536
+#: Ranks are logarithms of odds; they are first counted in so many bins a unit, up to FAR, so that only the rows of the bin at the cut are
+#: ordered, and at most about 1 in 8,000 of a source's rows fall into one bin, whatever its probabilities.
+BINS, WIDE, FAR, CERTAIN = 2048, 256, 64, -1e9
 #: A table of sources up to so many rows is broadcast (a few MB); a longer one is joined by a shuffle.
 MOST_SOURCES = 50_000
 _LEAST = -(2**63)
@@ -59,10 +60,10 @@ def _inclusion(size: Column, scale: Column) -> Column:
 
 
 def _rank(size: Column, scale: Column, doc_id: Column, mark: Column, seed: int) -> Column:
-    """Random odds over inclusion odds, mapped from (0, inf) to (0, 1); certain documents come before all others, at -1."""
+    """The logarithm of random odds over inclusion odds; certain documents come before all others, impossible ones after."""
     u = (F.pmod(F.xxhash64(F.lit(seed), doc_id, size, mark), F.lit(2**52)) + 0.5) / float(2**52)
     p = _inclusion(size, scale)
-    return F.when(p >= 1, -1.0).otherwise(u * (1 - p) / (u * (1 - p) + (1 - u) * p))
+    return F.when(p >= 1, CERTAIN).when(p <= 0, -CERTAIN).otherwise(F.ln(u / (1 - u)) - F.ln(p / (1 - p)))
 
 
 def _plan(sized: DataFrame, weights, share, most_copies, seed) -> DataFrame:
@@ -75,11 +76,14 @@ def _plan(sized: DataFrame, weights, share, most_copies, seed) -> DataFrame:
     joined = small(plan, MOST_SOURCES).alias("p")
     rank = _rank(F.col("d.size"), F.col("p.scale"), F.col("d.doc_id"), F.col("d.mark"), seed)
     ranked = sized.alias("d").join(joined, F.expr("d.source <=> p.source")).select("d.*", "p.rest", rank.alias("rank"))
-    ranked = ranked.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.greatest(F.col("rank"), F.lit(-1 / BINS)) * BINS)).cast("int"))
-    bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"), F.first("rest").alias("rest"))
-    upto = F.sum("in_bin").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cut = bins.withColumn("upto", upto).filter((F.col("upto") - F.col("in_bin") < F.col("rest")) & (F.col("upto") >= F.col("rest")))
-    cut = checkpoint(cut.select("source", "bin", (F.col("upto") - F.col("in_bin")).alias("before"), F.col("rest").alias("goal")))
+    near = F.greatest(F.lit(float(-FAR)), F.least(F.lit(float(FAR)), F.col("rank")))
+    ranked = ranked.withColumn("bin", F.when(F.col("rank") == CERTAIN, -(FAR + 1) * BINS).otherwise(F.floor(near * BINS)).cast("int"))
+    bins = checkpoint(ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")))
+    # The bin at the cut by prefix sums over wide bins, then over the bins in that one: some hundreds of rows for a source each.
+    wide = bins.groupBy("source", F.floor(F.col("bin") / WIDE).alias("wide")).agg(F.sum("words").alias("words"), F.first("rest").alias("rest")).withColumn("begin", F.lit(0))
+    wide = checkpoint(_cut(wide, "wide").select("source", "wide", F.col("before").alias("begin")))
+    inner = bins.alias("b").join(small(wide, MOST_SOURCES).alias("w"), F.expr(f"b.source <=> w.source AND floor(b.bin / {WIDE}) = w.wide")).select("b.*", "w.begin")
+    cut = checkpoint(_cut(inner, "bin").select("source", "bin", "before", F.col("rest").alias("goal")))
     edge = ranked.alias("r").join(small(cut, MOST_SOURCES).alias("c"), F.expr("r.source <=> c.source AND r.bin = c.bin")).select("r.source", _key(F.col("r.rank"), F.col("r.doc_id"), F.col("r.row")).alias("key"), "r.size", "c.before", "c.goal", "c.bin")
     run = F.sum("size").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     last = (
@@ -95,6 +99,13 @@ def _plan(sized: DataFrame, weights, share, most_copies, seed) -> DataFrame:
     return checkpoint(out)
 
 
+def _cut(bins: DataFrame, order: str) -> DataFrame:
+    """The bin of each source in which the words from `begin` on reach the rest, and the words before it."""
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bins = bins.withColumn("upto", F.col("begin") + upto).withColumn("before", F.col("upto") - F.col("words"))
+    return bins.filter((F.col("before") < F.col("rest")) & (F.col("upto") >= F.col("rest")))
+
+
 def _key(rank: Column, doc_id: Column, row: Column) -> Column:
     return F.struct(rank.cast("double").alias("rank"), F.coalesce(doc_id, F.lit(_LEAST)).alias("id"), row.cast("long").alias("row"))
 

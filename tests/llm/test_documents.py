@@ -238,6 +238,18 @@ def test_forward_recursion_and_counts_are_exact():
     a, b, c = np.zeros(k), np.zeros((k, k)), np.zeros((6, k))
     hmm.expected_counts(model, seqs, a, b, c)
     assert math.isclose(a.sum(), 4) and math.isclose(b.sum(), 14) and np.allclose(c.sum(axis=1), np.bincount(np.concatenate(seqs), minlength=6))
+    hmm_block, hmm.BLOCK = hmm.BLOCK, 4  # a text beyond a block gives the same in blocks
+    try:
+        for s in (seqs[2], rng.integers(0, 6, 4), rng.integers(0, 6, 5), rng.integers(0, 6, 33)):
+            got, want = [[np.zeros(k), np.zeros((k, k)), np.zeros((6, k))] for _ in range(2)]
+            assert math.isclose(hmm.log10_likelihoods(model, [s])[0], naive_log10(model, s))
+            fits = hmm.expected_counts(model, [s], *got)
+            hmm.BLOCK = 100
+            assert math.isclose(fits, hmm.expected_counts(model, [s], *want)) and math.isclose(fits, naive_log10(model, s))
+            hmm.BLOCK = 4
+            assert all(np.allclose(x, y) for x, y in zip(got, want))
+    finally:
+        hmm.BLOCK = hmm_block
     h = 1e-6  # the expected use of a move is the slope of the log likelihood in its logarithm
     up = hmm.Hmm(model.start, model.move.copy(), model.emit)
     up.move[1, 2] *= 1 + h
@@ -264,6 +276,41 @@ def test_hmm_scores(docs, odd, empty):
     assert hmm.score_texts(empty).count() == 0
 
 
+def brute_score(model, lex, counts, text):
+    """The score from its definition: a naive chain of symbols, times each word's share of its class."""
+    toks = [*(t.encode() for t in tokens(text)), hmm.END]
+    group = lambda w: zlib.crc32(w[-3:]) % hmm.CLASSES
+    own = {w for w in lex.ids if lex.ids[w] < lex.head}
+    room = Counter()
+    for w, c in counts.items():
+        if w not in own:
+            room[group(w)] += c + 1
+    alpha, total = None, 0.0
+    for w in toks:
+        s = lex.ids[w] if w in own else hmm.HEAD + group(w)
+        alpha = (model.start if alpha is None else alpha @ model.move) * model.emit[s]
+        total += math.log10(alpha.sum())
+        alpha = alpha / alpha.sum()
+        if w not in own:
+            total += math.log10((counts.get(w, 0) + 1) / (room[group(w)] + 1))
+    return total
+
+
+def test_scores_equal_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(hmm, "KNOWN", 300)
+    monkeypatch.setattr(hmm, "HEAD", 120)
+    kept = {}
+    fit, learn = hmm.fit, hmm.learn_words
+    monkeypatch.setattr(hmm, "fit", lambda *a: kept.setdefault("model", fit(*a)))
+    monkeypatch.setattr(hmm, "learn_words", lambda t: kept.setdefault("words", learn(t)))
+    df = docs.filter("doc_id < 80").unionByName(spark.createDataFrame([(1001, "unseen zzqx " * 40), (1002, None), (None, "one two")], "doc_id long, text string"), allowMissingColumns=True)
+    got = hmm.score_texts(df).collect()
+    rows = df.select("doc_id", "text").collect()
+    counts = Counter(t for r in rows if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 != 2 for t in [*(w.encode() for w in tokens(r.text)), hmm.END])
+    want = {r.doc_id: brute_score(kept["model"], kept["words"][1], counts, r.text) for r in rows}
+    assert len(got) == len(rows) and all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-9) for r in got)
+
+
 def test_words_beyond_the_broadcast_are_joined(docs, monkeypatch):
     want = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in hmm.score_texts(docs).collect()}
     monkeypatch.setattr(hmm, "KNOWN", 50)
@@ -272,6 +319,13 @@ def test_words_beyond_the_broadcast_are_joined(docs, monkeypatch):
     assert got == want
 
 
+def test_words_come_in_bounded_lists():
+    from loomtext.llm.common import word_lists, words
+
+    for t in (None, b"", b"  ", LONG.encode(), b"a" * 5000, b"x \t\n" * 999):
+        assert [w for ws in word_lists(t, 100) for w in ws] == words(t)
+
+
 ITEM = "The quick brown fox jumps over the lazy dog while seventeen zebras quietly watch from a hill in the pale evening light."
 
 

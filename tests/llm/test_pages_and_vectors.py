@@ -1,7 +1,9 @@
 """Operators on pages and vectors."""
 
+import gzip
 import hashlib
 import json
+import zlib
 
 import numpy as np
 import pytest
@@ -44,14 +46,109 @@ def test_joined_wrappers_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, wrappers.main_texts(df).collect())) == want
 
 
+def keys(nodes):
+    return [x.key for x in nodes]
+
+
 def test_wrappers_generalise():
-    a = wrappers.stream("<div><p>one</p><p>two</p><i>x</i></div>")
-    assert a == [("tag", "div"), ("rep", [("tag", "p"), ("slot", ""), ("tag", "/p")]), ("tag", "i"), ("text", "x"), ("tag", "/i"), ("tag", "/div")]
-    both = wrappers.generalise(a, wrappers.stream("<div><p>three</p><i>y</i><b>new</b></div>"))
-    assert both[1][0] == "rep" and ("slot", "") in both and ("opt", [("tag", "b"), ("text", "new"), ("tag", "/b")]) in both
+    a = wrappers.stream(wrappers.tokens("<div><p>one</p><p>two</p><i>x</i></div>"))
+    assert keys(a) == ["<div", "(<p # >p)+", "<i", "#", ">i", ">div"] and a[1].turn == ("<p", "#", ">p") and a[1].texts == {"one": (2,), "two": (5,)}
+    both = wrappers.generalise([x._replace(texts=dict.fromkeys(x.texts, 1)) for x in a], wrappers.stream(wrappers.tokens("<div><p>three</p><i>y</i><b>new</b></div>")))
+    assert keys(both) == ["<div", "(<p # >p)+", "<i", "#", ">i", "<b", "#", ">b", ">div"] and [x.pages for x in both] == [2, 2, 2, 2, 2, 1, 1, 1, 2]
+    assert wrappers.expression(both, 2) == "<div (<p (.*) >p)+ <i (.*) >i ( <b new >b )? >div"
     assert wrappers.infer([page(k) for k in range(1, 6)])["region"] == "div.content"
 
 
+def test_differences_of_any_length(monkeypatch):
+    rng = np.random.default_rng(4)
+    for cells in (1 << 20, 60, 1):
+        monkeypatch.setattr(wrappers, "MOST_CELLS", cells)
+        for n in (0, 1, 30, 200):
+            a = [f"k{x}" for x in rng.integers(0, 40, n)] + ["once"] + [f"u{i}" for i in range(n // 9)]
+            b = [x for x in a if rng.random() > 0.1] + ["end"]
+            i = k = 0
+            for equal, p, q, r, t in wrappers.differences(a, b):
+                assert (p, r) == (i, k) and (not equal or a[p:q] == b[r:t])
+                i, k = q, t
+            assert (i, k) == (len(a), len(b))
+
+
+BARE = """<html><body><div><a href=1>Start</a><a href=2>Topics</a><a href=3>About us all</a></div>%s<div><h2>Title %d</h2><p>First of %d.</p>%s<p>Always: <b>number %d</b></p></div>
+<div><p>%s</p><p>We are a long notice that stands below each and every article of this host, of more than a hundred characters, which only the pages tell.</p></div></body></html>"""
+
+
+def bare(k, paragraphs=1):
+    offer = "<div><p>Offer of the week</p></div>" if k % 2 else ""
+    return BARE % (offer, k, k, "".join(f"<p>Paragraph {i} of {k}.</p>" for i in range(paragraphs)), k, "Read more elsewhere")
+
+
+def bare_text(k, paragraphs=1):
+    return "\n\n".join([f"Title {k}", f"First of {k}.", *(f"Paragraph {i} of {k}." for i in range(paragraphs)), f"Always: number {k}"])
+
+
+def test_the_wrapper_decides_where_no_element_or_class_tells(spark):
+    """No article, main, class or telling element: constant, optional and repeated texts of the host are told by its pages alone."""
+    rows = [(k, "http://bare.example/", bare(k, 1 + k % 3)) for k in range(12)]
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: bare_text(k, 1 + k % 3) for k in range(12)}
+    without = wrappers.extract(bare(3), None)
+    assert "Topics" in without and "Offer of the week" in without and "stands below each" in without
+    few = wrappers.main_texts(spark.createDataFrame(rows[:3], "page_id long, url string, html string")).first().text
+    assert "Topics" in few  # three pages tell nothing yet
+
+
+def test_long_pages_are_inferred_from_and_cut(spark):
+    rows = [(k, "http://bare.example/", bare(k, 3000 + 500 * k).replace("<p>Paragraph 7 ", "<p><i>x</i>Paragraph 7 ")) for k in range(0, 10, 2)]
+    rows += [(11, "http://bare.example/", "<div>" * 3000 + "<b>deep</b><i>" + "</div>" * 2000 + "a <p>" * 5000)]
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == bare_text(k, 3000 + 500 * k).replace("Paragraph 7 ", "xParagraph 7 ") for k in range(0, 10, 2)) and got[11].split().count("a") == 5000
+
+
+def test_pages_equal_a_plain_reading(spark, sf_dir):
+    """Of the given pages the article element is known: its blocks, read by the standard parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.skip, self.parts, self.out = 0, 0, [], []
+
+        def cut(self):
+            text = " ".join("".join(self.parts).split())
+            if text:
+                self.out.append(text)
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.depth += 1
+            if self.depth and tag in wrappers.BLOCK:
+                self.cut()
+            elif tag == "br":
+                self.parts.append(" ")
+
+        def handle_endtag(self, tag):
+            if self.depth and tag in wrappers.BLOCK:
+                self.cut()
+            if tag == "article":
+                self.depth -= 1
+
+        def handle_data(self, data):
+            if self.depth:
+                self.parts.append(data)
+
+    pages = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/pages.parquet")
+    simple = {}
+    for r in pages.collect():
+        body = (r.html or "").partition("<article>")[2].partition("</article>")[0]
+        if body and not any(f"<{x}" in body for x in ("div", "aside", "form", "script", "style", "ul", "table", "nav", "header", "footer", "section", "figure", "button", "!--")):
+            a = Article()
+            a.feed("<article>" + body + "</article>")
+            simple[r.page_id] = "\n\n".join(a.out)
+    got = {r.page_id: r.text for r in wrappers.main_texts(pages).collect()}
+    assert len(simple) > 50 and {k: got[k] for k in simple} == simple
+
+
 def test_warc_round_trip(spark, sf_dir, tmp_path):
     long = "<p>" + "lorem ipsum " * 40 + "</p>"
     rows = [(5, "http://a/b?c", long), (3, "http://a/", long), (9, None, long), (3, "http://a/", long), (1, "http://x\r\ny", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (None, "u", long), (7, "u", "a\r\n\r\nWARC/1.1\r\n\r\nb\r\n" * 20), (8, "u", "é" * 30000 + "\r\n\r\n")]
@@ -69,6 +166,33 @@ def test_warc_round_trip(spark, sf_dir, tmp_path):
     assert all(r.request and r.metadata and r.request.http.startswith("GET ") for r in t)
     assert sorted(bytes(r.response.payload).decode() for r in t if r.response.type == "response") == sorted([h or "" for i, _, h in rows if i in (1, 2, 3, 4, 6, 7, 8)])
     assert warc.capture_digests(df.limit(0)).count() == 0
+    for name in (tmp_path / "w").glob("*.warc.gz"):  # one gzip member for each record, and links that lead to one
+        data, heads = name.read_bytes(), []
+        while data:
+            member = zlib.decompressobj(31)
+            record = member.decompress(data)
+            assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+            heads.append(record.partition(b"\r\n\r\n")[0].decode())
+            data = member.unused_data
+        assert heads and sum("WARC-Type: request" in h for h in heads) == sum("WARC-Type: metadata" in h for h in heads)
+    records = warc.read_records(spark, str(tmp_path / "w")).collect()
+    ids = [r.id for r in records]
+    assert len(set(ids)) == len(ids) == 3 * len(rows) and all(r.refers_to in ids for r in records if r.type == "revisit")
+    warc.write_captures(df.repartition(5), str(tmp_path / "again"))
+    once = {r.id for r in warc.read_records(spark, str(tmp_path / "again")).collect()}
+    assert {i for i in ids if i.split(":")[2] not in ("3", "5", "9", "none")} <= once  # ids don't depend on the partitions
+
+
+def test_records_of_many_megabytes_keep_their_members(spark, tmp_path, monkeypatch):
+    html = "".join(chr(97 + i * 7 % 26) for i in range(1000)) * (17 << 10)
+    df = spark.createDataFrame([(1, "http://a/", html), (2, "http://a/2", html), (3, "http://a/3", "small")], "page_id long, url string, html string")
+    for most in (warc.MOST_SHARED, 0):
+        monkeypatch.setattr(warc, "MOST_SHARED", most)
+        got = {r.page_id: (r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.capture_digests(df, str(tmp_path / f"m{most}")).collect()}
+        sha = hashlib.sha256(html.encode()).hexdigest()
+        assert got[1] == (len(html), sha, None) and got[2] == (len(html), sha, 1) and got[3][0] == 5
+    for name in (tmp_path / f"m{warc.MOST_SHARED}").glob("*.gz"):
+        assert gzip.decompress(name.read_bytes()).count(b"WARC/1.1\r\n") % 3 == 0
 
 
 def brute(vectors, queries, k=10):
@@ -127,4 +251,4 @@ def test_wide_vectors_are_not_dropped_in_silence(spark):
 def test_expression_is_kept(spark):
     df = spark.createDataFrame([(k, "http://h.example/", page(k)) for k in range(4)], "page_id long, url string, html string")
     [w] = wrappers.wrappers(df).collect()
-    assert w.host == "h.example" and json.loads(w.wrapper)["region"] == "div.content" and '"rep"' in w.expression
+    assert w.host == "h.example" and json.loads(w.wrapper)["region"] == "div.content" and "(.*)" in w.expression and ")+" in w.expression

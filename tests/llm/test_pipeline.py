@@ -92,7 +92,7 @@ def brute_mixing(rows):
         mark = struct.pack("<Q", xxhash.xxh64_intdigest(text.encode(), 42))
         u = (xxhash.xxh64_intdigest(mark, h) % 2**52 + 0.5) / 2**52
         p = min(1, c * weight(size))
-        return -1 if p > 1 - 1e-9 else u * (1 - p) / (u * (1 - p) + (1 - u) * p)
+        return -1e9 if p > 1 - 1e-9 else 1e9 if p < 1e-12 else math.log(u / (1 - u)) - math.log(p / (1 - p))
 
     size = [len(tokens(r[1])) for r in rows]
     total = Counter()
