@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +50,25 @@ def result_id(gold_version: Column, source: Column, model: Column) -> Column:
 def file_hashes(spark, paths: list[str]) -> DataFrame:
     """path and SHA-256 of files, for code and configuration fingerprints."""
     return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def code_hash(files: DataFrame) -> DataFrame:
+    """code_sha: one fingerprint of files (name, sha256), in the order of their names."""
+    pair = F.struct("name", F.concat_ws(SEP, "name", "sha256").alias("h"))
+    return files.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["h"]), SEP), 256).alias("code_sha"))
+
+
+def config_hash(config: dict[str, str]) -> Column:
+    """The fingerprint of a configuration, whatever the order of its keys."""
+    return content_hash(*[F.lit(x) for k in sorted(config) for x in (k, config[k])])
+
+
+def state(folder: str) -> dict[str, str | bool | None]:
+    """The commit and branch of a working copy and whether it has changes; nulls outside of one."""
+
+    def ask(*what: str) -> str | None:
+        got = subprocess.run(["git", "-C", folder, *what], capture_output=True, text=True, timeout=30)
+        return got.stdout.strip() if got.returncode == 0 else None
+
+    changed = ask("status", "--porcelain")
+    return {"commit": ask("rev-parse", "HEAD"), "branch": ask("rev-parse", "--abbrev-ref", "HEAD"), "dirty": None if changed is None else bool(changed)}

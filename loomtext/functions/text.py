@@ -56,8 +56,12 @@ def chrf(ref: str, cand: str, longest: int = 3) -> Column:
 
 
 def bleu1(ref_words: Column, cand_words: Column) -> Column:
-    """Unclipped unigram precision with a brevity penalty; 0 if either side has no token."""
-    hits = F.size(F.filter(cand_words, lambda t: F.array_contains(ref_words, t)))
+    """Unclipped unigram precision with a brevity penalty; 0 if either side has no token.
+
+    The distinct words of both are met by hash sets once, bound as a lambda's variable; each candidate word is looked up there.
+    """
+    common = F.array(F.array_intersect(cand_words, ref_words))
+    hits = F.get(F.transform(common, lambda both: F.size(F.filter(cand_words, lambda t: F.array_contains(both, t)))), F.lit(0))
     short = F.exp(F.least(F.lit(0.0), 1 - F.size(ref_words) / F.size(cand_words)))
     return F.when((F.size(ref_words) > 0) & (F.size(cand_words) > 0), F.round(short * hits / F.size(cand_words), 4)).otherwise(0.0)
 
@@ -85,9 +89,14 @@ def is_junk(text: Column) -> Column:
     return (F.length(F.trim(t)) < 8) | (diacritics(t) > 5)
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
+
+
 def clean_answer(text: Column) -> Column:
     """Without white space at the ends, then quotation marks, then white space."""
-    return F.trim(F.regexp_replace(F.trim(text), '^"+|"+$', ""))
+    return strip(F.regexp_replace(strip(text), '^"+|"+$', ""))
 
 
 def prefix(text: Column, n: int) -> Column:

@@ -52,6 +52,16 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.withColumn("sample_key", mark).orderBy("sample_key").limit(n)
 
 
+def ordered_union(a: Column, b: Column) -> Column:
+    """The distinct elements of two arrays in the order in which they first occur."""
+    return F.array_distinct(F.concat(a, b))
+
+
+def strategy_score(rows: DataFrame, group: list[str], order: list, fidelity: str, n: int = 3) -> DataFrame:
+    """group, score: the mean over the first n rows of each group, an unjudged row counting as 0."""
+    return cap_per_group(rows, group, order, n).groupBy(*group).agg(F.avg(F.coalesce(F.col(fidelity), F.lit(0.0))).alias("score"))
+
+
 def cyclic(order: Column, choices: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in choices]), (F.pmod(order, F.lit(len(choices))) + 1).cast("int"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Prices a token times these give a text's cost; families that count for the challenge rate; its least value.
@@ -108,5 +108,28 @@ def registry_audit(runs: DataFrame, required: list[str], key: str) -> DataFrame:
     return runs.agg(F.count("*").alias("n"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("invalid"), F.array_sort(F.collect_set(F.when(bad, F.substring(key, 1, 12)))).alias("missing"))
 
 
-def share_of_total(df: DataFrame, value: str) -> DataFrame:
-    return df.withColumn("share", F.col(value) / F.sum(value).over(Window.partitionBy()))
+
+def missing_references(texts: DataFrame, key: str, text: str, files: DataFrame, path: str) -> DataFrame:
+    """key, line (from 0) and path of each absolute path between back-ticks that is no file."""
+    found = texts.select(F.col(key), F.posexplode(F.split(text, "\n")).alias("line", "_t")).select(key, "line", F.explode(F.regexp_extract_all("_t", F.lit("`(/[^`\\s]+)`"), 1)).alias("path"))
+    return found.join(files.select(F.col(path).alias("path")), "path", "left_anti").select(key, "line", "path")
+
+
+def challenge_verdict(bad_fidelity: Column) -> Column:
+    """Whether the judge saw a controlled error: the bad text's fidelity is not full. An unread reply did not."""
+    return F.coalesce(bad_fidelity < 1, F.lit(False))
+
+
+def server_health(spark) -> DataFrame:
+    return spark.createDataFrame([("ok", "1.0.0", ["audit", "translate", "bench"])], "status string, version string, products array<string>")
+
+
+def server_bench(rows: DataFrame, order: list, n: int) -> DataFrame:
+    """product, n, avg_bleu and pass_rate over the first n rows of source, gold and translation; zeros where there is none."""
+    from loomtext.functions import gates
+    from loomtext.functions.text import bleu1, strip, words
+
+    head = rows.orderBy(*order).limit(n).withColumn("b", bleu1(words(F.col("gold")), words(strip(F.col("translation")))))
+    passed = F.when(gates.gate(gates.blocking(F.col("source"), F.col("translation"))) == "PASS", 1.0).otherwise(0.0)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return head.agg(F.lit("bench").alias("product"), F.count("*").alias("n"), zero(F.round(F.avg("b"), 4)).alias("avg_bleu"), zero(F.round(F.avg(passed), 3)).alias("pass_rate"))

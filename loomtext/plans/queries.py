@@ -123,19 +123,19 @@ def reference_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.array_join("references", "|").alias("refs"))
 
 
-def _challenges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def challenges(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").withColumn("bad", perturb.all_perturbations(F.col("text")))
     names = F.array(*[F.lit(f) for f in perturb.FAMILIES])
     x = b.select("item_id", F.col("text").alias("good"), F.posexplode("bad").alias("family_order", "bad")).withColumn("family", F.element_at(names, F.col("family_order") + 1))
-    return x.filter(F.col("bad").isNotNull() & (F.trim("bad") != F.trim("good")))
+    return x.filter(F.col("bad").isNotNull() & (F.col("bad") != "") & (F.trim("bad") != F.trim("good")))
 
 
 def challenge_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.capped_families(_challenges(spark, sf_dir), "family", "family_order", "item_id", 200, len(perturb.FAMILIES)).select("item_id", "family", "good", "bad")
+    return select.capped_families(challenges(spark, sf_dir), "family", "family_order", "item_id", 200, len(perturb.FAMILIES)).select("item_id", "family", "good", "bad")
 
 
 def challenge_simple_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _challenges(spark, sf_dir).filter(F.col("family").isin("ACCURACY_ADDITION", "STYLE", "SCOPE_NEGATION")).select("item_id", "family", "bad")
+    return challenges(spark, sf_dir).filter(F.col("family").isin("ACCURACY_ADDITION", "STYLE", "SCOPE_NEGATION")).select("item_id", "family", "bad")
 
 
 def challenge_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,18 +223,18 @@ def gold_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "gold_hash", provenance.run_signature(F.col("gold_hash"), F.lit("code"), F.lit("config")).alias("run_signature"))
 
 
-def _ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.col("event_type").alias("step"), "event_id")).alias("value"))
     c = table(spark, sf_dir, "conversations").select(F.when(F.pmod("conv_id", F.lit(9)) == 0, "{broken").otherwise(F.to_json(F.struct(F.concat(F.lit("EXP-"), "conv_id").alias("experiment_id"), "turn"))).alias("value"))
     return ledger.union([ledger.read_lines(e, "events"), ledger.read_lines(c, "conversations")])
 
 
 def ledger_step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.step_counts(_ledgers(spark, sf_dir))
+    return ledger.step_counts(ledgers(spark, sf_dir))
 
 
 def ledger_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.recent(ledger.search(_ledgers(spark, sf_dir), "PURCHASE", 20), 10).select("ledger", "ts", "step")
+    return ledger.recent(ledger.search(ledgers(spark, sf_dir), "PURCHASE", 20), 10).select("ledger", "ts", "step")
 
 
 def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def challenge(golds: DataFrame, n: int) -> DataFrame:
     x = golds.withColumn("bad", perturb.all_perturbations(F.col("gold")))
     names = F.array(*[F.lit(f) for f in perturb.FAMILIES])
     x = x.select("source", F.col("gold").alias("good"), "ord", F.posexplode("bad").alias("k", "bad")).withColumn("error_family", F.element_at(names, F.col("k") + 1))
-    x = x.filter(F.col("bad").isNotNull() & (F.trim("bad") != F.trim("good")))
+    x = x.filter(F.col("bad").isNotNull() & (F.col("bad") != "") & (F.trim("bad") != F.trim("good")))
     told = F.create_map(*[F.lit(y) for f in perturb.FAMILIES for y in (f, perturb.instruction(f))])
     return select.capped_families(x, "error_family", "k", "ord", n, len(perturb.FAMILIES)).select("source", "good", "bad", "error_family", told[F.col("error_family")].alias("instruction"))
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.lexicon import TRADITIONS, DEFAULT_TRADITION, tag
-from loomtext.functions.text import is_junk
+from loomtext.functions.text import bleu1, chrf, is_junk, with_grams, words
+from loomtext.sources.lines import numbered_files
 
 # Stages of a record in the order of preference; prefix of a source that the truncating loader keeps.
 LAB_STAGES, GOLD_STAGES, SOURCE_PREFIX = ("L2", "l2", "T1", "t1"), ("L2", "l2"), 400
@@ -57,21 +58,16 @@ def published(spark: SparkSession, path: str, most: int | None = None) -> DataFr
     return _ordered(df.withColumn("tradition", tag(F.concat_ws(" ", "source", "gold"))), "file").drop("file")
 
 
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, i (from 0) and line. A file's lines are numbered inside the file; files are read side by side."""
-    return _files(spark, path).select("file", F.posexplode(F.split(F.regexp_replace("raw", "\r?\n$", ""), "\r?\n")).alias("i", "line"))
-
-
 def json_pairs(spark: SparkSession, path: str, source: str = "sanskrit", gold: str = "english", passage_id: str = "mitra") -> DataFrame:
     """JSON lines of a source and a gold text; blank and malformed lines are skipped."""
-    df = _numbered_lines(spark, path).select(F.get_json_object("line", f"$.{source}").alias("source"), F.get_json_object("line", f"$.{gold}").alias("gold"), F.lit(passage_id).alias("passage_id"), "file", "i")
+    df = numbered_files(spark, path).select(F.get_json_object("line", f"$.{source}").alias("source"), F.get_json_object("line", f"$.{gold}").alias("gold"), F.lit(passage_id).alias("passage_id"), "file", "i")
     df = df.filter("source IS NOT NULL AND gold IS NOT NULL").withColumn("tradition", tag(F.col("source")))
     return _ordered(df, "file", "i").drop("file", "i")
 
 
 def line_pairs(spark: SparkSession, source_path: str, gold_path: str, name: str, n: int | None = None) -> DataFrame:
     """Two files aligned by line: trimmed, dropped if either side is blank, numbered by the original line; the first n."""
-    a, b = _numbered_lines(spark, source_path), _numbered_lines(spark, gold_path)
+    a, b = numbered_files(spark, source_path), numbered_files(spark, gold_path)
     df = a.select("i", F.trim("line").alias("source")).join(b.select("i", F.trim("line").alias("gold")), "i").filter("source <> '' AND gold <> ''")
     df = df.select("source", "gold", F.concat(F.lit(f"{name}:"), "i").alias("passage_id"), F.lit("test").alias("split"), F.struct("i").alias("ord"))
     return df.orderBy("ord").limit(n) if n else df
@@ -106,6 +102,35 @@ def first_gold(rows: DataFrame, passage_id: str) -> DataFrame:
     return rows.filter(F.col("passage_id") == passage_id).orderBy("part", "ord").limit(1)
 
 
+def of_tradition(rows: DataFrame, tradition: str) -> DataFrame:
+    return rows.filter(F.col("tradition") == tradition)
+
+
+def traditions(spark: SparkSession) -> DataFrame:
+    """The labels, in order."""
+    return spark.createDataFrame([(k, t) for k, t in enumerate(TRADITIONS)], "ord int, tradition string")
+
+
+def score_vs_gold(rows: DataFrame, candidates: DataFrame, metric: str = "chrf") -> DataFrame:
+    """Adds score to candidates (passage_id, candidate, ..): a metric against the first gold row of the id; 0 for an unknown id."""
+    first = rows.groupBy("passage_id").agg(F.min_by("gold", F.struct("part", "ord")).alias("gold"))
+    both = candidates.join(first, "passage_id", "left")
+    if metric == "chrf":
+        scored = with_grams(with_grams(both, "gold", "_g"), "candidate", "_c").withColumn("score", chrf("_g", "_c"))
+    else:
+        scored = both.withColumn("score", bleu1(words(F.col("gold")), words(F.col("candidate"))))
+    return scored.select(*candidates.columns, F.when(F.col("gold").isNull(), 0.0).otherwise(F.col("score")).alias("score"))
+
+
+def catalogue(samples: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
+    """name, n and the language pairs of each sample."""
+    out = spark.createDataFrame([], "name string, n long, pairs string")
+    for name, df in samples.items():
+        pairs = F.array_join(F.array_sort(F.collect_set(F.concat_ws("-", "src_lang", "tgt_lang"))), ",")
+        out = out.unionByName(df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), pairs.alias("pairs")))
+    return out
+
+
 def available(datasets: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
     """name and number of rows of each dataset."""
     out = spark.createDataFrame([], "name string, n long")
@@ -125,7 +150,7 @@ def price_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 def registry_rows(spark: SparkSession, path: str, key: str = "avg_chrF") -> DataFrame:
     """Lines of a registry that are records of one kind: those with the key."""
-    return _numbered_lines(spark, path).filter(F.array_contains(F.json_object_keys("line"), key)).select("i", F.col("line").alias("raw"))
+    return numbered_files(spark, path).filter(F.array_contains(F.json_object_keys("line"), key)).select("i", F.col("line").alias("raw"))
 
 
 def run_records(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,17 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text"))
 
 
+def numbered_files(spark: SparkSession, path: str) -> DataFrame:
+    """file (name), i (from 0) and line of text files of any size: files are read in splits, and a split's lines are numbered on
+    from those of the splits before it. A line ends at a line feed, with or without a carriage return before it."""
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("_path", "_split").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_path", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each split
+    name = F.url_decode(F.element_at(F.split("_path", "/"), -1))
+    return lines.join(splits, ["_path", "_split"]).select(name.alias("file"), (F.col("_before") + F.col("_id") - F.col("_first")).alias("i"), F.regexp_replace("value", "\r$", "").alias("line"))
+
+
 def numbered(files: DataFrame, file: str, text: str) -> DataFrame:
     """file, i (from 0), line."""
     return files.select(F.col(file), F.posexplode(F.split(text, "\n")).alias("i", "line"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions.provenance import content_hash, set_hash
+from loomtext.sources.scratch import file_system
 
 #: Raw outputs that a run record keeps; its hash covers all of them.
 KEPT_OUTPUTS = 20
@@ -29,6 +30,37 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return df.groupBy("run_signature").agg(F.max_by(every, F.col("written")).alias("r")).select("r.*")
 
 
+def write_files(files: DataFrame, path: str, most: int = 1000) -> None:
+    """One file for each row (name, text) under a folder, overwritten: run records by their signature, checkpoints, single documents.
+
+    For small sets, whose number is checked first; larger ones belong into lines or tables.
+    """
+    rows = files.select("name", "text").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} files: write lines or a table instead")
+    spark = files.sparkSession
+    folder, fs = file_system(spark, path)
+    for r in rows:
+        out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, r.name), True)
+        out.write(bytearray(r.text.encode()))
+        out.close()
+
+
+def nested(rows: DataFrame, by: list[str], aggregates: list, order: str) -> DataFrame:
+    """One record for each run: run, a struct of its aggregates, and rows, all of its rows in order."""
+    each = [c for c in rows.columns if c not in by]
+    out = rows.groupBy(*by).agg(*aggregates, F.array_sort(F.collect_list(F.struct(order, *[c for c in each if c != order]))).alias("rows"))
+    return out.select(*by, F.struct(*[c for c in out.columns if c not in (*by, "rows")]).alias("run"), "rows")
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The passages of a frozen registry; nothing was frozen: an empty table of passages."""
+    folder, fs = file_system(spark, path)
+    if fs.exists(folder):
+        return spark.read.parquet(path)
+    return spark.createDataFrame([], "passage_id string, source string, school string")
+
+
 def overwrite_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
@@ -47,6 +79,24 @@ def freeze(passages: DataFrame, path: str, version: str) -> DataFrame:
     return read.groupBy("version").agg(F.count("*").alias("n_passages")).join(manifest, "version")
 
 
+def report_values(runs: DataFrame, experiments: DataFrame, date: str) -> dict[str, str]:
+    """The values of a report's tokens: counts; of the first runs, by signature, five short signatures and three assertions with theirs;
+    and a table row for each experiment (a registry of a few rows, which a report prints whole)."""
+    short = F.substring("run_signature", 1, 12)
+    first = runs.orderBy("run_signature").limit(5).select(short.alias("s"), "assertion").collect()
+    rows = experiments.orderBy("experiment_id").collect()
+    dash = "—"
+    line = lambda r: f"    {r.experiment_id[-12:]} & {r.avg_chrF:.3f} & {r.avg_bleu1:.3f} & {dash if r.avg_semantic is None else r.avg_semantic} \\\\"
+    return {
+        "N_RUNS": str(runs.count()),
+        "N_EXP": str(len(rows)),
+        "RUN_SIGNATURES": ", ".join(r.s for r in first) or dash,
+        "METRIC_TABLE": "\n".join(map(line, rows)) or f"    {dash} & {dash} & {dash} & {dash} \\\\",
+        "ASSERTION_CITATIONS": "; ".join(f"{r.assertion} (run {r.s})" for r in first[:3]) or dash,
+        "DATE": date,
+    }
+
+
 def report(template: str, values: dict[str, object]) -> str:
     """Fills @NAME@ tokens of a template."""
     for name, value in values.items():
