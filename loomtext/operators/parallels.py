@@ -10,11 +10,14 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomtext.functions.text import words
 
-#: Sources are collected and broadcast in blocks of so many rows.
-BLOCK_ROWS = 5000
+#: Texts that are searched for are collected and broadcast in blocks of about so many bytes.
+BLOCK_BYTES = 4 << 20
+#: Grams of the small side that are broadcast, at most; more are joined by a shuffle.
+MOST_GRAMS = 1_000_000
 
 
 def _matcher(shared, n: int):
@@ -48,14 +51,19 @@ def _matcher(shared, n: int):
     return run
 
 
+def _blocks(df: DataFrame, text: str) -> int:
+    total = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 16)).first()[0] or 0
+    return max(1, -(-total // BLOCK_BYTES))
+
+
 def containment_parallels(sources: DataFrame, source_id: str, source: str, corpus: DataFrame, other_id: str, other: str, n: int = 3) -> DataFrame:
     """For each source the n texts that contain most of its distinct lower-cased tokens of four characters or more, as substrings.
 
-    Only sources are collected, in blocks of BLOCK_ROWS; the corpus is scanned once for each block and never shuffled. Equal
+    Only sources are collected, in blocks of BLOCK_BYTES; the corpus is scanned once for each block and never shuffled. Equal
     counts go to the smaller other_id; texts without any of the tokens are no parallels. Ids are integers.
     """
     spark = corpus.sparkSession
-    blocks = max(1, -(-sources.count() // BLOCK_ROWS))
+    blocks = _blocks(sources, source)
     out = None
     for b in range(blocks):
         part = sources.filter(F.pmod(F.xxhash64(source_id), F.lit(blocks)) == b).select(source_id, source).collect()
@@ -84,27 +92,58 @@ def word_grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
 
 def shared_grams(small: DataFrame, small_key: str, small_text: str, corpus: DataFrame, key: str, text: str, n: int = 3, top: int = 3) -> DataFrame:
-    """For each small text the `top` corpus texts that share most distinct word n-grams: an equi-join on the gram, then counts."""
+    """For each small text the `top` corpus texts that share most distinct word n-grams: an equi-join on the gram, then counts.
+
+    The small side's grams are counted; up to MOST_GRAMS are broadcast, so that of the corpus only grams that match are shuffled.
+    """
     a, b = word_grams(small, small_key, small_text, n), word_grams(corpus, key, text, n)
-    counts = b.join(a, "gram").groupBy(small_key, key).agg(F.count("*").alias("n_shared"))
+    few = a.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS
+    counts = b.join(F.broadcast(a) if few else a, "gram").groupBy(small_key, key).agg(F.count("*").alias("n_shared"))
     rank = F.row_number().over(Window.partitionBy(small_key).orderBy(F.desc("n_shared"), key))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
-def attach_references(passages: DataFrame, key: str, source: str, refs: DataFrame, ref_source: str, references: str, order: str, old: str | None = None, most_rows: int = 20_000) -> DataFrame:
-    """Each passage with the references of the last entry, by `order`, whose source is, or is contained in, the passage's; its old ones if there is none.
+def _last_contained(shared, kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each text the last of the entries that it contains, by one pass of an automaton."""
+        entries, always = shared.value
+        find = ahocorasick.Automaton()
+        for word, order in entries.items():
+            find.add_word(word, (order, word))
+        if entries:
+            find.make_automaton()
+        for batch in batches:
+            best = []
+            for text in batch.column(1).to_pylist():
+                found = [(always, "")] if text is not None and always is not None else []
+                if text and entries:
+                    found += [entry for _, entry in find.iter(text)]
+                best.append(max(found, default=(None, None)))
+            out = pa.RecordBatch.from_arrays([batch.column(0).cast(kind), pa.array([o for o, _ in best], pa.int64()), pa.array([s for _, s in best], pa.string())], ["key", "_ord", "_s"])
+            yield out.filter(pa.array([o is not None for o, _ in best], pa.bool_()))
+
+    return run
+
+
+def attach_references(passages: DataFrame, key: str, source: str, refs: DataFrame, ref_source: str, references: str, order: str, old: str | None = None) -> DataFrame:
+    """Each passage with the references of the last entry, by the integer `order`, whose source is, or is contained in, the passage's; its old ones if there is none. Of equal orders the larger source is the last.
 
-    Containment cannot be hashed: the entries are broadcast after their number was checked; with more, they are taken in
-    blocks, whose best entries are merged.
+    Entries are collected in blocks of BLOCK_BYTES; for each block an automaton finds all that a passage contains in one pass
+    over it, and only the best order leaves the task. Passages are never compared with entries one by one.
     """
-    refs = refs.filter(F.size(references) > 0).select(F.col(ref_source).alias("_s"), F.col(references).alias("_refs"), F.col(order).alias("_ord"))
-    blocks = max(1, -(-refs.count() // most_rows))
-    hits = None
+    spark = passages.sparkSession
+    refs = refs.filter((F.size(references) > 0) & F.col(ref_source).isNotNull()).select(F.col(ref_source).alias("_s"), F.col(references).alias("_refs"), F.col(order).cast("long").alias("_ord"))
+    sql, kind = passages.schema[key].dataType.simpleString(), to_arrow_type(passages.schema[key].dataType)
+    blocks, hits = _blocks(refs, "_s"), None
     for b in range(blocks):
-        part = F.broadcast(refs.filter(F.pmod(F.xxhash64("_ord"), F.lit(blocks)) == b))
-        found = passages.select(key, source).join(part, F.col(source).contains(F.col("_s"))).groupBy(key).agg(F.max_by("_refs", "_ord").alias("_refs"), F.max("_ord").alias("_ord"))
+        part = refs.filter(F.pmod(F.xxhash64("_s"), F.lit(blocks)) == b).groupBy("_s").agg(F.max("_ord").alias("o")).collect()
+        entries = {r["_s"]: r["o"] for r in part if r["_s"]}
+        always = next((r["o"] for r in part if not r["_s"]), None)
+        shared = spark.sparkContext.broadcast((entries, always))
+        found = passages.select(F.col(key).alias("key"), F.col(source).cast("string").alias("text")).mapInArrow(_last_contained(shared, kind), f"key {sql}, _ord long, _s string")
         hits = found if hits is None else hits.unionByName(found)
-    if blocks > 1:
-        hits = hits.groupBy(key).agg(F.max_by("_refs", "_ord").alias("_refs"))
+    last = hits.groupBy(F.col("key").alias(key)).agg(F.max(F.struct("_ord", "_s")).alias("e")).select(key, "e._ord", "e._s")
+    chosen = refs.groupBy("_ord", "_s").agg(F.max("_refs").alias("_refs"))
     kept = F.col(old) if old else F.array().cast("array<string>")
-    return passages.join(hits.select(key, "_refs"), key, "left").withColumn("references", F.coalesce("_refs", kept)).drop("_refs")
+    attached = last.join(chosen, ["_ord", "_s"]).select(key, "_refs")
+    return passages.join(attached, key, "left").withColumn("references", F.coalesce("_refs", kept)).drop("_refs")

@@ -69,18 +69,17 @@ def cyclic(order: Column, choices: list[str]) -> Column:
 def tree_search(scores: DataFrame, depth: int, fanout: int, strategies: int = 6) -> DataFrame:
     """Beam search: each depth expands the frontier by strategies (depth * fanout + i) % strategies and keeps the best `fanout` nodes.
 
-    scores: (strategy, gain), a small table. Returns node_id (path), parent_id, depth, score, kept; ties keep the order of expansion.
+    scores: (strategy, gain), a row for each strategy: collected once, so that a depth doesn't compute the frontier of all before
+    it again. A depth has at most fanout * fanout nodes. Returns node_id (path), parent_id, depth, score, kept; ties keep the order of expansion.
     """
-    spark = scores.sparkSession
-    nodes = spark.createDataFrame([("0", None, 0, 0.0, True)], "node_id string, parent_id string, depth int, score double, kept boolean")
-    frontier = nodes
+    gain = {r["strategy"]: r["gain"] for r in scores.limit(strategies + 1).collect()}
+    nodes, frontier = [("0", None, 0, 0.0, True)], [("0", 0.0)]
     for d in range(depth):
-        steps = spark.range(fanout).select(F.col("id").cast("int").alias("i"), F.pmod(F.lit(d * fanout) + F.col("id"), F.lit(strategies)).cast("int").alias("strategy"))
-        grown = frontier.crossJoin(F.broadcast(steps)).join(F.broadcast(scores), "strategy")
-        grown = grown.select(F.concat_ws(".", "node_id", F.col("i").cast("string")).alias("node_id"), F.col("node_id").alias("parent_id"), F.lit(d + 1).alias("depth"), F.round(F.col("score") + F.col("gain"), 6).alias("score"))
-        grown = grown.withColumn("kept", F.row_number().over(Window.orderBy(F.desc("score"), "node_id")) <= fanout)  # fanout * fanout rows
-        nodes, frontier = nodes.unionByName(grown), grown.filter("kept")
-    return nodes
+        steps = [(f"{node}.{i}", node, round(score + gain[(d * fanout + i) % strategies], 6)) for node, score in frontier for i in range(fanout) if (d * fanout + i) % strategies in gain]
+        best = sorted(steps, key=lambda x: (-x[2], x[0]))[:fanout]
+        nodes += [(node, parent, d + 1, score, (node, parent, score) in best) for node, parent, score in steps]
+        frontier = [(node, score) for node, _, score in best]
+    return scores.sparkSession.createDataFrame(nodes, "node_id string, parent_id string, depth int, score double, kept boolean")
 
 
 def best_node(nodes: DataFrame) -> DataFrame:

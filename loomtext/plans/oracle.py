@@ -74,10 +74,14 @@ def word_grams(table: str, key: str) -> str:
     return f"SELECT {key}, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS gram FROM (SELECT {key}, {words('lower(text)')} AS w FROM {table}) WHERE len(w) >= 3"
 
 
-PANEL = f"""panel AS (SELECT source || ':' || CAST(doc_id // {X.PANEL} AS VARCHAR) AS passage, doc_id, CAST(n_chars AS DOUBLE) AS length,
+def panel(passage: str) -> str:
+    return f"""panel AS (SELECT {passage} AS passage, doc_id, CAST(n_chars AS DOUBLE) AS length,
     round(len(list_distinct(w)) / greatest(len(w), 1), 6) AS variety, CAST(quality AS DOUBLE) AS judge
     FROM (SELECT d.*, l.quality, {words('text')} AS w FROM documents d JOIN labels l USING (doc_id)))"""
-GAMMAS = f"""{PANEL}, metric AS (SELECT unnest(['length', 'variety']) AS metric),
+
+
+PANEL = panel(f"source || ':' || CAST(doc_id // {X.PANEL} AS VARCHAR)")
+GAMMAS = f"""{panel('source')}, metric AS (SELECT unnest(['length', 'variety']) AS metric),
     long AS (SELECT passage, doc_id, judge, metric, CASE metric WHEN 'length' THEN length ELSE variety END AS v FROM panel, metric),
     pair AS (SELECT a.passage, a.metric, sign((a.v - b.v) * (a.judge - b.judge)) AS s FROM long a JOIN long b ON a.passage = b.passage AND a.metric = b.metric AND a.doc_id < b.doc_id),
     counted AS (SELECT passage, metric, sum(s) AS s, count(*) FILTER (s <> 0) AS n FROM pair GROUP BY ALL),

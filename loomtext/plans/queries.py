@@ -80,11 +80,11 @@ def school_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("school", "tier", "period").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.sum("n_chars").alias("chars"))
 
 
-def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as candidates; a passage is a panel of documents of a source with neighbouring ids, bounded in size."""
+def _panel(spark: SparkSession, sf_dir: str, passage=None) -> DataFrame:
+    """Labelled documents as candidates; a passage is a source, or what is given."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     w = text.words(F.col("text"))
-    return d.select(F.concat_ws(":", "source", (F.floor(F.col("doc_id") / X.PANEL)).cast("string")).alias("passage"), "doc_id", F.col("n_chars").cast("double").alias("length"), w.alias("w"), F.col("quality").cast("double").alias("judge")).select(
+    return d.select((F.col("source") if passage is None else passage).alias("passage"), "doc_id", F.col("n_chars").cast("double").alias("length"), w.alias("w"), F.col("quality").cast("double").alias("judge")).select(
         "passage", "doc_id", "length", F.round(F.size(F.array_distinct("w")) / F.greatest(F.size("w"), F.lit(1)), 6).alias("variety"), "judge"
     )
 
@@ -101,7 +101,8 @@ def gamma_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairwise_win_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("a_variety") - F.col("b_variety")
     v = F.when(d > 0.05, "A").when(d < -0.05, "B").otherwise("TIE")
-    return rank.pairwise_wins(_panel(spark, sf_dir), ["passage"], "doc_id", v, ["variety"])
+    few = F.concat_ws(":", "source", F.floor(F.col("doc_id") / X.PANEL).cast("string"))  # pairs are compared one by one: panels of bounded size
+    return rank.pairwise_wins(_panel(spark, sf_dir, few), ["passage"], "doc_id", v, ["variety"])
 
 
 def candidate_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import gates, perturb, provenance, text
 from loomtext.functions.contracts import violations
-from loomtext.operators import agreement, ledger, rank, select, summaries
-from loomtext.sources import gold
+from loomtext.operators import agreement, hypotheses, rank, registry, select, summaries
+from loomtext.sources import gold, sinks
 
 # Loaders of test sets by name.
 TEST_SOURCES = {
@@ -81,8 +81,83 @@ def render(candidates: DataFrame, passage: str, item: str) -> DataFrame:
     return agreement.candidate_disagreement(p, passage, item, "candidate", "valid")
 
 
+# Shapes of requests.
+REQUESTS = {"audit": "source string, candidate string", "translate": "source string, max_tokens int", "bench": "n int"}
+
+
+def audit(requests: DataFrame) -> DataFrame:
+    """Requests of source and candidate with each check, the gate and what blocks."""
+    p = proof(requests)
+    passed = F.map_from_arrays(F.array(*map(F.lit, gates.CHECKS)), F.transform(F.array(*map(F.lit, gates.CHECKS)), lambda c: ~F.array_contains("blocking", c)))
+    return p.select("source", "candidate", F.lit("audit").alias("product"), passed.alias("checks"), "gate", "blocking", F.lit(0).alias("tokens"))
+
+
+def report(experiments: DataFrame) -> DataFrame:
+    """Records that have the metric, best first."""
+    return experiments.filter("avg_chrF IS NOT NULL").orderBy(F.desc("avg_chrF"), "experiment_id")
+
+
+def benchmark_report(experiments: DataFrame, prices: DataFrame) -> DataFrame:
+    """Experiments (model, avg_semantic, ..) with the cost of their model and quality per cost; without a price both are null."""
+    found = summaries.price_lookup(experiments, "model", prices, "id", "ord")
+    return summaries.with_cost(experiments.join(found, "model", "left"), "prompt", "completion", "avg_semantic")
+
+
+def texts(files: DataFrame) -> DataFrame:
+    """Passages of benchmark texts (file, text), five a school."""
+    return registry.benchmark_rows(files, "file", "file", "text")
+
+
+def finetune(golds: DataFrame, renders: DataFrame) -> DataFrame:
+    """Fine-tuning pairs of gold rows and of rendered candidates (source, gold, candidate, register, semantic)."""
+    p = proof(renders).withColumn("valid", agreement.is_valid(F.col("gate"), F.col("semantic")))
+    return registry.finetune_build(golds, p)
+
+
+def hypothesis(results: DataFrame, judgment: str, order: str) -> DataFrame:
+    """What to try next, after a run's rows (semantic, chrf and a judgment)."""
+    return hypotheses.proposed(hypotheses.low_rows(results, "semantic", "chrf", judgment), judgment, order)
+
+
+def comet(pairs: DataFrame) -> DataFrame:
+    """A neural metric is not part of the engine: its column is null, and says so."""
+    return pairs.withColumn("comet", F.lit(None).cast("double")).withColumn("comet_status", F.lit("unavailable"))
+
+
+def gold_summary(rows: DataFrame) -> DataFrame:
+    """Rows of each tradition, of all labels."""
+    return summaries.counts_with_zeros(rows, "tradition", [r["tradition"] for r in gold.traditions(rows.sparkSession).collect()])
+
+
+def checkpoints(nodes: DataFrame) -> DataFrame:
+    """The graph with what is ready, and which checkpoint is next."""
+    following = summaries.next_node(nodes, "ord").select("name", F.lit(True).alias("next"))
+    return summaries.ready(nodes).join(F.broadcast(following), "name", "left").withColumn("next", F.coalesce("next", F.lit(False)))
+
+
+def memory(events: DataFrame, text: str = "") -> DataFrame:
+    """The last event of each key (step, key, ts, ord, raw), of those that hold a text."""
+    held = events.filter(F.lower("raw").contains(text.lower())) if text else events
+    return select.latest(held, ["step", "key"], ["ts", "ord"])
+
+
+def watchdog(lines: DataFrame, results: DataFrame, by: list[str]) -> DataFrame:
+    """One round: how many records are invalid, and the summary of the results."""
+    bad = validate(lines, "value", "AGENT_RUN").agg(F.count_if(F.size("violations") > 0).alias("n_invalid"))
+    return evaluate(results, by).crossJoin(F.broadcast(bad))
+
+
 STEPS = {
-    "validate": validate, "eval": evaluate, "hypothesis": select.running_best, "proof": proof, "report": evaluate, "watchdog": ledger.recent, "benchmark": meta_evaluate, "benchmark_registry": benchmark_registry,
-    "texts": gold.published, "benchmark_report": summaries.with_cost, "gold": gold.exemplars, "frontier": gold.line_pairs, "verify": verify, "checkpoints": summaries.ready, "render": render, "finetune": gold.clean,
-    "tree_search": select.tree_search, "memory": select.latest, "challenge": challenge,
+    "validate": validate, "eval": evaluate, "hypothesis": hypothesis, "proof": proof, "report": report, "watchdog": watchdog, "benchmark": meta_evaluate, "benchmark_registry": benchmark_registry,
+    "sanskrit_texts": texts, "benchmark_report": benchmark_report, "gold": gold_summary, "comet": comet, "frontier": gold.line_pairs, "verify": verify, "checkpoints": checkpoints, "render": render,
+    "finetune": finetune, "tree_search": select.tree_search, "memory": memory, "challenge": challenge,
 }
+
+
+def run(ledgers: list[str], name: str, *args, **kwargs) -> DataFrame:
+    """Runs a step by name and appends to each ledger that it ran."""
+    out = STEPS[name](*args, **kwargs)
+    entry = out.sparkSession.createDataFrame([(name, ",".join(out.columns))], "step string, columns string")
+    for path in ledgers:
+        sinks.append_ledger(entry, path)
+    return out
