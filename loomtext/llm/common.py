@@ -2,48 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.sources.scratch import remove, scratch, shared_folder
+
 #: Words of the contracts: runs of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, the warehouse, or a temporary folder for a local master."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if sc.master.startswith("local[") or sc.master == "local":
-            base = getattr(shared_folder, "local", None) or tempfile.mkdtemp(prefix="loomtext-")
-            shared_folder.local = base
-        else:
-            base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_loomtext"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return base
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a small frame with a reliable checkpoint."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may be gone; the folder is scratch
-        pass
-
-
 def forget(*frames: DataFrame) -> None:
     """Removes the tables that materialise() wrote for these frames, once nothing reads them any more; shuffle files of frames that
     are gone are let go with them."""
@@ -51,17 +26,10 @@ def forget(*frames: DataFrame) -> None:
     for df in frames:
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if "/loomtext-" in path:
-                _remove(spark, path)
+                remove(spark, path)
     spark.sparkContext._jvm.System.gc()  # the cleaner of shuffle files follows the driver's garbage collector
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_folder(spark).rstrip('/')}/loomtext-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Writes a frame as Parquet in the shared folder and reads it back: later steps survive lost executors and never recompute it."""
     path = scratch(df.sparkSession)

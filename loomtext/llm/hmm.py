@@ -23,7 +23,7 @@ ROUNDS, LEAST_GAIN = 4, 0.002
 #: Before it, so many steps over so many texts of at most so many tokens give the first parameters.
 FIRST_STEPS, FIRST_DOCS, FIRST_LONGEST = 12, 400, 20_000
 #: Tokens that are taken together: several texts of so many at most, or a longer text block by block.
-BLOCK = 300_000
+BLOCK = 600_000
 _FLUSH = 200_000
 END = b""
 
@@ -206,45 +206,50 @@ def log10_likelihoods(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     if len(seqs) == 1 and len(seqs[0]) > BLOCK:
         return np.array([_long_likelihood(model, seqs[0])])
     order, _, live, flat = _pack(seqs)
-    total, at = np.zeros(len(seqs)), 0
-    alpha = np.tile(model.start, (len(seqs), 1))
-    for t, m in enumerate(live):
-        alpha = (alpha[:m] if t == 0 else alpha[:m] @ model.move) * model.emit[flat[at : at + m]]
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
-        total[:m] += np.log10(scale)
-        at += m
+    begins = np.concatenate([[0], np.cumsum(live)])
+    scales, b = np.empty(len(flat)), model.emit[flat]
+    for part, scale in _forward(model, live, begins, b):
+        scales[part] = scale
+    owner = np.arange(len(flat)) - np.repeat(begins[:-1], live)
     out = np.empty(len(seqs))
-    out[order] = total
+    out[order] = np.bincount(owner, np.log10(scales), minlength=len(seqs))
     return out
 
 
+def _forward(model: Hmm, live: np.ndarray, begins: np.ndarray, b: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Puts the scaled forward probabilities in the place of the emissions b, position by position, and gives each position's scales."""
+    ones, before = np.ones(STATES), None
+    for m, at in zip(live.tolist(), begins.tolist()):
+        here = b[at : at + m]
+        here *= model.start if before is None else before[:m] @ model.move
+        scale = here @ ones
+        here /= scale[:, None]
+        before = here
+        yield slice(at, at + m), scale
+
+
 def expected_counts(model: Hmm, seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
     """Adds the Baum-Welch counts of the sequences to start, move and emit, and returns their log10 likelihood."""
     if len(seqs) == 1 and len(seqs[0]) > BLOCK:
         return _long_counts(model, seqs[0], start, move, emit)
     _, _, live, flat = _pack(seqs)
     begins = np.concatenate([[0], np.cumsum(live)])
-    gamma, scales = np.empty((len(flat), STATES)), np.empty(len(flat))
-    alpha = np.tile(model.start, (len(seqs), 1))
-    b = model.emit[flat]
-    for t, m in enumerate(live):
-        part = slice(begins[t], begins[t + 1])
-        alpha = (alpha[:m] if t == 0 else alpha[:m] @ model.move) * b[part]
-        scales[part] = alpha.sum(axis=1)
-        alpha /= scales[part, None]
-        gamma[part] = alpha
-    beta = np.ones((live[-1], STATES))
-    back = model.move.T.copy()
-    for t in range(len(live) - 2, -1, -1):
-        m, n = live[t], live[t + 1]
-        after = slice(begins[t + 1], begins[t + 1] + n)
-        ahead = beta[:n] * b[after] / scales[after, None]
-        move += (gamma[begins[t] : begins[t] + n].T @ ahead) * model.move
-        gamma[after] *= beta[:n]
-        beta = np.ones((m, STATES))
-        beta[:n] = ahead @ back
-    gamma[: live[0]] *= beta[: live[0]]
+    gamma, scales = model.emit[flat], np.empty(len(flat))
+    for part, scale in _forward(model, live, begins, gamma):
+        scales[part] = scale
+    ahead = model.emit[flat]
+    ahead /= scales[:, None]
+    back, moved, beta = model.move.T.copy(), np.zeros((STATES, STATES)), np.ones((live[0], STATES))
+    live_, begins_ = live.tolist(), begins.tolist()
+    for t in range(len(live_) - 2, -1, -1):  # the rows of beta that end later are 1 until their last position comes
+        n, at, after = live_[t + 1], begins_[t], begins_[t + 1]
+        x, mine = ahead[after : after + n], beta[:n]
+        x *= mine
+        moved += gamma[at : at + n].T @ x
+        gamma[after : after + n] *= mine
+        np.matmul(x, back, out=mine)
+    move += moved * model.move
+    gamma[: live[0]] *= beta
     start += gamma[: live[0]].sum(axis=0)
     for k in range(STATES):
         emit[:, k] += np.bincount(flat, gamma[:, k], minlength=len(emit))
@@ -272,11 +277,14 @@ def _expecter(shared, symbols: int):
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((symbols, STATES))
         any_row, fit = False, np.zeros(STATES)
-        for batch in batches:
-            seqs = _tokens(batch, "symbols")
-            for a, b in _groups(seqs):
+        held: list[np.ndarray] = []  # rows of several batches together: the more texts, the fewer steps
+        for seqs in chain((_tokens(batch, "symbols") for batch in batches), [None]):
+            held += seqs or ()
+            groups = list(_groups(held))
+            for a, b in groups if seqs is None else groups[:-1]:
                 any_row = True
-                fit[0] += expected_counts(shared.value, seqs[a:b], start, move, emit)
+                fit[0] += expected_counts(shared.value, held[a:b], start, move, emit)
+            held = held[groups[-1][0] :] if groups else held
         if any_row:
             used = np.flatnonzero(emit.any(axis=1))
             at = np.concatenate([used, symbols + np.arange(STATES + 2)])

@@ -14,6 +14,8 @@ from loomtext.llm.common import binary, fold, lean, runs
 
 #: Hashed features, n-gram lengths, and how many labelled rows of a language are expected in the training sample at most.
 FEATURES, LENGTHS, ROWS_PER_LANG = 1 << 16, (1, 2, 3), 3000
+#: Languages at most: each takes 256 KB of the matrix that is broadcast.
+MOST_LANGS = 1000
 UNKNOWN = "und"
 
 
@@ -62,10 +64,13 @@ def train(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> tuple[list
 
     It is fitted on a sample bounded by a documented parameter: of each language, by a hash of doc_id, rows_per_lang rows
     in expectation. Counts are summed by task, then by language and feature; at most languages x 65,536 numbers reach the
-    driver. Rows with a null text or language teach nothing. No rows at all: no languages, and every text is "und".
+    driver, and more than MOST_LANGS languages are an error. Rows with a null text or language teach nothing. No rows at all:
+    no languages, and every text is "und".
     """
     rows = lean(labelled).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages: their matrix would not fit the broadcast")
     if not sizes:
         return [], np.zeros((FEATURES, 0), np.float32)
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_lang / n)))])[F.col("lang")]
@@ -114,7 +119,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Fits on the rows of docs that are not held out (crc32 of the id modulo 5 is not 0) and predicts the language of every row."""
+    """Fits on the rows of docs that are not held out (crc32 of the id modulo 5 is not 0) and predicts the language of every row.
+
+    A null doc_id counts as the empty text in the fold. Rows that repeat an id are each learned from and predicted for itself;
+    a null or empty text, or one without a letter, is "und" with score 0; texts of any length are read whole; an empty table
+    gives an empty result; columns but doc_id, text and lang play no part.
+    Returns doc_id, held_out, lang_pred, score.
+    """
     learned = train(docs.filter(~held_out(F.col("doc_id"))))
     return predict(docs, "doc_id", "text", learned).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import lean, materialise, scratch, small
+from loomtext.llm.common import lean, materialise, small
+from loomtext.sources.scratch import file_system, scratch
 
 CRLF = "\r\n"
 END = CRLF * 2
@@ -51,13 +52,11 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _name_archives(spark: SparkSession, path: str) -> None:
     """Gives the written files the suffix of archives, by which readers know that they are compressed."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder, fs = file_system(spark, path)
     for f in fs.listStatus(folder):
         name = f.getPath().getName()
         if name.startswith("part-") and not name.endswith(".gz"):
-            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name.split(".")[0] + ".warc.gz"))
+            fs.rename(f.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, name.split(".")[0] + ".warc.gz"))
 
 
 def write_captures(pages: DataFrame, path: str, least: int = LEAST_SHARED) -> None:

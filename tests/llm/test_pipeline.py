@@ -10,6 +10,8 @@ import corpus_pipeline
 import xxhash
 from test_documents import brute_components, brute_targets, edits, tokens
 
+from loomtext.llm import langid
+
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog while seventeen zebras quietly watch from a hill."), (2, "Another passage of some length that must never be leaked into any of these documents at all."), (3, None)]
 VOWELS = {"en": ("ea", "ou", "th"), "de": ("sch", "ei", "ung"), "fr": ("eau", "é", "que")}
 
@@ -41,7 +43,8 @@ def brute_grams(text):
             yield ((h * 0xC2B2AE35 + n) & 0xFFFFFFFF) >> 16
 
 
-def brute_language(rows):
+def brute_predictions(rows):
+    """lang and posterior of each row, or "und"."""
     counts = {}
     for d, text, lang, *_ in rows:
         if lang is not None and text is not None and zlib.crc32(("" if d is None else str(d)).encode()) % 5:
@@ -49,14 +52,28 @@ def brute_language(rows):
     sums = {k: sum(c.values()) + 0.5 * 65536 for k, c in counts.items()}
     out = []
     for r in rows:
+        best = ("und", 0.0)
         if r[1] and any(map(str.isalpha, r[1])):
             grams = list(brute_grams(r[1]))
-            logs = [sum(math.log((c[g] + 0.5) / sums[k]) for g in grams) for k, c in counts.items()]
-            if 1 / sum(math.exp(x - max(logs)) for x in logs) >= 0.5:
-                out.append(r)
+            logs = {k: sum(math.log((c[g] + 0.5) / sums[k]) for g in grams) for k, c in sorted(counts.items())}
+            top = max(logs, key=logs.get)
+            best = (top, 1 / sum(math.exp(x - logs[top]) for x in logs.values()))
+        out.append(best)
     return out
 
 
+def brute_language(rows):
+    return [r for r, (lang, sure) in zip(rows, brute_predictions(rows)) if lang != "und" and sure >= 0.5]
+
+
+def test_languages_equal_brute_force(spark):
+    rows = fixture()
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars int, score int, key string").repartition(3)
+    got = langid.identify(df).collect()
+    want = [(-1 if r[0] is None else r[0], zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 == 0, k, round(p, 3)) for r, (k, p) in zip(rows, brute_predictions(rows))]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.lang_pred, round(r.score, 3)) for r in got) == sorted(want)
+
+
 def brute_dedup(rows):
     known = brute_components([r[:2] for r in rows if r[0] is not None], 80)
     kept, seen = [], set()
@@ -141,3 +158,24 @@ def test_every_stage_equals_brute_force(spark, tmp_path):
     assert last(corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path))) == want
     assert last(corpus_pipeline.run(spark, str(tmp_path))) == want
     assert len(corpus_pipeline.STAGES) == 5 and {r[0] for r in rows} >= {None} and not {r[0] for r in rows} & {40, 50, 60, 61, 100, 101, 102, 103}
+
+
+def test_the_pipeline_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "shard", "slot"} <= set(out.columns)
+
+
+def test_the_pipeline_keeps_more_columns_and_long_texts(spark, tmp_path):
+    """Columns whose names the operators use themselves, a very long text, and an id on several rows."""
+    rnd = random.Random(5)
+    rows = [(d, " ".join("the " + "".join(rnd.choice("aeioustr") for _ in range(5)) for _ in range(60_000 if d == 3 else 40)), "en", "s", 1, d, "k", d % 2) for d in [*range(30), 7]]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, size long, key string, copies int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "never to be found anywhere at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+    assert 3 in {r.doc_id for r in docs.select("doc_id").collect()} and corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() == docs.count()
