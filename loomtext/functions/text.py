@@ -27,14 +27,16 @@ def with_grams(df: DataFrame, text: str, name: str, longest: int = 3) -> DataFra
     bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, "")
     none = F.array().cast("array<string>")
 
-    def grams(c: Column, n: int) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))
-        return F.when(F.size(c) >= n, F.array_distinct(windows)).otherwise(none)
-
-    def sets(c: Column) -> Column:
-        return F.struct(*[grams(c, n).alias(f"g{n}") for n in range(1, longest + 1)])
-
-    df = df.withColumn(f"{name}_s", F.get(F.transform(F.array(F.when(bare == "", none).otherwise(F.split(bare, ""))), sets), F.lit(0)))
+    def sets(c: Column, grams: Column, n: int, done: list[Column]) -> Column:
+        """Longer grams are made from shorter ones, each by one character more; lists are bound before they are used twice."""
+        done = [*done, F.array_distinct(grams).alias(f"g{n}")]
+        if n == longest:
+            return F.struct(*done)
+        left = F.greatest(F.size(grams) - 1, F.lit(0))
+        longer = F.zip_with(F.slice(grams, F.lit(1), left), F.slice(c, F.lit(n + 1), left), lambda a, b: F.concat(a, b))
+        return F.get(F.transform(F.array(longer), lambda x: sets(c, x, n + 1, done)), F.lit(0))
+
+    df = df.withColumn(f"{name}_s", F.get(F.transform(F.array(F.when(bare == "", none).otherwise(F.split(bare, ""))), lambda c: sets(c, c, 1, [])), F.lit(0)))
     for n in range(1, longest + 1):
         df = df.withColumn(f"{name}_{n}", F.col(f"{name}_s.g{n}"))
     return df.drop(f"{name}_s")

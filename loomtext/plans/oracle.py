@@ -172,10 +172,14 @@ SQL = {
     "seeded_sample": "SELECT doc_id, source, sha256('42:' || doc_id) AS sample_key FROM documents ORDER BY sample_key LIMIT 100",
     "beam_search": f"WITH {BEAM} SELECT * FROM nodes",
     "best_node": f"WITH {BEAM} SELECT node_id, score FROM nodes ORDER BY score DESC, string_split(node_id, '.') LIMIT 1",
-    "price_lookup": """WITH p AS (SELECT replace(p_name, ' ', '-') AS id, round(p_retailprice / 1e9, 9) AS prompt, round(p_size / 1e7, 9) AS completion, p_partkey AS ord FROM part WHERE p_partkey < 50),
-        u AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'vendor/' ELSE '' END || replace(p_name, ' ', '-') || CASE WHEN p_partkey % 3 = 0 THEN '-v2' ELSE '' END AS model, p_size FROM part WHERE p_partkey % 7 = 0),
+    "price_lookup": """WITH p AS (SELECT replace(p_name, ' ', '-') AS id, round(p_retailprice / 1e9, 9) AS prompt, round(p_size / 1e7, 9) AS completion, p_partkey AS ord FROM part),
+        u AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'vendor/' ELSE '' END || replace(p_name, ' ', '-') || CASE WHEN p_partkey % 3 = 0 THEN '-v2' ELSE '' END AS model, p_size FROM part),
         m AS (SELECT model, avg(p_size) AS quality, string_split(model, '/')[-1] AS tail FROM u GROUP BY 1),
-        j AS (SELECT m.*, p.*, CASE WHEN model = id THEN 1 WHEN tail = id THEN 2 WHEN len(string_split(tail, '-')) > 1 AND contains(id, string_split(tail, '-')[1]) AND contains(id, string_split(tail, '-')[2]) THEN 3 END AS match_level FROM m, p),
+        f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1),
+        w AS (SELECT DISTINCT string_split(tail, '-')[1] AS p1, string_split(tail, '-')[2] AS p2 FROM m WHERE len(string_split(tail, '-')) > 1),
+        l AS (SELECT p1, p2, min_by(f, ord) AS f FROM w JOIN f ON contains(id, p1) AND contains(id, p2) GROUP BY 1, 2),
+        j AS (SELECT model, f.*, 1 AS match_level FROM m JOIN f ON model = id UNION ALL SELECT model, f.*, 2 FROM m JOIN f ON tail = id
+              UNION ALL SELECT model, unnest(l.f), 3 FROM m JOIN l ON string_split(tail, '-')[1] = p1 AND string_split(tail, '-')[2] = p2),
         k AS (SELECT * FROM j WHERE match_level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY model ORDER BY match_level, ord) = 1),
         c AS (SELECT m.model, k.id, k.match_level, round(prompt * 15000 + completion * 5000, 6) AS cost, round((prompt * 15000 + completion * 5000) * 1000, 3) AS cost_per_1000, m.quality FROM m LEFT JOIN k USING (model))
         SELECT model, id, match_level, cost, cost_per_1000, CASE WHEN quality <> 0 AND cost_per_1000 <> 0 THEN round(quality / greatest(cost_per_1000, 1e-9), 6) END AS quality_per_cost FROM c""",
