@@ -58,7 +58,7 @@ def manifest(passages: DataFrame, version: str, sources: DataFrame | None = None
     """One row: version, n_passages, n_sources, defended levels, lineage requirements and a hash of the passages' content alone."""
     tagged = passages.withColumn("version", F.lit(version))
     out = tagged.groupBy("version").agg(F.count("*").alias("n_passages")).join(provenance.set_hash(tagged, ["version"], ["passage_id"], ["passage_id", "source", "school"], "manifest_hash"), "version")
-    n = F.lit(0).cast("long") if sources is None else F.lit(sources.count())
+    n = F.lit(0 if sources is None else sources.count()).cast("long")
     return out.withColumns({"n_sources": n, "defended": F.array(*map(F.lit, defended)), "lineage_requirements": F.array(*map(F.lit, lineage))})
 
 

@@ -99,7 +99,7 @@ def registry_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = registry.add_sources(spark, [("a", "A", "u", "l", "d"), ("a", "A2", "u", "l", "d"), ("b", "B", "u", "l", "d")])
     m = registry.manifest(_registry(spark, sf_dir), "0.1.0", sources)
-    return m.select("version", "n_passages", "n_sources", F.array_join("defended", ",").alias("defended"), F.size("lineage_requirements").alias("n_requirements"), "manifest_hash")
+    return m.select("version", "n_passages", F.col("n_sources").cast("long").alias("n_sources"), F.array_join("defended", ",").alias("defended"), F.size("lineage_requirements").alias("n_requirements"), "manifest_hash")
 
 
 def checkpoint_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,7 @@ def evidence_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split("cand", " "), lambda w: w != "")
     o = evidence.evidence_object(F.col("ref"), F.col("cand"), gates.gate(F.col("b")), F.col("b"), words, F.array("ref", "cand"))
     t = t.withColumn("o", o)
-    return t.select("conv_id", "turn", F.size("o.claim.parallel_evidence").alias("n_parallels"), F.col("o.claim.candidate.sha256").alias("candidate_sha"), F.col("o.claim.decision").alias("decision"), F.col("o.artifact_hash").alias("artifact_hash"))
+    return t.select("conv_id", "turn", F.size("o.claim.parallel_evidence").cast("long").alias("n_parallels"), F.col("o.claim.candidate.sha256").alias("candidate_sha"), F.col("o.claim.decision").alias("decision"), F.col("o.artifact_hash").alias("artifact_hash"))
 
 
 def proof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +155,7 @@ def host_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").withColumn("raw", F.concat(F.lit(' \n""'), F.col("text"), F.lit('" \t')))
     a = text.clean_answer(F.col("raw"))
-    return c.select("conv_id", "turn", text.pair_hash(a).alias("answer"), text.prefix(a, 50).alias("head"), text.word_count(a).alias("n_words"))
+    return c.select("conv_id", "turn", text.pair_hash(a).alias("answer"), text.prefix(a, 50).alias("head"), text.word_count(a).cast("long").alias("n_words"))
 
 
 def validity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +197,7 @@ def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = lines.passage(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text"), "file", "text", 300)
-    return select.head(p.select("file", F.length("source").alias("n"), F.sha2("source", 256).alias("sha")), ["file"], 0)
+    return select.head(p.select("file", F.length("source").cast("long").alias("n"), F.sha2("source", 256).alias("sha")), ["file"], 0)
 
 
 QUERIES = {
@@ -314,7 +314,7 @@ SQL = {
     "evidence_nested": f"""WITH {oracle.TURNS}, {oracle.default_gate('turns')}, w AS (SELECT *, list_filter(string_split(cand, ' '), lambda x: x <> '')[1:5] AS par, CASE WHEN gate = 'PASS' THEN 'accepted' ELSE 'review' END AS decision FROM verdicts),
         o AS (SELECT *, CAST(to_json({{'source': {{'text': ref, 'sha256': sha256(ref)}}, 'candidate': {{'text': cand, 'sha256': sha256(cand)}}, 'deterministic_gate': gate, 'blocking': blocking, 'parallel_evidence': par, 'candidate_distribution': [ref, cand], 'decision': decision}}) AS VARCHAR) AS body FROM w)
         SELECT conv_id, turn, len(par) AS n_parallels, sha256(cand) AS candidate_sha, decision, sha256(body) AS artifact_hash FROM o""",
-    "proof_scores": f"""WITH {oracle.METRICS}, {oracle.default_gate('m')} SELECT conv_id, turn, gate, round(CAST(chrf AS DOUBLE), 3) AS gold_chrf, turn % 5 / 5 AS semantic, CASE WHEN gate = 'PASS' THEN 'accepted' ELSE 'review' END AS decision, 'available' AS ensemble, 'unavailable' AS morph FROM verdicts""",
+    "proof_scores": f"""WITH {oracle.METRICS}, {oracle.default_gate('m')} SELECT conv_id, turn, gate, CAST(round(CAST(chrf AS DECIMAL(9, 4)), 3) AS DOUBLE) AS gold_chrf, turn % 5 / 5 AS semantic, CASE WHEN gate = 'PASS' THEN 'accepted' ELSE 'review' END AS decision, 'available' AS ensemble, 'unavailable' AS morph FROM verdicts""",
     "severity_totals": "SELECT event_type, CAST(sum([1, 5, 25, NULL][event_id % 4 + 1]) AS BIGINT) AS weight, count([1, 5, 25, NULL][event_id % 4 + 1]) AS n FROM events GROUP BY 1",
     "host_verdicts": "SELECT s_suppkey, CASE WHEN s_acctbal / 4000 >= 1 THEN 'SAFE' WHEN s_acctbal / 4000 < 0.4 THEN 'CRITICAL' ELSE 'CAUTION' END AS verdict FROM supplier",
     "answer_cleanup": f"""WITH a AS (SELECT conv_id, turn, {_STRIP(f"regexp_replace(trim(' ' || text || '\"', '\"'), '^\"+|\"+$', '', 'g')")} AS answer FROM conversations)

@@ -59,7 +59,7 @@ def _published(spark: SparkSession, sf_dir: str) -> str:
 
 def published_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = gold.published(spark, _published(spark, sf_dir), gold.SOURCE_PREFIX)
-    return p.select("passage_id", F.length("source").alias("n_source"), "gold", "tradition")
+    return p.select("passage_id", F.length("source").cast("long").alias("n_source"), "gold", "tradition")
 
 
 def _pair_lines(spark: SparkSession, sf_dir: str, name: str = "benchmark", key: str = "item_id") -> str:
@@ -299,12 +299,12 @@ SQL = {
     "run_store": f"SELECT sha256(n_name) AS run_signature, 'kind ' || n_regionkey * 2 AS kind, '2024-01-02' AS ts FROM {_NATION}",
     "recorded_runs": """WITH t AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations WHERE text IS NOT NULL GROUP BY 1), r AS (SELECT conv_id, t || t || t || t || t || t || t || t || t AS o FROM t)
         SELECT conv_id, CAST(least(20, len(o)) AS INTEGER) AS n_kept, sha256(array_to_string(o, chr(1))) AS out_hash FROM r""",
-    "ledger_appends": f"SELECT 'runs' AS ledger, lower(n_name) AS step, CASE WHEN n_nationkey < 5 THEN 2 ELSE 1 END AS n, CASE WHEN n_nationkey < 5 THEN 2 ELSE 1 END AS n_stamped FROM {_NATION}",
+    "ledger_appends": f"SELECT 'runs' AS ledger, lower(n_name) AS step, CASE WHEN n_nationkey < 5 THEN 2 ELSE 1 END::BIGINT AS n, n AS n_stamped FROM {_NATION}",
     "day_exports": f"SELECT '2024-01-01' AS export, count(*) FILTER (n_nationkey % 3 = 0) AS n FROM {_NATION} UNION ALL SELECT '2024-01-02', count(*) FROM {_NATION} UNION ALL SELECT 'lines', count(*) FILTER (n_nationkey > 20) FROM {_NATION}",
     "frozen_registry": f"""SELECT '1.0.0' AS version, count(*) AS n_passages, sha256(string_agg(sha256(n_name || chr(1) || n_comment || chr(1) || n_regionkey), chr(1) ORDER BY n_name)) AS manifest_hash FROM {_NATION}
         UNION ALL SELECT 'read', count(*), '' FROM {_NATION} UNION ALL SELECT 'none', 0, ''""",
     "nested_runs": "SELECT user_id, count(*) AS n, round(max(value), 2) AS top, CAST(count(*) AS INTEGER) AS n_rows, min(event_id) AS first_event FROM events GROUP BY 1",
-    "registry_lines": f"SELECT n_nationkey AS i, n_name AS name FROM {_NATION} WHERE n_nationkey % 3 = 0",
+    "registry_lines": f"SELECT CAST(n_nationkey AS BIGINT) AS i, n_name AS name FROM {_NATION} WHERE n_nationkey % 3 = 0",
     "price_catalogues": f"""SELECT lower(n_name) AS id, n_nationkey / 8 AS prompt, n_nationkey / 4 AS completion, CAST(n_nationkey AS INTEGER) AS ord FROM {_NATION} WHERE n_nationkey < 12 UNION ALL SELECT * FROM (VALUES ('m1', 0.5, 1.5, 0), ('m2', 2.0, NULL, 1))""",
     "code_fingerprints": f"""WITH f AS (SELECT n_nationkey || '.py' AS name, sha256(n_comment) AS sha256 FROM {_NATION} WHERE n_nationkey < 6)
         SELECT * FROM f UNION ALL SELECT 'code', sha256(string_agg(name || chr(1) || sha256, chr(1) ORDER BY name)) FROM f UNION ALL SELECT 'config', sha256('batch' || chr(1) || '8' || chr(1) || 'model' || chr(1) || 'm')""",
