@@ -101,7 +101,7 @@ def gold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = n.select(F.when(F.pmod("n_nationkey", F.lit(8)) == 5, "nowhere").otherwise(F.col("n_name")).alias("passage_id"), "n_nationkey", F.substring("n_comment", 3, 30).alias("candidate"))
     e = _exemplars(spark, sf_dir)
     a, b = gold.score_vs_gold(e, c), gold.score_vs_gold(e, c, "bleu1")
-    first = gold.first_gold(e, "FRANCE").select(F.lit(-1).alias("n_nationkey"), F.lit(0.0).alias("chrf"), F.length("gold").cast("double").alias("bleu1"))
+    first = gold.first_gold(e, "NATION_10").select(F.lit(-1).alias("n_nationkey"), F.lit(0.0).alias("chrf"), F.length("gold").cast("double").alias("bleu1"))
     return a.select("n_nationkey", F.col("score").alias("chrf")).join(b.select("n_nationkey", F.col("score").alias("bleu1")), "n_nationkey").unionByName(first)
 
 
@@ -287,7 +287,7 @@ SQL = {
     "gold_scores": f"""WITH {_EX}, first AS (SELECT passage_id, gold FROM ex QUALIFY row_number() OVER (PARTITION BY passage_id ORDER BY part, ord) = 1),
         c0 AS (SELECT n_nationkey, CASE WHEN n_nationkey % 8 = 5 THEN 'nowhere' ELSE n_name END AS passage_id, substr(n_comment, 3, 30) AS cand FROM {_NATION}), c1 AS MATERIALIZED (SELECT c0.*, gold AS ref, {oracle.bare('gold')} AS rb, {oracle.bare('cand')} AS cb FROM c0 LEFT JOIN first USING (passage_id)),
         c2 AS MATERIALIZED (SELECT *, {oracle.all_grams('rb', 'r')}, {oracle.all_grams('cb', 'c')}, {oracle.words('ref')} AS rw, {oracle.words('cand')} AS cw FROM c1), c3 AS (SELECT n_nationkey, {oracle.BLEU} AS bleu1, {oracle.shares('r', 'c')} FROM c2)
-        SELECT n_nationkey, CAST({oracle.CHRF} AS DOUBLE) AS chrf, CAST(bleu1 AS DOUBLE) AS bleu1 FROM c3 UNION ALL SELECT -1, 0, length(gold) FROM first WHERE passage_id = 'FRANCE'""",
+        SELECT n_nationkey, CAST({oracle.CHRF} AS DOUBLE) AS chrf, CAST(bleu1 AS DOUBLE) AS bleu1 FROM c3 UNION ALL SELECT -1, 0, length(gold) FROM first WHERE passage_id = 'NATION_10'""",
     "frontier_pairs": r"""WITH s AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i, regexp_replace(text, '[\r\n]+', ' ', 'g') AS text FROM benchmark)
         SELECT 'flores:' || i AS passage_id, left(sha256(trim(text)), 16) AS source, 'gold ' || item_id AS gold, 'test' AS split FROM s WHERE item_id < 150 AND item_id % 7 <> 2 AND item_id % 5 <> 1 ORDER BY i LIMIT 60""",
     "canon_sample": f"WITH {_CANON} SELECT * FROM canon",
@@ -299,7 +299,7 @@ SQL = {
     "run_store": f"SELECT sha256(n_name) AS run_signature, 'kind ' || n_regionkey * 2 AS kind, '2024-01-02' AS ts FROM {_NATION}",
     "recorded_runs": """WITH t AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations WHERE text IS NOT NULL GROUP BY 1), r AS (SELECT conv_id, t || t || t || t || t || t || t || t || t AS o FROM t)
         SELECT conv_id, CAST(least(20, len(o)) AS INTEGER) AS n_kept, sha256(array_to_string(o, chr(1))) AS out_hash FROM r""",
-    "ledger_appends": f"SELECT 'runs' AS ledger, lower(n_name) AS step, CASE WHEN n_nationkey < 5 THEN 2 ELSE 1 END::BIGINT AS n, n AS n_stamped FROM {_NATION}",
+    "ledger_appends": f"SELECT 'runs' AS ledger, lower(n_name) AS step, CAST(CASE WHEN n_nationkey < 5 THEN 2 ELSE 1 END AS BIGINT) AS n, CAST(CASE WHEN n_nationkey < 5 THEN 2 ELSE 1 END AS BIGINT) AS n_stamped FROM {_NATION}",
     "day_exports": f"SELECT '2024-01-01' AS export, count(*) FILTER (n_nationkey % 3 = 0) AS n FROM {_NATION} UNION ALL SELECT '2024-01-02', count(*) FROM {_NATION} UNION ALL SELECT 'lines', count(*) FILTER (n_nationkey > 20) FROM {_NATION}",
     "frozen_registry": f"""SELECT '1.0.0' AS version, count(*) AS n_passages, sha256(string_agg(sha256(n_name || chr(1) || n_comment || chr(1) || n_regionkey), chr(1) ORDER BY n_name)) AS manifest_hash FROM {_NATION}
         UNION ALL SELECT 'read', count(*), '' FROM {_NATION} UNION ALL SELECT 'none', 0, ''""",
