@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -85,10 +85,18 @@ def triangulate(parallels: DataFrame, sources: DataFrame, source_id: str) -> Dat
 
 
 def word_grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """key and each distinct n-gram of lower-cased words."""
-    df = df.select(F.col(key), words(F.lower(F.col(text))).alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))
-    return df.filter(F.size("w") >= n).select(key, F.explode(F.array_distinct(grams)).alias("gram"))
+    """key and each n-gram of lower-cased words, as often as it occurs. Longer grams are made from shorter ones, each by one word
+    more; lists are bound as lambdas' variables, so that each is made once for a text."""
+
+    def grown(w: Column, grams: Column, k: int) -> Column:
+        if k == n:
+            return grams
+        left = F.greatest(F.size(grams) - 1, F.lit(0))
+        longer = F.zip_with(F.slice(grams, F.lit(1), left), F.slice(w, F.lit(k + 1), left), lambda a, b: F.concat_ws(" ", a, b))
+        return F.get(F.transform(F.array(longer), lambda x: grown(w, x, k + 1)), F.lit(0))
+
+    made = F.get(F.transform(F.array(words(F.lower(F.col(text)))), lambda w: grown(w, w, 1)), F.lit(0))
+    return df.select(F.col(key), F.explode(made).alias("gram"))
 
 
 def shared_grams(small: DataFrame, small_key: str, small_text: str, corpus: DataFrame, key: str, text: str, n: int = 3, top: int = 3) -> DataFrame:
@@ -96,9 +104,10 @@ def shared_grams(small: DataFrame, small_key: str, small_text: str, corpus: Data
 
     The small side's grams are counted; up to MOST_GRAMS are broadcast, so that of the corpus only grams that match are shuffled.
     """
-    a, b = word_grams(small, small_key, small_text, n), word_grams(corpus, key, text, n)
+    a, b = word_grams(small, small_key, small_text, n).distinct(), word_grams(corpus, key, text, n)
     few = a.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS
-    counts = b.join(F.broadcast(a) if few else a, "gram").groupBy(small_key, key).agg(F.count("*").alias("n_shared"))
+    met = b.join(F.broadcast(a), "gram") if few else b.distinct().join(a, "gram")
+    counts = met.groupBy(small_key, key).agg(F.count_distinct("gram").alias("n_shared"))
     rank = F.row_number().over(Window.partitionBy(small_key).orderBy(F.desc("n_shared"), key))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= top)
 
