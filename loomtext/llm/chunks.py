@@ -218,7 +218,7 @@ def _in_step(pieces: DataFrame, nth: str) -> DataFrame:
     order = Window.partitionBy("doc_id", "part", "first", "step").orderBy(nth)
     again = again.withColumn("run", F.col(nth) - F.dense_rank().over(order))
     out = materialise(again.groupBy("doc_id", "part", "first", "step", "run").agg(*_span()).select(*_RUN, *_SPAN))
-    forget(held, places)
+    forget(held, places, shuffles=True)
     return out
 
 
@@ -235,7 +235,7 @@ def chunk_runs(texts: DataFrame, n_words: int) -> DataFrame:
     """Runs of chunks that follow each other and that one smaller id holds too, of n_words words at least."""
     table = materialise(chunk_table(texts))
     told = _in_step(table.withColumns({"first_chunk": F.col("nth"), "last_chunk": F.col("nth")}), "nth")
-    forget(table)
+    forget(table, shuffles=True)
     return told.filter(F.col("end_word") - F.col("start_word") >= n_words)
 
 
@@ -256,11 +256,11 @@ def word_runs(texts: DataFrame, n_words: int, known: DataFrame | None = None) ->
     if known is not None:
         hits = hits.join(known.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("known")), ["doc_id", "part"], "left")
     hits = materialise(hits if known is not None else hits.withColumn("known", F.lit(None).cast("array<struct<start_byte:int,end_byte:int>>")))
-    forget(table)
+    forget(table, shuffles=True)
     found = texts.join(hits, ["doc_id", "part"]).select("doc_id", "part", "text", "hits", "known")
     dealt = materialise(found.mapInArrow(_windows_of(n_words), f"doc_id long, part int, {_DIGEST_SQL}, {ints}"))
     told = _in_step(dealt, "start_word")
-    forget(dealt, hits)
+    forget(dealt, hits, shuffles=True)
     return told.unionByName(copies.withColumn("part", F.hash("body")).withColumn("step", _place(F.col("part"), F.lit(0))).select(*_RUN, *_SPAN))
 
 

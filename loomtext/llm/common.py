@@ -19,15 +19,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def forget(*frames: DataFrame) -> None:
-    """Removes the tables that materialise() wrote for these frames, once nothing reads them any more; shuffle files of frames that
-    are gone are let go with them."""
+def forget(*frames: DataFrame, shuffles: bool = False) -> None:
+    """Removes the tables that materialise() wrote for these frames, once nothing reads them any more; with `shuffles` the shuffle
+    files of frames that are gone are let go too, which the driver's garbage collector tells their cleaner."""
     spark = frames[0].sparkSession
     for df in frames:
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if "/loomtext-" in path:
                 remove(spark, path)
-    spark.sparkContext._jvm.System.gc()  # the cleaner of shuffle files follows the driver's garbage collector
+    if shuffles:
+        spark.sparkContext._jvm.System.gc()
 
 
 def materialise(df: DataFrame) -> DataFrame:
