@@ -122,6 +122,13 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys(range(100, 140), 100)}
 
 
+def test_components_of_a_hub(spark):
+    rnd = np.random.default_rng(6)
+    hub = [(5000, int(x)) for x in rnd.permutation(9000) if x != 5000] + [(int(x), int(x) + 10_000) for x in rnd.integers(0, 9000, 3000)]
+    got = components(spark.createDataFrame(hub, "u long, v long").repartition(5)).collect()
+    assert len(got) == len({x for e in hub for x in e}) and {r.component for r in got} == {0}
+
+
 def test_shards_equal_brute_force(docs, odd, empty):
     for df in (docs, odd):
         rows = sorted(((r.doc_id if r.doc_id is not None else -1), zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 1) for r in df.collect())
@@ -386,6 +393,14 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     assert len(want) > 60
 
 
+def test_decontamination_of_a_very_long_text(spark):
+    edited = ITEM.replace("fox", "föx").replace("lazy ", "").replace("hill", "hilll")  # two bytes for one, five less, one more
+    rows = [(1, LONG + " " + edited + " " + LONG), (2, LONG + LONG), (3, (ITEM[:70] + " cut ") * 400)]
+    got = qgram.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, ITEM), (1, ITEM), (2, LONG[:30000])], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in got) == [(1, 1, 8), (1, 1, 8), (1, 2, 0), (2, 2, 0)]
+    assert got[0].start >= len(LONG) - 2 or got[0].item_id == 2
+
+
 def test_alignment_equals_full_dynamic_programming():
     import random
 
@@ -440,6 +455,14 @@ def test_passages_of_several_documents_are_told_apart(spark):
     assert {(r.doc_id, r.first_doc_id) for r in told} >= {(3, 1), (3, 2), (4, 1), (4, 2), (4, 3), (6, 5)}
 
 
+def test_a_passage_that_very_many_documents_hold(spark):
+    """A hot digest: one passage in 1,500 documents, a third of them with it at another place; the smallest id keeps it."""
+    passage = " ".join(f"hot{i}" for i in range(55))
+    rows = [(d, (f"lead{d} " * (d % 3)) + passage + f" tail{d}") for d in range(1500)]
+    told = chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted((r.doc_id, r.first_doc_id, r.n_words) for r in told) == [(d, 0, 55) for d in range(1, 1500)]
+
+
 def brute_passages(rows, n):
     """Every run of windows of n words that one smaller id holds too, in step with its first places there, as (doc_id, first_doc_id, start_byte, end_byte, n_words)."""
     first, cut = {}, []
