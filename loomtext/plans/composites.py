@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import gates, lexicon, perturb, provenance, text
 from loomtext.operators import hypotheses, ledger, registry, select, summaries
-from loomtext.plans import evidence, oracle
+from loomtext.plans import evidence, oracle, steps
 from loomtext.plans import lexicons as X
 from loomtext.plans.queries import gold_hashes, school_index, table, turns
 from loomtext.plans.queries import challenges as _challenges
@@ -200,11 +200,22 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.head(p.select("file", F.length("source").cast("long").alias("n"), F.sha2("source", 256).alias("sha")), ["file"], 0)
 
 
+def render_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each conversation with a judge's score: how far those that are valid agree."""
+    t = turns(spark, sf_dir).select("conv_id", "turn", F.col("ref").alias("source"), F.col("cand").alias("candidate"), F.when(F.pmod("turn", F.lit(4)) != 3, F.pmod("turn", F.lit(5)) / 4).alias("semantic"))
+    return steps.render(t, "conv_id", "turn")
+
+
+def memory_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("step"), F.col("user_id").cast("string").alias("key"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("event_id").alias("ord"), F.concat(F.lit("Noted "), "event_id").alias("raw"))
+    return steps.memory(e, "NOTED 1").select("step", "key", "ord", "raw")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         challenge_rows, low_families, hypothesis_plan, hypothesis_trials, hypothesis_rounds, tier_tasks, finetune_build, annotation_export, baseline_audit, file_violations, file_totals, registry_build, registry_manifest,
-        checkpoint_marks, strategy_scores, report_text, server_bench, evidence_nested, proof_scores, severity_totals, host_verdicts, answer_cleanup, validity, ledger_views, experiment_ids, missing_references, ordered_union, passages,
+        checkpoint_marks, strategy_scores, report_text, server_bench, evidence_nested, proof_scores, severity_totals, host_verdicts, answer_cleanup, validity, ledger_views, experiment_ids, missing_references, ordered_union, passages, render_sets, memory_latest,
     )
 }
 
@@ -329,4 +340,12 @@ SQL = {
     "ordered_union": """WITH w AS (SELECT conv_id, turn, string_split(lower(text), ' ') AS w FROM conversations), c AS (SELECT conv_id, turn, w[1:6] || w[4:9] AS u FROM w)
         SELECT conv_id, turn, array_to_string(list_filter(u, lambda x, i: list_position(u, x) = i), ' ') AS words FROM c""",
     "passages": f"WITH l AS ({oracle.LINES}), s AS (SELECT file, left(array_to_string(x, chr(10)), 300) AS source FROM l) SELECT file, length(source) AS n, sha256(source) AS sha FROM s",
+    "render_sets": f"""WITH {oracle.TURNS}, {oracle.default_gate('turns')}, q AS (SELECT *, coalesce(gate = 'PASS' AND turn % 4 <> 3 AND turn % 5 / 4 >= 0.5, false) AS valid FROM verdicts),
+        o AS MATERIALIZED (SELECT conv_id, turn, {oracle.bare('cand')} AS tb FROM q WHERE valid), v AS MATERIALIZED (SELECT conv_id, turn, {oracle.all_grams('tb', 'g')} FROM o),
+        p AS MATERIALIZED (SELECT a.conv_id, a.g1 AS a1, a.g2 AS a2, a.g3 AS a3, b.g1 AS b1, b.g2 AS b2, b.g3 AS b3 FROM v a JOIN v b ON a.conv_id = b.conv_id AND a.turn < b.turn),
+        w AS MATERIALIZED (SELECT conv_id, {oracle.shares('a', 'b')} FROM p), s AS (SELECT conv_id, avg({oracle.CHRF}) AS agree FROM w GROUP BY 1), n AS (SELECT conv_id, count(*) FILTER (valid) AS n_valid FROM q GROUP BY 1),
+        d AS (SELECT n.conv_id, n_valid, round(coalesce(agree, 1), 3) AS agreement, round(1 - coalesce(agree, 1), 3) AS disagreement FROM n LEFT JOIN s USING (conv_id))
+        SELECT *, CASE WHEN n_valid < 2 THEN 'insufficient-candidates' WHEN disagreement < 0.3 THEN 'convergent' WHEN disagreement < 0.55 THEN 'mixed' ELSE 'divergent-review' END AS verdict FROM d""",
+    "memory_latest": """SELECT event_type AS step, CAST(user_id AS VARCHAR) AS key, event_id AS ord, 'Noted ' || event_id AS raw FROM events WHERE starts_with(CAST(event_id AS VARCHAR), '1')
+        QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S') DESC, event_id DESC) = 1""",
 }

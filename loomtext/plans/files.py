@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import lexicon, provenance, text
 from loomtext.operators import ledger
-from loomtext.plans import oracle
-from loomtext.plans.queries import table
+from loomtext.plans import oracle, steps
+from loomtext.plans.queries import table, turns
 from loomtext.sources import gold, lines, sinks
 from loomtext.sources.scratch import scratch
 
@@ -22,7 +22,7 @@ def _nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("n_comment", F.concat(F.lit("The note on "), F.initcap("n_name"), F.lit(" of region "), "n_regionkey", F.when(F.pmod("n_nationkey", F.lit(3)) == 0, ", its trika and mala").otherwise(", its veda")))
 
 
-def _records(spark: SparkSession, sf_dir: str) -> str:
+def _records(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
     """One JSON file for each nation; the gold text is in another stage and form in each fifth."""
     n = _nation(spark, sf_dir)
     k, c = F.pmod("n_nationkey", F.lit(6)), F.col("n_comment")
@@ -35,7 +35,7 @@ def _records(spark: SparkSession, sf_dir: str) -> str:
         .otherwise(F.to_json(F.struct(F.struct(F.lit("x").alias("other")).alias("L2"))))
     )
     body = F.concat(F.lit('{"passage_id":"'), "n_name", F.lit('","source":{"source_text":"'), F.when(F.pmod("n_nationkey", F.lit(7)) == 0, "").otherwise(F.concat(F.lit("dharma of "), "n_name")), F.lit('"},"stages":'), stages, F.lit("}"))
-    path = scratch(spark)
+    path = path or scratch(spark)
     sinks.write_files(n.select(F.concat(F.when(F.pmod("n_nationkey", F.lit(5)) == 0, "krama-").otherwise("x-"), F.lower(F.regexp_replace("n_name", " ", "_")), F.lit(".json")).alias("name"), body.alias("text")), path)
     return path
 
@@ -48,11 +48,11 @@ def gold_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.records(spark, _records(spark, sf_dir), gold.GOLD_STAGES).select("passage_id", "source", "gold", "tradition")
 
 
-def _published(spark: SparkSession, sf_dir: str) -> str:
+def _published(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
     n = _nation(spark, sf_dir)
     k = F.pmod("n_nationkey", F.lit(4))
     body = F.to_json(F.struct(F.col("n_name").alias("id"), F.struct(F.repeat(F.concat("n_comment", F.lit(" "), F.lit("veda ")), 9).alias("text")).alias("source"), F.when(k == 1, "").when(k < 3, F.col("n_comment")).alias("l2_text"), F.when(k != 3, F.lower("n_name")).alias("l2")))
-    path = scratch(spark)
+    path = path or scratch(spark)
     sinks.write_files(n.select(F.concat("n_nationkey", F.lit(".json")).alias("name"), F.when(F.col("n_nationkey") == 8, "{broken").otherwise(body).alias("text")), path)
     return path
 
@@ -62,11 +62,11 @@ def published_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("passage_id", F.length("source").cast("long").alias("n_source"), "gold", "tradition")
 
 
-def _pair_lines(spark: SparkSession, sf_dir: str, name: str = "benchmark", key: str = "item_id") -> str:
+def _pair_lines(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
     """JSON lines over several files, some of them blank or broken."""
-    b = table(spark, sf_dir, name)
+    b, key = table(spark, sf_dir, "benchmark"), "item_id"
     line = F.when(F.pmod(key, F.lit(9)) == 4, "").when(F.pmod(key, F.lit(13)) == 5, "{broken").otherwise(F.to_json(F.struct(F.concat(F.lit("trika "), key).alias("sanskrit"), F.when(F.pmod(key, F.lit(10)) != 3, F.col("text")).alias("english"))))
-    path = scratch(spark)
+    path = path or scratch(spark)
     b.select(line.alias("value")).repartition(3).write.text(path)
     return path
 
@@ -244,11 +244,41 @@ def code_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.unionByName(code).unionByName(config)
 
 
+def test_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every registered loader by its name: all rows, and the first three."""
+    base = scratch(spark)
+    _records(spark, sf_dir, f"{base}/gold_records")
+    _published(spark, sf_dir, f"{base}/published")
+    _pair_lines(spark, sf_dir, f"{base}/pairs.jsonl")
+    b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("line "), "item_id").alias("value"), "item_id").orderBy("item_id").drop("item_id")
+    b.coalesce(1).write.text(f"{base}/left")
+    b.coalesce(1).write.text(f"{base}/right")
+    steps.register_lines("both", "left", "right")
+    out = spark.createDataFrame([], "name string, n long, n_first long")
+    for name in ("records", "published", "published-trunc", "pairs", "lines:both"):
+        every, first = steps.load(spark, name, base), steps.load(spark, name, base, 3)
+        out = out.unionByName(every.agg(F.lit(name).alias("name"), F.count("*").alias("n")).crossJoin(first.agg(F.count("*").alias("n_first"))))
+    return out
+
+
+def step_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps by name over pairs; each appends to two ledgers that it ran."""
+    one, two = scratch(spark), scratch(spark)
+    pairs = turns(spark, sf_dir).select("conv_id", "turn", F.col("ref").alias("source"), F.col("cand").alias("candidate"), F.col("ref").alias("gold"))
+    ran = {name: steps.run([one, two], name, pairs) for name in ("proof", "verify", "comet")}
+    results = [df.agg(F.lit(f"{name} rows").alias("what"), F.count("*").alias("n")) for name, df in ran.items()]
+    held = ledger.union([ledger.read_lines(spark.read.text(f"{path}/*"), k) for k, path in (("one", one), ("two", two))])
+    out = ledger.step_counts(held).select(F.concat_ws(" ", "ledger", "step").alias("what"), "n")
+    for r in results:
+        out = out.unionByName(r)
+    return out
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lab_records, gold_records, published_passages, json_pairs, exemplar_counts, tradition_rows, gold_scores, frontier_pairs, canon_sample, canon_catalogue, dataset_counts, numbered_lines, dcs_files, run_store, recorded_runs,
-        ledger_appends, day_exports, frozen_registry, nested_runs, registry_lines, price_catalogues, code_fingerprints,
+        ledger_appends, day_exports, frozen_registry, nested_runs, registry_lines, price_catalogues, code_fingerprints, test_sources, step_runs,
     )
 }
 
@@ -308,4 +338,8 @@ SQL = {
     "price_catalogues": f"""SELECT lower(n_name) AS id, n_nationkey / 8 AS prompt, n_nationkey / 4 AS completion, CAST(n_nationkey AS INTEGER) AS ord FROM {_NATION} WHERE n_nationkey < 12 UNION ALL SELECT * FROM (VALUES ('m1', 0.5, 1.5, 0), ('m2', 2.0, NULL, 1))""",
     "code_fingerprints": f"""WITH f AS (SELECT n_nationkey || '.py' AS name, sha256(n_comment) AS sha256 FROM {_NATION} WHERE n_nationkey < 6)
         SELECT * FROM f UNION ALL SELECT 'code', sha256(string_agg(name || chr(1) || sha256, chr(1) ORDER BY name)) FROM f UNION ALL SELECT 'config', sha256('batch' || chr(1) || '8' || chr(1) || 'model' || chr(1) || 'm')""",
+    "test_sources": f"""WITH {_EX}, u AS (SELECT 'records' AS name, count(*) AS n FROM rec UNION ALL SELECT 'published', count(*) FROM pub UNION ALL SELECT 'published-trunc', count(*) FROM pub UNION ALL SELECT 'pairs', count(*) FROM pair
+        UNION ALL SELECT 'lines:both', count(*) FROM benchmark) SELECT name, n, least(n, 3) AS n_first FROM u""",
+    "step_runs": f"""WITH {oracle.TURNS} SELECT l || ' ' || s AS what, 1::BIGINT AS n FROM (VALUES ('one'), ('two')) a(l), (VALUES ('proof'), ('verify'), ('comet')) b(s)
+        UNION ALL SELECT s || ' rows', count(*) FROM turns, (VALUES ('proof'), ('verify'), ('comet')) b(s) GROUP BY 1""",
 }
