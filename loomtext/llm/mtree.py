@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import forget, materialise
+from loomtext.llm.common import materialise
 
 #: Objects of a subtree and of a leaf page at most; routing objects below one of the level above; sampled objects that give first bounds.
 SUBTREE, PAGE, TOP, SEEDS = 4096, 256, 64, 1024
@@ -204,29 +204,30 @@ def _cells(vectors: DataFrame, n: int, most: float, dim: int) -> tuple[DataFrame
     near objects. A cell that they don't part (equal vectors) is left, and so are all once a level would need more than
     MOST_PIVOTS routing objects.
     """
-    placed = materialise(vectors.withColumn("cell", F.lit(0).cast("long")))
-    crowded, first = {0: n} if n > SUBTREE else {}, 1
+    placed, settled = vectors.select("id", "v", F.lit(0).cast("long").alias("cell")), []
+    crowded, flat, first = {0: n} if n > SUBTREE else {}, {}, 1
     for level in range(LEVELS):
         wanted = {c: min(TOP, -(-size // (SUBTREE // 2))) for c, size in crowded.items()}
         if not wanted or sum(wanted.values()) > MOST_PIVOTS:
             break
-        shares = placed.sparkSession.createDataFrame([(c, wanted[c] / crowded[c]) for c in wanted], "cell long, share double")
+        shares = F.broadcast(vectors.sparkSession.createDataFrame([(c, wanted[c] / crowded[c]) for c in wanted], "cell long, share double"))
         u = F.pmod(F.xxhash64(F.lit(level), "id", F.to_json("v")), F.lit(1 << 30)) / float(1 << 30)
-        rows = placed.join(F.broadcast(shares), "cell").filter(u < F.col("share")).select("cell", "v").distinct().collect()
+        by_cell: dict[int, list] = {}
+        for r in placed.join(shares, "cell").filter(u < F.col("share")).select("cell", "v").distinct().collect():
+            by_cell.setdefault(r["cell"], []).append(r["v"])
         pivots: dict[int, tuple[int, np.ndarray]] = {}
-        for c in sorted({r["cell"] for r in rows}):
-            mine = sorted(r["v"] for r in rows if r["cell"] == c)
-            pivots[c] = (first, _matrix(mine, dim))
-            first += len(mine)
-        old, placed = placed, materialise(placed.mapInArrow(_assigner(pivots, most, dim), "id long, v array<long>, cell long"))
-        forget(old)
+        for c in sorted(by_cell):
+            pivots[c] = (first, _matrix(sorted(by_cell[c]), dim))
+            first += len(by_cell[c])
+        settled.append(placed.join(shares, "cell", "left_anti"))  # only crowded cells are written again
+        placed = materialise(placed.join(shares, "cell", "left_semi").select("id", "v", "cell").mapInArrow(_assigner(pivots, most, dim), "id long, v array<long>, cell long"))
         sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > SUBTREE).collect()}
-        parted = {c: range(f, f + len(v)) for c, (f, v) in pivots.items() if len(v) > 1}
-        flat = {c for c, size in sizes.items() if not any(c in r for r in parted.values()) or any(c in r and size == crowded[p] for p, r in parted.items())}
+        parent = {f + k: c for c, (f, v) in pivots.items() for k in range(len(v))}
+        flat |= {c: size for c, size in sizes.items() if size == crowded[parent.get(c, c)]}  # nothing left the cell
         crowded = {c: size for c, size in sizes.items() if c not in flat}
-        if not crowded:
-            break
-    return placed, {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > SUBTREE).collect()}
+    for part in settled:
+        placed = placed.unionByName(part)
+    return placed, crowded | flat
 
 
 def build(vectors: DataFrame) -> tuple[DataFrame, float, int, np.ndarray]:
