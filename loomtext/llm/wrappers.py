@@ -391,9 +391,12 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     The sample is the smallest page_id of each of SAMPLES hash buckets of the host's payloads, found by a pre-aggregated
     minimum: copies of a page are one payload, and a host with a third of all pages costs no more than another."""
-    rows = pages.filter("page_id IS NOT NULL").select(host_of(F.col("url")).alias("host"), "page_id", F.pmod(F.xxhash64("html"), F.lit(SAMPLES)).alias("bucket"))
+    rows = pages.filter("page_id IS NOT NULL").select(host_of(F.col("url")).alias("host"), "page_id", F.pmod(F.xxhash64("html"), F.lit(SAMPLES)).alias("bucket"), "html")
     chosen = rows.groupBy("host", "bucket").agg(F.min("page_id").alias("page_id")).select("page_id").distinct()
-    return pages.select(host_of(F.col("url")).alias("host"), "page_id", "html").join(small(chosen, 200_000), "page_id", "left_semi").groupBy("host").applyInPandas(_infer_host, "host string, wrapper string, expression string")
+    held = rows.join(small(chosen, 200_000), "page_id", "left_semi")
+    # One row of a bucket, also where very many rows repeat its page_id: no host ever has more than SAMPLES rows in a task.
+    sample = held.groupBy("host", "bucket").agg(F.min(F.struct("page_id", F.xxhash64("html").alias("mark"), "html")).alias("p")).select("host", "p.page_id", "p.html")
+    return sample.groupBy("host").applyInPandas(_infer_host, "host string, wrapper string, expression string")
 
 
 def _extractor(known: dict[str, dict] | None):

@@ -39,6 +39,15 @@ def test_copies_of_a_page_make_no_template(spark):
     assert {got[k] for k in range(200)} == {want % 1 + " word"} and all(got[200 + k] == want % k + " word" * k for k in range(2, 5))
 
 
+def test_rows_of_one_page_id_are_one_sample(spark, monkeypatch):
+    """Many pages under one id, with different texts: a host's sample stays bounded, and every row is cut for itself."""
+    rows = [(7, "http://bare.example/", bare(k)) for k in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = wrappers.wrappers(df).collect()
+    assert len(seen) == 1 and "(<a (.*) >a)+" in seen[0].expression
+    assert sorted(r.text for r in wrappers.main_texts(df).collect()) == sorted(bare_text(k) for k in range(300))
+
+
 def test_joined_wrappers_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"http://h.example/{k}", page(k)) for k in range(6)], "page_id long, url string, html string")
     want = sorted(map(tuple, wrappers.main_texts(df).collect()))
