@@ -22,7 +22,8 @@ def verdict(disagreement: Column, n_valid: Column) -> Column:
 def candidate_disagreement(df: DataFrame, group: str, item: str, text: str, valid: str) -> DataFrame:
     """group, n_valid, agreement, disagreement, verdict: one less the mean chrF of all pairs of valid candidates.
 
-    Gram sets are built once for each text, before the pairs are joined within their passage.
+    Gram sets are built once for each text, before the pairs are joined within their passage. The pairs of a very large passage
+    are split over tasks by adaptive execution: both sides of the join are dealt by the passage alone.
     """
     sets = with_grams(df.filter(valid), text, "g").select(group, item, "g_1", "g_2", "g_3")
     a = sets.select(group, F.col(item).alias("i"), *[F.col(f"g_{n}").alias(f"a_{n}") for n in (1, 2, 3)])

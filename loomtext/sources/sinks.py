@@ -97,8 +97,19 @@ def report_values(runs: DataFrame, experiments: DataFrame, date: str) -> dict[st
     }
 
 
-def report(template: str, values: dict[str, object]) -> str:
-    """Fills @NAME@ tokens of a template."""
+#: A report of all that report_values gives.
+DEFAULT_TEMPLATE = """Runs: @N_RUNS@, experiments: @N_EXP@ (@DATE@)
+
+@METRIC_TABLE@
+
+Signatures: @RUN_SIGNATURES@
+Claims: @ASSERTION_CITATIONS@
+"""
+
+
+def report(template: str | None, values: dict[str, object]) -> str:
+    """Fills @NAME@ tokens of a template, or of the default one."""
+    template = DEFAULT_TEMPLATE if template is None else template
     for name, value in values.items():
         template = template.replace(f"@{name}@", str(value))
     return template

@@ -106,6 +106,15 @@ def test_registry_steps(spark, tmp_path):
     assert len(steps.STEPS) == 20 and len(set(steps.STEPS.values())) == 20
 
 
+def test_reports(spark):
+    runs = spark.createDataFrame([(f"{k}" * 64, f"claim {k}") for k in range(7)], "run_signature string, assertion string")
+    trials = spark.createDataFrame([("EXP-000000000001", 0.5, 0.25, None)], "experiment_id string, avg_chrF double, avg_bleu1 double, avg_semantic double")
+    text_ = sinks.report(None, sinks.report_values(runs, trials, "2026"))
+    assert "Runs: 7, experiments: 1 (2026)" in text_ and "000000000001 & 0.500 & 0.250 & —" in text_ and "claim 2 (run 222222222222)" in text_ and "claim 3" not in text_ and "@" not in text_
+    none = sinks.report_values(runs.limit(0), trials.limit(0), "2026")
+    assert none["RUN_SIGNATURES"] == none["ASSERTION_CITATIONS"] == "—" and none["N_EXP"] == "0"
+
+
 def test_every_step_runs(spark, tmp_path):
     pairs = spark.createDataFrame([("śivāya namaḥ", "Homage to Shiva", "Homage to Shiva", 1, "m-x", 0.6, 2.0, "p", 1.0)], "source string, candidate string, gold string, i int, model string, semantic double, latency double, passage string, judge double")
     prices = spark.createDataFrame([("m-x", 1e-5, 2e-5, 0)], "id string, prompt double, completion double, ord int")
