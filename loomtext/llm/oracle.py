@@ -40,4 +40,39 @@ SQL = {
         r AS (SELECT doc_id AS node, doc_id AS dest FROM s UNION SELECT r.node, u.b FROM r JOIN u ON r.dest = u.a)
         SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c.low AS component_id, s.doc_id = c.low AS kept
         FROM s JOIN (SELECT node, min(dest) AS low FROM r GROUP BY node) c ON c.node = s.doc_id""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+                   FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+        s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+              FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 10""",
+    "op12_filter_audit": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                     CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+                     || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+                     || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN w.doc_id > first THEN 'E' ELSE '' END AS fails
+              FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+        o AS (SELECT '' AS filter_order UNION ALL
+              SELECT filter_order || x FROM o JOIN (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) ON NOT contains(filter_order, x)),
+        s AS (SELECT filter_order, CAST(k AS INTEGER) AS step, substr(filter_order, k, 1) AS own, substr(filter_order, 1, k - 1) AS before
+              FROM o, (SELECT unnest(range(1, 6)) AS k) WHERE length(filter_order) = 5),
+        g AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+        h AS (SELECT *, contains(fails, own) AS hit, translate(fails, before, '') <> fails AS past FROM g, s),
+        r AS (SELECT part, filter_order, step, own,
+                     coalesce(sum(n) FILTER (WHERE NOT hit AND NOT past), 0) AS kept, coalesce(sum(n) FILTER (WHERE hit AND NOT past), 0) AS removed,
+                     coalesce(sum(n) FILTER (WHERE hit AND past), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails = own), 0) AS unique_fails,
+                     coalesce(sum(n) FILTER (WHERE hit AND NOT past AND good), 0) AS good_lost, coalesce(sum(n) FILTER (WHERE hit AND NOT past AND toxic), 0) AS toxic_lost
+              FROM h GROUP BY part, filter_order, step, own)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM r""",
 }
