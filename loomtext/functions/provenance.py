@@ -7,8 +7,13 @@ import subprocess
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.operators import ranges
+from loomtext.sources.scratch import written
+
 #: Separates the fields of a canonical string.
 SEP = "\u0001"
+#: Hashes that one hash of a tree covers.
+BLOCK = 1024
 
 
 def canonical(*fields: Column) -> Column:
@@ -30,9 +35,24 @@ def passage_id(school: Column, source_id: Column, digest: Column) -> Column:
 
 
 def set_hash(df: DataFrame, keys: list[str], order: list[str], fields: list[str], out: str = "set_hash") -> DataFrame:
-    """The hash of all rows of a group, in order: of the concatenation of the rows' own hashes, so that texts are not gathered."""
-    row = F.struct(*[F.col(o) for o in order], content_hash(*[F.col(f) for f in fields]).alias("h"))
-    return df.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["h"]), SEP), 256).alias(out))
+    """The hash of all rows of a group, in order, by a tree: rows' own hashes in blocks of BLOCK, blocks' hashes again, until one is left.
+
+    A hash is that of the hashes below it, joined. Rows that are equal in `order` go by their hash. Neither texts nor a whole group's
+    hashes are ever gathered: rows are numbered over sorted ranges, and a task has one block, so that a group may hold any share
+    of all rows. A group of at most BLOCK rows has one block and one level.
+    """
+    rows = df.select(*keys, *(o for o in order if o not in keys), content_hash(*[F.col(f) for f in fields]).alias("_h"))
+    rows = ranges.numbered(rows, [*order, "_h"], keys)
+    over, most = "_n", None
+    while most is None or most > 1:
+        block = F.floor(F.col(over) / BLOCK).cast("long")
+        below = F.transform(F.array_sort(F.collect_list(F.struct(F.col(over).alias("n"), F.col("_h").alias("h")))), lambda r: r["h"])  # BLOCK at most
+        hashed = rows.groupBy(*keys, block.alias("_b")).agg(below.alias("below"))
+        # A block that is already alone, above the rows themselves, is the root and goes up as it is.
+        root = F.sha2(F.array_join("below", SEP), 256) if most is None else F.when((F.size("below") == 1) & (F.col("_b") == 0), F.col("below")[0]).otherwise(F.sha2(F.array_join("below", SEP), 256))
+        rows = written(hashed.select(*keys, "_b", root.alias("_h")))
+        over, most = "_b", (rows.agg(F.max("_b")).first()[0] or 0) + 1
+    return rows.select(*keys, F.col("_h").alias(out))
 
 
 def run_signature(gold_hash: Column, code_sha: Column, config_sha: Column) -> Column:

@@ -312,7 +312,8 @@ SQL = {
     "registry_build": f"""WITH {_REGISTRY} SELECT passage_id, school, CAST({oracle.case([(f"school = '{k}'", v) for k, v in X.TIERS.items()], "'2'")} AS INTEGER) AS tier, {oracle.case([(f"school = '{k}'", v) for k, v in X.PERIODS.items()], "'Epic'")} AS period,
         '{registry.GENRE}' AS genre, '{registry.LICENSE}' AS license, doc_id AS source_id, CASE WHEN len(tok) > 0 THEN round(len(list_filter(tok, lambda t: {oracle.TERM_HIT})) / len(tok), 4) ELSE 0 END AS term_density,
         len(list_filter(tok, lambda t: {oracle.TERM_HIT})) AS n_terms, array_to_string({_FOUND}, ',') AS found, 0 AS n_references FROM q""",
-    "registry_manifest": f"""WITH {_REGISTRY} SELECT '0.1.0' AS version, count(*) AS n_passages, 2::BIGINT AS n_sources, 'exact,near_duplicate' AS defended, 8 AS n_requirements, sha256(string_agg(sha256(passage_id || chr(1) || body || chr(1) || school), chr(1) ORDER BY passage_id)) AS manifest_hash FROM q""",
+    "registry_manifest": f"""WITH {_REGISTRY}, r AS (SELECT 1 AS one, row_number() OVER (ORDER BY passage_id) - 1 AS n, sha256(passage_id || chr(1) || body || chr(1) || school) AS h FROM q), {oracle.hash_tree('r', 'one', 'n', 'h')}
+        SELECT '0.1.0' AS version, (SELECT count(*) FROM q) AS n_passages, 2::BIGINT AS n_sources, 'exact,near_duplicate' AS defended, 8 AS n_requirements, h AS manifest_hash FROM tree""",
     "checkpoint_marks": """SELECT * FROM (VALUES (0, 'load', 'effect of load', 'DONE', true), (1, 'score', 'effect of score', 'DONE', true), (2, 'gate', 'effect of gate', 'DONE', true), (3, 'rank', 'effect of rank', 'FAILED', true),
         (4, 'report', 'effect of report', 'OPEN', false), (5, 'tune', 'effect of tune', 'FAILED', false), (6, 'note', 'a new effect', 'OPEN', true), (7, 'audit', 'an audit', 'OPEN', false)) t(ord, name, effect, status, ready)""",
     "strategy_scores": "SELECT user_id, round(avg(CASE WHEN event_id % 4 <> 0 THEN value ELSE 0 END), 6) AS score FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3) GROUP BY 1",
@@ -334,7 +335,8 @@ SQL = {
         SELECT conv_id, turn, coalesce(gate = 'PASS' AND semantic >= 0.5, false) AS valid, coalesce(semantic < 1, false) AS caught FROM s""",
     "ledger_views": f"""WITH {oracle.ENTRIES} SELECT ledger AS view, CAST(count(*) AS VARCHAR) AS value FROM entries GROUP BY 1
         UNION ALL (SELECT 'EXP-1', 'EXP-' || conv_id FROM conversations WHERE conv_id % 9 <> 0 AND contains('EXP-' || conv_id, 'EXP-1') ORDER BY '{{"experiment_id":"EXP-' || conv_id || '","turn":' || turn || '}}' DESC LIMIT 3)""",
-    "experiment_ids": """SELECT event_type, 'EXP-char-' || event_type || '-' || left(sha256(string_agg(sha256(event_id || chr(1) || user_id), chr(1) ORDER BY event_id)), 12) || '-' || strftime(min(ts), '%Y%m%d%H%M%S') AS experiment_id FROM events GROUP BY 1""",
+    "experiment_ids": f"""WITH r AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n, sha256(event_id || chr(1) || user_id) AS h FROM events), {oracle.hash_tree('r', 'event_type', 'n', 'h')}
+        SELECT event_type, 'EXP-char-' || event_type || '-' || left(h, 12) || '-' || strftime(first, '%Y%m%d%H%M%S') AS experiment_id FROM tree JOIN (SELECT event_type, min(ts) AS first FROM events GROUP BY 1) USING (event_type)""",
     "missing_references": """WITH r AS (SELECT page_id, 1 AS line, '/data/' || page_id % 40 AS path FROM pages UNION ALL SELECT page_id, 1, '/tools/x.py' FROM pages UNION ALL SELECT page_id, 2, '/data/' || page_id FROM pages)
         SELECT * FROM r WHERE path NOT IN (SELECT '/data/' || n_nationkey FROM nation)""",
     "ordered_union": """WITH w AS (SELECT conv_id, turn, string_split(lower(text), ' ') AS w FROM conversations), c AS (SELECT conv_id, turn, w[1:6] || w[4:9] AS u FROM w)

@@ -331,7 +331,8 @@ SQL = {
         SELECT conv_id, CAST(least(20, len(o)) AS INTEGER) AS n_kept, sha256(array_to_string(o, chr(1))) AS out_hash FROM r""",
     "ledger_appends": f"SELECT 'runs' AS ledger, lower(n_name) AS step, CAST(CASE WHEN n_nationkey < 5 THEN 2 ELSE 1 END AS BIGINT) AS n, CAST(CASE WHEN n_nationkey < 5 THEN 2 ELSE 1 END AS BIGINT) AS n_stamped FROM {_NATION}",
     "day_exports": f"SELECT '2024-01-01' AS export, count(*) FILTER (n_nationkey % 3 = 0) AS n FROM {_NATION} UNION ALL SELECT '2024-01-02', count(*) FROM {_NATION} UNION ALL SELECT 'lines', count(*) FILTER (n_nationkey > 20) FROM {_NATION}",
-    "frozen_registry": f"""SELECT '1.0.0' AS version, count(*) AS n_passages, sha256(string_agg(sha256(n_name || chr(1) || n_comment || chr(1) || n_regionkey), chr(1) ORDER BY n_name)) AS manifest_hash FROM {_NATION}
+    "frozen_registry": f"""WITH r AS (SELECT 1 AS one, row_number() OVER (ORDER BY n_name) - 1 AS n, sha256(n_name || chr(1) || n_comment || chr(1) || n_regionkey) AS h FROM {_NATION}), {oracle.hash_tree('r', 'one', 'n', 'h')}
+        SELECT '1.0.0' AS version, (SELECT count(*) FROM r) AS n_passages, h AS manifest_hash FROM tree
         UNION ALL SELECT 'read', count(*), '' FROM {_NATION} UNION ALL SELECT 'none', 0, ''""",
     "nested_runs": "SELECT user_id, count(*) AS n, round(max(value), 2) AS top, CAST(count(*) AS INTEGER) AS n_rows, min(event_id) AS first_event FROM events GROUP BY 1",
     "registry_lines": f"SELECT CAST(n_nationkey AS BIGINT) AS i, n_name AS name FROM {_NATION} WHERE n_nationkey % 3 = 0",

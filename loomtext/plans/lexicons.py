@@ -11,7 +11,6 @@ TERM_LETTERS = "[a-zA-Zäöüßéèêçñóíáú]+"
 RENDERINGS = {"tion": ("ation", "Tion", "ition"), "eau": ("eaux", "Eau"), "schein": ("schei", "keit"), "and": ("And", "ande")}
 FRAGMENTS = {"alpha": ("src0", "src11"), "beta": ("src1", "src2"), "gamma": ("src3",), "delta": ("9",)}
 TIERS, PERIODS = {"alpha": 4, "beta": 3, "gamma": 3}, {"alpha": "Tantric", "beta": "Classical", "gamma": "Classical"}
-PANEL = 640
 LEVELS = ("exact", "near_duplicate", "paraphrase", "in_domain")
 REGISTERS = ("literal", "plain", "precise", "natural")
 INSTRUCTIONS = {

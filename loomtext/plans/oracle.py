@@ -80,7 +80,6 @@ def panel(passage: str) -> str:
     FROM (SELECT d.*, l.quality, {words('text')} AS w FROM documents d JOIN labels l USING (doc_id)))"""
 
 
-PANEL = panel(f"source || ':' || CAST(doc_id // {X.PANEL} AS VARCHAR)")
 GAMMAS = f"""{panel('source')}, metric AS (SELECT unnest(['length', 'variety']) AS metric),
     long AS (SELECT passage, doc_id, judge, metric, CASE metric WHEN 'length' THEN length ELSE variety END AS v FROM panel, metric),
     pair AS (SELECT a.passage, a.metric, sign((a.v - b.v) * (a.judge - b.judge)) AS s FROM long a JOIN long b ON a.passage = b.passage AND a.metric = b.metric AND a.doc_id < b.doc_id),
@@ -89,6 +88,16 @@ GAMMAS = f"""{panel('source')}, metric AS (SELECT unnest(['length', 'variety'])
                FROM (SELECT DISTINCT passage FROM panel) p CROSS JOIN metric m LEFT JOIN counted c ON c.passage = p.passage AND c.metric = m.metric)"""
 
 
+def hash_tree(rows: str, keys: str, n: str, h: str, levels: int = 3) -> str:
+    """CTEs up to `tree` (keys, h): blocks of 1,024 hashes, hashed level by level; a hash that is alone above the rows stays. rows: a CTE with the keys, a number from 0 and a hash."""
+    out = f"tree0 AS (SELECT {keys}, {n} AS n, {h} AS h FROM {rows})"
+    for k in range(levels):
+        joined = "sha256(string_agg(h, chr(1) ORDER BY n))"
+        up = joined if k == 0 else f"CASE WHEN count(*) = 1 AND n // 1024 = 0 THEN any_value(h) ELSE {joined} END"
+        out += f", tree{k + 1} AS (SELECT {keys}, n // 1024 AS n, {up} AS h FROM tree{k} GROUP BY {keys}, n // 1024)"
+    return out + f", tree AS (SELECT {keys}, h FROM tree{levels})"
+
+
 def case(pairs, default: str) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, v in pairs) + f" ELSE {default} END"
 
@@ -148,9 +157,9 @@ SQL = {
     "gamma_by_passage": f"WITH {GAMMAS} SELECT passage, metric, n_pairs, round(gamma, 6) AS gamma FROM gammas",
     "gamma_by_metric": f"""WITH {GAMMAS}, a AS (SELECT metric, count(*) AS n_passages, avg(gamma) AS g FROM gammas GROUP BY metric)
         SELECT metric, n_passages, round(g, 6) AS avg_gamma, row_number() OVER (ORDER BY g DESC, metric) = 1 AS is_best, (SELECT max(g) FROM a) > (SELECT g FROM a WHERE metric = 'length') AS claim FROM a""",
-    "pairwise_win_rank": f"""WITH {PANEL}, p AS (SELECT a.passage, a.doc_id AS a, b.doc_id AS b, a.variety - b.variety AS d FROM panel a JOIN panel b ON a.passage = b.passage AND a.doc_id < b.doc_id),
-        q AS (SELECT passage, a AS doc_id, CASE WHEN d > 0.05 THEN 1.0 WHEN d < -0.05 THEN 0.0 ELSE 0.5 END AS pt FROM p UNION ALL SELECT passage, b, CASE WHEN d > 0.05 THEN 0.0 WHEN d < -0.05 THEN 1.0 ELSE 0.5 END FROM p),
-        s AS (SELECT passage, doc_id, CAST(sum(pt) AS DOUBLE) AS points FROM q GROUP BY 1, 2), t AS (SELECT n.passage, n.doc_id, coalesce(points, 0) AS points FROM panel n LEFT JOIN s ON s.passage = n.passage AND s.doc_id = n.doc_id)
+    "pairwise_win_rank": f"""WITH {panel('source')}, p AS (SELECT a.passage, a.doc_id, CASE WHEN b.variety < a.variety - 0.05 THEN 1.0 WHEN a.variety < b.variety - 0.05 THEN 0.0 ELSE 0.5 END AS pt
+            FROM panel a JOIN panel b ON a.passage = b.passage AND a.doc_id <> b.doc_id),
+        s AS (SELECT passage, doc_id, CAST(sum(pt) AS DOUBLE) AS points FROM p GROUP BY 1, 2), t AS (SELECT n.passage, n.doc_id, coalesce(points, 0) AS points FROM panel n LEFT JOIN s ON s.passage = n.passage AND s.doc_id = n.doc_id)
         SELECT passage, doc_id, points, round(points / coalesce(nullif(max(points) OVER (PARTITION BY passage), 0), 1), 3) AS norm FROM t""",
     "candidate_disagreement": f"WITH {DISAGREE} SELECT *, CASE WHEN n_valid < 2 THEN 'insufficient-candidates' WHEN disagreement < 0.3 THEN 'convergent' WHEN disagreement < 0.55 THEN 'mixed' ELSE 'divergent-review' END AS verdict FROM d",
     "token_containment_parallels": f"WITH {PARALLELS} SELECT * FROM parallel",
@@ -192,8 +201,8 @@ SQL = {
         SELECT violation, count(*) AS n FROM v GROUP BY 1""",
     "annotation_checks": """SELECT doc_id, array_to_string(list_filter([CASE WHEN quality <> 1 AND doc_id % 5 = 0 THEN 'bad value preference' END, CASE WHEN toxic = 1 THEN 'missing no_major_error' END], lambda x: x IS NOT NULL), ';') AS violations FROM labels""",
     "content_address": "WITH h AS (SELECT *, sha256(left(text, 2000) || chr(1) || source) AS hash FROM documents) SELECT doc_id, hash, source || ':' || doc_id || ':' || left(hash, 10) AS passage_id, left(sha256('v1|' || left(text, 40) || '|' || lang), 16) AS result_id FROM h",
-    "gold_hashes": """WITH g AS (SELECT conv_id, sha256(string_agg(sha256(role || chr(1) || text), chr(1) ORDER BY turn)) AS gold_hash FROM conversations GROUP BY 1)
-        SELECT conv_id, gold_hash, sha256(gold_hash || chr(1) || 'code' || chr(1) || 'config') AS run_signature FROM g""",
+    "gold_hashes": f"""WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, sha256(role || chr(1) || text) AS h FROM conversations), {hash_tree('r', 'conv_id', 'n', 'h')}
+        SELECT conv_id, h AS gold_hash, sha256(h || chr(1) || 'code' || chr(1) || 'config') AS run_signature FROM tree""",
     "ledger_step_counts": f"WITH {ENTRIES} SELECT ledger, step, count(*) AS n FROM entries GROUP BY 1, 2",
     "ledger_tail": f"WITH {ENTRIES} SELECT ledger, ts, step FROM entries WHERE contains(lower(raw), 'purchase') ORDER BY coalesce(ts, '') DESC, raw DESC LIMIT 10",
     "experiment_summary": f"""WITH {METRICS}, {default_gate('m')}, e AS (SELECT *, CASE WHEN turn % 3 <> 0 THEN conv_id % 6 / 5 END AS semantic, length(cand) / 100 AS latency FROM verdicts)

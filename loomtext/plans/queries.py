@@ -99,10 +99,7 @@ def gamma_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairwise_win_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("a_variety") - F.col("b_variety")
-    v = F.when(d > 0.05, "A").when(d < -0.05, "B").otherwise("TIE")
-    few = F.concat_ws(":", "source", F.floor(F.col("doc_id") / X.PANEL).cast("string"))  # pairs are compared one by one: panels of bounded size
-    return rank.pairwise_wins(_panel(spark, sf_dir, few), ["passage"], "doc_id", v, ["variety"])
+    return rank.margin_wins(_panel(spark, sf_dir), ["passage"], "doc_id", "variety", 0.05)
 
 
 def candidate_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,3 +43,10 @@ def scratch(spark: SparkSession) -> str:
     path = f"{shared_folder(spark).rstrip('/')}/loomtext-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame, written as Parquet in the shared folder and read back: nothing computes it again, and a lost executor costs nothing of it."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

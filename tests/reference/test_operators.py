@@ -1,25 +1,98 @@
 """Operators in several forms, or against plain Python."""
 
+import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import provenance, text
-from loomtext.operators import hypotheses, parallels, rank, registry, select, summaries
+from loomtext.operators import hypotheses, parallels, ranges, rank, registry, select, summaries
 from loomtext.plans import steps
 from loomtext.sources import lines, sinks
 
 
-def test_gamma_by_levels_equals_gamma_by_pairs(spark, monkeypatch):
-    rnd = random.Random(1)
-    rows = [(rnd.choice("abc"), i, rnd.choice([None, 1.0, 2.0, 2.5, 7.0]), float(rnd.randrange(20)), rnd.choice([None, 0.0, 1.0, 2.0, 3.0])) for i in range(200)] + [("lone", 900, 1.0, 2.0, 3.0)]
+def plain_gamma(rows, k):
+    """rows: (passage, i, m, v, j); k: the metric's place."""
+    out = {}
+    for p in {r[0] for r in rows}:
+        own = [(r[k], r[4]) for r in rows if r[0] == p and r[k] is not None and r[4] is not None]
+        signs = [(a - c) * (b - d) for i, (a, b) in enumerate(own) for c, d in own[:i]]
+        up, down = sum(s > 0 for s in signs), sum(s < 0 for s in signs)
+        out[p] = (up + down, round((up - down) / (up + down), 9) if up + down else 0.0)
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 16, 64, 17])
+@pytest.mark.parametrize("levels", [4, 10_000])
+def test_gamma_by_counts_equals_gamma_by_pairs(spark, monkeypatch, block, levels):
+    monkeypatch.setattr(rank, "BLOCK", block)
+    rnd = random.Random(levels)
+    passages = "a" * 12 + "bcdefgh"  # a hot one
+    rows = [(rnd.choice(passages), i, rnd.choice([None, 1.0, 2.0, 2.5, 7.0]), float(rnd.randrange(2000)), rnd.choice([None, *map(float, range(levels))])) for i in range(600)]
+    rows += [("lone", 900, 1.0, 2.0, 3.0), ("lost", 901, None, 1.0, None), (None, 902, 1.0, 2.0, 3.0), (None, 903, 2.0, 1.0, 4.0)]
     df = spark.createDataFrame(rows, "p string, i int, m double, v double, j double")
-    look = lambda: sorted((r.p, r.metric, r.n_pairs, round(r.gamma, 9)) for r in rank.gamma(df, ["p"], "i", ["m", "v"], "j").collect())
-    by_levels = look()
-    monkeypatch.setattr(rank, "MOST_LEVELS", 2)
-    assert look() == by_levels and len(by_levels) == 8 and ("lone", "m", 0, 0.0) in by_levels
+    got = {(r.p, r.metric): (r.n_pairs, round(r.gamma, 9)) for r in rank.gamma(df, ["p"], "i", ["m", "v"], "j").collect()}
+    assert got == {(p, m): x for m, k in (("m", 2), ("v", 3)) for p, x in plain_gamma(rows, k).items()}
+    assert rank.gamma(df.limit(0), ["p"], "i", ["m"], "j").count() == 0
+
+
+def test_greater_before():
+    rnd = random.Random(2)
+    for n in (0, 1, 2, 3, 7, 8, 33, 100):
+        v, w = np.array([rnd.randrange(9) for _ in range(n)], np.int64), np.array([rnd.randrange(1, 5) for _ in range(n)], np.int64)
+        assert rank.greater_before(v, w).tolist() == [int(w[:k][v[:k] > v[k]].sum()) for k in range(n)]
+
+
+@pytest.mark.parametrize("parts", [1, 4, 9])
+def test_running_sums_are_carried_over_ranges(spark, parts):
+    rnd = random.Random(parts)
+    rows = [(rnd.choice(["hot"] * 8 + ["x", "y", None]), rnd.randrange(50), i, rnd.randrange(9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, k int, i int, w int")
+    laid = ranges.laid_out(df, ["g", "k", "i"], parts)
+    assert laid.agg(F.count_distinct("_part")).first()[0] == parts
+    got = {r.i: (r.n, r.s) for r in ranges.running(laid, ["g"], {"n": F.lit(1), "s": F.col("w")}).collect()}
+    for g in ("hot", "x", "y", None):
+        own = sorted((k, i, w) for p, k, i, w in rows if p == g)
+        assert [got[i] for _, i, _ in own] == [(n, sum(w for *_, w in own[:n])) for n in range(len(own))]
+    order = [r.i for r in ranges.numbered(df, ["k", "i"], parts=parts).orderBy("_n").collect()]
+    assert order == [i for _, i in sorted((k, i) for _, k, i, _ in rows)]
+    assert ranges.numbered(df.limit(0), ["k", "i"], ["g"]).count() == 0
+
+
+def test_wins_by_counts_equal_wins_by_pairs(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice("aaaab"), i, rnd.choice([None, round(rnd.random(), 2), 0.5])) for i in range(150)] + [("lone", 900, 0.1), ("none", 901, None)]
+    df = spark.createDataFrame(rows, "p string, i int, v double")
+    counted = sorted(tuple(r) for r in rank.margin_wins(df, ["p"], "i", "v", 0.05).select("p", "i", "points", "norm").collect())
+    some = df.filter("v IS NOT NULL")
+    verdict = F.when(F.col("b_v") < F.col("a_v") - 0.05, "A").when(F.col("a_v") < F.col("b_v") - 0.05, "B")
+    assert counted == sorted(tuple(r) for r in rank.pairwise_wins(some, ["p"], "i", verdict, ["v"]).select("p", "i", "points", "norm").collect())
+    assert ("lone", 900, 0.0, 0.0) in counted and len(counted) == some.count()
+    points = {(p, i): sum(1 if w < v - 0.05 else 0 if v < w - 0.05 else 0.5 for q, j, w in rows if q == p and j != i and w is not None) for p, i, v in rows if v is not None}
+    assert {(p, i): x for p, i, x, _ in counted} == points
+    assert rank.margin_wins(df.limit(0), ["p"], "i", "v", 0.05).count() == 0
+
+
+def tree(hashes, block):
+    while True:
+        hashes = [hashlib.sha256("\x01".join(hashes[k : k + block]).encode()).hexdigest() for k in range(0, len(hashes), block)]
+        if len(hashes) == 1:
+            return hashes[0]
+
+
+@pytest.mark.parametrize("block", [1024, 5, 2])
+def test_set_hash_is_a_tree_of_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(provenance, "BLOCK", block)
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["hot"] * 9 + ["cold", None]), rnd.randrange(40), f"text {i % 70}", None if i % 9 == 0 else i) for i in range(130)] + [("one", 1, "x", 1)]
+    df = spark.createDataFrame(rows, "k string, o int, t string, n int")
+    got = {r.k: r.set_hash for r in provenance.set_hash(df.repartition(5), ["k"], ["o"], ["t", "n"]).collect()}
+    own = lambda t, n: hashlib.sha256(f"{t}\x01{'' if n is None else n}".encode()).hexdigest()
+    assert got == {k: tree([h for _, h in sorted((o, own(t, n)) for p, o, t, n in rows if p == k)], block) for k in {r[0] for r in rows}}
+    assert provenance.set_hash(df.limit(0), ["k"], ["o"], ["t"]).count() == 0
 
 
 @pytest.mark.parametrize("block", [4 << 20, 40])
