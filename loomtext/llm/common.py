@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,21 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def share(spark: SparkSession, value) -> Broadcast:
+    """Broadcasts a value that may hold classes of this package: Spark pickles broadcasts by reference, but executors need not be able to import it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def held(shared: Broadcast):
+    """In a task, the value that share() broadcast."""
+    return cloudpickle.loads(shared.value)
+
+
+def plain_names(docs: DataFrame, *kept: str) -> DataFrame:
+    """docs with all columns but the kept ones named by their place, so that no name can clash with a helper's or be read as a path; toDF() gives the names back."""
+    return docs.toDF(*(c if c in kept else f"c{k}" for k, c in enumerate(docs.columns)))
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

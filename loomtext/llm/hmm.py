@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import binary, fold, lean, materialise, runs, word_lists
+from loomtext.llm.common import binary, fold, held, lean, materialise, runs, share, word_lists
 
 #: Hidden states; words that are symbols of their own; classes of the other words, by the crc32 of their last three bytes.
 STATES, HEAD, CLASSES = 8, 8192, 512
@@ -85,7 +85,7 @@ def learn_words(texts: DataFrame) -> tuple[DataFrame, Lexicon]:
 
 def _encoder(shared):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = shared.value
+        lex = held(shared)
         for batch in batches:
             texts = binary(batch, "text")
             for a, b in runs(texts):
@@ -275,16 +275,17 @@ def _groups(seqs: list[np.ndarray]):
 
 def _expecter(shared, symbols: int):
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held(shared)
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((symbols, STATES))
         any_row, fit = False, np.zeros(STATES)
-        held: list[np.ndarray] = []  # rows of several batches together: the more texts, the fewer steps
+        some: list[np.ndarray] = []  # rows of several batches together: the more texts, the fewer steps
         for seqs in chain((_tokens(batch, "symbols") for batch in batches), [None]):
-            held += seqs or ()
-            groups = list(_groups(held))
+            some += seqs or ()
+            groups = list(_groups(some))
             for a, b in groups if seqs is None else groups[:-1]:
                 any_row = True
-                fit[0] += expected_counts(shared.value, held[a:b], start, move, emit)
-            held = held[groups[-1][0] :] if groups else held
+                fit[0] += expected_counts(model, some[a:b], start, move, emit)
+            some = some[groups[-1][0] :] if groups else some
         if any_row:
             used = np.flatnonzero(emit.any(axis=1))
             at = np.concatenate([used, symbols + np.arange(STATES + 2)])
@@ -297,7 +298,7 @@ def _expecter(shared, symbols: int):
 def baum_welch(model: Hmm, coded: DataFrame, symbols: int) -> tuple[Hmm, float]:
     """One round over all rows, and the log10 likelihood of the rows under the model it began with: tasks add up expected counts,
     Spark sums them by symbol, and (symbols + states + 2) rows reach the driver."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
+    shared = share(coded.sparkSession, model)
     names = [f"s{k}" for k in range(STATES)]
     got = coded.select("symbols").mapInArrow(_expecter(shared, symbols), "at int, " + ", ".join(f"{k} double" for k in names))
     got = got.groupBy("at").agg(*[F.sum(k).alias(k) for k in names]).toArrow()
@@ -319,11 +320,12 @@ def fit(model: Hmm, coded: DataFrame, symbols: int) -> Hmm:
 
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held(shared)
         for batch in batches:
             seqs = _tokens(batch, "symbols")
             values = np.zeros(len(seqs))
             for a, b in _groups(seqs):
-                values[a:b] = log10_likelihoods(shared.value, seqs[a:b])
+                values[a:b] = log10_likelihoods(model, seqs[a:b])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(7)), pa.array(values)], ["row", "doc_id", "held_out", "n_tokens", "n_common", "base", "inside", "chain"])
 
     return score
@@ -351,7 +353,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (~training_row(F.col("doc_id"))).alias("held_out"), F.col("text").cast("binary").alias("text"))
     counts, lex = learn_words(texts.filter("NOT held_out").select("text"))
-    shared = spark.sparkContext.broadcast(lex)
+    shared = share(spark, lex)
     rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     shape = "row long, doc_id long, held_out boolean, n_tokens long, n_common long, base double, inside double"
     coded = materialise(rows.mapInArrow(_encoder(shared), f"{shape}, symbols binary, rare array<binary>"))
@@ -380,7 +382,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         F.count("*").alias("all_rare"),
         F.sum(F.get(room, kind.cast("int"))).alias("rooms"),
     )
-    scored = coded.select("row", "doc_id", "held_out", "n_tokens", "n_common", "base", "inside", "symbols").mapInArrow(_scorer(spark.sparkContext.broadcast(model)), f"{shape}, chain double")
+    scored = coded.select("row", "doc_id", "held_out", "n_tokens", "n_common", "base", "inside", "symbols").mapInArrow(_scorer(share(spark, model)), f"{shape}, chain double")
     all_log = float(np.log10(lex.total + lex.kinds + 1))
     zero = lambda name: F.coalesce(name, F.lit(0))
     return scored.join(rare, "row", "left").select(

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import binary, fold, lean, runs
+from loomtext.llm.common import binary, fold, lean, plain_names, runs
 
 #: Hashed features, n-gram lengths, and how many labelled rows of a language are expected in the training sample at most.
 FEATURES, LENGTHS, ROWS_PER_LANG = 1 << 16, (1, 2, 3), 3000
@@ -143,7 +143,12 @@ def _keeper(langs: list[str], table, least: float, position: int):
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs, columns unchanged, whose language is told: not "und", and the best language's posterior at least `least`."""
+    """The rows of docs, columns unchanged, whose language is told: not "und", and the best language's posterior at least `least`.
+
+    Null and empty texts and those without a letter go; rows that repeat an id are judged each for itself; names of other
+    columns may be any; an empty table stays empty.
+    """
     langs, table = train(docs.filter(~held_out(F.col("doc_id"))))
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    return docs.mapInArrow(_keeper(langs, shared, least, docs.columns.index("text")), docs.schema)
+    plain = plain_names(docs)
+    return plain.mapInArrow(_keeper(langs, shared, least, docs.columns.index("text")), plain.schema).toDF(*docs.columns)

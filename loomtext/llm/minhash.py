@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import binary, forget, lean, materialise, runs, small, words
+from loomtext.llm.common import binary, forget, lean, materialise, plain_names, runs, small, words
 from loomtext.llm.components import components
 
 #: Words in a shingle; bands and rows: a pair of similarity 0.85 shares no band with probability 8e-8, one of 0.8 with 2e-5.
@@ -196,12 +196,13 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     Of the rows that repeat a kept id the first by text, then by all columns, stays; no others are shuffled for it. A row
     with a null id is linked with nothing and stays.
     """
+    names, docs = docs.columns, plain_names(docs, "doc_id", "text")
     gone = materialise(near_duplicates(docs, percent).filter("NOT kept").select("doc_id").distinct())
     left = docs.join(small(gone, MOST_IDS), "doc_id", "left_anti").select(*docs.columns)
-    again = materialise(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__loom_n")).filter("__loom_n > 1").select("doc_id"))
+    again = materialise(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     if again.isEmpty():
-        return left
+        return left.toDF(*names)
     once = left.join(small(again, MOST_IDS), "doc_id", "left_anti").select(*docs.columns)
     order = Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*docs.columns)))
-    first = left.join(small(again, MOST_IDS), "doc_id", "left_semi").withColumn("__loom_nth", F.row_number().over(order)).filter("__loom_nth = 1")
-    return once.unionByName(first.select(*docs.columns))
+    first = left.join(small(again, MOST_IDS), "doc_id", "left_semi").withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    return once.unionByName(first.select(*docs.columns)).toDF(*names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import checkpoint, materialise, n_words, small
+from loomtext.llm.common import checkpoint, materialise, n_words, plain_names, small
 
 #: Ranks are logarithms of odds; they are first counted in so many bins a unit, up to FAR, so that only the rows of the bin at the cut are
 #: ordered, and at most about 1 in 8,000 of a source's rows fall into one bin, whatever its probabilities.
@@ -148,9 +148,10 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
 
     docs is read twice, and equal rows are told apart by their place in it: a table scan, which gives them the same places again.
     """
+    names, docs = docs.columns, plain_names(docs, "doc_id", "text", "source")
     plan = _plan(_sized(docs), weights, share, most_copies, seed)
-    d = docs.withColumn("__loom_row", F.monotonically_increasing_id()).alias("d").join(small(plan, MOST_SOURCES).alias("p"), F.expr("d.source <=> p.source"))
+    d = docs.withColumn("row", F.monotonically_increasing_id()).alias("d").join(small(plan, MOST_SOURCES).alias("p"), F.expr("d.source <=> p.source"))
     doc_id = F.col("d.doc_id").cast("long")
     rank = _rank(n_words(F.col("d.text")), F.col("p.scale"), doc_id, F.xxhash64("d.text"), seed)
-    d = d.withColumn("__loom_copies", _copies(F.col("p.last"), F.col("p.more"), F.col("p.whole"), _key(rank, doc_id, F.col("__loom_row")))).filter("__loom_copies > 0")
-    return d.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__loom_copies"))).alias("__loom_copy")).drop("__loom_copy")
+    d = d.withColumn("copies", _copies(F.col("p.last"), F.col("p.more"), F.col("p.whole"), _key(rank, doc_id, F.col("d.row")))).filter("copies > 0")
+    return d.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy").toDF(*names)
