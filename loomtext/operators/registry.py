@@ -123,7 +123,7 @@ def define(nodes: DataFrame, name: str, effect: str, prereqs: list[str]) -> Data
     spark = nodes.sparkSession
     old = nodes.filter(F.col("name") == name).agg(F.min("ord").alias("o")).first()["o"]
     at = old if old is not None else (nodes.agg(F.max("ord")).first()[0] or 0) + 1
-    row = spark.createDataFrame([(at, name, effect, "OPEN", prereqs)], "ord int, name string, effect string, status string, prereqs array<string>")
+    row = spark.createDataFrame([(at, name, effect, "OPEN", prereqs)], f"ord {nodes.schema['ord'].dataType.simpleString()}, name string, effect string, status string, prereqs array<string>")
     return nodes.filter(F.col("name") != name).select("ord", "name", "effect", "status", "prereqs").unionByName(row)
 
 

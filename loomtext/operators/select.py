@@ -64,24 +64,3 @@ def strategy_score(rows: DataFrame, group: list[str], order: list, fidelity: str
 
 def cyclic(order: Column, choices: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in choices]), (F.pmod(order, F.lit(len(choices))) + 1).cast("int"))
-
-
-def tree_search(scores: DataFrame, depth: int, fanout: int, strategies: int = 6) -> DataFrame:
-    """Beam search: each depth expands the frontier by strategies (depth * fanout + i) % strategies and keeps the best `fanout` nodes.
-
-    scores: (strategy, gain), a row for each strategy: collected once, so that a depth doesn't compute the frontier of all before
-    it again. A depth has at most fanout * fanout nodes. Returns node_id (path), parent_id, depth, score, kept; ties keep the order of expansion.
-    """
-    gain = {r["strategy"]: r["gain"] for r in scores.limit(strategies + 1).collect()}
-    nodes, frontier = [("0", None, 0, 0.0, True)], [("0", 0.0)]
-    for d in range(depth):
-        steps = [(f"{node}.{i}", node, round(score + gain[(d * fanout + i) % strategies], 6)) for node, score in frontier for i in range(fanout) if (d * fanout + i) % strategies in gain]
-        best = sorted(steps, key=lambda x: (-x[2], x[0]))[:fanout]
-        nodes += [(node, parent, d + 1, score, (node, parent, score) in best) for node, parent, score in steps]
-        frontier = [(node, score) for node, _, score in best]
-    return scores.sparkSession.createDataFrame(nodes, "node_id string, parent_id string, depth int, score double, kept boolean")
-
-
-def best_node(nodes: DataFrame) -> DataFrame:
-    """The first node, in pre-order, of the largest score."""
-    return nodes.groupBy().agg(F.max(F.struct("score")).alias("m"), F.min_by("node_id", F.struct((-F.col("score")).alias("s"), F.split("node_id", r"\.").alias("p"))).alias("node_id")).select("node_id", F.col("m.score").alias("score"))

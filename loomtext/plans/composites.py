@@ -102,13 +102,6 @@ def registry_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("version", "n_passages", F.col("n_sources").cast("long").alias("n_sources"), F.array_join("defended", ",").alias("defended"), F.size("lineage_requirements").alias("n_requirements"), "manifest_hash")
 
 
-def checkpoint_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.createDataFrame([(k, n, f"effect of {n}", s, list(p)) for k, (n, s, p) in enumerate(X.GRAPH)], "ord int, name string, effect string, status string, prereqs array<string>")
-    g = registry.mark(registry.mark(registry.mark(g, "gate"), "rank", passed=False), "tune")
-    g = registry.define(registry.define(g, "note", "a new effect", ["gate"]), "audit", "an audit", ["note", "rank"])
-    return summaries.ready(g).select("ord", "name", "effect", "status", "ready")
-
-
 def strategy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.pmod("event_id", F.lit(4)) != 0, F.col("value")).alias("fidelity"))
     return select.strategy_score(e, ["user_id"], ["event_id"], "fidelity").select("user_id", F.round("score", 6).alias("score"))
@@ -215,7 +208,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         challenge_rows, low_families, hypothesis_plan, hypothesis_trials, hypothesis_rounds, tier_tasks, finetune_build, annotation_export, baseline_audit, file_violations, file_totals, registry_build, registry_manifest,
-        checkpoint_marks, strategy_scores, report_text, server_bench, evidence_nested, proof_scores, severity_totals, host_verdicts, answer_cleanup, validity, ledger_views, experiment_ids, missing_references, ordered_union, passages, render_sets, memory_latest,
+        strategy_scores, report_text, server_bench, evidence_nested, proof_scores, severity_totals, host_verdicts, answer_cleanup, validity, ledger_views, experiment_ids, missing_references, ordered_union, passages, render_sets, memory_latest,
     )
 }
 
@@ -314,8 +307,6 @@ SQL = {
         len(list_filter(tok, lambda t: {oracle.TERM_HIT})) AS n_terms, array_to_string({_FOUND}, ',') AS found, 0 AS n_references FROM q""",
     "registry_manifest": f"""WITH {_REGISTRY}, r AS (SELECT 1 AS one, row_number() OVER (ORDER BY passage_id) - 1 AS n, sha256(passage_id || chr(1) || body || chr(1) || school) AS h FROM q), {oracle.hash_tree('r', 'one', 'n', 'h')}
         SELECT '0.1.0' AS version, (SELECT count(*) FROM q) AS n_passages, 2::BIGINT AS n_sources, 'exact,near_duplicate' AS defended, 8 AS n_requirements, h AS manifest_hash FROM tree""",
-    "checkpoint_marks": """SELECT * FROM (VALUES (0, 'load', 'effect of load', 'DONE', true), (1, 'score', 'effect of score', 'DONE', true), (2, 'gate', 'effect of gate', 'DONE', true), (3, 'rank', 'effect of rank', 'FAILED', true),
-        (4, 'report', 'effect of report', 'OPEN', false), (5, 'tune', 'effect of tune', 'FAILED', false), (6, 'note', 'a new effect', 'OPEN', true), (7, 'audit', 'an audit', 'OPEN', false)) t(ord, name, effect, status, ready)""",
     "strategy_scores": "SELECT user_id, round(avg(CASE WHEN event_id % 4 <> 0 THEN value ELSE 0 END), 6) AS score FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3) GROUP BY 1",
     "report_text": r"""WITH r AS (SELECT event_id, sha256(CAST(event_id AS VARCHAR)) AS sig FROM events WHERE event_id < 9), o AS (SELECT *, row_number() OVER (ORDER BY sig) AS k FROM r),
         x AS (SELECT event_id AS k, right('EXP-' || lpad(CAST(event_id AS VARCHAR), 12, '0'), 12) || ' & ' || printf('%.3f', event_id % 3 / 4) || ' & ' || printf('%.3f', event_id % 5 / 8) || ' & ' || CASE WHEN event_id % 2 = 0 THEN '0.5' ELSE '—' END || ' \\' AS line FROM events WHERE event_id < 4)

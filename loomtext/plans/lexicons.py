@@ -19,6 +19,3 @@ INSTRUCTIONS = {
     "precise": "Translate with precision, keeping terms exact.",
     "natural": "Translate naturally.",
 }
-GRAPH = (
-    ("load", "DONE", ()), ("score", "DONE", ("load",)), ("gate", "OPEN", ("score",)), ("rank", "OPEN", ("score", "gate")), ("report", "OPEN", ("rank",)), ("tune", "FAILED", ("gate", "missing")), ("note", "OPEN", ()),
-)

@@ -128,12 +128,6 @@ LINES = "SELECT doc_id AS file, list_filter(string_split(text, chr(10)), lambda
 FINETUNE = f"""{TURNS}, {default_gate('turns')}, pairs AS (SELECT conv_id, turn, [{', '.join(f"'{r}'" for r in X.REGISTERS)}][turn % 4 + 1] AS register FROM verdicts WHERE gate = 'PASS' AND ref <> cand)"""
 ENTRIES = """entries AS (SELECT 'events' AS ledger, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, event_type AS step, '{"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '","step":"' || event_type || '","event_id":' || event_id || '}' AS raw FROM events
     UNION ALL SELECT 'conversations', NULL, 'EXP-' || conv_id, '' FROM conversations WHERE conv_id % 9 <> 0)"""
-BEAM = """f AS (SELECT s_suppkey % 6 AS k, round(avg(s_acctbal) / 10000, 6) AS gain FROM supplier GROUP BY 1),
-    d1 AS (SELECT '0.' || i AS node_id, '0' AS parent_id, 1 AS depth, round(gain, 6) AS score FROM range(3) t(i) JOIN f ON k = i % 6),
-    d1k AS (SELECT *, true AS kept FROM d1),
-    d2 AS (SELECT node_id || '.' || i AS node_id, node_id AS parent_id, 2 AS depth, round(score + gain, 6) AS score FROM d1k, range(3) t(i) JOIN f ON k = (3 + i) % 6),
-    d2k AS (SELECT *, row_number() OVER (ORDER BY score DESC, node_id) <= 3 AS kept FROM d2),
-    nodes AS (SELECT '0' AS node_id, NULL AS parent_id, 0 AS depth, 0.0::DOUBLE AS score, true AS kept UNION ALL SELECT * FROM d1k UNION ALL SELECT * FROM d2k)"""
 _FEATURES = "['q_xCOMET', 'q_MetricX', 'q_SaQE', 'N_major', 'N_critical', 'A_alignment', 'M_morph', 'R_retrieval', 'D_ensemble', 'C_crosslingual', 'B_backtranslation']"
 
 SQL = {
@@ -179,8 +173,6 @@ SQL = {
     "run_upsert": """SELECT user_id, event_type, event_id, value, CASE WHEN event_type = 'purchase' THEN 'VERIFIED' WHEN value > 50 THEN 'DERIVED' WHEN event_type = 'view' THEN 'OBSERVED' ELSE 'DECLARED' END AS kind
         FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
     "seeded_sample": "SELECT doc_id, source, sha256('42:' || doc_id) AS sample_key FROM documents ORDER BY sample_key LIMIT 100",
-    "beam_search": f"WITH {BEAM} SELECT * FROM nodes",
-    "best_node": f"WITH {BEAM} SELECT node_id, score FROM nodes ORDER BY score DESC, string_split(node_id, '.') LIMIT 1",
     "price_lookup": """WITH p AS (SELECT replace(p_name, ' ', '-') AS id, round(p_retailprice / 1e9, 9) AS prompt, round(p_size / 1e7, 9) AS completion, p_partkey AS ord FROM part),
         u AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'vendor/' ELSE '' END || replace(p_name, ' ', '-') || CASE WHEN p_partkey % 3 = 0 THEN '-v2' ELSE '' END AS model, p_size FROM part),
         m AS (SELECT model, avg(p_size) AS quality, string_split(model, '/')[-1] AS tail FROM u GROUP BY 1),
@@ -192,11 +184,6 @@ SQL = {
         k AS (SELECT * FROM j WHERE match_level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY model ORDER BY match_level, ord) = 1),
         c AS (SELECT m.model, k.id, k.match_level, round(prompt * 15000 + completion * 5000, 6) AS cost, round((prompt * 15000 + completion * 5000) * 1000, 3) AS cost_per_1000, m.quality FROM m LEFT JOIN k USING (model))
         SELECT model, id, match_level, cost, cost_per_1000, CASE WHEN quality <> 0 AND cost_per_1000 <> 0 THEN round(quality / greatest(cost_per_1000, 1e-9), 6) END AS quality_per_cost FROM c""",
-    "dag_ready": "WITH n AS (SELECT * FROM (VALUES "
-    + ", ".join(f"({k}, '{n}', '{s}', [{', '.join(repr(x) for x in p)}]::VARCHAR[])" for k, (n, s, p) in enumerate(X.GRAPH))
-    + """) t(ord, name, status, prereqs)), k AS (SELECT list(name) AS done FROM n WHERE status = 'DONE'),
-        r AS (SELECT n.*, len(list_filter(prereqs, lambda x: NOT list_contains(done, x))) = 0 AS ready FROM n, k)
-        SELECT name, status, ready, ord = (SELECT min(ord) FROM r WHERE ready AND status <> 'DONE') AS is_next FROM r""",
     "schema_gate": """WITH v AS (SELECT CASE WHEN event_id % 77 = 7 THEN 'bad type k' WHEN event_id % 13 = 0 THEN 'missing k' WHEN event_id % 11 = 0 THEN 'invalid JSON' WHEN event_id % 7 = 0 THEN 'invalid JSON' ELSE 'valid' END AS violation FROM events)
         SELECT violation, count(*) AS n FROM v GROUP BY 1""",
     "annotation_checks": """SELECT doc_id, array_to_string(list_filter([CASE WHEN quality <> 1 AND doc_id % 5 = 0 THEN 'bad value preference' END, CASE WHEN toxic = 1 THEN 'missing no_major_error' END], lambda x: x IS NOT NULL), ';') AS violations FROM labels""",

@@ -172,15 +172,6 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.seeded_sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 100)
 
 
-def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").groupBy(F.pmod("s_suppkey", F.lit(6)).cast("int").alias("strategy")).agg(F.round(F.avg("s_acctbal") / 10000, 6).alias("gain"))
-    return select.tree_search(s, 2, 3).select("node_id", "parent_id", "depth", "score", "kept")
-
-
-def best_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.best_node(beam_search(spark, sf_dir))
-
-
 def price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     prices = p.select(F.regexp_replace("p_name", " ", "-").alias("id"), F.round(F.col("p_retailprice") / 1e9, 9).alias("prompt"), F.round(F.col("p_size") / 1e7, 9).alias("completion"), F.col("p_partkey").alias("ord"))
@@ -190,12 +181,6 @@ def price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.with_cost(best.join(found, "model"), "prompt", "completion", "quality").select("model", "id", "match_level", "cost", "cost_per_1000", "quality_per_cost")
 
 
-def dag_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.createDataFrame([(k, n, s, list(p)) for k, (n, s, p) in enumerate(X.GRAPH)], "ord int, name string, status string, prereqs array<string>")
-    nxt = summaries.next_node(g, "ord").select("name").withColumn("is_next", F.lit(True))
-    return summaries.ready(g).join(F.broadcast(nxt), "name", "left").select("name", "status", "ready", F.coalesce("is_next", F.lit(False)).alias("is_next"))
-
-
 def schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     raw = F.when(F.pmod("event_id", F.lit(11)) == 0, F.substring("props", 1, 5)).when(F.pmod("event_id", F.lit(7)) == 0, F.regexp_replace("props", ": ", ': "')).otherwise(F.col("props"))
@@ -323,7 +308,7 @@ QUERIES = {
     for f in (
         chrf_pairs, bleu1_pairs, metrics_by_role, ngram_overlap_topk, gate_checks, verify_pairs, junk_filter, lexicon_tag, tag_counts, term_density, school_index, gamma_by_passage, gamma_by_metric, pairwise_win_rank,
         candidate_disagreement, token_containment_parallels, triangulation, reference_attach, challenge_set, challenge_simple_rules, challenge_pass_rate, per_group_cap, capped_families, running_best, best_trial, run_upsert,
-        seeded_sample, beam_search, best_node, price_lookup, dag_ready, schema_gate, annotation_checks, content_address, gold_hashes, ledger_step_counts, ledger_tail, experiment_summary, finetune_pairs, register_counts,
+        seeded_sample, price_lookup, schema_gate, annotation_checks, content_address, gold_hashes, ledger_step_counts, ledger_tail, experiment_summary, finetune_pairs, register_counts,
         evidence_objects, feature_vectors, semantic_parse, balanced_objects, proposals, file_index, positional_zip, path_references, manifest_check, decontamination_levels, registry_audit,
     )
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import gates, perturb, provenance, text
 from loomtext.functions.contracts import violations
-from loomtext.operators import agreement, hypotheses, rank, registry, select, summaries
+from loomtext.operators import agreement, graph, hypotheses, rank, registry, search, select, summaries
 from loomtext.sources import gold, sinks
 
 # Loaders of test sets by name.
@@ -130,9 +130,14 @@ def gold_summary(rows: DataFrame) -> DataFrame:
 
 
 def checkpoints(nodes: DataFrame) -> DataFrame:
-    """The graph with what is ready, and which checkpoint is next."""
-    following = summaries.next_node(nodes, "ord").select("name", F.lit(True).alias("next"))
-    return summaries.ready(nodes).join(F.broadcast(following), "name", "left").withColumn("next", F.coalesce("next", F.lit(False)))
+    """The graph with what is ready, which checkpoint is next, levels, cycles and how much blocks each."""
+    return graph.standing(nodes, "ord").withColumnRenamed("is_next", "next")
+
+
+def tree_search(rows: DataFrame, by: list[str], depth: int = 2, fanout: int = 2) -> DataFrame:
+    """The best strategy of each search, from judged rows (by, strategy, ord, fidelity), against its root's."""
+    scores = search.scored_strategies(rows, by, "strategy", ["ord"], "fidelity")
+    return search.best_node(search.tree_search(scores, by, depth, fanout), by)
 
 
 def memory(events: DataFrame, text: str = "") -> DataFrame:
@@ -150,7 +155,7 @@ def watchdog(lines: DataFrame, results: DataFrame, by: list[str]) -> DataFrame:
 STEPS = {
     "validate": validate, "eval": evaluate, "hypothesis": hypothesis, "proof": proof, "report": report, "watchdog": watchdog, "benchmark": meta_evaluate, "benchmark_registry": benchmark_registry,
     "sanskrit_texts": texts, "benchmark_report": benchmark_report, "gold": gold_summary, "comet": comet, "frontier": gold.line_pairs, "verify": verify, "checkpoints": checkpoints, "render": render,
-    "finetune": finetune, "tree_search": select.tree_search, "memory": memory, "challenge": challenge,
+    "finetune": finetune, "tree_search": tree_search, "memory": memory, "challenge": challenge,
 }
 
 

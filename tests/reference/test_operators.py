@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import provenance, text
-from loomtext.operators import hypotheses, parallels, ranges, rank, registry, select, summaries
+from loomtext.operators import graph, hypotheses, parallels, ranges, rank, registry, search, select, summaries
 from loomtext.plans import steps
 from loomtext.sources import lines, sinks
 
@@ -209,4 +209,82 @@ def test_every_step_runs(spark, tmp_path):
     assert steps.run([str(tmp_path / "l")], "proof", pairs).count() == 1 and spark.read.json(str(tmp_path / "l")).first().step == "proof"
     assert provenance.state(str(tmp_path)) == {"commit": None, "branch": None, "dirty": None}
     assert summaries.server_health(spark).first().status == "ok"
-    assert select.tree_search(spark.createDataFrame([], "strategy int, gain double"), 2, 3).count() == 1
+    tried = spark.createDataFrame([("s", -1, 0, 0.4), ("s", 2, 1, 0.8), ("s", 3, 2, None)], "s string, strategy int, ord int, fidelity double")
+    found = steps.STEPS["tree_search"](tried, ["s"]).first()
+    assert (found.path, found.strategy, found.root_score, found.best_score, found.improved) == ([0], 2, 0.4, 0.8, True) and "glossary" in found.hint
+
+
+def plain_tree(scores, depth, fanout, strategies):
+    """(path, strategy, score, kept) of every node, by a tree of lists."""
+    root = [(), -1, scores.get(-1, 0.0), True]
+    nodes, frontier = [root], [root]
+    for d in range(1, depth + 1):
+        children = [[(*p[0], i), (d * fanout + i) % strategies, scores.get((d * fanout + i) % strategies, 0.0), False] for p in frontier for i in range(fanout)]
+        frontier = sorted(children, key=lambda n: -n[2])[:fanout]
+        for n in frontier:
+            n[3] = True
+        nodes += children
+    return sorted(map(tuple, nodes))
+
+
+@pytest.mark.parametrize("depth, fanout", [(0, 2), (1, 1), (2, 2), (4, 3), (2, 7)])
+def test_tree_search_of_many_searches(spark, depth, fanout):
+    rnd = random.Random(depth * 10 + fanout)
+    scores = {s: {k: rnd.choice([0.0, 0.25, 0.5, 1.0]) for k in range(-1, 6) if rnd.random() < 0.8} for s in ("a", "b", "c", None)}
+    scores["a"][-1] = 0.5
+    df = spark.createDataFrame([(s, k, x) for s, own in scores.items() for k, x in own.items()], "s string, strategy int, score double")
+    nodes = search.tree_search(df, ["s"], depth, fanout)
+    got = {}
+    for r in nodes.collect():
+        got.setdefault(r.s, []).append((tuple(r.path), r.strategy, r.score, r.kept))
+        assert r.depth == len(r.path) and (r.parent == r.path[:-1] if r.path else r.parent is None)
+    want = {s: plain_tree(own, depth, fanout, 6) for s, own in scores.items() if own}
+    assert {s: sorted(n) for s, n in got.items()} == want
+    for r in search.best_node(nodes, ["s"]).collect():
+        best = max(want[r.s], key=lambda n: (n[2], [-x for x in n[0]] + [1] * (9 - len(n[0]))))  # the first in pre-order
+        first = min((n for n in want[r.s] if n[2] == best[2]), key=lambda n: n[0])
+        assert (tuple(r.path), r.strategy, r.best_score, r.root_score, r.improved) == (*first[:3], want[r.s][0][2], first[2] > want[r.s][0][2])
+    assert search.tree_search(df.limit(0), ["s"], depth, fanout).count() == 0
+
+
+def reaches(edges):
+    out = set(edges)
+    while True:
+        more = {(a, d) for a, b in out for c, d in edges if b == c} - out
+        if not more:
+            return out
+        out |= more
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_graph_of_checkpoints(spark, seed):
+    rnd = random.Random(seed)
+    names = [f"n{k}" for k in range(40)]
+    needs = {n: {rnd.choice(names[:k]) for _ in range(rnd.randrange(3))} if k else set() for k, n in enumerate(names)}
+    needs["n5"] |= {"gone"}
+    needs["n3"], needs["n2"] = needs["n3"] | {"n2"}, needs["n2"] | {"n3"} if seed == 1 else needs["n2"]
+    needs["n9"] |= {"n9"} if seed == 2 else set()
+    state = {n: rnd.choice(["DONE", "DONE", "OPEN", "FAILED"]) for n in names}
+    nodes = spark.createDataFrame([(k, n, state[n], sorted(needs[n])) for k, n in enumerate(names)], "ord int, name string, status string, prereqs array<string>")
+    edges = {(n, p) for n in names for p in needs[n]}
+    every = reaches(edges)
+    assert {tuple(r) for r in graph.closure(graph.edges_of(nodes)).collect()} == every
+    cyclic = {a for a, b in every if a == b}
+    behind = cyclic | {a for a, b in every if b in cyclic}
+    level = {}
+    for n in names * len(names):
+        own = [p for p in needs[n] if p in state]
+        if n not in behind and all(p in level for p in own):
+            level[n] = max((level[p] + 1 for p in own), default=0)
+    unmet = reaches({(n, p) for n, p in edges if state.get(p) != "DONE"})
+    ready = {n: all(state.get(p) == "DONE" for p in needs[n]) for n in names}
+    following = next((n for n in names if ready[n] and state[n] != "DONE"), None)
+    got = {r.name: r for r in steps.checkpoints(nodes).collect()}
+    assert {n: (r.ready, r.next, r.level, r.on_cycle, r.n_blockers) for n, r in got.items()} == {n: (ready[n], n == following, level.get(n), n in cyclic, sum(a == n for a, _ in unmet)) for n in names}
+    assert {tuple(r) for r in graph.blockers(nodes, graph.edges_of(nodes)).collect()} == unmet
+    assert steps.checkpoints(nodes.limit(0)).count() == 0
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    chain = spark.createDataFrame([(f"n{k}", f"n{k - 1}") for k in range(1, 60)], "name string, prereq string")
+    assert graph.closure(chain).count() == 59 * 60 // 2
