@@ -42,6 +42,17 @@ def running(rows: DataFrame, group: list[str], totals: dict[str, Column]) -> Dat
     return local.join(F.broadcast(carries), same, "left").select(*kept, *(a.alias(k) for a, k in zip(added, totals)))
 
 
+def following(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """Of rows that are laid out with `group` first: as `name` the value of the group's next row, null for its last one. What a
+    partition's last row of a group needs is the group's first row in a later partition: again at most one for each partition."""
+    here, later = Window.partitionBy("_part", *group).orderBy("_at"), Window.partitionBy(*group).orderBy("_part")
+    firsts = rows.groupBy("_part", *group).agg(F.min_by(value, "_at").alias("_first"))
+    carries = firsts.select("_part", *group, F.lead("_first").over(later).alias("_next")).filter("_next IS NOT NULL").alias("c")
+    local = rows.withColumn(name, F.lead(value).over(here)).alias("r")
+    same = reduce(lambda a, b: a & b, (F.col(f"r.{g}").eqNullSafe(F.col(f"c.{g}")) for g in ("_part", *group)))
+    return local.join(F.broadcast(carries), same, "left").select(*(F.col(f"r.{c}") for c in rows.columns), F.coalesce(F.col(f"r.{name}"), F.col("c._next")).alias(name))
+
+
 def numbered(df: DataFrame, by: list, group: list[str] | None = None, name: str = "_n", parts: int | None = None) -> DataFrame:
     """df with the number, from 0, that each row has within its group in the order of `by`. Without a group, among all rows."""
     group = group or []

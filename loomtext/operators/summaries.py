@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.sources.scratch import written
+
 # Prices a token times these give a text's cost; families that count for the challenge rate; its least value.
 PROMPT_TOKENS, COMPLETION_TOKENS, LEAST_PASS_RATE, NOT_SEMANTIC = 15_000, 5_000, 0.9, "STYLE"
 
@@ -40,27 +42,53 @@ def challenge_rates(rows: DataFrame, family: str, passed: str) -> DataFrame:
     return out.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col(family)).alias(family), total.alias("total"), good.alias("passed"), rate.alias("rate"), (rate >= LEAST_PASS_RATE).alias("reached"))
 
 
+#: Characters of the pieces by which ids that contain a text are found.
+GRAM = 3
+
+
+def _grams(text: Column, n: Column | int) -> Column:
+    """The distinct pieces of n characters of a text of at least so many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)))
+
+
+def first_containing(needles: DataFrame, ids: DataFrame, key: str, order: str) -> DataFrame:
+    """p1, p2 and the first id, by order, that contains both: by an inverted index of the ids' pieces instead of a product.
+
+    Of all pieces of a needle the one that the fewest ids have is looked up, and what it finds is compared. Pieces have GRAM
+    characters, or as many as a shorter text has. Both texts empty: every id contains them.
+    """
+    needles = written(needles.select("p1", "p2").distinct())
+    of = lambda c: F.when(F.length(c) > 0, _grams(F.col(c), F.least(F.length(c), F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
+    probes = written(needles.select("p1", "p2", F.explode(F.array_union(of("p1"), of("p2"))).alias("gram")))
+    listed = ids.select(key, order, F.explode(F.concat(*(F.when(F.length(key) >= k, _grams(F.col(key), k)).otherwise(F.array().cast("array<string>")) for k in range(1, GRAM + 1)))).alias("gram"))
+    index = written(listed.join(probes.select("gram").distinct(), "gram", "left_semi"))
+    sizes = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = probes.join(sizes, "gram", "left").groupBy("p1", "p2").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    found = written(rarest).join(index, "gram").filter(F.col(key).contains(F.col("p1")) & F.col(key).contains(F.col("p2")))
+    first = F.min_by(key, order).alias(key)
+    any_id = needles.filter("p1 = '' AND p2 = ''").join(F.broadcast(ids.agg(first)))  # one row
+    return found.groupBy("p1", "p2").agg(first).unionByName(any_id.filter(F.col(key).isNotNull()))
+
+
 def price_lookup(usage: DataFrame, model: str, prices: DataFrame, price_id: str, order: str) -> DataFrame:
     """Each distinct model with its price: of the equal id, else of its last path segment, else of the first id that contains its first two parts.
 
-    The catalogue is cut to the first row of each id, which is the best match of all that the id matches. It is joined by key; only the
-    distinct first two parts of models that no key finds are held against every id, and the first id of each is aggregated. No side
-    is broadcast unless it is small: Spark otherwise goes through the product in blocks of both.
+    Of rows that repeat an id the last has the price, and the first gives the id its place. The catalogue is joined by key; only
+    the distinct first two parts of models that no key finds are looked up in an inverted index, and none is held against every id.
     """
     fields = [c for c in prices.columns if c not in (price_id, order)]
-    p = prices.groupBy(price_id).agg(F.min_by(F.struct(order, *fields), F.struct(order)).alias("p")).select(price_id, "p.*")
+    p = written(prices.groupBy(price_id).agg(F.max_by(F.struct(*fields), order).alias("p"), F.min(order).alias(order)).select(price_id, order, "p.*"))
     m = usage.select(model).distinct().withColumn("last", F.element_at(F.split(model, "/"), -1))
     parts = F.split("last", "-")
-    m = m.withColumn("p1", F.get(parts, F.lit(0))).withColumn("p2", F.get(parts, F.lit(1)))
+    m = written(m.withColumn("p1", F.get(parts, F.lit(0))).withColumn("p2", F.get(parts, F.lit(1))))
     exact = m.join(p, F.col(model) == F.col(price_id)).withColumn("level", F.lit(1))
     by_last = m.join(p, F.col("last") == F.col(price_id)).withColumn("level", F.lit(2))
     row = F.struct(price_id, "level", *fields)
-    keyed = exact.unionByName(by_last).groupBy(model).agg(F.min_by(row, F.struct("level", order)).alias("b"))
+    keyed = written(exact.unionByName(by_last).groupBy(model).agg(F.min_by(row, "level").alias("b")))
     rest = m.filter("p2 IS NOT NULL").join(keyed, model, "left_anti")
-    pairs = rest.select("p1", "p2").distinct().join(p, F.col(price_id).contains(F.col("p1")) & F.col(price_id).contains(F.col("p2"))).withColumn("level", F.lit(3))
-    loose = rest.select(model, "p1", "p2").join(pairs.groupBy("p1", "p2").agg(F.min_by(row, F.struct(order)).alias("b")), ["p1", "p2"])
-    best = keyed.unionByName(loose.select(model, "b"))
-    return usage.select(model).distinct().join(best, model, "left").select(model, f"b.{price_id}", F.col("b.level").alias("match_level"), *[f"b.{c}" for c in fields])
+    loose = rest.join(first_containing(rest, p, price_id, order), ["p1", "p2"]).join(p, price_id).withColumn("level", F.lit(3)).select(model, row.alias("b"))
+    best = keyed.unionByName(loose)
+    return m.select(model).join(best, model, "left").select(model, f"b.{price_id}", F.col("b.level").alias("match_level"), *[f"b.{c}" for c in fields])
 
 
 def with_cost(df: DataFrame, prompt_price: str, completion_price: str, quality: str) -> DataFrame:

@@ -173,10 +173,10 @@ SQL = {
     "run_upsert": """SELECT user_id, event_type, event_id, value, CASE WHEN event_type = 'purchase' THEN 'VERIFIED' WHEN value > 50 THEN 'DERIVED' WHEN event_type = 'view' THEN 'OBSERVED' ELSE 'DECLARED' END AS kind
         FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
     "seeded_sample": "SELECT doc_id, source, sha256('42:' || doc_id) AS sample_key FROM documents ORDER BY sample_key LIMIT 100",
-    "price_lookup": """WITH p AS (SELECT replace(p_name, ' ', '-') AS id, round(p_retailprice / 1e9, 9) AS prompt, round(p_size / 1e7, 9) AS completion, p_partkey AS ord FROM part),
+    "price_lookup": """WITH p AS (SELECT replace(p_name, ' ', '-') AS id, floor(p_retailprice) / 1e9 AS prompt, p_size / 1e7 AS completion, p_partkey AS ord FROM part),
         u AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'vendor/' ELSE '' END || replace(p_name, ' ', '-') || CASE WHEN p_partkey % 3 = 0 THEN '-v2' ELSE '' END AS model, p_size FROM part),
         m AS (SELECT model, avg(p_size) AS quality, string_split(model, '/')[-1] AS tail FROM u GROUP BY 1),
-        f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1),
+        f AS (SELECT id, arg_max(prompt, ord) AS prompt, arg_max(completion, ord) AS completion, min(ord) AS ord FROM p GROUP BY id),
         w AS (SELECT DISTINCT string_split(tail, '-')[1] AS p1, string_split(tail, '-')[2] AS p2 FROM m WHERE len(string_split(tail, '-')) > 1),
         l AS (SELECT p1, p2, min_by(f, ord) AS f FROM w JOIN f ON contains(id, p1) AND contains(id, p2) GROUP BY 1, 2),
         j AS (SELECT model, f.*, 1 AS match_level FROM m JOIN f ON model = id UNION ALL SELECT model, f.*, 2 FROM m JOIN f ON tail = id

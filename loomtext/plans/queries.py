@@ -174,7 +174,7 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    prices = p.select(F.regexp_replace("p_name", " ", "-").alias("id"), F.round(F.col("p_retailprice") / 1e9, 9).alias("prompt"), F.round(F.col("p_size") / 1e7, 9).alias("completion"), F.col("p_partkey").alias("ord"))
+    prices = p.select(F.regexp_replace("p_name", " ", "-").alias("id"), (F.floor("p_retailprice") / 1e9).alias("prompt"), (F.col("p_size") / 1e7).alias("completion"), F.col("p_partkey").alias("ord"))
     usage = p.select(F.concat(F.when(F.pmod("p_partkey", F.lit(2)) == 0, "vendor/").otherwise(""), F.regexp_replace("p_name", " ", "-"), F.when(F.pmod("p_partkey", F.lit(3)) == 0, "-v2").otherwise("")).alias("model"), F.col("p_size").alias("quality"))
     found = summaries.price_lookup(usage, "model", prices, "id", "ord")
     best = usage.groupBy("model").agg(F.avg("quality").alias("quality"))

@@ -5,12 +5,12 @@ import math
 import duckdb
 import pytest
 
-from loomtext.plans import composites, files, oracle, queries, structures
+from loomtext.plans import composites, files, models, oracle, queries, structures
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 PLAIN = ("gamma_by_passage", "gamma_by_metric", "pairwise_win_rank", "reference_attach", "ngram_overlap_topk", "token_containment_parallels", "bleu1_pairs", "balanced_objects", "schema_gate", "annotation_checks")
-ALL = {**{k: queries.QUERIES[k] for k in (*PLAIN, "challenge_set")}, **composites.QUERIES, **files.QUERIES, **structures.QUERIES}
-SQL = {**oracle.SQL, **composites.SQL, **files.SQL, **structures.SQL}
+ALL = {**{k: queries.QUERIES[k] for k in (*PLAIN, "challenge_set")}, **composites.QUERIES, **files.QUERIES, **structures.QUERIES, **models.QUERIES}
+SQL = {**oracle.SQL, **composites.SQL, **files.SQL, **structures.SQL, **models.SQL}
 
 
 def plain(rows, columns):
