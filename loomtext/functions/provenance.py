@@ -74,8 +74,7 @@ def file_hashes(spark, paths: list[str]) -> DataFrame:
 
 def code_hash(files: DataFrame) -> DataFrame:
     """code_sha: one fingerprint of files (name, sha256), in the order of their names."""
-    pair = F.struct("name", F.concat_ws(SEP, "name", "sha256").alias("h"))
-    return files.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["h"]), SEP), 256).alias("code_sha"))
+    return set_hash(files, [], ["name"], ["name", "sha256"], "code_sha")
 
 
 def config_hash(config: dict[str, str]) -> Column:

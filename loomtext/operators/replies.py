@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.provenance import content_hash
 from loomtext.functions.text import clean_answer
-from loomtext.sources.scratch import file_system, written
+from loomtext.sources.scratch import exists, written
 
 # What candidates are asked for with, in styles that take turns; what a hypothesis is tried with; characters of a
 # source that a request holds; longest wait in seconds.
@@ -79,8 +79,7 @@ def _sender(call: Call, fields: list[str], size: int, attempts: int, pause: Call
 
 def kept(spark: SparkSession, path: str) -> DataFrame:
     """What has been sent so far, a row for each request: its answer, or else its last failure. Nothing was kept yet: an empty table."""
-    folder, fs = file_system(spark, path)
-    sent = spark.read.schema(_TABLE).option("recursiveFileLookup", "true").parquet(path) if fs.exists(folder) else spark.createDataFrame([], _TABLE)
+    sent = spark.read.schema(_TABLE).option("recursiveFileLookup", "true").parquet(path) if exists(spark, path) else spark.createDataFrame([], _TABLE)
     row = F.struct("reply", "attempts", "waited", "status")
     return sent.groupBy("request_sha").agg(F.min_by(row, F.struct("status", "reply")).alias("r")).select("request_sha", "r.*")  # "answered" comes first
 

@@ -108,8 +108,8 @@ def strategy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id < 9").select(F.sha2(F.col("event_id").cast("string"), 256).alias("run_signature"), F.concat(F.lit("claim "), "event_id").alias("assertion"))
-    x = table(spark, sf_dir, "events").filter("event_id < 4").select(F.format_string("EXP-%012d", "event_id").alias("experiment_id"), (F.pmod("event_id", F.lit(3)) / 4).alias("avg_chrF"), (F.pmod("event_id", F.lit(5)) / 8).alias("avg_bleu1"), F.when(F.pmod("event_id", F.lit(2)) == 0, 0.5).alias("avg_semantic"))
+    e = table(spark, sf_dir, "events").select(F.sha2(F.col("event_id").cast("string"), 256).alias("run_signature"), F.concat(F.lit("claim "), "event_id").alias("assertion"))
+    x = table(spark, sf_dir, "events").select(F.format_string("EXP-%012d", "event_id").alias("experiment_id"), (F.pmod("event_id", F.lit(3)) / 4).alias("avg_chrF"), (F.pmod("event_id", F.lit(5)) / 8).alias("avg_bleu1"), F.when(F.pmod("event_id", F.lit(2)) == 0, 0.5).alias("avg_semantic"))
     values = sinks.report_values(e, x, "2026")
     return spark.createDataFrame([(sinks.report("@N_RUNS@ runs, @N_EXP@ experiments, @DATE@\n@RUN_SIGNATURES@\n@METRIC_TABLE@\n@ASSERTION_CITATIONS@", values),)], "report string")
 
@@ -308,10 +308,10 @@ SQL = {
     "registry_manifest": f"""WITH {_REGISTRY}, r AS (SELECT 1 AS one, row_number() OVER (ORDER BY passage_id) - 1 AS n, sha256(passage_id || chr(1) || body || chr(1) || school) AS h FROM q), {oracle.hash_tree('r', 'one', 'n', 'h')}
         SELECT '0.1.0' AS version, (SELECT count(*) FROM q) AS n_passages, 2::BIGINT AS n_sources, 'exact,near_duplicate' AS defended, 8 AS n_requirements, h AS manifest_hash FROM tree""",
     "strategy_scores": "SELECT user_id, round(avg(CASE WHEN event_id % 4 <> 0 THEN value ELSE 0 END), 6) AS score FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3) GROUP BY 1",
-    "report_text": r"""WITH r AS (SELECT event_id, sha256(CAST(event_id AS VARCHAR)) AS sig FROM events WHERE event_id < 9), o AS (SELECT *, row_number() OVER (ORDER BY sig) AS k FROM r),
-        x AS (SELECT event_id AS k, right('EXP-' || lpad(CAST(event_id AS VARCHAR), 12, '0'), 12) || ' & ' || printf('%.3f', event_id % 3 / 4) || ' & ' || printf('%.3f', event_id % 5 / 8) || ' & ' || CASE WHEN event_id % 2 = 0 THEN '0.5' ELSE '—' END || ' \\' AS line FROM events WHERE event_id < 4)
+    "report_text": r"""WITH r AS (SELECT event_id, sha256(CAST(event_id AS VARCHAR)) AS sig FROM events), o AS (SELECT *, row_number() OVER (ORDER BY sig) AS k FROM r),
+        x AS (SELECT event_id AS k, right('EXP-' || lpad(CAST(event_id AS VARCHAR), 12, '0'), 12) || ' & ' || printf('%.3f', event_id % 3 / 4) || ' & ' || printf('%.3f', event_id % 5 / 8) || ' & ' || CASE WHEN event_id % 2 = 0 THEN '0.5' ELSE '—' END || ' \\' AS line FROM events)
         SELECT (SELECT count(*) FROM r) || ' runs, ' || (SELECT count(*) FROM x) || ' experiments, 2026' || chr(10) || (SELECT string_agg(left(sig, 12), ', ' ORDER BY k) FROM o WHERE k <= 5) || chr(10) ||
-            coalesce((SELECT string_agg('    ' || line, chr(10) ORDER BY k) FROM x), '') || chr(10) || (SELECT string_agg('claim ' || event_id || ' (run ' || left(sig, 12) || ')', '; ' ORDER BY k) FROM o WHERE k <= 3) AS report""",
+            coalesce((SELECT string_agg('    ' || line, chr(10) ORDER BY k) FROM (SELECT * FROM x ORDER BY k LIMIT 50)), '') || chr(10) || (SELECT string_agg('claim ' || event_id || ' (run ' || left(sig, 12) || ')', '; ' ORDER BY k) FROM o WHERE k <= 3) AS report""",
     "server_bench": f"""WITH {oracle.METRICS}, {oracle.default_gate('m')}, top AS (SELECT * FROM verdicts ORDER BY conv_id, turn LIMIT 40)
         SELECT 'bench' AS product, count(*) AS n, round(avg(bleu1), 4) AS avg_bleu, round(avg(CASE WHEN gate = 'PASS' THEN 1.0::DOUBLE ELSE 0 END), 3) AS pass_rate FROM top UNION ALL SELECT 'bench of nothing', 0, 0, 0""",
     "evidence_nested": f"""WITH {oracle.TURNS}, {oracle.default_gate('turns')}, w AS (SELECT *, list_filter(string_split(cand, ' '), lambda x: x <> '')[1:5] AS par, CASE WHEN gate = 'PASS' THEN 'accepted' ELSE 'review' END AS decision FROM verdicts),

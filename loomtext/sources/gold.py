@@ -5,21 +5,34 @@ Files are read by Spark, so any store will do. Every loader gives an `ord` colum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.lexicon import TRADITIONS, DEFAULT_TRADITION, tag
 from loomtext.functions.text import bleu1, chrf, is_junk, with_grams, words
-from loomtext.sources.lines import numbered_files
+from loomtext.sources.lines import numbered_files, read_files
+from loomtext.sources.scratch import exists
 
 # Stages of a record in the order of preference; prefix of a source that the truncating loader keeps.
 LAB_STAGES, GOLD_STAGES, SOURCE_PREFIX = ("L2", "l2", "T1", "t1"), ("L2", "l2"), 400
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """file and its whole text, in name order; malformed ones give null fields later."""
-    df = spark.read.text(path, wholetext=True)
-    return df.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("raw"))
+    """file and its whole text; malformed ones give null fields later, and no file no row."""
+    return read_files(spark, path).withColumnRenamed("text", "raw")
+
+
+def _field(json: Column, path: str) -> tuple[Column, Column]:
+    """A field's text, and its kind: STRING, OBJECT<..>, ARRAY<..> or another; both null without the field."""
+    item = F.try_variant_get(F.try_parse_json(json), path, "variant")
+    return F.try_variant_get(item, "$", "string"), F.schema_of_variant(item)
+
+
+def _said(text: Column, kind: Column) -> Column:
+    """Whether a field says anything: not null, not empty text, an empty list or object, zero or false."""
+    return F.coalesce((kind != "VOID") & ~text.isin("", "{}", "[]") & ~((kind != "STRING") & text.isin("0", "0.0", "false")), F.lit(False))
 
 
 def _ordered(df: DataFrame, *by: str) -> DataFrame:
@@ -27,39 +40,47 @@ def _ordered(df: DataFrame, *by: str) -> DataFrame:
 
 
 def _stage(raw: Column, stages: tuple[str, ...]) -> Column:
-    """The first stage with text: of an object its close translation, else its translation; of a list its parts joined."""
-    out = []
+    """Of the first stage that says anything: of an object its close translation, else its translation, else nothing; of a list its parts joined; else its text.
+
+    A later stage does not stand in for one that says something else.
+    """
+    first = None
     for s in stages:
-        for key in (f"$.stages.{s}.close_translation", f"$.stages.{s}.translation"):
-            out.append(F.nullif(F.get_json_object(raw, key), F.lit("")))
-        whole = F.get_json_object(raw, f"$.stages.{s}")
-        parts = F.array_join(F.from_json(whole, "array<string>"), " ")
-        out.append(F.when(whole.startswith("["), parts).when(~whole.startswith("{"), F.nullif(whole, F.lit(""))))
-    return F.coalesce(*out)
+        text, kind = _field(raw, f"$.stages.{s}")
+        either = [F.when(_said(*f), f[0]) for f in (_field(raw, f"$.stages.{s}.close_translation"), _field(raw, f"$.stages.{s}.translation"))]
+        of_object, of_list = F.coalesce(*either), F.array_join(F.from_json(text, "array<string>"), " ")
+        told = F.when(kind.startswith("OBJECT"), of_object).when(kind.startswith("ARRAY"), of_list).otherwise(text)
+        first = F.when(_said(text, kind), told) if first is None else first.when(_said(text, kind), told)
+    return first
 
 
 def records(spark: SparkSession, path: str, stages: tuple[str, ...] = LAB_STAGES, tradition: str | None = None) -> DataFrame:
-    """Gold records, one JSON file each. Rows without source or gold, or whose gold is an unread object, are dropped."""
+    """Gold records, one JSON file each. Rows without source or gold, or whose gold is an unread object, are dropped; a record without passage_id goes by its file's name."""
     f = _files(spark, path)
     raw = F.col("raw")
-    df = f.select(F.coalesce(F.get_json_object(raw, "$.source.source_text"), F.get_json_object(raw, "$.source.text")).alias("source"), _stage(raw, stages).alias("gold"), F.get_json_object(raw, "$.passage_id").alias("passage_id"), "file")
+    df = f.select(F.coalesce(F.get_json_object(raw, "$.source.source_text"), F.get_json_object(raw, "$.source.text")).alias("source"), _stage(raw, stages).alias("gold"), F.coalesce(F.get_json_object(raw, "$.passage_id"), "file").alias("passage_id"), "file")
     df = df.filter((F.coalesce("source", F.lit("")) != "") & (F.coalesce("gold", F.lit("")) != "") & ~F.col("gold").startswith("{"))
-    label = F.when(F.lower("file").contains("krama"), "Krama").otherwise(tag(F.concat_ws(" ", "source", "gold"), TRADITIONS, DEFAULT_TRADITION)) if tradition is None else F.lit(tradition)
+    label = F.when(F.lower("file").contains("krama"), "Krama").otherwise(tag(F.col("source"), TRADITIONS, DEFAULT_TRADITION)) if tradition is None else F.lit(tradition)
     return _ordered(df.withColumn("tradition", label), "file").drop("file")
 
 
 def published(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """Published passages, one JSON file each; malformed files are skipped; most: characters of the source that are kept."""
+    """Published passages, one JSON file each; malformed files are skipped; most: characters of the source that are kept.
+
+    The source is the field `source`, or else `source_text`: an object's text, or plain text. The gold text is l2_text, or
+    else l2. A passage without id goes by its file's name.
+    """
     f = _files(spark, path)
     raw = F.col("raw")
-    source = F.get_json_object(raw, "$.source.text")
-    df = f.select((F.substring(source, 1, most) if most else source).alias("source"), F.coalesce(F.nullif(F.get_json_object(raw, "$.l2_text"), F.lit("")), F.get_json_object(raw, "$.l2")).alias("gold"), F.get_json_object(raw, "$.id").alias("passage_id"), "file")
-    df = df.filter((F.coalesce("source", F.lit("")) != "") & (F.coalesce("gold", F.lit("")) != ""))
-    return _ordered(df.withColumn("tradition", tag(F.concat_ws(" ", "source", "gold"))), "file").drop("file")
+    either = lambda *keys: F.coalesce(*(F.when(_said(*_field(raw, k)), F.struct(*(c.alias(n) for c, n in zip(_field(raw, k), ("text", "kind"))))) for k in keys))
+    df = f.select(either("$.source", "$.source_text").alias("s"), either("$.l2_text", "$.l2")["text"].alias("gold"), F.coalesce(F.get_json_object(raw, "$.id"), "file").alias("passage_id"), "file")
+    source = F.when(F.col("s.kind").startswith("OBJECT"), F.get_json_object("s.text", "$.text")).otherwise(F.col("s.text"))
+    df = df.withColumn("source", F.substring(source, 1, most) if most else source).filter((F.coalesce("source", F.lit("")) != "") & F.col("gold").isNotNull())
+    return _ordered(df.select("source", "gold", "passage_id", "file").withColumn("tradition", tag(F.col("source"))), "file").drop("file")
 
 
 def json_pairs(spark: SparkSession, path: str, source: str = "sanskrit", gold: str = "english", passage_id: str = "mitra") -> DataFrame:
-    """JSON lines of a source and a gold text; blank and malformed lines are skipped."""
+    """JSON lines of a source and a gold text; blank and malformed lines are skipped, and without a file there is no row."""
     df = numbered_files(spark, path).select(F.get_json_object("line", f"$.{source}").alias("source"), F.get_json_object("line", f"$.{gold}").alias("gold"), F.lit(passage_id).alias("passage_id"), "file", "i")
     df = df.filter("source IS NOT NULL AND gold IS NOT NULL").withColumn("tradition", tag(F.col("source")))
     return _ordered(df, "file", "i").drop("file", "i")
@@ -131,11 +152,11 @@ def catalogue(samples: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
     return out
 
 
-def available(datasets: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
-    """name and number of rows of each dataset."""
-    out = spark.createDataFrame([], "name string, n long")
-    for name, df in datasets.items():
-        out = out.unionByName(df.agg(F.lit(name).alias("name"), F.count("*").alias("n")))
+def available(spark: SparkSession, datasets: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]]) -> DataFrame:
+    """name, imported (whether there is anything at its path) and n, the number of rows that its loader gives, of each dataset."""
+    out = spark.createDataFrame([], "name string, imported boolean, n long")
+    for name, (path, load) in datasets.items():
+        out = out.unionByName(load(spark, path).agg(F.lit(name).alias("name"), F.lit(exists(spark, path)).alias("imported"), F.count("*").alias("n")))
     return out
 
 

@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomtext.sources.scratch import exists
+
+
+def file_name(path: Column) -> Column:
+    """The name of the file at a path; of a file in a folder that write_files() made, the name that it was written by."""
+    plain = lambda c: F.url_decode(F.regexp_replace(c, r"\+", "%2B"))
+    folder = F.regexp_extract(path, r"/name=([^/]+)/[^/]+$", 1)
+    return F.when(folder != "", plain(plain(folder))).otherwise(plain(F.element_at(F.split(path, "/"), -1)))
+
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """file (name) and text of whole text files."""
-    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text"))
+    """file (name) and text of whole text files; none, if there is no file at the path."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "file string, text string")
+    return spark.read.text(path, wholetext=True).select(file_name(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("text"))
 
 
 def numbered_files(spark: SparkSession, path: str) -> DataFrame:
     """file (name), i (from 0) and line of text files of any size: files are read in splits, and a split's lines are numbered on
-    from those of the splits before it. A line ends at a line feed, with or without a carriage return before it."""
+    from those of the splits before it. A line ends at a line feed, with or without a carriage return before it. Without a file
+    at the path there is no line."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "file string, i long, line string")
     lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"))
     splits = lines.groupBy("_path", "_split").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("_path", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each split
-    name = F.url_decode(F.element_at(F.split("_path", "/"), -1))
-    return lines.join(splits, ["_path", "_split"]).select(name.alias("file"), (F.col("_before") + F.col("_id") - F.col("_first")).alias("i"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return lines.join(splits, ["_path", "_split"]).select(file_name(F.col("_path")).alias("file"), (F.col("_before") + F.col("_id") - F.col("_first")).alias("i"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def numbered(files: DataFrame, file: str, text: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, the warehouse, or a temporary folder for a local master, which is removed at the end."""
+    """spark.checkpoint.dir; where it is unset, the warehouse, if that is in a store that all share, or a temporary folder for a local master, which is removed at the end."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base and (sc.master.startswith("local[") or sc.master == "local"):
@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
             base = shared_folder.local = tempfile.mkdtemp(prefix="loomtext-")
             atexit.register(remove, spark, base)
     base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/_loomtext"
+    if not sc.master.startswith("local") and base.startswith("file:") and not sc.getConf().get("spark.checkpoint.dir"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base
@@ -30,6 +32,12 @@ def file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or a pattern of paths, leads to anything."""
+    where, fs = file_system(spark, path)
+    return bool(fs.globStatus(where))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         where, fs = file_system(spark, path)

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions.provenance import content_hash, set_hash
-from loomtext.sources.scratch import file_system
+from loomtext.sources.scratch import exists
 
 #: Raw outputs that a run record keeps; its hash covers all of them.
 KEPT_OUTPUTS = 20
+#: Experiments that a report's table shows.
+TABLE_ROWS = 50
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
@@ -30,20 +32,14 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return df.groupBy("run_signature").agg(F.max_by(every, F.col("written")).alias("r")).select("r.*")
 
 
-def write_files(files: DataFrame, path: str, most: int = 1000) -> None:
-    """One file for each row (name, text) under a folder, overwritten: run records by their signature, checkpoints, single documents.
+def write_files(files: DataFrame, path: str) -> None:
+    """One document for each row (name, text), under a folder of its name: run records by their signature, checkpoints, single documents.
 
-    For small sets, whose number is checked first; larger ones belong into lines or tables.
+    Tasks write them, of any number; a document that is written again replaces the one of its name, others stay. lines.file_name()
+    tells a document's name from its path.
     """
-    rows = files.select("name", "text").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} files: write lines or a table instead")
-    spark = files.sparkSession
-    folder, fs = file_system(spark, path)
-    for r in rows:
-        out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, r.name), True)
-        out.write(bytearray(r.text.encode()))
-        out.close()
+    rows = files.select("name", F.coalesce("text", F.lit("")).alias("text"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(path)
 
 
 def nested(rows: DataFrame, by: list[str], aggregates: list, order: str) -> DataFrame:
@@ -55,8 +51,7 @@ def nested(rows: DataFrame, by: list[str], aggregates: list, order: str) -> Data
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """The passages of a frozen registry; nothing was frozen: an empty table of passages."""
-    folder, fs = file_system(spark, path)
-    if fs.exists(folder):
+    if exists(spark, path):
         return spark.read.parquet(path)
     return spark.createDataFrame([], "passage_id string, source string, school string")
 
@@ -81,15 +76,15 @@ def freeze(passages: DataFrame, path: str, version: str) -> DataFrame:
 
 def report_values(runs: DataFrame, experiments: DataFrame, date: str) -> dict[str, str]:
     """The values of a report's tokens: counts; of the first runs, by signature, five short signatures and three assertions with theirs;
-    and a table row for each experiment (a registry of a few rows, which a report prints whole)."""
+    and a table row for each of the first TABLE_ROWS experiments. No more than these rows come to the driver."""
     short = F.substring("run_signature", 1, 12)
     first = runs.orderBy("run_signature").limit(5).select(short.alias("s"), "assertion").collect()
-    rows = experiments.orderBy("experiment_id").collect()
+    rows = experiments.orderBy("experiment_id").limit(TABLE_ROWS).collect()
     dash = "—"
     line = lambda r: f"    {r.experiment_id[-12:]} & {r.avg_chrF:.3f} & {r.avg_bleu1:.3f} & {dash if r.avg_semantic is None else r.avg_semantic} \\\\"
     return {
         "N_RUNS": str(runs.count()),
-        "N_EXP": str(len(rows)),
+        "N_EXP": str(experiments.count()),
         "RUN_SIGNATURES": ", ".join(r.s for r in first) or dash,
         "METRIC_TABLE": "\n".join(map(line, rows)) or f"    {dash} & {dash} & {dash} & {dash} \\\\",
         "ASSERTION_CITATIONS": "; ".join(f"{r.assertion} (run {r.s})" for r in first[:3]) or dash,
