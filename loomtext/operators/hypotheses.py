@@ -21,6 +21,8 @@ KNOWN = {
 # The hypothesis where no known family was seen, and the hint of one for what is new; what a low row is.
 GENERAL, GENERAL_HINT, NOVEL_HINT = "general care", "Translate carefully, verbatim meaning.", "Attend to the specific issue the judge flagged."
 LEAST_FIDELITY, LEAST_CHRF = 0.7, 0.55
+# The label of what no known family explains; characters that are kept of a judgment.
+NOVEL, SNIPPET, NOVEL_SNIPPET = "novel", 80, 120
 
 
 def low_rows(rows: DataFrame, fidelity: str, chrf: str, judgment: str) -> DataFrame:
@@ -30,6 +32,21 @@ def low_rows(rows: DataFrame, fidelity: str, chrf: str, judgment: str) -> DataFr
     return rows.filter(low & said).withColumn("family", lexicon.error_family(F.col(judgment)))
 
 
+def observations(low: DataFrame, judgment: str, order: str) -> DataFrame:
+    """kind, family, snippet and order: what was seen of each known family, and, as kind novel, of none, shortened, a row for each.
+
+    A family's observations stay rows, in the order of `order`: a family that a third of all rows belong to is no list.
+    """
+    novel = F.col("family") == NOVEL
+    snippet = F.when(novel, F.substring(judgment, 1, NOVEL_SNIPPET)).otherwise(F.substring(judgment, 1, SNIPPET))
+    return low.select(F.when(novel, NOVEL).otherwise("family").alias("kind"), F.when(~novel, F.col("family")).alias("family"), snippet.alias("snippet"), order)
+
+
+def latest_rows(experiments: DataFrame, order: str, rows: str = "rows") -> DataFrame:
+    """The rows of the last experiment: what the next hypotheses are proposed from."""
+    return experiments.orderBy(F.desc(order)).limit(1).select(F.explode(rows).alias("_r")).select("_r.*")
+
+
 def proposed(low: DataFrame, judgment: str, order: str) -> DataFrame:
     """ord, family, hint: known hypotheses of a family that was seen, else general care, and one for the first new judgment."""
     spark = low.sparkSession

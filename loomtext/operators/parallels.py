@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loomtext.functions.text import words
+from loomtext.functions.text import chrf, with_grams, words
 
 #: Texts that are searched for are collected and broadcast in blocks of about so many bytes.
 BLOCK_BYTES = 4 << 20
 #: Grams of the small side that are broadcast, at most; more are joined by a shuffle.
 MOST_GRAMS = 1_000_000
+#: Characters of a parallel's text that are shown.
+SHOWN = 60
 
 
 def _matcher(shared, n: int):
@@ -78,10 +80,30 @@ def containment_parallels(sources: DataFrame, source_id: str, source: str, corpu
     return out.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
+def with_texts(parallels: DataFrame, corpus: DataFrame, other_id: str, other: str, lang: str, most: int = SHOWN) -> DataFrame:
+    """parallels with lang and text, the first characters, of what they found: joined by id to the few that were found."""
+    found = corpus.select(F.col(other_id).cast("long").alias("other_id"), F.col(lang).alias("lang"), F.substring(other, 1, most).alias("text"))
+    return parallels.join(found, "other_id", "left").select(*parallels.columns, "lang", "text")
+
+
 def triangulate(parallels: DataFrame, sources: DataFrame, source_id: str) -> DataFrame:
-    """For each source whether it has parallels, and how many of the best."""
-    counts = parallels.groupBy(F.col("source_id").alias(source_id)).agg(F.count("*").alias("n_parallels"))
-    return sources.select(source_id).join(counts, source_id, "left").select(source_id, F.coalesce("n_parallels", F.lit(0)).cast("long").alias("n_parallels"), F.col("n_parallels").isNotNull().alias("available"))
+    """For each source whether it has parallels, how many of the best, and these in order (other_id, and lang and text where given)."""
+    told = [c for c in ("other_id", "overlap", "lang", "text") if c in parallels.columns]
+    listed = F.array_sort(F.collect_list(F.struct("rank", *told))).alias("parallels")  # as many as were looked for
+    counts = parallels.groupBy(F.col("source_id").alias(source_id)).agg(F.count("*").alias("n_parallels"), listed)
+    return sources.select(source_id).join(counts, source_id, "left").select(source_id, F.coalesce("n_parallels", F.lit(0)).cast("long").alias("n_parallels"), F.col("n_parallels").isNotNull().alias("available"), "parallels")
+
+
+def crosslingual(candidates: DataFrame, key: str, candidate: str, parallels: DataFrame) -> DataFrame:
+    """key, crosslingual and n_parallels: the mean chrF of a candidate with the texts of its parallels (source_id, text), to three places.
+
+    Texts that are null or empty are counted as parallels but not compared; without any to compare, the value is null.
+    """
+    both = candidates.select(F.col(key).alias("source_id"), F.col(candidate).alias("_c")).join(parallels.select("source_id", F.col("text").alias("_t")), "source_id", "left")
+    both = with_grams(with_grams(both, "_t", "_g"), "_c", "_h").withColumn("_x", F.when(F.coalesce("_t", F.lit("")) != "", chrf("_g", "_h")))
+    listed = parallels.groupBy("source_id").agg(F.count("*").alias("n"))
+    out = both.groupBy("source_id").agg(F.round(F.avg("_x"), 3).alias("crosslingual")).join(listed, "source_id", "left")
+    return out.select(F.col("source_id").alias(key), "crosslingual", F.coalesce("n", F.lit(0)).cast("long").alias("n_parallels"))
 
 
 def word_grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:

@@ -9,6 +9,7 @@ from loomtext.functions import lexicon, provenance
 from loomtext.functions.contracts import violations
 from loomtext.operators.select import cap_per_group
 from loomtext.sources import lines
+from loomtext.sources.scratch import written
 
 # What the default registry says of each passage, what every reported number must carry, and its decontamination levels.
 GENRE, SOURCE_DATE, LICENSE = "sastra", "classical", "CC-BY 4.0"
@@ -104,7 +105,7 @@ def file_violations(lines_: DataFrame, file: str, nth: str, line: str, contract,
     """
     raw = F.trim(F.col(line))
     rows = lines_.filter(raw != "").select(F.col(file).alias("file"), F.col(nth).alias("i"), raw.alias("raw"), F.try_parse_json(raw).isNull().alias("broken"))
-    stop = rows.filter("broken").groupBy("file").agg(F.min("i").alias("stop"))
+    stop = written(rows.filter("broken").groupBy("file").agg(F.min("i").alias("stop")))  # written, so that a hot file can be split in the join
     rows = rows.join(stop, "file", "left").filter("stop IS NULL OR i <= stop")
     if discriminator:
         rows = rows.filter(F.col("broken") | F.coalesce(F.array_contains(F.json_object_keys("raw"), discriminator), F.lit(False)))

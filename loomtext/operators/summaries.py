@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,13 +130,19 @@ def level_split(defended: Column, levels: list[str]) -> tuple[Column, Column]:
     return F.filter(every, lambda x: F.array_contains(defended, x)), F.array_except(every, defended)
 
 
-def registry_audit(runs: DataFrame, required: list[str], key: str) -> DataFrame:
-    """How many records there are, how many lack a required field, and the first 12 characters of their keys."""
-    bad = F.lit(False)
-    for c in required:
-        bad = bad | F.col(c).isNull()
-    return runs.agg(F.count("*").alias("n"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("invalid"), F.array_sort(F.collect_set(F.when(bad, F.substring(key, 1, 12)))).alias("missing"))
+def _lacking(required: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.col(c).isNull() for c in required), F.lit(False))
+
+
+def registry_audit(runs: DataFrame, required: list[str]) -> DataFrame:
+    """How many records there are, and how many have, and lack, the required fields."""
+    bad = _lacking(required)
+    return runs.agg(F.count("*").alias("n"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("invalid"))
+
 
+def incomplete_records(runs: DataFrame, required: list[str], key: str) -> DataFrame:
+    """missing: the first 12 characters of the key of each record that lacks a required field, once."""
+    return runs.filter(_lacking(required)).select(F.substring(key, 1, 12).alias("missing")).distinct()
 
 
 def missing_references(texts: DataFrame, key: str, text: str, files: DataFrame, path: str) -> DataFrame:

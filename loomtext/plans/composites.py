@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import gates, lexicon, perturb, provenance, text
+from loomtext.functions.contracts import violations
 from loomtext.operators import hypotheses, ledger, registry, select, summaries
 from loomtext.plans import evidence, oracle, steps
 from loomtext.plans import lexicons as X
@@ -121,18 +122,24 @@ def server_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence that each pair carries, and what its contract finds in it."""
     t = turns(spark, sf_dir).withColumn("b", gates.blocking(F.col("ref"), F.col("cand")))
     words = F.filter(F.split("cand", " "), lambda w: w != "")
-    o = evidence.evidence_object(F.col("ref"), F.col("cand"), gates.gate(F.col("b")), F.col("b"), words, F.array("ref", "cand"))
+    o = evidence.evidence_object(F.col("ref"), F.col("cand"), gates.gate(F.col("b")), F.col("b"), words, F.array("ref", "cand"), F.sha2(F.col("conv_id").cast("string"), 256))
     t = t.withColumn("o", o)
-    return t.select("conv_id", "turn", F.size("o.claim.parallel_evidence").cast("long").alias("n_parallels"), F.col("o.claim.candidate.sha256").alias("candidate_sha"), F.col("o.claim.decision").alias("decision"), F.col("o.artifact_hash").alias("artifact_hash"))
+    return t.select(
+        "conv_id", "turn", "o.parallel_evidence.n_parallels", F.size("o.parallel_evidence.parallels").cast("long").alias("n_kept"), F.col("o.candidate.hash").alias("candidate_hash"), "o.provenance.run_signature",
+        "o.decision", F.size(violations(F.to_json("o"), "PROOF_EVIDENCE")).cast("long").alias("n_violations"), "o.artifact_hash",
+    )
 
 
 def proof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text.with_metrics(turns(spark, sf_dir), "ref", "cand").withColumn("b", gates.blocking(F.col("ref"), F.col("cand")))
-    z = evidence.feature_vector(F.col("chrf"), F.lit(None))
-    s = evidence.proof_score(gates.gate(F.col("b")), F.col("b"), F.col("chrf"), F.pmod("turn", F.lit(5)) / 5, z)
-    return t.withColumn("s", s).select("conv_id", "turn", "s.gate", "s.gold_chrf", "s.semantic", "s.decision", F.col("s.features")["D_ensemble"]["status"].alias("ensemble"), F.col("s.features")["M_morph"]["status"].alias("morph"))
+    z = evidence.feature_vector(F.col("chrf"), F.lit("mixed"), F.lit(None), F.lit(0))
+    gold = F.when(F.pmod("turn", F.lit(3)) != 0, F.col("ref"))
+    t = t.withColumn("s", evidence.proof_score(gates.gate(F.col("b")), gold, F.col("chrf"), z))
+    status = [F.col(f"s.{c}.status").alias(c) for c in ("source_semantic_coverage", "morphological_accounting", "critical_errors_detected", "candidate_agreement")]
+    return t.select("conv_id", "turn", F.col("s.deterministic_gate").alias("gate"), F.col("s.gold_chrF").alias("gold_chrf"), "s.decision", *status)
 
 
 def severity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,6 +290,12 @@ _REGISTRY = f"""s AS ({oracle.SCHOOL}), c AS (SELECT *, left(array_to_string(lis
     q AS (SELECT *, school || ':' || doc_id || ':' || left(hash, 10) AS passage_id FROM p)"""
 _FOUND = "list_filter([" + ", ".join(f"CASE WHEN contains(x, '{t}') THEN '{t}' END" for t in X.TERMS) + "], lambda v: v IS NOT NULL)[1:8]"
 _INSTRUCTED = oracle.case([(f"register = '{k}'", v) for k, v in registry.INSTRUCTIONS.items()], "''")
+_NONE = lambda k: f"'{k}': {{'status': 'unavailable', 'note': '{evidence.NO_FIELD[k]}'}}"
+_EVIDENCE = ", ".join((
+    "'source': {'text': ref, 'hash': sha256(ref)}, 'candidate': {'text': cand, 'hash': sha256(cand)}, 'deterministic_gate': gate, 'blocking': blocking", *map(_NONE, ("segmentation", "morphology", "syntax", "alignment", "lexical_evidence")),
+    "'parallel_evidence': {'n_parallels': len(par), 'parallels': par[1:5]}", _NONE("intertextual_evidence"), "'candidate_distribution': {'n_candidates': 2, 'candidates': [ref, cand]}", *map(_NONE, ("evaluator_evidence", "terminology", "uncertainty")),
+    f"'provenance': {{'run_signature': run_signature, 'method': '{evidence.METHOD}', 'schema_version': '{evidence.VERSION}'}}, 'decision': decision",
+))
 
 SQL = {
     "challenge_rows": f"WITH {_CHALLENGES} SELECT item_id, family, bad FROM challenge",
@@ -314,10 +327,11 @@ SQL = {
             coalesce((SELECT string_agg('    ' || line, chr(10) ORDER BY k) FROM (SELECT * FROM x ORDER BY k LIMIT 50)), '') || chr(10) || (SELECT string_agg('claim ' || event_id || ' (run ' || left(sig, 12) || ')', '; ' ORDER BY k) FROM o WHERE k <= 3) AS report""",
     "server_bench": f"""WITH {oracle.METRICS}, {oracle.default_gate('m')}, top AS (SELECT * FROM verdicts ORDER BY conv_id, turn LIMIT 40)
         SELECT 'bench' AS product, count(*) AS n, round(avg(bleu1), 4) AS avg_bleu, round(avg(CASE WHEN gate = 'PASS' THEN 1.0::DOUBLE ELSE 0 END), 3) AS pass_rate FROM top UNION ALL SELECT 'bench of nothing', 0, 0, 0""",
-    "evidence_nested": f"""WITH {oracle.TURNS}, {oracle.default_gate('turns')}, w AS (SELECT *, list_filter(string_split(cand, ' '), lambda x: x <> '')[1:5] AS par, CASE WHEN gate = 'PASS' THEN 'accepted' ELSE 'review' END AS decision FROM verdicts),
-        o AS (SELECT *, CAST(to_json({{'source': {{'text': ref, 'sha256': sha256(ref)}}, 'candidate': {{'text': cand, 'sha256': sha256(cand)}}, 'deterministic_gate': gate, 'blocking': blocking, 'parallel_evidence': par, 'candidate_distribution': [ref, cand], 'decision': decision}}) AS VARCHAR) AS body FROM w)
-        SELECT conv_id, turn, len(par) AS n_parallels, sha256(cand) AS candidate_sha, decision, sha256(body) AS artifact_hash FROM o""",
-    "proof_scores": f"""WITH {oracle.METRICS}, {oracle.default_gate('m')} SELECT conv_id, turn, gate, CAST(round(CAST(chrf AS DECIMAL(9, 4)), 3) AS DOUBLE) AS gold_chrf, turn % 5 / 5 AS semantic, CASE WHEN gate = 'PASS' THEN 'accepted' ELSE 'review' END AS decision, 'available' AS ensemble, 'unavailable' AS morph FROM verdicts""",
+    "evidence_nested": f"""WITH {oracle.TURNS}, {oracle.default_gate('turns')}, w AS (SELECT *, list_filter(string_split(cand, ' '), lambda x: x <> '') AS par, sha256(CAST(conv_id AS VARCHAR)) AS run_signature, CASE WHEN gate = 'PASS' THEN 'accepted' ELSE 'review' END AS decision FROM verdicts),
+        o AS (SELECT *, CAST(to_json({{{_EVIDENCE}}}) AS VARCHAR) AS body FROM w)
+        SELECT conv_id, turn, len(par) AS n_parallels, least(len(par), 5) AS n_kept, sha256(cand) AS candidate_hash, run_signature, decision, 0::BIGINT AS n_violations, sha256(body) AS artifact_hash FROM o""",
+    "proof_scores": f"""WITH {oracle.METRICS}, {oracle.default_gate('m')} SELECT conv_id, turn, gate, CASE WHEN turn % 3 <> 0 AND ref <> '' THEN CAST(round(CAST(chrf AS DECIMAL(9, 4)), 3) AS DOUBLE) END AS gold_chrf, CASE WHEN gate = 'PASS' THEN 'accepted' ELSE 'review' END AS decision,
+        'unavailable' AS source_semantic_coverage, 'unavailable' AS morphological_accounting, 'unavailable' AS critical_errors_detected, 'available' AS candidate_agreement FROM verdicts""",
     "severity_totals": "SELECT event_type, CAST(sum([1, 5, 25, NULL][event_id % 4 + 1]) AS BIGINT) AS weight, count([1, 5, 25, NULL][event_id % 4 + 1]) AS n FROM events GROUP BY 1",
     "host_verdicts": "SELECT s_suppkey, CASE WHEN s_acctbal / 4000 >= 1 THEN 'SAFE' WHEN s_acctbal / 4000 < 0.4 THEN 'CRITICAL' ELSE 'CAUTION' END AS verdict FROM supplier",
     "answer_cleanup": f"""WITH a AS (SELECT conv_id, turn, {_STRIP(f"regexp_replace(trim(' ' || text || '\"', '\"'), '^\"+|\"+$', '', 'g')")} AS answer FROM conversations)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from loomtext.functions.parsing import FAMILY_WORDS
 from loomtext.functions.text import DIACRITICS
 from loomtext.plans import lexicons as X
+from loomtext.plans.evidence import FEATURES
 
 SP = r"[\s\p{Z}]+"
 
@@ -117,6 +118,10 @@ DISAGREE = f"""o AS MATERIALIZED (SELECT conv_id, turn, {bare('text')} AS tb FRO
     w AS MATERIALIZED (SELECT conv_id, {shares('a', 'b')} FROM p), s AS (SELECT conv_id, avg({CHRF}) AS agree FROM w GROUP BY 1),
     n AS (SELECT conv_id, count(*) FILTER (role = 'assistant' AND length(text) >= 8) AS n_valid FROM conversations GROUP BY 1),
     d AS (SELECT n.conv_id, n_valid, round(coalesce(agree, 1), 3) AS agreement, round(1 - coalesce(agree, 1), 3) AS disagreement FROM n LEFT JOIN s USING (conv_id))"""
+DISAGREED = "SELECT *, CASE WHEN n_valid < 2 THEN 'insufficient-candidates' WHEN disagreement < 0.3 THEN 'convergent' WHEN disagreement < 0.55 THEN 'mixed' ELSE 'divergent-review' END AS verdict FROM d"
+CROSS = f"""ct AS MATERIALIZED (SELECT item_id, other_id, left(b.text, 60) AS cand, left(d.text, 60) AS ref, {bare('left(b.text, 60)')} AS cb, {bare('left(d.text, 60)')} AS rb FROM benchmark b LEFT JOIN parallel ON source_id = item_id LEFT JOIN documents d ON d.doc_id = other_id),
+    cg AS MATERIALIZED (SELECT *, {all_grams('rb', 'r')}, {all_grams('cb', 'c')} FROM ct), cs AS (SELECT item_id, other_id, ref, {shares('r', 'c')} FROM cg),
+    cross_ AS (SELECT item_id, round(avg(CASE WHEN ref <> '' THEN {CHRF} END), 3) AS crosslingual, count(other_id) AS n_parallels FROM cs GROUP BY 1)"""
 PARALLELS = """tok AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: length(t) >= 4)) AS t FROM benchmark),
     low AS (SELECT doc_id, lower(text) AS x FROM documents),
     hit AS (SELECT item_id, doc_id, count(*) AS overlap FROM low JOIN tok ON contains(x, t) GROUP BY 1, 2),
@@ -128,7 +133,7 @@ LINES = "SELECT doc_id AS file, list_filter(string_split(text, chr(10)), lambda
 FINETUNE = f"""{TURNS}, {default_gate('turns')}, pairs AS (SELECT conv_id, turn, [{', '.join(f"'{r}'" for r in X.REGISTERS)}][turn % 4 + 1] AS register FROM verdicts WHERE gate = 'PASS' AND ref <> cand)"""
 ENTRIES = """entries AS (SELECT 'events' AS ledger, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, event_type AS step, '{"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '","step":"' || event_type || '","event_id":' || event_id || '}' AS raw FROM events
     UNION ALL SELECT 'conversations', NULL, 'EXP-' || conv_id, '' FROM conversations WHERE conv_id % 9 <> 0)"""
-_FEATURES = "['q_xCOMET', 'q_MetricX', 'q_SaQE', 'N_major', 'N_critical', 'A_alignment', 'M_morph', 'R_retrieval', 'D_ensemble', 'C_crosslingual', 'B_backtranslation']"
+_FEATURES = "[" + ", ".join(f"['{f}', '{note or ''}']" for f, note in FEATURES.items()) + "]"
 
 SQL = {
     "chrf_pairs": f"WITH {METRICS} SELECT conv_id, turn, CAST(chrf AS DOUBLE) AS chrf FROM m",
@@ -155,9 +160,12 @@ SQL = {
             FROM panel a JOIN panel b ON a.passage = b.passage AND a.doc_id <> b.doc_id),
         s AS (SELECT passage, doc_id, CAST(sum(pt) AS DOUBLE) AS points FROM p GROUP BY 1, 2), t AS (SELECT n.passage, n.doc_id, coalesce(points, 0) AS points FROM panel n LEFT JOIN s ON s.passage = n.passage AND s.doc_id = n.doc_id)
         SELECT passage, doc_id, points, round(points / coalesce(nullif(max(points) OVER (PARTITION BY passage), 0), 1), 3) AS norm FROM t""",
-    "candidate_disagreement": f"WITH {DISAGREE} SELECT *, CASE WHEN n_valid < 2 THEN 'insufficient-candidates' WHEN disagreement < 0.3 THEN 'convergent' WHEN disagreement < 0.55 THEN 'mixed' ELSE 'divergent-review' END AS verdict FROM d",
+    "candidate_disagreement": f"WITH {DISAGREE} {DISAGREED}",
     "token_containment_parallels": f"WITH {PARALLELS} SELECT * FROM parallel",
-    "triangulation": f"WITH {PARALLELS} SELECT item_id, count(source_id) AS n_parallels, count(source_id) > 0 AS available FROM benchmark LEFT JOIN parallel ON source_id = item_id GROUP BY 1",
+    "triangulation": f"""WITH {PARALLELS}, t AS (SELECT source_id, rank, other_id || '|' || coalesce(lang, '') || '|' || coalesce(left(text, 60), '') AS x FROM parallel JOIN documents ON doc_id = other_id),
+        l AS (SELECT source_id, string_agg(x, '/' ORDER BY rank) AS x, count(*) AS n FROM t GROUP BY 1)
+        SELECT item_id, coalesce(n, 0) AS n_parallels, n IS NOT NULL AS available, left(sha256(x), 16) AS parallels FROM benchmark LEFT JOIN l ON source_id = item_id""",
+    "crosslingual_agreement": f"WITH {PARALLELS}, {CROSS} SELECT item_id, crosslingual, n_parallels FROM cross_",
     "reference_attach": "SELECT doc_id, coalesce(max_by(left(b.text, 20), item_id), '') AS refs FROM documents d LEFT JOIN benchmark b ON contains(d.text, b.text) GROUP BY doc_id",
     "challenge_simple_rules": r"""SELECT item_id, 'ACCURACY_ADDITION' AS family, text || ', and this was not stated in the original text' AS bad FROM benchmark
         UNION ALL SELECT item_id, 'STYLE', trim(lower(left(text, 1)) || substr(text, 2)) FROM benchmark WHERE lower(left(text, 1)) <> left(text, 1)
@@ -199,11 +207,13 @@ SQL = {
     "register_counts": f"WITH {FINETUNE} SELECT register, count(*) AS n FROM pairs GROUP BY 1",
     "evidence_objects": f"""WITH {METRICS}, {default_gate('m')}, e AS (SELECT conv_id, turn, left(sha256(ref), 16) AS source_sha, left(sha256(cand), 16) AS candidate_sha, gate, CASE WHEN gate = 'PASS' THEN 'accepted' ELSE 'review' END AS decision, printf('%.4f', CAST(chrf AS DOUBLE)) AS chrf_text FROM verdicts)
         SELECT *, sha256(source_sha || chr(1) || candidate_sha || chr(1) || gate || chr(1) || decision || chr(1) || chrf_text) AS artifact_hash FROM e""",
-    "feature_vectors": f"""WITH {METRICS}, {DISAGREE}, cross_ AS (SELECT conv_id, round(avg(chrf), 3) AS x FROM m GROUP BY 1), z AS (SELECT d.conv_id, unnest({_FEATURES}) AS feature, disagreement, x FROM d LEFT JOIN cross_ USING (conv_id)),
-        y AS (SELECT conv_id, feature, CASE feature WHEN 'D_ensemble' THEN disagreement WHEN 'C_crosslingual' THEN x END AS value FROM z) SELECT conv_id, feature, CAST(value AS DOUBLE) AS value, CASE WHEN value IS NULL THEN 'unavailable' ELSE 'available' END AS status FROM y""",
+    "feature_vectors": f"""WITH {PARALLELS}, {CROSS}, {DISAGREE}, judged AS ({DISAGREED}), z AS (SELECT judged.*, crosslingual, nullif(n_parallels, 0) AS n_parallels, unnest({_FEATURES}) AS f FROM judged LEFT JOIN cross_ ON item_id = conv_id),
+        y AS (SELECT *, f[1] AS feature, CASE f[1] WHEN 'D_ensemble' THEN disagreement WHEN 'C_crosslingual' THEN crosslingual END AS value FROM z)
+        SELECT conv_id, feature, CAST(value AS DOUBLE) AS value, CASE WHEN value IS NULL THEN 'unavailable' ELSE 'available' END AS status, CASE WHEN value IS NULL THEN nullif(f[2], '') END AS note,
+            CASE WHEN feature = 'D_ensemble' THEN verdict END AS verdict, CASE WHEN feature = 'C_crosslingual' THEN n_parallels END AS n_parallels FROM y""",
     "semantic_parse": f"WITH {REPLY} SELECT event_id, fidelity, judgment, family FROM parsed",
     "balanced_objects": """SELECT event_id, props AS "object" FROM events""",
-    "proposals": f"WITH {REPLY} SELECT family, count(*) AS n, array_to_string(list_sort(list(DISTINCT judgment))[1:3], '|') AS examples FROM parsed WHERE fidelity < 0.7 AND judgment IS NOT NULL GROUP BY 1",
+    "proposals": f"WITH {REPLY} SELECT CASE WHEN family = 'novel' THEN 'novel' ELSE 'family' END AS kind, nullif(family, 'novel') AS family, left(judgment, CASE WHEN family = 'novel' THEN 120 ELSE 80 END) AS snippet, event_id FROM parsed WHERE fidelity < 0.7 AND judgment <> ''",
     "file_index": f"WITH l AS ({LINES}) SELECT file, len(x) AS lines, CAST(coalesce(list_sum(list_transform(x, lambda e: length(e))), 0) AS BIGINT) AS chars FROM l",
     "positional_zip": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS i FROM documents)
         SELECT a.doc_id AS file, a.i, length(trim(a.line)) AS n_source, length(trim(b.line)) AS n_gold FROM l a JOIN l b ON b.doc_id = a.doc_id + 1 AND a.i = b.i WHERE trim(a.line) <> '' AND trim(b.line) <> ''""",
@@ -211,5 +221,6 @@ SQL = {
         SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(p, lambda x: regexp_replace(x, '[.,;:)/-]+$', '')))), '|') AS paths FROM t""",
     "manifest_check": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "decontamination_levels": f"SELECT n_nationkey, array_to_string(({list(X.LEVELS)})[1:n_nationkey % 5], ',') AS defended, array_to_string(({list(X.LEVELS)})[n_nationkey % 5 + 1:4], ',') AS open FROM nation",
-    "registry_audit": "SELECT count(*) AS n, count(*) FILTER (value > 1) AS valid, count(*) FILTER (NOT value > 1) AS invalid, array_to_string(list_sort(list(DISTINCT left(sha256(CAST(event_id AS VARCHAR)), 12)) FILTER (NOT value > 1)), ',') AS missing FROM events",
+    "registry_audit": "SELECT count(*) AS n, count(*) FILTER (value > 1) AS valid, count(*) FILTER (NOT value > 1) AS invalid FROM events",
+    "registry_missing": "SELECT DISTINCT left(sha256(CAST(event_id AS VARCHAR)), 12) AS missing FROM events WHERE NOT value > 1",
 }

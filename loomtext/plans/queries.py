@@ -111,8 +111,20 @@ def token_containment_parallels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parallels.containment_parallels(table(spark, sf_dir, "benchmark"), "item_id", "text", table(spark, sf_dir, "documents"), "doc_id", "text", 3)
 
 
+def _parallels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parallels.with_texts(token_containment_parallels(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
 def triangulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parallels.triangulate(token_containment_parallels(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id")
+    t = parallels.triangulate(_parallels(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id")
+    shown = F.transform("parallels", lambda p: F.concat_ws("|", p["other_id"], F.coalesce(p["lang"], F.lit("")), F.coalesce(p["text"], F.lit(""))))
+    return t.select("item_id", "n_parallels", "available", text.pair_hash(F.array_join(shown, "/")).alias("parallels"))
+
+
+def crosslingual_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that begin as the items do, with what their parallels in the corpus begin with."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("candidate"))
+    return parallels.crosslingual(items, "item_id", "candidate", _parallels(spark, sf_dir))
 
 
 def reference_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,12 +256,13 @@ def evidence_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each conversation: the disagreement of its answers; its number stands for the benchmark item that its parallels are of."""
     from loomtext.plans.evidence import feature_vector
 
     d = candidate_disagreement(spark, sf_dir)
-    p = text.with_metrics(turns(spark, sf_dir), "ref", "cand").groupBy("conv_id").agg(F.round(F.avg("chrf"), 3).alias("cross"))
-    z = feature_vector(F.col("disagreement"), F.col("cross"))
-    return d.join(p, "conv_id", "left").select("conv_id", F.explode(z).alias("feature", "z")).select("conv_id", "feature", "z.value", "z.status")
+    p = crosslingual_agreement(spark, sf_dir).withColumnRenamed("item_id", "conv_id")
+    z = feature_vector(F.col("disagreement"), F.col("verdict"), F.col("crosslingual"), F.col("n_parallels"))
+    return d.join(p, "conv_id", "left").select("conv_id", F.explode(z).alias("feature", "z")).select("conv_id", "feature", "z.value", "z.status", "z.note", "z.verdict", "z.n_parallels")
 
 
 def semantic_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,8 +279,10 @@ def balanced_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = semantic_parse(spark, sf_dir).filter("fidelity < 0.7 AND judgment IS NOT NULL")
-    return p.groupBy("family").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(F.substring("judgment", 1, 80))), 1, 3).alias("examples")).select("family", "n", F.array_join("examples", "|").alias("examples"))
+    from loomtext.operators import hypotheses
+
+    rows = semantic_parse(spark, sf_dir).withColumn("chrf", F.lit(1.0))
+    return hypotheses.observations(hypotheses.low_rows(rows, "fidelity", "chrf", "judgment"), "judgment", "event_id")
 
 
 def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,18 +312,24 @@ def decontamination_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("n_nationkey", F.array_join(yes, ",").alias("defended"), F.array_join(no, ",").alias("open"))
 
 
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.sha2(F.col("event_id").cast("string"), 256).alias("run_signature"), F.when(F.col("value") > 1, F.col("value")).alias("nanopublication"))
+
+
 def registry_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.sha2(F.col("event_id").cast("string"), 256).alias("run_signature"), F.when(F.col("value") > 1, F.col("value")).alias("nanopublication"))
-    a = summaries.registry_audit(e, ["run_signature", "nanopublication"], "run_signature")
-    return a.select("n", "valid", "invalid", F.array_join("missing", ",").alias("missing"))
+    return summaries.registry_audit(_audited(spark, sf_dir), ["run_signature", "nanopublication"])
+
+
+def registry_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.incomplete_records(_audited(spark, sf_dir), ["run_signature", "nanopublication"], "run_signature")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         chrf_pairs, bleu1_pairs, metrics_by_role, ngram_overlap_topk, gate_checks, verify_pairs, junk_filter, lexicon_tag, tag_counts, term_density, school_index, gamma_by_passage, gamma_by_metric, pairwise_win_rank,
-        candidate_disagreement, token_containment_parallels, triangulation, reference_attach, challenge_set, challenge_simple_rules, challenge_pass_rate, per_group_cap, capped_families, running_best, best_trial, run_upsert,
+        candidate_disagreement, token_containment_parallels, triangulation, crosslingual_agreement, reference_attach, challenge_set, challenge_simple_rules, challenge_pass_rate, per_group_cap, capped_families, running_best, best_trial, run_upsert,
         seeded_sample, price_lookup, schema_gate, annotation_checks, content_address, gold_hashes, ledger_step_counts, ledger_tail, experiment_summary, finetune_pairs, register_counts,
-        evidence_objects, feature_vectors, semantic_parse, balanced_objects, proposals, file_index, positional_zip, path_references, manifest_check, decontamination_levels, registry_audit,
+        evidence_objects, feature_vectors, semantic_parse, balanced_objects, proposals, file_index, positional_zip, path_references, manifest_check, decontamination_levels, registry_audit, registry_missing,
     )
 }

@@ -9,6 +9,7 @@ from loomtext.functions import gates, perturb, provenance, text
 from loomtext.functions.contracts import violations
 from loomtext.operators import agreement, graph, hypotheses, rank, registry, search, select, summaries
 from loomtext.sources import gold, sinks
+from loomtext.sources.scratch import written
 
 # Loaders of test sets by name.
 TEST_SOURCES = {
@@ -160,8 +161,8 @@ STEPS = {
 
 
 def run(ledgers: list[str], name: str, *args, **kwargs) -> DataFrame:
-    """Runs a step by name and appends to each ledger that it ran."""
-    out = STEPS[name](*args, **kwargs)
+    """Runs a step by name, to its end: its result is written; then each ledger is told that it ran."""
+    out = written(STEPS[name](*args, **kwargs))
     entry = out.sparkSession.createDataFrame([(name, ",".join(out.columns))], "step string, columns string")
     for path in ledgers:
         sinks.append_ledger(entry, path)
