@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomtext.functions.text import strip
+
 # Families in the order of application, each with its instruction.
 FAMILIES = {
     "SCOPE_NEGATION": "Perturb the translation so a negation marker is removed or inverted (a controlled bad translation).",
@@ -41,127 +41,135 @@ STOPWORDS = frozenset(
 )
 ADDED, GENERIC, GENERIC_PREFIX = ", and this was not stated in the original text", "the being", "the thing (term left generic) "
 
-# What a token and a negation look like.
-_TOKEN, _NEGATION = re.compile(r"\b[\w'-]+\b"), re.compile(r"\b(not|no|never|nor)\b", re.I)
+# What a token and a negation look like: whole runs of letters, digits and underscores, tokens also with ' and - inside.
+_CHAR = r"[\p{L}\p{N}_]"
+_TOKEN, _NEGATION = rf"{_CHAR}(?:[\p{{L}}\p{{N}}_'-]*{_CHAR})?", rf"(?<!{_CHAR})(?i:not|no|never|nor)(?!{_CHAR})"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it: a lambda's variable is never put in place of what it stands for."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 class _Line:
-    """A text with the places of its tokens, and the edits that rules are made of."""
+    """A text as tokens `t`, those in lower case `low`, and the gaps around them `g`, so that it is g1 t1 g2 t2 .. g(n + 1); and the edits that rules are made of. Tokens count from 1."""
+
+    def __init__(self, line: Column):
+        self.text, self.t, self.low, self.g = (line[c] for c in ("text", "t", "low", "g"))
+        self.n = F.size(self.t)
+        self.places = F.sequence(F.lit(1), self.n)
+
+    @staticmethod
+    def of(text: Column) -> Column:
+        t = F.regexp_extract_all(text, F.lit(_TOKEN), 0)
+        return F.struct(text.alias("text"), t.alias("t"), F.transform(t, F.lower).alias("low"), F.split(text, _TOKEN, -1).alias("g"))
 
-    def __init__(self, text: str):
-        self.text = text
-        self.at = [m.span() for m in _TOKEN.finditer(text)]
-        self.low = [text[i:j].lower() for i, j in self.at]
+    def word(self, k: Column, low: bool = False) -> Column:
+        return F.get(self.low if low else self.t, k - 1)
 
-    def put(self, k: int, word: str) -> str:
-        i, j = self.at[k]
-        return self.text[:i] + word + self.text[j:]
+    def _joined(self, token: Callable[[Column], Column], to: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), to), lambda i: F.concat(F.get(self.g, i - 1), token(i))), "")
 
-    def swap(self, k: int, n: int) -> str | None:
-        if max(k, n) >= len(self.at):
-            return None
-        (a, b), (c, d) = self.at[min(k, n)], self.at[max(k, n)]
-        t = self.text
-        return t[:a] + t[c:d] + t[b:c] + t[a:b] + t[d:]
+    def put(self, k: Column, word: Callable[[Column], Column]) -> Column:
+        """The text with word(k) in the k-th token's place; null if k is."""
+        told = lambda k: self._joined(lambda i: F.when(i == k, word(k)).otherwise(self.word(i)), self.n)
+        return let(k, lambda k: F.when(k.isNotNull(), F.concat(told(k), F.get(self.g, self.n))))
 
-    def first(self, table) -> int | None:
-        return next((k for k, w in enumerate(self.low) if w in table), None)
+    def swap(self, a: Column, b: Column) -> Column:
+        """The text with two tokens in each other's place; null where there is no b-th one."""
+        other = lambda p, i: F.when(i == p["a"], self.word(p["b"])).when(i == p["b"], self.word(p["a"])).otherwise(self.word(i))
+        told = lambda p: F.concat(self._joined(lambda i: other(p, i), self.n), F.get(self.g, self.n))
+        return let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.when(p["b"] <= self.n, told(p)))
 
-    def replaced(self, table: dict[str, str]) -> str | None:
-        k = self.first(table)
-        return None if k is None else self.put(k, table[self.low[k]])
+    def first(self, fits: Callable[[Column], Column]) -> Column:
+        """The first place that fits, null if none."""
+        return F.get(F.filter(self.places, fits), F.lit(0))
 
+    def replaced(self, table: dict[str, str]) -> Column:
+        other = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+        return self.put(self.first(lambda i: self.word(i, True).isin(*table)), lambda k: other[self.word(k, True)])
 
-def _negation(s: _Line):
-    m = _NEGATION.search(s.text)
-    return (s.text[: m.start()] + s.text[m.end() :]).strip() if m else "not " + s.text
+    def before_last(self) -> Column:
+        """The text up to its last token."""
+        return F.when(self.n > 1, F.concat(self._joined(self.word, self.n - 1), F.get(self.g, self.n - 1)))
 
 
-def _number(s: _Line):
-    i, j = s.at[-1]
-    word = s.text[i:j]
-    return s.put(-1, word[:-1] if word.endswith("s") else word + "s")
+def _negation(s: _Line) -> Column:
+    once = F.regexp_replace(s.text, rf"(?s)\A(.*?){_NEGATION}(.*)\z", "$1$2")
+    return F.when(s.text.rlike(_NEGATION), strip(once)).otherwise(F.concat(F.lit("not "), s.text))
 
 
-def _technical(s: _Line):
-    k = next((k for k, (i, _) in enumerate(s.at) if s.text[i].isupper()), None)
-    return GENERIC_PREFIX + s.text if k is None else s.put(k, GENERIC)
+def _number(s: _Line) -> Column:
+    return s.put(s.n, lambda k: F.regexp_replace(F.concat(s.word(k), F.lit("s")), r"ss\z", ""))  # one s more, or one less
 
 
-def _image(s: _Line):
-    return next((s.put(s.low.index(word), flat) for word, flat in IMAGES.items() if word in s.low), None)
+def _technical(s: _Line) -> Column:
+    start = lambda i: F.substring(s.word(i), 1, 1)
+    return F.coalesce(s.put(s.first(lambda i: F.lower(start(i)) != start(i)), lambda k: F.lit(GENERIC)), F.concat(F.lit(GENERIC_PREFIX), s.text))
 
 
-def _speaker(s: _Line):
-    k = s.first(SPEECH)
-    return None if k is None else s.put(k, "said" if s.low[k] == "asked" else "asked")
+def _image(s: _Line) -> Column:
+    where = F.coalesce(*(F.nullif(F.array_position(s.low, w), F.lit(0)) for w in IMAGES)).cast("int")
+    flat = F.create_map(*[F.lit(x) for pair in IMAGES.items() for x in pair])
+    return s.put(where, lambda k: flat[s.word(k, True)])
 
 
-def _omission(s: _Line):
+def _speaker(s: _Line) -> Column:
+    return s.put(s.first(lambda i: s.word(i, True).isin(*SPEECH)), lambda k: F.when(s.word(k, True) == "asked", "said").otherwise("asked"))
+
+
+def _omission(s: _Line) -> Column:
     """Without the last clause, if a comma parts one off and the whole text has more than 3 tokens; else without the last token."""
-    head, comma, clause = s.text.rpartition(",")
-    if comma and clause.strip() and len(s.at) > 3:
-        return head.rstrip(" ,")
-    return s.text[: s.at[-1][0]].rstrip() if len(s.at) > 1 else None
+    clause = F.regexp_extract(s.text, r"(?s),([^,]*)\z", 1)
+    head = F.regexp_replace(F.regexp_replace(s.text, r"(?s),[^,]*\z", ""), r"[ ,]+\z", "")
+    return F.when((strip(clause) != "") & (s.n > 3), head).otherwise(F.regexp_replace(s.before_last(), r"(?U)\s+\z", ""))
 
 
-def _mistranslation(s: _Line):
-    swapped = s.replaced(ANTONYMS)
-    if swapped is None and len(s.at) > 1:
-        i, j = s.at[1]
-        return s.put(1, s.text[i:j][::-1])
-    return swapped
+def _mistranslation(s: _Line) -> Column:
+    return F.coalesce(s.replaced(ANTONYMS), F.when(s.n > 1, s.put(F.lit(2), lambda k: F.reverse(s.word(k)))))
 
 
-def _roles(s: _Line):
-    content = [k for k, w in enumerate(s.low) if w not in STOPWORDS]
-    return s.swap(content[0], content[-1]) if len(content) > 1 else s.swap(0, 1)
+def _roles(s: _Line) -> Column:
+    content = F.filter(s.places, lambda i: ~s.word(i, True).isin(*sorted(STOPWORDS)))
+    return let(content, lambda c: F.when(F.size(c) > 1, s.swap(F.get(c, F.lit(0)), F.get(c, F.size(c) - 1))).otherwise(s.swap(F.lit(1), F.lit(2))))
 
 
-def _boundary(s: _Line):
-    for k, (i, j) in enumerate(s.at):
-        joined = s.text[i:j].replace("-", "")
-        if "-" in s.text[i:j] and len(joined) > 3:
-            return s.put(k, joined)
-    return None
+def _boundary(s: _Line) -> Column:
+    whole = lambda i: F.replace(s.word(i), F.lit("-"), F.lit(""))
+    return s.put(s.first(lambda i: F.contains(s.word(i), F.lit("-")) & (F.length(whole(i)) > 3)), whole)
 
 
-def _style(s: _Line):
-    return (s.text[0].lower() + s.text[1:]).strip() if s.text[0].isupper() else None
+def _style(s: _Line) -> Column:
+    start = F.substring(s.text, 1, 1)
+    return F.when(F.lower(start) != start, strip(F.concat(F.lower(start), F.substring(s.text, 2, 2**31 - 1))))
 
 
-RULES = {
+RULES: dict[str, Callable[[_Line], Column]] = {
     "SCOPE_NEGATION": _negation,
     "MORPHOLOGY": _number,
     "TECHNICAL_TERM": _technical,
     "POETIC_METAPHOR": _image,
     "TEXTUAL_STRUCTURE": _speaker,
     "ACCURACY_OMISSION": _omission,
-    "ACCURACY_ADDITION": lambda s: (s.text + ADDED).strip(),
+    "ACCURACY_ADDITION": lambda s: strip(F.concat(s.text, F.lit(ADDED))),
     "ACCURACY_MISTRANSLATION": _mistranslation,
     "SYNTAX_KARAKA": _roles,
     "LEXICAL_SENSE": lambda s: s.replaced(ANTONYMS),
     "COREFERENCE": lambda s: s.replaced(PRONOUNS),
-    "COMPOUND_SAMASA": lambda s: s.swap(0, 1),
+    "COMPOUND_SAMASA": lambda s: s.swap(F.lit(1), F.lit(2)),
     "SEGMENTATION_SANDHI": _boundary,
     "STYLE": _style,
 }
 
 
-def perturb(text: str | None, family: str) -> str | None:
-    line = _Line(text or "")
-    return RULES[family](line) if line.at else None
-
-
 def all_perturbations(text: Column) -> Column:
-    """An array with the bad text of each family, in the order of FAMILIES; one Arrow batch at a time, each text read once."""
-
-    @F.pandas_udf("array<string>")
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: [perturb(t, f) for f in FAMILIES])
+    """An array with the bad text of each family, in the order of FAMILIES, null where a rule has no hold; a text without a token, or null, has none of any.
 
-    return apply(text)
+    Expressions alone: a text is cut into tokens once, and what a rule looks for is found once.
+    """
+    none = F.array(*[F.lit(None).cast("string")] * len(FAMILIES))
+    made = lambda line: F.array(*(RULES[f](_Line(line)) for f in FAMILIES))
+    return let(_Line.of(F.coalesce(text, F.lit(""))), lambda line: F.when(F.size(line["t"]) > 0, made(line)).otherwise(none))
 
 
 def instruction(family: str) -> str:

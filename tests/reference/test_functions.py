@@ -1,6 +1,9 @@
 """Literal cases, properties and round trips of the reference's own operators."""
 
 import json
+import random
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +14,9 @@ from loomtext.plans import steps
 from loomtext.sources import gold, sinks
 from loomtext.streaming import ledger as stream
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+import plain_rules  # noqa: E402
+
 METRICS = [
     ("Homage to Shiva", "Homage to Shiva", 1.0, 1.0), ("Homage to Shiva", "The purple elephant dances", 0.1111, 0.0), ("Homage to Shiva", "The purple elephant dances on the moon", 0.1538, 0.0),
     ("Homage to Shiva", "Obeisance to Lord Shiva", 0.4188, 0.5), ("the cat sat", "the the the", 0.4228, 1.0), ("a b c d", "a b", 0.3922, 0.3679), ("ab", "ab", 0.6667, 1.0), ("a", "a", 0.3333, 1.0),
@@ -56,12 +62,30 @@ BAD = {
 }
 
 
+OMITTED = {"a, b c d": "a", "one two, three": "one two,", "one": None, "a b c d,": "a b c", "x, y z w ,, ": "x, y z", "a\tb": "a", "a, b": "a,"}
+
+
+def perturbed(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    return {r.t: dict(zip(perturb.FAMILIES, r.bad)) for r in df.select("t", perturb.all_perturbations(F.col("t")).alias("bad")).collect()}
+
+
+def test_perturbations_equal_plain_rules(spark):
+    rnd = random.Random(3)
+    words = [*perturb.ANTONYMS, *perturb.IMAGES, *perturb.PRONOUNS, *perturb.SPEECH, "not", "Never", "the", "of", "King", "Śiva", "well-known", "a-b", "x's", "été", "s", "ss", "10", "Ähre", "nor-", "-no", "''", "_"]
+    gaps = [" ", " ", " ", ", ", ",", "\n", "  ", ". ", " — ", "; ", "\u00a0", " ,, "]
+    texts = {"".join(rnd.choice([rnd.choice(words), rnd.choice(words).upper(), rnd.choice(words).title()]) + rnd.choice(gaps) for _ in range(rnd.randrange(9))) for _ in range(400)}
+    texts |= {t.strip() for t in texts} | {rnd.choice(gaps) + t for t in texts}
+    got = perturbed(spark, sorted(texts))
+    assert {t: {f: plain_rules.perturb(t, f) for f in perturb.FAMILIES} for t in texts} == got
+
+
 def test_perturbations(spark):
-    assert {f: perturb.perturb(LINE, f) for f in perturb.FAMILIES} == BAD
-    omitted = {"a, b c d": "a", "one two, three": "one two,", "one": None, "a b c d,": "a b c", "x, y z w ,, ": "x, y z", "a\tb": "a", "a, b": "a,"}
-    assert {t: perturb.perturb(t, "ACCURACY_OMISSION") for t in omitted} == omitted
-    assert perturb.perturb(" x y ", "ACCURACY_ADDITION") == "x y , and this was not stated in the original text"
-    assert all(perturb.perturb(t, f) is None for t in (None, "", " ,") for f in perturb.FAMILIES)
+    told = perturbed(spark, [LINE, *OMITTED, " x y ", None, "", " ,"])
+    assert told[LINE] == BAD
+    assert {t: told[t]["ACCURACY_OMISSION"] for t in OMITTED} == OMITTED
+    assert told[" x y "]["ACCURACY_ADDITION"] == "x y , and this was not stated in the original text"
+    assert all(bad is None for t in (None, "", " ,") for bad in told[t].values())
     golds = spark.createDataFrame([(f"s{i}", f"{LINE} and-so number {i}, he said many good things", i) for i in range(30)], "source string, gold string, ord int")
     rows = steps.challenge(golds, 200).collect()
     counts = {}
