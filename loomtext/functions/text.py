@@ -74,14 +74,19 @@ def with_grams(df: DataFrame, text: str, name: str, longest: int = 3) -> DataFra
 
 
 def chrf_value(ref: str, cand: str, longest: int = 3) -> Column:
-    """Unrounded set-based character n-gram F score of two texts whose gram sets with_grams added; the divisor stays `longest`."""
-    precision = recall = F.lit(0.0)
-    for n in range(1, longest + 1):
-        r, c = F.col(f"{ref}_{n}"), F.col(f"{cand}_{n}")
-        both, full = F.size(F.array_intersect(r, c)), (F.size(r) > 0) & (F.size(c) > 0)
-        precision = precision + F.when(full, both / F.size(c)).otherwise(0.0)
-        recall = recall + F.when(full, both / F.size(r)).otherwise(0.0)
-    return F.when((precision > 0) & (recall > 0), 2 * precision * recall / (precision + recall) / longest).otherwise(0.0)
+    """Unrounded set-based character n-gram F score of two texts whose gram sets with_grams added; the divisor stays `longest`.
+
+    The sizes of both sets and of what they share are bound as a lambda's variable, so that sets are met once.
+    """
+    sizes = F.struct(*(c.alias(f"{k}{n}") for n in range(1, longest + 1) for k, c in (("r", F.size(f"{ref}_{n}")), ("c", F.size(f"{cand}_{n}")), ("b", F.size(F.array_intersect(f"{ref}_{n}", f"{cand}_{n}"))))))
+
+    def score(s: Column) -> Column:
+        full = lambda n: (s[f"r{n}"] > 0) & (s[f"c{n}"] > 0)
+        share = lambda side: sum((F.when(full(n), s[f"b{n}"] / s[f"{side}{n}"]).otherwise(0.0) for n in range(1, longest + 1)), F.lit(0.0))
+        precision, recall = share("c"), share("r")
+        return F.when((precision > 0) & (recall > 0), 2 * precision * recall / (precision + recall) / longest).otherwise(0.0)
+
+    return F.get(F.transform(F.array(sizes), score), F.lit(0))
 
 
 def chrf(ref: str, cand: str, longest: int = 3) -> Column:

@@ -88,10 +88,14 @@ def gamma(df: DataFrame, group: list[str], item: str, metrics: list[str], judge:
     key = F.to_json(F.struct(*group, "metric"))
     long = df.select(*group, F.col(judge).cast("double").alias("y"), F.expr(f"stack({len(metrics)}, {stack}) AS (metric, x)")).withColumn("g", key)
     points = written(long.filter("x IS NOT NULL AND y IS NOT NULL").groupBy("g", "x", "y").agg(F.count("*").alias("w")))
-    pairs = lambda c: c * (c - 1) / 2
-    tied = lambda by, name: points.groupBy("g", *by).agg(F.sum("w").alias("w")).groupBy("g").agg(F.sum(pairs(F.col("w")).cast("long")).alias(name))
-    n = tied([], "p").join(tied(["x"], "tx"), "g").join(tied(["y"], "ty"), "g").join(tied(["x", "y"], "txy"), "g").select("g", (F.col("p") - F.col("tx") - F.col("ty") + F.col("txy")).alias("n"))
-    signs = n.join(inversions(points).groupBy("g").agg(F.sum("d").alias("d")), "g", "left").select("g", "n", (F.col("n") - 2 * F.coalesce("d", F.lit(0))).alias("s"))
+    # Of n rows, sums of squares tell the pairs that are tied: all pairs, less those tied in either, and back those tied in both.
+    square = lambda c: F.col(c) * F.col(c)
+    zero = F.lit(0).cast("long").alias("d")
+    terms = points.groupBy("g").agg(F.sum("w").alias("t"), F.sum(square("w")).alias("q")).select("g", (square("t") + F.col("q")).alias("n2"), zero)
+    for c in ("x", "y"):
+        terms = terms.unionByName(points.groupBy("g", c).agg(F.sum("w").alias("t")).select("g", (-square("t")).alias("n2"), zero))
+    terms = terms.unionByName(inversions(points).select("g", F.lit(0).cast("long").alias("n2"), "d"))
+    signs = terms.groupBy("g").agg(F.shiftright(F.sum("n2"), 1).alias("n"), F.sum("d").alias("d")).select("g", "n", (F.col("n") - 2 * F.col("d")).alias("s"))
     every = df.select(*group).distinct().withColumn("metric", F.explode(F.array(*map(F.lit, metrics)))).withColumn("g", key)
     out = every.join(signs, "g", "left")
     return out.select(*group, "metric", F.coalesce("n", F.lit(0)).cast("long").alias("n_pairs"), F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("gamma"))
@@ -136,13 +140,13 @@ def margin_wins(df: DataFrame, group: list[str], item: str, value: str, margin:
     among the values it beats; whoever's lower one stands after its value beats it; the rest are ties. An item that occurs once in its
     passage has a row; a null value takes no part and has no row. Passages of any size, and values of any number of ties.
     """
-    v = F.col(value).cast("double")
+    v = F.col("_v")
+    values = written(df.select(*group, item, F.col(value).cast("double").alias("_v")).filter(v.isNotNull()))  # ranges are found by reading twice
     both = F.explode(F.array(F.struct((v - margin).alias("pos"), F.lit(0).alias("kind")), F.struct(v.alias("pos"), F.lit(1).alias("kind"))))
-    rows = df.filter(v.isNotNull()).select(*group, item, both.alias("e")).select(*group, item, "e.pos", "e.kind")
+    rows = values.select(*group, item, both.alias("e")).select(*group, item, "e.pos", "e.kind")
     # At equal positions lowered ones come first: a value is no win over what it only equals after the margin.
     placed = ranges.running(ranges.laid_out(rows, [*group, "pos", "kind", item]), group, {"values": F.col("kind"), "lowered": 1 - F.col("kind")})
-    counted = placed.groupBy(*group, item).agg(F.max(F.when(F.col("kind") == 0, F.col("values"))).alias("wins"), F.max(F.when(F.col("kind") == 1, F.col("lowered"))).alias("not_beating"))
-    sizes = written(rows.filter("kind = 1").groupBy(*group).agg(F.count("*").alias("n")))
-    beaten = F.col("n") - F.col("not_beating")
-    points = written(counted).join(sizes, group).select(*group, item, (F.col("wins") + (F.col("n") - 1 - F.col("wins") - beaten) * 0.5).alias("points"))
+    # Of an item's pairs with the n others it wins `wins` and loses n + 1 less those counted at its value: ties are what is left, and n drops out.
+    reached = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    points = placed.groupBy(*group, item).agg(((reached(0, "values") + reached(1, "lowered") - 1) / 2).alias("points"))
     return normalised(written(points), group)
