@@ -34,10 +34,16 @@ ASIDE = frozenset("nav header footer aside form menu dialog head button select o
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt"}
-# Words in a class, id or role that mark what is not the article.
+# Words in a class, id or role that mark what is not the article; those of a head, whose headings are the article's
+# inside of it; and words that only say what kind of thing a mark is on. A name with any other word is no mark: social-science, related-work.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget rail "
-    "comment comments commentlist disqus reply replies respond discussion notice alert cookie cookies consent gdpr popup modal overlay toast newsletter subscribe subscription signup login search form share sharing social related recommended pagination pager toolbar copyright legal disclaimer announcement complementary contentinfo dialog".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget rail "
+    "comment comments commentlist commentform commentbox commenter disqus reply replies respond responses discussion talkback talkbacks feedback guestbook trackback trackbacks pingback pingbacks notice alert cookie cookies consent gdpr popup modal overlay toast newsletter subscribe subscription signup login search form share sharing social related recommended pagination pager toolbar copyright legal disclaimer announcement complementary contentinfo dialog".split()
+)
+HEADS = frozenset("header masthead".split())
+NEUTRAL = frozenset(
+    "box boxes list lists wrap wrapper container block blocks bar bars area section sections item items entry link links icon icons button buttons btn panel pane group holder zone slot unit module top bottom left right site page global primary secondary "
+    "inner outer row col column content body post posts article articles story stories text title head heading image images img mobile desktop sticky fixed thread more the and of for us me id js is".split()
 )
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?|([^<]+|<)", re.S | re.I)
@@ -70,20 +76,34 @@ def tokens(html: str) -> list[tuple[str, str, str]]:
     return out
 
 
+#: Whether an element is the article's, a head whose headings may be, or no part of an article.
+ARTICLE, HEAD, OUTSIDE = 0, 1, 2
+
+
+def _role(tag: str, label: str) -> int:
+    if tag == "header":
+        return HEAD
+    if tag in ASIDE:
+        return OUTSIDE
+    found = ARTICLE
+    if tag not in ("body", "html", "article", "main"):
+        for name in label.split(".")[1:]:
+            words = set(_WORD.findall(name))
+            if words <= MARKS | HEADS | NEUTRAL:
+                found = max(found, OUTSIDE if words & MARKS else HEAD if words & HEADS else ARTICLE)
+    return found
+
+
 def _outside(tag: str, label: str) -> bool:
     """Whether an element is no part of an article."""
-    if tag in ASIDE:
-        return True
-    if len(label) > len(tag) and tag not in ("body", "html", "article", "main") or "comment" in label:
-        return not MARKS.isdisjoint(_WORD.findall(label[len(tag) :]))
-    return False
+    return _role(tag, label) != ARTICLE
 
 
 class _Walk:
     """Follows open elements through a token stream, as far as broken markup allows."""
 
     def __init__(self, region: str | None):
-        self.stack: list[tuple[str, str, bool, bool]] = []  # tag, label, outside, inside the region
+        self.stack: list[tuple[str, str, int, bool]] = []  # tag, label, role, inside the region or an article
         self.region = region
 
     def start(self, tag: str, label: str) -> None:
@@ -93,8 +113,15 @@ class _Walk:
             self._close("p", "button")
         elif tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             self._close(tag, "ul" if tag == "li" else "table")
-        _, _, outside, inside = self.stack[-1] if self.stack else ("", "", False, False)
-        self.stack.append((tag, label, outside or _outside(tag, label), inside or label == self.region))
+        _, _, role, inside = self.stack[-1] if self.stack else ("", "", ARTICLE, False)
+        own = _role(tag, label)
+        if own == HEAD and not inside and not any(e[0] in ("article", "main") for e in self.stack):
+            own = OUTSIDE  # the page's head
+        self.stack.append((tag, label, max(role, own), inside or label == self.region))
+
+    def heads(self) -> bool:
+        """Whether the innermost element is in a heading."""
+        return any(e[0] in HEADINGS for e in self.stack)
 
     def end(self, tag: str) -> None:
         self._close(tag, "")
@@ -124,8 +151,8 @@ def blocks(toks: list[tuple[str, str, str]], region: str | None, constant: froze
     for i, (kind, tag, x) in enumerate(toks):
         if kind == "T":
             if walk.stack:
-                _, _, outside, inside = walk.stack[-1]
-                taken = not outside and (inside or region is None)
+                _, _, role, inside = walk.stack[-1]
+                taken = (role == ARTICLE or role == HEAD and walk.heads()) and (inside or region is None)
             else:
                 taken = region is None
             if taken:
