@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import materialise
+from loomtext.sources.scratch import scratch
 
 #: Objects of a subtree and of a leaf page at most; routing objects below one of the level above; sampled objects that give first bounds.
 SUBTREE, PAGE, TOP, SEEDS = 4096, 256, 64, 1024
@@ -250,7 +251,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """For each query (id, v) the k largest inner products among all vectors (id, v) but those of its own id.
 
     Queries, of any number, are taken in blocks of QUERY_BLOCK; a block is broadcast and every task searches the subtrees it
-    holds, beginning with the bound that a sample of SEEDS vectors gives; the tasks' k best are merged by query. Scores are
+    holds, beginning with the bound that a sample of SEEDS vectors gives; the tasks' k best are merged by query and written, and
+    the block is let go before the next one is made, so that neither plans nor memory grow with the queries. Scores are
     exact integers, and one that does not fit 64 bits is an error; ties go to the smaller id. Rows that repeat an id: all are candidates, the first by value is the query.
     Shorter vectors count as filled up with zeros. Returns query_id, rank, vec_id, score.
     """
@@ -258,7 +260,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     pages, most, dim, (seed_ids, seeds) = build(vectors)
     queries = materialise(queries.groupBy("id").agg(F.min("v").alias("v")))
     blocks = -(-queries.count() // QUERY_BLOCK)
-    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    path, sql = scratch(spark), "query_id long, vec_id long, score long"
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     for b in range(blocks):
         rows = queries.filter(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)) == b).collect()
         ids, q = np.array([r["id"] for r in rows], np.int64), _matrix([r["v"] for r in rows], dim)
@@ -266,7 +269,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             continue
         first = np.where(ids[:, None] == seed_ids[None, :], _LOWEST, _products(q, seeds))
         bars = np.sort(first, axis=1)[:, -k] if first.shape[1] >= k else np.full(len(ids), _LOWEST, np.int64)
-        found = pages.mapInArrow(_searcher(spark.sparkContext.broadcast((ids, q, bars)), most, dim, k), "query_id long, vec_id long, score long")
-        out = out.unionByName(found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        shared = spark.sparkContext.broadcast((ids, q, bars))
+        found = pages.mapInArrow(_searcher(shared, most, dim, k), sql)
+        found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.parquet(f"{path}/block-{b}")
+        shared.destroy()
+    told = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(told).option("recursiveFileLookup", "true").parquet(path) if blocks else spark.createDataFrame([], told)
