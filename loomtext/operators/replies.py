@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,3 +104,29 @@ def answer(requests: DataFrame, fields: list[str], path: str, call: Call, size:
         found.write.mode("overwrite").parquet(f"{path}/{n}-{mark & (1 << 64) - 1:016x}")
     sent = missing.select("request_sha", F.lit(True).alias("sent"))
     return keyed.join(kept(spark, path), "request_sha", "left").join(sent, "request_sha", "left").withColumn("sent", F.coalesce("sent", F.lit(False)))
+
+
+def scored(pairs: DataFrame, source: str, candidate: str, reference: str, scorer: Callable[[list[dict]], list[float | None]] | None, size: int = 32) -> DataFrame:
+    """Adds comet, the score of a learned metric to four places, and comet_note.
+
+    scorer takes dicts of src, mt and ref, at most `size` at once. Without one, or where it fails, the score is null and the
+    note says so: a number is never invented.
+    """
+    if scorer is None:
+        return pairs.withColumn("comet", F.lit(None).cast("double")).withColumn("comet_note", F.lit("not installed: no learned-metric score"))
+
+    @F.pandas_udf("struct<comet:double,note:string>")
+    def score(src: pd.Series, mt: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        asked = [{"src": a, "mt": b, "ref": c} for a, b, c in zip(src, mt, ref)]
+        scores, notes = [], []
+        for k in range(0, len(asked), size):
+            some = asked[k : k + size]
+            try:
+                got = [None if x is None else round(float(x), 4) for x in scorer(some)]
+                scores, notes = [*scores, *got], [*notes, *([None] * len(some))]
+            except Exception as e:
+                scores, notes = [*scores, *([None] * len(some))], [*notes, *([f"failed: {e}"] * len(some))]
+        return pd.DataFrame({"comet": pd.array(scores, "Float64"), "note": notes})
+
+    out = pairs.withColumn("_score", score(source, candidate, reference))
+    return out.withColumn("comet", F.col("_score.comet")).withColumn("comet_note", F.col("_score.note")).drop("_score")

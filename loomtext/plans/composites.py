@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import gates, lexicon, perturb, provenance, text
 from loomtext.functions.contracts import violations
-from loomtext.operators import hypotheses, ledger, registry, select, summaries
+from loomtext.operators import hypotheses, ledger, registry, replies, select, summaries
 from loomtext.plans import evidence, oracle, steps
 from loomtext.plans import lexicons as X
 from loomtext.plans.queries import gold_hashes, school_index, table, turns
 from loomtext.plans.queries import challenges as _challenges
 from loomtext.sources import lines, sinks
+from loomtext.sources.scratch import scratch
 
 
 def challenge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,20 +35,42 @@ def hypothesis_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hypotheses.proposed(hypotheses.low_rows(_judged(spark, sf_dir), "fidelity", "chrf", "judgment"), "judgment", "event_id")
 
 
+def _stand_in(requests: list[dict], attempt: int) -> list[str | None]:
+    """Stands in for a model: a piece of the source, which piece the hint decides."""
+    said = []
+    for r in requests:
+        hint, _, source = r["prompt"].partition(replies.ASK_WITH_HINT)
+        k = len(hint) % 10
+        said.append(source[3 * k : 7 * k + 60])
+    return said
+
+
 def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     golds = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source"), F.col("text").alias("gold"))
-    return hypotheses.trials(hypothesis_plan(spark, sf_dir), golds).withColumn("candidate", F.expr("substring(gold, 1 + 3 * ord, 60 + 4 * ord)"))
+    tried = hypotheses.trials(hypothesis_plan(spark, sf_dir), golds)
+    return steps.try_hypotheses(tried, ["item_id", "ord", "family"], scratch(spark), _stand_in, "m", pause=None)
 
 
 def hypothesis_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hypotheses.outcomes(_trials(spark, sf_dir)).select("item_id", "family", "hint", "chrf", "bleu1", "proof_gate", F.array_join("proof_blocking", ",").alias("blocking"))
+    return _trials(spark, sf_dir).select("item_id", "family", F.substring("prompt", 1, 20).alias("asked"), text.pair_hash(F.col("candidate")).alias("candidate"), "chrf", "bleu1", "proof_gate", F.array_join("proof_blocking", ",").alias("blocking"))
 
 
 def hypothesis_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rounds = hypotheses.outcomes(_trials(spark, sf_dir)).withColumn("round", F.pmod("item_id", F.lit(4)))
+    rounds = _trials(spark, sf_dir).withColumn("round", F.pmod("item_id", F.lit(4)))
     return hypotheses.best_of_round(rounds, ["round"]).select("round", "family", F.round("score", 6).alias("score"), "kept")
 
 
+def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of users, answered by a stand-in, with their gate."""
+    t = turns(spark, sf_dir).select("conv_id", "turn", F.col("ref").alias("source"), F.when(F.pmod("turn", F.lit(2)) == 0, 50).alias("max_tokens"))
+    out = steps.translate(t, scratch(spark), _cut_short, size=50, pause=None)
+    return out.select("conv_id", "turn", text.pair_hash(F.col("translation")).alias("translation"), "gate", F.col("checks")["COVERAGE"].alias("covered"), "status")
+
+
+def _cut_short(requests: list[dict], attempt: int) -> list[str | None]:
+    return [None if len(r["source"]) % 13 == 4 else r["source"][: 8 * r["max_tokens"]] for r in requests]
+
+
 def tier_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return school_index(spark, sf_dir).groupBy(registry.model_task(F.col("tier")).alias("task")).agg(F.sum("n").alias("n"), F.count("*").alias("n_schools"))
 
@@ -214,7 +237,7 @@ def memory_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        challenge_rows, low_families, hypothesis_plan, hypothesis_trials, hypothesis_rounds, tier_tasks, finetune_build, annotation_export, baseline_audit, file_violations, file_totals, registry_build, registry_manifest,
+        challenge_rows, low_families, hypothesis_plan, hypothesis_trials, hypothesis_rounds, translations, tier_tasks, finetune_build, annotation_export, baseline_audit, file_violations, file_totals, registry_build, registry_manifest,
         strategy_scores, report_text, server_bench, evidence_nested, proof_scores, severity_totals, host_verdicts, answer_cleanup, validity, ledger_views, experiment_ids, missing_references, ordered_union, passages, render_sets, memory_latest,
     )
 }
@@ -277,7 +300,8 @@ _KNOWN = ", ".join("({}, '{}', '{}')".format(k, f, h.replace("'", "''")) for k,
 _PLAN = f"""{_JUDGED}, known AS (SELECT * FROM (VALUES {_KNOWN}) t(ord, family, hint)),
     plan AS (SELECT * FROM known WHERE family IN (SELECT family FROM low) UNION ALL SELECT {len(hypotheses.KNOWN)}, '{hypotheses.GENERAL}', '{hypotheses.GENERAL_HINT}' WHERE NOT EXISTS (SELECT 1 FROM known WHERE family IN (SELECT family FROM low))
         UNION ALL SELECT {len(hypotheses.KNOWN) + 1}, 'novel: ' || left(min_by(judgment, event_id), 40), '{hypotheses.NOVEL_HINT}' FROM low WHERE family = 'novel' HAVING count(*) > 0)"""
-_TRIALS = f"""{_PLAN}, tried AS (SELECT item_id, ord, family, hint, text AS ref, substr(text, 1 + 3 * ord, 60 + 4 * ord) AS cand FROM benchmark, plan),
+_CLEAN = lambda x: _STRIP(f"regexp_replace({_STRIP(x)}, '^\"+|\"+$', '', 'g')")
+_TRIALS = f"""{_PLAN}, tried AS (SELECT item_id, ord, family, hint, text AS ref, {_CLEAN("substr(text, 1 + 3 * (length(hint) % 10), 60 + 4 * (length(hint) % 10))")} AS cand FROM benchmark, plan),
     f0 AS MATERIALIZED (SELECT *, {oracle.bare('ref')} AS rb, {oracle.bare('cand')} AS cb FROM tried), f1 AS MATERIALIZED (SELECT *, {oracle.all_grams('rb', 'r')}, {oracle.all_grams('cb', 'c')}, {oracle.words('ref')} AS rw, {oracle.words('cand')} AS cw FROM f0),
     f2 AS MATERIALIZED (SELECT item_id, ord, family, hint, ref, cand, {oracle.BLEU} AS bleu1, {oracle.shares('r', 'c')} FROM f1), f3 AS MATERIALIZED (SELECT *, {oracle.CHRF} AS chrf FROM f2), {oracle.default_gate('f3')}"""
 _RECORDS = """r AS (SELECT 'runs-' || event_id // 500 || '.jsonl' AS file, event_id % 500 AS i, CASE WHEN event_id % 6 = 0 THEN 'blank' WHEN event_id % 10 = 1 THEN 'other' WHEN event_id % 1409 = 700 THEN 'broken' WHEN event_id % 9 = 2 THEN 'step' WHEN event_id % 15 = 4 THEN 'ts' ELSE 'fine' END AS kind FROM events),
@@ -303,9 +327,11 @@ SQL = {
         SELECT item_id, family, good, bad FROM capped WHERE rn <= 14 ORDER BY item_id, family_order LIMIT 200""",
     "low_families": f"WITH {_JUDGED} SELECT family, count(*) AS n, min(event_id) AS first FROM low GROUP BY 1",
     "hypothesis_plan": f"WITH {_PLAN} SELECT * FROM plan",
-    "hypothesis_trials": f"WITH {_TRIALS} SELECT item_id, family, left(hint, 60) AS hint, CAST(chrf AS DOUBLE) AS chrf, CAST(bleu1 AS DOUBLE) AS bleu1, gate AS proof_gate, array_to_string(blocking, ',') AS blocking FROM verdicts",
+    "hypothesis_trials": f"WITH {_TRIALS} SELECT item_id, family, left(hint || chr(10) || chr(10) || 'Translate this Sanskrit:', 20) AS asked, left(sha256(cand), 16) AS candidate, CAST(chrf AS DOUBLE) AS chrf, CAST(bleu1 AS DOUBLE) AS bleu1, gate AS proof_gate, array_to_string(blocking, ',') AS blocking FROM verdicts",
     "hypothesis_rounds": f"""WITH {_TRIALS}, m AS (SELECT item_id % 4 AS round, family, ord, avg(chrf) AS score FROM verdicts GROUP BY ALL), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY round ORDER BY score DESC, ord) = 1),
         w AS (SELECT *, max(score) OVER (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b) SELECT round, family, round(score, 6) AS score, before IS NULL OR score > before AS kept FROM w""",
+    "translations": f"""WITH {oracle.TURNS}, t AS (SELECT conv_id, turn, ref, CASE WHEN length(ref) % 13 = 4 THEN '' ELSE {_STRIP("left(ref, 8 * CASE WHEN turn % 2 = 0 THEN 50 ELSE 30 END)")} END AS cand FROM turns), {oracle.default_gate('t')}
+        SELECT conv_id, turn, left(sha256(cand), 16) AS translation, gate, NOT list_contains(blocking, 'COVERAGE') AS covered, CASE WHEN length(ref) % 13 = 4 THEN 'failed' ELSE 'answered' END AS status FROM verdicts""",
     "tier_tasks": f"WITH x AS ({oracle.SQL['school_index']}) SELECT CASE WHEN tier >= 3 THEN 'reasoning' ELSE 'extraction' END AS task, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_schools FROM x GROUP BY 1",
     "finetune_build": f"""WITH {oracle.TURNS}, {oracle.default_gate('turns')}, r AS (SELECT ref, cand, gate, {_quoted(X.REGISTERS)}[turn % 4 + 1] AS register, CASE WHEN turn % 3 = 0 THEN cand ELSE cand || ' .' END AS candidate FROM verdicts),
         u AS (SELECT '{registry.GOLD_INSTRUCTION}' AS instruction, ref AS input, cand AS output, 'natural' AS register, 'gold' AS source FROM r

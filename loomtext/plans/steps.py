@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import gates, perturb, provenance, text
 from loomtext.functions.contracts import violations
-from loomtext.operators import agreement, graph, hypotheses, rank, registry, search, select, summaries
+from loomtext.operators import agreement, graph, hypotheses, rank, registry, replies, search, select, summaries
 from loomtext.sources import gold, sinks
 from loomtext.sources.scratch import written
 
@@ -86,11 +88,41 @@ def render(candidates: DataFrame, passage: str, item: str) -> DataFrame:
 REQUESTS = {"audit": "source string, candidate string", "translate": "source string, max_tokens int", "bench": "n int"}
 
 
+def _checks() -> Column:
+    """MAP check -> whether it passed, of `blocking`."""
+    names = F.array(*map(F.lit, gates.CHECKS))
+    return F.map_from_arrays(names, F.transform(names, lambda c: ~F.array_contains("blocking", c)))
+
+
 def audit(requests: DataFrame) -> DataFrame:
     """Requests of source and candidate with each check, the gate and what blocks."""
     p = proof(requests)
-    passed = F.map_from_arrays(F.array(*map(F.lit, gates.CHECKS)), F.transform(F.array(*map(F.lit, gates.CHECKS)), lambda c: ~F.array_contains("blocking", c)))
-    return p.select("source", "candidate", F.lit("audit").alias("product"), passed.alias("checks"), "gate", "blocking", F.lit(0).alias("tokens"))
+    return p.select("source", "candidate", F.lit("audit").alias("product"), _checks().alias("checks"), "gate", "blocking", F.lit(0).alias("tokens"))
+
+
+# What a translator is told; tokens of a request that names none, and of a benchmark's.
+TRANSLATOR, MAX_TOKENS = "You are a Sanskrit-to-English translator. Output ONLY the English translation, no explanation.", 30
+
+
+def translate(requests: DataFrame, path: str, call: replies.Call, **how) -> DataFrame:
+    """Requests (source, max_tokens) with translation, gate, checks and status: a reply that is kept under `path` is not asked for again; one that failed is empty."""
+    asked = requests.withColumn("system", F.lit(TRANSLATOR)).withColumn("max_tokens", F.coalesce("max_tokens", F.lit(MAX_TOKENS)))
+    answered = replies.answer(asked, ["system", "source", "max_tokens"], path, call, **how)
+    p = proof(answered.withColumn("candidate", text.strip(F.coalesce("reply", F.lit("")))))
+    return p.select(*requests.columns, F.lit("translate").alias("product"), F.col("candidate").alias("translation"), "gate", _checks().alias("checks"), "status")
+
+
+def bench(golds: DataFrame, order: list, n: int, path: str, call: replies.Call, **how) -> DataFrame:
+    """product, n, avg_bleu and pass_rate of translating the first n gold rows (source, gold)."""
+    head = golds.orderBy(*order).limit(n)
+    told = translate(head.withColumn("max_tokens", F.lit(MAX_TOKENS)), path, call, **how)
+    return summaries.server_bench(told, order, n)
+
+
+def try_hypotheses(trials: DataFrame, key: list[str], path: str, call: replies.Call, model: str, **how) -> DataFrame:
+    """Trials (key, source, gold, hint) with the candidate that a model gives under the hint, its metrics and its gate."""
+    asked = replies.hint_requests(trials, [*key, "source", "gold", "hint"], "source", "hint", model)
+    return hypotheses.outcomes(replies.candidates(replies.answer(asked, ["model", "system", "prompt"], path, call, **how)))
 
 
 def report(experiments: DataFrame) -> DataFrame:
@@ -120,9 +152,9 @@ def hypothesis(results: DataFrame, judgment: str, order: str) -> DataFrame:
     return hypotheses.proposed(hypotheses.low_rows(results, "semantic", "chrf", judgment), judgment, order)
 
 
-def comet(pairs: DataFrame) -> DataFrame:
-    """A neural metric is not part of the engine: its column is null, and says so."""
-    return pairs.withColumn("comet", F.lit(None).cast("double")).withColumn("comet_status", F.lit("unavailable"))
+def comet(pairs: DataFrame, scorer: Callable[[list[dict]], list[float | None]] | None = None) -> DataFrame:
+    """A learned metric of source, candidate and gold, if a scorer for it is given; its column is else null, and says so."""
+    return replies.scored(pairs, "source", "candidate", "gold", scorer)
 
 
 def gold_summary(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import repair
 from loomtext.operators import memory, replies, summaries
+from loomtext.plans import steps
 
 
 def closers(text):
@@ -185,3 +186,30 @@ def test_the_last_of_equal_ids_has_the_price_and_the_first_the_place(spark):
     use = spark.createDataFrame([("big-one-2",), ("v/big-one-3",), ("x/big-one",), ("big",), ("-",)], "model string")
     got = {r.model: (r.id, r.prompt, r.match_level) for r in summaries.price_lookup(use, "model", prices, "id", "ord").collect()}
     assert got == {"big-one-2": ("big-one-2", 9.0, 1), "v/big-one-3": ("big-one-3", 2.0, 2), "x/big-one": ("big-one-2", 9.0, 3), "big": (None, None, None), "-": ("big-one-2", 9.0, 3)}
+
+
+def test_a_learned_metric_is_never_invented(spark):
+    df = spark.createDataFrame([(i, "s", f"c{i}", "g") for i in range(7)], "i int, source string, candidate string, gold string")
+    assert {(r.comet, r.comet_note[:13]) for r in steps.comet(df).collect()} == {(None, "not installed")}
+
+    def scorer(pairs):
+        if len(pairs) > 3:
+            raise ValueError("too many")
+        return [None if p["mt"] == "c2" else len(p["mt"] + p["ref"]) / 7 for p in pairs]
+
+    got = {r.i: (r.comet, r.comet_note) for r in replies.scored(df, "source", "candidate", "gold", scorer, 3).collect()}
+    assert got == {i: (None if i == 2 else 0.4286, None) for i in range(7)}
+    assert {r.comet_note for r in replies.scored(df.coalesce(1), "source", "candidate", "gold", scorer, 7).collect()} == {"failed: too many"}
+
+
+def test_translations_and_bench_ask_a_model(spark, tmp_path):
+    def call(requests, attempt):
+        return [None if r["source"] == "lost" else f" {r['source']} {r['max_tokens']} " for r in requests]
+
+    df = spark.createDataFrame([(1, "om namah", 5), (2, "lost", None), (3, "om shanti", None)], "i int, source string, max_tokens int")
+    got = {r.i: r for r in steps.translate(df, str(tmp_path / "a"), call, pause=None).collect()}
+    assert [got[i].translation for i in (1, 2, 3)] == ["om namah 5", "", "om shanti 30"] and got[2].status == "failed" and got[2].gate == "BLOCKED" and not got[2].checks["COVERAGE"]
+    golds = spark.createDataFrame([(k, "alpha beta gamma", "alpha beta gamma 30") for k in range(4)], "k int, source string, gold string")
+    b = steps.bench(golds, ["k"], 3, str(tmp_path / "b"), call, pause=None).first()
+    assert (b["product"], b.n, b.avg_bleu, b.pass_rate) == ("bench", 3, 1.0, 1.0)
+    assert steps.bench(golds.limit(0), ["k"], 3, str(tmp_path / "b"), call, pause=None).first().n == 0
