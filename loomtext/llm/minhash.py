@@ -16,7 +16,7 @@ from loomtext.llm.components import components
 
 #: Words in a shingle; bands and rows: a pair of similarity 0.85 shares no band with probability 8e-8, one of 0.8 with 2e-5.
 WIDTH, BANDS, ROWS = 5, 28, 5
-#: Members of a bucket that are compared in one task at most; larger buckets are cut into blocks, and pairs of blocks compared.
+#: Members of a bucket that are compared in one task at most; those of larger buckets are dealt by rare shingles, and these groups cut into blocks.
 BLOCK = 512
 #: Tables of up to so many ids (8 bytes each) are broadcast, longer ones shuffled.
 MOST_IDS = 500_000
@@ -137,14 +137,45 @@ def _block_links(percent: int):
     return links
 
 
+def _split(entries: DataFrame) -> DataFrame:
+    """key and c of the buckets (key, node, comp) whose members lie in several components; of equal buckets one."""
+    rows = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    return rows.filter("c > 1 AND lo <> hi").groupBy("c", "s", "x").agg(F.min("key").alias("key")).select("key", "c")
+
+
+def _compared(entries: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components among the members of each bucket, block by block, so that no task has more than two blocks."""
+    blocks, mine = F.ceil(F.col("c") / F.lit(float(BLOCK))).cast("long"), F.pmod(F.xxhash64("node"), F.col("g"))
+    todo = entries.join(buckets.select("key", blocks.alias("g")), "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    todo = todo.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "node", "comp").distinct().join(sets, "node")
+    return todo.groupBy("block").applyInPandas(_block_links(percent), "u long, v long")
+
+
+def _rarest(crowd: DataFrame, percent: int) -> DataFrame:
+    """key, node and comp: the shingles by which members of crowded buckets (node, comp, grams) can still meet.
+
+    Two sets of n shingles, at most, that are similar enough share one of each other's n - ceil(n * percent / 100) + 1 rarest:
+    if these were all missed, too few would be left to share. Rarity is counted among the members, so that what crowds a bucket, text
+    that they all have, is looked at last.
+    """
+    rows = crowd.select("node", "comp", F.xxhash64("grams").alias("mark"), F.size("grams").alias("n"), F.explode("grams").alias("key"))
+    often = materialise(rows.groupBy("key").agg(F.count_distinct("node").alias("f")).filter("f > 1"))
+    order = Window.partitionBy("node", "mark").orderBy(F.coalesce("f", F.lit(1)), "key")
+    ranked = rows.join(often, "key", "left").withColumn("rank", F.row_number().over(order))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return ranked.filter(F.col("f").isNotNull() & (F.col("rank") <= prefix)).select("key", "node", "comp").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Groups documents (doc_id, text) whose sets of five-word shingles have a Jaccard similarity of percent / 100 or more.
 
     Texts with equal sets form a class, whose smallest doc_id stands for it. Classes that share a band's minima meet in a
     bucket. First each bucket's most widely shared member is compared with the others, on full sets, and components are
-    found. Buckets whose other members still lie in several components are then compared in full, in blocks of BLOCK
-    members, and only links that join components are emitted. So no pair of classes in a bucket is left out, unless a chain
-    of links joins it anyway, and no step emits all pairs of a group.
+    found. Buckets whose other members still lie in several components are then compared in full, up to BLOCK members at once,
+    and only links that join components are emitted. The members of larger ones, which share a passage but mostly little else, are
+    dealt anew by their rarest shingles, one of which any two that are similar enough share; what still meets many goes in
+    pairs of blocks. So no pair of classes in a bucket is left out, unless a chain of links joins it anyway, and no step
+    emits all pairs of a group.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased. A null or empty text has no shingles and no
     links. Rows that repeat an id form one node, linked by each of its texts; a null id is linked with nothing; an empty table gives an empty result;
@@ -176,13 +207,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     label = components(links)
 
     rest = met.filter("node <> leader").join(label, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    buckets = rest.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node")).alias("x"))
-    buckets = buckets.filter("c > 1 AND lo <> hi").groupBy("c", "s", "x").agg(F.min("key").alias("key"))  # equal buckets are compared once
-    blocks = F.ceil(F.col("c") / F.lit(float(BLOCK))).cast("long")
-    mine = F.pmod(F.xxhash64("node"), F.col("g"))
-    todo = rest.join(buckets.select("key", blocks.alias("g")), "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    todo = todo.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "node", "comp").distinct().join(sets, "node")
-    more = materialise(todo.groupBy("block").applyInPandas(_block_links(percent), "u long, v long"))
+    rest = materialise(rest.select("key", "node", "comp"))
+    buckets = materialise(_split(rest))
+    more = _compared(rest, buckets.filter(F.col("c") <= BLOCK), sets, percent)
+    crowd = materialise(rest.join(buckets.filter(F.col("c") > BLOCK).select("key"), "key", "left_semi").select("node", "comp").distinct())
+    if not crowd.isEmpty():
+        rare = materialise(_rarest(crowd.join(sets, "node"), percent))
+        more = more.unionByName(_compared(rare, _split(rare), sets, percent))
+    more = materialise(more)
     label = components(links.unionByName(more))
 
     named = sketch.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))

@@ -96,6 +96,26 @@ def test_an_id_with_several_texts_is_linked_by_each(spark, monkeypatch):
     assert [r.text for r in minhash.keep_one(df.filter("doc_id = 5")).collect()] == [min(" ".join(a), " ".join(b))]
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, percent):
+    """Documents that share a long passage but little else meet in one bucket; near copies hide among them."""
+    monkeypatch.setattr(minhash, "BLOCK", 6)
+    rnd = np.random.default_rng(percent)
+    word = lambda: f"w{rnd.integers(0, 10**6)}"
+    passage, rows = [word() for _ in range(150)], []
+    for k in range(40):
+        own = [word() for _ in range(45 + k % 7)]
+        rows.append((k, " ".join(passage + own)))
+        if k % 3 == 0:
+            cut = int(rnd.integers(0, len(own)))
+            rows.append((100 + k, " ".join(passage + own[:cut] + [word()] + own[cut:])))
+        if k % 5 == 0:
+            rows.append((200 + k, " ".join(passage + own[: len(own) // 2] + [word() for _ in range(4)])))
+    rows += [(300, " ".join(passage)), (301, " ".join(passage[:140]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    assert got == brute_components(rows, percent)
+
+
 def test_block_links_span_what_brute_force_links():
     import pandas as pd
 
