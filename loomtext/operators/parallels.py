@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from loomtext.functions.text import chrf, with_grams, words
+from loomtext.sources.scratch import written
 
 #: Texts that are searched for are collected and broadcast in blocks of about so many bytes.
 BLOCK_BYTES = 4 << 20
@@ -20,6 +23,7 @@ BLOCK_BYTES = 4 << 20
 MOST_GRAMS = 1_000_000
 #: Characters of a parallel's text that are shown.
 SHOWN = 60
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _matcher(shared, n: int):
@@ -75,6 +79,9 @@ def containment_parallels(sources: DataFrame, source_id: str, source: str, corpu
                 owners.setdefault(t, []).append(r[source_id])
         shared = spark.sparkContext.broadcast((list(owners), list(owners.values())))
         found = corpus.filter(F.col(other_id).isNotNull()).select(F.col(other_id).cast("long"), F.col(other).cast("string")).mapInArrow(_matcher(shared, n), "source_id long, other_id long, overlap long")
+        if blocks > 1:  # a block's best are written, and the block is let go before the next is collected
+            found = written(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("overlap"), "other_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= n)
@@ -121,14 +128,62 @@ def word_grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return df.select(F.col(key), F.explode(made).alias("gram"))
 
 
+def _hashes(lists: pa.ListArray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all n words in a row: a 64-bit hash, the list that they are in, and the place of the first among all words."""
+    flat = lists.flatten()
+    coded = flat.dictionary_encode() if len(flat) else pa.array([""]).dictionary_encode()[:0]
+    of = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest()) for w in coded.dictionary.to_pylist()] or [0], np.uint64)
+    h = of[coded.indices.to_numpy(zero_copy_only=False)]
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    last = max(len(h) - n + 1, 0)
+    out = np.zeros(last, np.uint64)
+    for k in range(n):
+        out = (out ^ (out >> np.uint64(29))) * _MIX + h[k : k + last]
+    place = np.flatnonzero(owner[:last] == owner[n - 1 :][:last])
+    return out[place], owner[place], place
+
+
+def _hash_all(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_hashes(batch.column(0), n)[0]).view(np.int64))], ["h"])
+
+    return run
+
+
+def _prober(shared, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            keys, lists = batch.column(0), batch.column(1)
+            h, owner, place = _hashes(lists, n)
+            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+            flat = lists.flatten()
+            words_ = [flat.take(pa.array(place[hit] + k)).to_pylist() for k in range(n)]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner[hit])), pa.array([" ".join(g) for g in zip(*words_)], pa.string())], ["key", "gram"])
+
+    return run
+
+
+def _probed(corpus: DataFrame, key: str, text: str, small: DataFrame, small_text: str, n: int) -> DataFrame:
+    """key and gram of the corpus' n-grams whose hash a gram of the small side has: what is met exactly afterwards, and little more."""
+    known = small.select(words(F.lower(F.col(small_text))).alias("_w")).mapInArrow(_hash_all(n), "h long").distinct().toArrow()
+    shared = corpus.sparkSession.sparkContext.broadcast(np.sort(known.column(0).to_numpy().view(np.uint64)))
+    kind = corpus.schema[key].dataType.simpleString()
+    rows = corpus.select(F.col(key).alias("key"), words(F.lower(F.col(text))).alias("_w"))
+    return rows.mapInArrow(_prober(shared, n), f"key {kind}, gram string").withColumnRenamed("key", key)
+
+
 def shared_grams(small: DataFrame, small_key: str, small_text: str, corpus: DataFrame, key: str, text: str, n: int = 3, top: int = 3) -> DataFrame:
     """For each small text the `top` corpus texts that share most distinct word n-grams: an equi-join on the gram, then counts.
 
-    The small side's grams are counted; up to MOST_GRAMS are broadcast, so that of the corpus only grams that match are shuffled.
+    The small side's grams are counted. Up to MOST_GRAMS their hashes, 8 bytes each, are broadcast and the corpus is probed batch
+    by batch, so that only grams that match are ever written out as text and moved; beyond, all grams are joined by a shuffle.
     """
-    a, b = word_grams(small, small_key, small_text, n).distinct(), word_grams(corpus, key, text, n)
+    a = word_grams(small, small_key, small_text, n).distinct()
     few = a.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS
-    met = b.join(F.broadcast(a), "gram") if few else b.distinct().join(a, "gram")
+    met = _probed(corpus, key, text, small, small_text, n).join(F.broadcast(a), "gram") if few else word_grams(corpus, key, text, n).distinct().join(a, "gram")
     counts = met.groupBy(small_key, key).agg(F.count_distinct("gram").alias("n_shared"))
     rank = F.row_number().over(Window.partitionBy(small_key).orderBy(F.desc("n_shared"), key))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= top)
@@ -172,6 +227,9 @@ def attach_references(passages: DataFrame, key: str, source: str, refs: DataFram
         always = next((r["o"] for r in part if not r["_s"]), None)
         shared = spark.sparkContext.broadcast((entries, always))
         found = passages.select(F.col(key).alias("key"), F.col(source).cast("string").alias("text")).mapInArrow(_last_contained(shared, kind), f"key {sql}, _ord long, _s string")
+        if blocks > 1:
+            found = written(found)
+            shared.destroy()
         hits = found if hits is None else hits.unionByName(found)
     last = hits.groupBy(F.col("key").alias(key)).agg(F.max(F.struct("_ord", "_s")).alias("e")).select(key, "e._ord", "e._s")
     chosen = refs.groupBy("_ord", "_s").agg(F.max("_refs").alias("_refs"))
