@@ -90,15 +90,29 @@ def _plan(sized: DataFrame, weights, share, most_copies, seed) -> DataFrame:
         edge.withColumn("run", run)
         .filter(F.col("before") + F.col("run") - F.col("size") / 2 <= F.col("goal"))  # a document enters if that brings the sum nearer
         .groupBy("source")
-        .agg(F.max("key").alias("last"))
+        .agg(F.max("key").alias("last"), F.max("run").alias("run"))
     )
-    ends = cut.alias("c").join(last.alias("l"), F.expr("c.source <=> l.source"), "left").select("c.source", "c.bin", "l.last")
-    whole_bins = _key(F.col("e.bin") / BINS, F.lit(None).cast("long"), F.lit(_LEAST))  # none of the cut bin enters
+    ends = cut.alias("c").join(last.alias("l"), F.expr("c.source <=> l.source"), "left")
+    whole_bins = _key(F.col("c.bin") / BINS, F.lit(None).cast("long"), F.lit(_LEAST))  # none of the cut bin enters
+    ends = ends.select("c.source", F.coalesce("l.last", whole_bins).alias("last"), (F.col("c.goal") - F.col("c.before") - F.coalesce("l.run", F.lit(0))).alias("gap"))
+    ends = checkpoint(ends)
+    swaps = checkpoint(_exchange(ranked, ends))
+    ends = ends.alias("e").join(swaps.alias("w"), F.expr("e.source <=> w.source"), "left").select("e.source", "e.last", "w.swap")
     out = plan.alias("p").join(small(ends, MOST_SOURCES).alias("e"), F.expr("p.source <=> e.source"), "left")
-    out = out.select("p.source", "p.source_size", "p.target", "p.scale", "p.whole", F.coalesce("e.last", F.when(F.col("e.bin").isNotNull(), whole_bins)).alias("last"), (F.col("p.rest") > 0).alias("more"))
+    out = out.select("p.source", "p.source_size", "p.target", "p.scale", "p.whole", "e.last", "e.swap", (F.col("p.rest") > 0).alias("more"))
     return checkpoint(out)
 
 
+def _exchange(ranked: DataFrame, ends: DataFrame) -> DataFrame:
+    """source and swap: the one document of each source whose entering or leaving brings the words taken nearest to the rest, of
+    equals the nearest to the cut; none where no document brings them nearer. Certain documents stay. An aggregate: nothing is sorted."""
+    d = ranked.filter(f"size > 0 AND abs(rank) < {-CERTAIN}").alias("d").join(small(ends, MOST_SOURCES).alias("e"), F.expr("d.source <=> e.source"))
+    key = _key(F.col("d.rank"), F.col("d.doc_id"), F.col("d.row"))
+    left = F.abs(F.col("e.gap") - F.when(key <= F.col("e.last"), -F.col("d.size")).otherwise(F.col("d.size")))
+    choice = F.struct(left.alias("left"), F.abs(F.col("d.rank") - F.col("e.last.rank")).alias("far"), key.alias("key"))
+    return d.filter(left < F.abs(F.col("e.gap"))).groupBy("d.source").agg(F.min(choice).alias("best")).select("source", F.col("best.key").alias("swap"))
+
+
 def _cut(bins: DataFrame, order: str) -> DataFrame:
     """The bin of each source in which the words from `begin` on reach the rest, and the words before it."""
     upto = F.sum("words").over(Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -110,8 +124,9 @@ def _key(rank: Column, doc_id: Column, row: Column) -> Column:
     return F.struct(rank.cast("double").alias("rank"), F.coalesce(doc_id, F.lit(_LEAST)).alias("id"), row.cast("long").alias("row"))
 
 
-def _copies(last: Column, more: Column, whole: Column, key: Column) -> Column:
-    return (whole + F.when(more & last.isNotNull() & (key <= last), 1).otherwise(0)).cast("int")
+def _copies(last: Column, swap: Column, more: Column, whole: Column, key: Column) -> Column:
+    enters = (key <= last) != F.coalesce(key == swap, F.lit(False))
+    return (whole + F.when(more & last.isNotNull() & enters, 1).otherwise(0)).cast("int")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -127,7 +142,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     at most_copies times its words and the excess goes to the others by weight. A source whose target is r times its words
     takes floor(r) whole copies of each document; the rest is a Pareto order sample of unequal inclusion probabilities: these
     grow with about the square root of the length, documents that would pass 1 are certain, and the words expected of them
-    are the rest. Documents are ranked by random odds over inclusion odds and enter until their words come nearest to the rest.
+    are the rest. Documents are ranked by random odds over inclusion odds and enter until their words come nearest to the rest;
+    then one document of each source enters or leaves, if that brings them nearer still.
     Only the few rows of one rank bin in each source are ever sorted, so a source with a third of all rows is no burden.
 
     A null text or one without words has size 0 and takes 0 words; a null source is a source; rows that repeat an id rank
@@ -139,7 +155,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     plan = _plan(sized, weights, share, most_copies, seed)
     d = sized.alias("d").join(small(plan, MOST_SOURCES).alias("p"), F.expr("d.source <=> p.source"))
     rank = _rank(F.col("d.size"), F.col("p.scale"), F.col("d.doc_id"), F.col("d.mark"), seed)
-    d = d.withColumn("copies", _copies(F.col("p.last"), F.col("p.more"), F.col("p.whole"), _key(rank, F.col("d.doc_id"), F.col("d.row"))))
+    d = d.withColumn("copies", _copies(F.col("p.last"), F.col("p.swap"), F.col("p.more"), F.col("p.whole"), _key(rank, F.col("d.doc_id"), F.col("d.row"))))
     return d.select("d.doc_id", "d.size", F.col("p.source_size").cast("long").alias("source_size"), F.col("p.target").cast("double").alias("target"), (F.col("d.size") * F.col("copies")).cast("long").alias("taken"), "copies", "d.source", _inclusion(F.col("d.size"), F.col("p.scale")).alias("inclusion"))
 
 
@@ -153,5 +169,5 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     d = docs.withColumn("row", F.monotonically_increasing_id()).alias("d").join(small(plan, MOST_SOURCES).alias("p"), F.expr("d.source <=> p.source"))
     doc_id = F.col("d.doc_id").cast("long")
     rank = _rank(n_words(F.col("d.text")), F.col("p.scale"), doc_id, F.xxhash64("d.text"), seed)
-    d = d.withColumn("copies", _copies(F.col("p.last"), F.col("p.more"), F.col("p.whole"), _key(rank, doc_id, F.col("d.row")))).filter("copies > 0")
+    d = d.withColumn("copies", _copies(F.col("p.last"), F.col("p.swap"), F.col("p.more"), F.col("p.whole"), _key(rank, doc_id, F.col("d.row")))).filter("copies > 0")
     return d.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy").toDF(*names)

@@ -201,6 +201,21 @@ def test_mix_reaches_targets(docs, odd, empty):
     assert mixing.mixed(odd).columns == odd.columns
 
 
+def test_one_exchange_brings_each_source_nearest(docs, monkeypatch):
+    told = mixing.mix(docs).collect()
+    exchange = mixing._exchange
+    monkeypatch.setattr(mixing, "_exchange", lambda ranked, ends: exchange(ranked, ends).limit(0))
+    plain = mixing.mix(docs).collect()
+    for s in {r.source for r in plain}:
+        mine = [r for r in plain if r.source == s]
+        target, taken = mine[0].target, sum(r.taken for r in mine)
+        base = math.floor(target / mine[0].source_size)
+        gaps = [abs(target - taken - (r.size if r.copies == base else -r.size)) for r in mine if r.size and 0 < r.inclusion < 1]
+        assert math.isclose(abs(target - sum(r.taken for r in told if r.source == s)), min([*gaps, abs(target - taken)]), abs_tol=1e-6)
+    far = lambda rows: sum(abs(sum(r.taken for r in rows if r.source == s) / t - 1) for s, t in {(r.source, r.target) for r in rows})
+    assert far(told) < far(plain) / 2
+
+
 def test_documents_are_included_as_often_as_wanted(spark):
     rnd = np.random.default_rng(3)
     sizes = rnd.choice([1, 5, 40, 400, 9000], 6000, p=[0.3, 0.3, 0.25, 0.14, 0.01])
