@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import provenance, text
 from loomtext.operators import graph, hypotheses, parallels, ranges, rank, registry, search, select, summaries
 from loomtext.plans import steps
-from loomtext.sources import lines, sinks
+from loomtext.sources import gold, lines, sinks
 
 
 def plain_gamma(rows, k):
@@ -288,3 +288,54 @@ def test_graph_of_checkpoints(spark, seed):
 def test_a_long_chain_takes_few_rounds(spark):
     chain = spark.createDataFrame([(f"n{k}", f"n{k - 1}") for k in range(1, 60)], "name string, prereq string")
     assert graph.closure(chain).count() == 59 * 60 // 2
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace as Fake
+
+    from loomtext.sources import scratch
+
+    def session(master, warehouse, folder=None):
+        context = Fake(master=master, getConf=lambda: Fake(get=lambda k: folder), getCheckpointDir=lambda: "set")
+        return Fake(sparkContext=context, conf=Fake(get=lambda k: warehouse))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(session("spark://host:7077", "file:/tmp/warehouse"))
+    assert scratch.shared_folder(session("yarn", "hdfs://n/w")) == "hdfs://n/w/_loomtext"
+    assert scratch.shared_folder(session("yarn", "file:/w", "s3a://b/c")) == "s3a://b/c"
+
+
+def test_missing_files_are_empty_frames(spark, tmp_path):
+    nowhere = str(tmp_path / "none")
+    for load in (gold.json_pairs, gold.records, gold.published, gold.run_records, gold.registry_rows, lines.read_files, lines.numbered_files):
+        assert load(spark, nowhere).count() == load(spark, f"{nowhere}/*.json").count() == 0
+
+
+RECORDS = {
+    "a.json": ({"source": {"source_text": "src"}, "stages": {"L2": {"other": "x"}, "T1": "late"}, "passage_id": "p"}, None),
+    "b.json": ({"source": {"source_text": "src"}, "stages": {"L2": "", "l2": {}, "T1": [], "t1": "last"}}, ("b.json", "last")),
+    "c.json": ({"source": {"source_text": "src"}, "stages": {"L2": ["one", 2, "three"]}, "passage_id": "c"}, ("c", "one 2 three")),
+    "d.json": ({"source": {"source_text": "src"}, "stages": {"L2": {"close_translation": "", "translation": "t"}}, "passage_id": "d"}, ("d", "t")),
+    "e.json": ({"source": {"source_text": ""}, "stages": {"L2": "x"}, "passage_id": "e"}, None),
+    "f.json": ({"source": {"source_text": "src"}, "stages": {"L2": "{text}"}, "passage_id": "f"}, None),
+    "g.json": ({"source": {"source_text": "src"}, "stages": {"L2": None, "l2": "[text] as it is"}, "passage_id": "g"}, ("g", "[text] as it is")),
+}
+PUBLISHED = {
+    "a.json": ({"source": "plain", "l2_text": "gold", "id": "a"}, ("a", "plain", "gold")),
+    "b.json": ({"source": "", "source_text": "other", "l2_text": "", "l2": "gold"}, ("b.json", "other", "gold")),
+    "c.json": ({"source": {"text": "inner"}, "l2": "gold", "id": "c"}, ("c", "inner", "gold")),
+    "d.json": ({"source": {"note": "x"}, "source_text": "unused", "l2": "gold", "id": "d"}, None),
+    "e.json": ({"source": "s", "id": "e"}, None),
+}
+
+
+def test_records_and_passages_of_every_form(spark, tmp_path):
+    for folder, files in (("r", RECORDS), ("p", PUBLISHED)):
+        (tmp_path / folder).mkdir()
+        for name, (body, _) in files.items():
+            (tmp_path / folder / name).write_text(json.dumps(body))
+        (tmp_path / folder / "z.json").write_text("{broken")
+    got = {(r.passage_id, r.gold) for r in gold.records(spark, str(tmp_path / "r")).collect()}
+    assert got == {want for _, want in RECORDS.values() if want}
+    assert {(r.passage_id, r.gold) for r in gold.records(spark, str(tmp_path / "r"), gold.GOLD_STAGES).collect()} == {("c", "one 2 three"), ("d", "t"), ("g", "[text] as it is")}
+    assert {(r.passage_id, r.source, r.gold) for r in gold.published(spark, str(tmp_path / "p"), 5).collect()} == {want for _, want in PUBLISHED.values() if want}
