@@ -159,7 +159,7 @@ def _rarest(crowd: DataFrame, percent: int) -> DataFrame:
     that they all have, is looked at last.
     """
     rows = crowd.select("node", "comp", F.xxhash64("grams").alias("mark"), F.size("grams").alias("n"), F.explode("grams").alias("key"))
-    often = materialise(rows.groupBy("key").agg(F.count_distinct("node").alias("f")).filter("f > 1"))
+    often = materialise(rows.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1"))
     order = Window.partitionBy("node", "mark").orderBy(F.coalesce("f", F.lit(1)), "key")
     ranked = rows.join(often, "key", "left").withColumn("rank", F.row_number().over(order))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -173,8 +173,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     bucket. First each bucket's most widely shared member is compared with the others, on full sets, and components are
     found. Buckets whose other members still lie in several components are then compared in full, up to BLOCK members at once,
     and only links that join components are emitted. The members of larger ones, which share a passage but mostly little else, are
-    dealt anew by their rarest shingles, one of which any two that are similar enough share; what still meets many goes in
-    pairs of blocks. So no pair of classes in a bucket is left out, unless a chain of links joins it anyway, and no step
+    dealt anew by their rarest shingles, one of which any two that are similar enough share; those whose rarest shingles are common
+    too are near copies mostly, and are compared in pairs of blocks of their bucket. So no pair of classes in a bucket is left out, unless a chain of links joins it anyway, and no step
     emits all pairs of a group.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased. A null or empty text has no shingles and no
@@ -213,7 +213,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     crowd = materialise(rest.join(buckets.filter(F.col("c") > BLOCK).select("key"), "key", "left_semi").select("node", "comp").distinct())
     if not crowd.isEmpty():
         rare = materialise(_rarest(crowd.join(sets, "node"), percent))
-        more = more.unionByName(_compared(rare, _split(rare), sets, percent))
+        dealt = materialise(_split(rare))
+        more = more.unionByName(_compared(rare, dealt.filter(F.col("c") <= BLOCK), sets, percent))
+        alike = materialise(rare.join(dealt.filter(F.col("c") > BLOCK).select("key"), "key", "left_semi").select("node").distinct())
+        if not alike.isEmpty():  # near copies, whose rarest shingles are common too
+            close = materialise(rest.join(alike, "node", "left_semi"))
+            more = more.unionByName(_compared(close, _split(close), sets, percent))
     more = materialise(more)
     label = components(links.unionByName(more))
 
