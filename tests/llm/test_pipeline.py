@@ -125,7 +125,16 @@ def brute_mixing(rows):
             run += k
             if left > 0 and run - k / 2 <= left:
                 taken = i
-        out += [r for i, (_, _, r) in enumerate(mine) for _ in range(whole + (i < taken))]
+        swap = None
+        if left > 0:  # the document whose entering or leaving is nearest, of equals the nearest to the cut
+            bin_of = lambda x: math.floor(max(-64, min(64, x)) * 2048)
+            edge = next(x for i, ((x, _), _, _) in enumerate(mine) if sum(k for _, k, _ in mine[: i + 1]) >= left)
+            last = mine[taken - 1][0][0] if taken and bin_of(mine[taken - 1][0][0]) == bin_of(edge) else bin_of(edge) / 2048
+            gap = left - sum(k for _, k, _ in mine[:taken])
+            choices = [(abs(gap - (-k if i < taken else k)), abs(x - last), x, d, i) for i, ((x, d), k, _) in enumerate(mine) if k and abs(x) < 1e9]
+            near = [c for c in choices if c[0] < abs(gap)]
+            swap = min(near)[-1] if near else None
+        out += [r for i, (_, _, r) in enumerate(mine) for _ in range(whole + (i < taken) * (i != swap) + (i >= taken) * (i == swap))]
     return out
 
 
