@@ -174,8 +174,11 @@ def test_registry_steps(spark, tmp_path):
     found = registry.file_violations(df, "file", "i", "line", "AGENT_RUN", "step")
     assert sorted(r.message for r in found.collect()) == ["f: invalid JSON", "f:0: missing ts", "g:1: bad type step"]
     assert {r.file: r.n_violations for r in registry.file_totals(df, "file", found).collect()} == {"f": 2, "g": 1}
-    with pytest.raises(ValueError, match="more than 1 files"):
-        sinks.write_files(spark.createDataFrame([("a", "x"), ("b", "y")], "name string, text string"), str(tmp_path / "x"), most=1)
+    written = lambda *rows: sinks.write_files(spark.createDataFrame(rows, "name string, text string"), str(tmp_path / "x"))
+    written(("a.json", "x"), ("b c#1%.txt", "two\nlines"), ("d+é=.json", None))
+    written(("a.json", "new"))  # replaces that document alone
+    assert {r.file: r.text for r in lines.read_files(spark, str(tmp_path / "x")).collect()} == {"a.json": "new\n", "b c#1%.txt": "two\nlines\n", "d+é=.json": "\n"}
+    assert sorted((r.file, r.i) for r in lines.numbered_files(spark, str(tmp_path / "x")).collect()) == [("a.json", 0), ("b c#1%.txt", 0), ("b c#1%.txt", 1), ("d+é=.json", 0)]
     assert len(steps.STEPS) == 20 and len(set(steps.STEPS.values())) == 20
 
 
