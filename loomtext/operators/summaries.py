@@ -68,7 +68,7 @@ def first_containing(needles: DataFrame, ids: DataFrame, key: str, order: str) -
     rarest = probes.join(sizes, "gram", "left").groupBy("p1", "p2").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
     found = written(rarest).join(index, "gram").filter(F.col(key).contains(F.col("p1")) & F.col(key).contains(F.col("p2")))
     first = F.min_by(key, order).alias(key)
-    any_id = needles.filter("p1 = '' AND p2 = ''").join(F.broadcast(ids.agg(first)))  # one row
+    any_id = needles.filter("p1 = '' AND p2 = ''").join(F.broadcast(ids.filter(F.col(key).isNotNull()).agg(first)))  # one row
     return found.groupBy("p1", "p2").agg(first).unionByName(any_id.filter(F.col(key).isNotNull()))
 
 
@@ -79,7 +79,7 @@ def price_lookup(usage: DataFrame, model: str, prices: DataFrame, price_id: str,
     the distinct first two parts of models that no key finds are looked up in an inverted index, and none is held against every id.
     """
     fields = [c for c in prices.columns if c not in (price_id, order)]
-    p = written(prices.groupBy(price_id).agg(F.max_by(F.struct(*fields), order).alias("p"), F.min(order).alias(order)).select(price_id, order, "p.*"))
+    p = written(prices.filter(F.col(price_id).isNotNull()).groupBy(price_id).agg(F.max_by(F.struct(*fields), order).alias("p"), F.min(order).alias(order)).select(price_id, order, "p.*"))
     m = usage.select(model).distinct().withColumn("last", F.element_at(F.split(model, "/"), -1))
     parts = F.split("last", "-")
     m = written(m.withColumn("p1", F.get(parts, F.lit(0))).withColumn("p2", F.get(parts, F.lit(1))))

@@ -149,8 +149,12 @@ def test_ready_and_prices(spark):
 
 
 def brute_prices(models, prices):
-    """The best (id, level, prompt) of each model, of prices (id, prompt, ord)."""
-    out = {}
+    """The best (id, level, prompt) of each model, of prices (id, prompt, ord): the last of equal ids has the price, the first the place."""
+    place, price, out = {}, {}, {}
+    for i, x, o in sorted(prices, key=lambda p: p[2]):
+        place.setdefault(i, o)
+        price[i] = x
+    prices = [(i, price[i], o) for i, o in place.items()]
     for model in models:
         last = model.split("/")[-1]
         two = last.split("-")[:2]
