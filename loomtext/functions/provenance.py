@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import subprocess
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.operators import ranges
-from loomtext.sources.scratch import written
+from loomtext.sources.scratch import holds_files, written
 
 #: Separates the fields of a canonical string.
 SEP = "\u0001"
@@ -68,8 +69,19 @@ def result_id(gold_version: Column, source: Column, model: Column) -> Column:
 
 
 def file_hashes(spark, paths: list[str]) -> DataFrame:
-    """path and SHA-256 of files, for code and configuration fingerprints."""
-    return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"))
+    """path and SHA-256 of files and documents, for code and configuration fingerprints."""
+    from loomtext.sources.lines import packed
+
+    parts = []
+    for path in paths:
+        documents = packed(spark, path)
+        if documents is not None:
+            at = F.concat_ws("/", "folder", F.regexp_replace(F.url_encode("file"), r"\+", "%20"))
+            parts.append(documents.select(at.alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256")))
+    plain = [p for p in paths if holds_files(spark, p)] if parts else paths
+    if plain:
+        parts.append(spark.read.format("binaryFile").load(plain).select("path", F.sha2("content", 256).alias("sha256")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def code_hash(files: DataFrame) -> DataFrame:

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.lexicon import TRADITIONS, DEFAULT_TRADITION, tag
 from loomtext.functions.text import bleu1, chrf, is_junk, with_grams, words
-from loomtext.sources.lines import numbered_files, read_files
-from loomtext.sources.scratch import exists
+from loomtext.sources.lines import anything, numbered_files, read_files
 
 # Stages of a record in the order of preference; prefix of a source that the truncating loader keeps.
 LAB_STAGES, GOLD_STAGES, SOURCE_PREFIX = ("L2", "l2", "T1", "t1"), ("L2", "l2"), 400
@@ -156,7 +155,7 @@ def available(spark: SparkSession, datasets: dict[str, tuple[str, Callable[[Spar
     """name, imported (whether there is anything at its path) and n, the number of rows that its loader gives, of each dataset."""
     out = spark.createDataFrame([], "name string, imported boolean, n long")
     for name, (path, load) in datasets.items():
-        out = out.unionByName(load(spark, path).agg(F.lit(name).alias("name"), F.lit(exists(spark, path)).alias("imported"), F.count("*").alias("n")))
+        out = out.unionByName(load(spark, path).agg(F.lit(name).alias("name"), F.lit(anything(spark, path)).alias("imported"), F.count("*").alias("n")))
     return out
 
 

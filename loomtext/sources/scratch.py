@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of documents that lie together in files; Spark's readers of the folder above pass it by.
+PACKED = "_packed"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, the warehouse, if that is in a store that all share, or a temporary folder for a local master, which is removed at the end."""
@@ -38,6 +41,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.globStatus(where))
 
 
+def holds_files(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or a pattern of paths, leads to a file or to a folder with anything that Spark's readers see."""
+    where, fs = file_system(spark, path)
+    for found in fs.globStatus(where) or []:
+        if not found.isDirectory():
+            return True
+        inside = fs.listStatusIterator(found.getPath())
+        while inside.hasNext():
+            if not inside.next().getPath().getName().startswith(("_", ".")):
+                return True
+    return False
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         where, fs = file_system(spark, path)
