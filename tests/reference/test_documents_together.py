@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import provenance
 from loomtext.plans import files
-from loomtext.sources import gold, lines, sinks
+from loomtext.sources import gold, lines, scratch, sinks
 
 N = 300
 QUERIES = [
+    "exemplar_counts",
     "run_store",
 ]
 
@@ -37,6 +38,10 @@ def test_files_do_not_grow_with_documents(spark, many, name, monkeypatch):
         assert 0 < n <= 2 * at.count(path) * spark.sparkContext.defaultParallelism < N
 
 
+def test_exemplars_are_parsed_once(spark, many):
+    assert not [f for f in files._exemplars(spark, many).inputFiles() if f"/{scratch.PACKED}/" in f or "name=" in f]
+
+
 def test_documents_by_name_pattern_and_beside_files(spark, tmp_path):
     x = str(tmp_path / "x")
     put = lambda *rows: sinks.write_files(spark.createDataFrame(rows, "name string, text string"), x)
