@@ -12,6 +12,7 @@ from loomtext.sources import gold, lines, scratch, sinks
 
 N = 300
 QUERIES = [
+    "dataset_counts",
     "exemplar_counts",
     "run_store",
 ]
