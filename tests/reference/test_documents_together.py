@@ -14,6 +14,7 @@ N = 300
 QUERIES = [
     "dataset_counts",
     "exemplar_counts",
+    "gold_scores",
     "run_store",
 ]
 
