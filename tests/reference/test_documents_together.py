@@ -16,6 +16,7 @@ QUERIES = [
     "exemplar_counts",
     "gold_scores",
     "run_store",
+    "test_sources",
 ]
 
 
