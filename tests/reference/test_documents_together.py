@@ -17,6 +17,7 @@ QUERIES = [
     "gold_scores",
     "run_store",
     "test_sources",
+    "tradition_rows",
 ]
 
 
