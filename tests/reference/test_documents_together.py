@@ -18,6 +18,7 @@ QUERIES = [
     "run_store",
     "test_sources",
     "tradition_rows",
+    "published_passages",
 ]
 
 
