@@ -19,6 +19,7 @@ QUERIES = [
     "test_sources",
     "tradition_rows",
     "published_passages",
+    "code_fingerprints",
 ]
 
 
