@@ -20,6 +20,7 @@ QUERIES = [
     "tradition_rows",
     "published_passages",
     "code_fingerprints",
+    "gold_records",
 ]
 
 
