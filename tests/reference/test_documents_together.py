@@ -21,6 +21,7 @@ QUERIES = [
     "published_passages",
     "code_fingerprints",
     "gold_records",
+    "dcs_files",
 ]
 
 
