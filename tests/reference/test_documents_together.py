@@ -22,6 +22,7 @@ QUERIES = [
     "code_fingerprints",
     "gold_records",
     "dcs_files",
+    "lab_records",
 ]
 
 
