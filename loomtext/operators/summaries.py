@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.operators import ranges
 from loomtext.sources.scratch import written
 
 # Prices a token times these give a text's cost; families that count for the challenge rate; its least value.
@@ -134,10 +135,17 @@ def _lacking(required: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.col(c).isNull() for c in required), F.lit(False))
 
 
-def registry_audit(runs: DataFrame, required: list[str]) -> DataFrame:
-    """How many records there are, and how many have, and lack, the required fields."""
+def registry_audit(runs: DataFrame, required: list[str], key: str) -> DataFrame:
+    """How many records there are, how many have, and lack, the required fields, and `missing`: incomplete_records() in order, between commas.
+
+    The keys are sorted over range partitions and joined there; one task joins what the partitions give, which is the value itself. It is null without such a record.
+    """
     bad = _lacking(required)
-    return runs.agg(F.count("*").alias("n"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("invalid"))
+    counts = runs.agg(F.count("*").alias("n"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("invalid"))
+    ranged = ranges.laid_out(incomplete_records(runs, required, key), ["missing"])
+    in_order = lambda by, what: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, what))), lambda r: r[what]), ",")
+    joined = ranged.groupBy("_part").agg(in_order("_at", "missing").alias("some")).agg(F.count("*").alias("parts"), in_order("_part", "some").alias("missing"))
+    return counts.crossJoin(joined.select(F.when(F.col("parts") > 0, F.col("missing")).alias("missing")))
 
 
 def incomplete_records(runs: DataFrame, required: list[str], key: str) -> DataFrame:

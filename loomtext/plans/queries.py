@@ -317,7 +317,7 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.registry_audit(_audited(spark, sf_dir), ["run_signature", "nanopublication"])
+    return summaries.registry_audit(_audited(spark, sf_dir), ["run_signature", "nanopublication"], "run_signature")
 
 
 def registry_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
