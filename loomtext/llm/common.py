@@ -39,6 +39,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows that a task writes at least, where there are fewer tasks than shuffle partitions.
+TASK_ROWS = 200_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """A frame that ends in an aggregate or distinct(), of about so many narrow rows, over no more tasks than these need, but as many as there are
+    cores: each of many partitions would else become a file of a few rows. Those ends have no hot partitions, so none are put together."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return df.coalesce(n) if n < partitions(df.sparkSession) else df
+
+
 #: Rows and bytes of the Arrow batches that go to and from Python, at most.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 

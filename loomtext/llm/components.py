@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import forget, materialise
+from loomtext.llm.common import forget, gathered, materialise
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -21,16 +21,17 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int =
     Edges with a null end and loops say nothing; nodes without an edge are not in the result.
     """
     e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col("u") != F.col("v"))).distinct()
-    e = materialise(e)
+    e = materialise(gathered(e, edges.count()))
     mark = _mark(e)
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = materialise(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
+        n = mark[0]  # edges; no step makes more than twice as many
+        low = materialise(gathered(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n))
+        large = materialise(gathered(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n))
+        least = materialise(gathered(large.groupBy("u").agg(F.min("v").alias("m")), n))
         tied = large.join(least, "u")
         small = tied.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        old, e = e, materialise(small)
+        old, e = e, materialise(gathered(small, n))
         forget(old, low, large, least)
         was, mark = mark, _mark(e)
         if mark == was:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import binary, forget, lean, materialise, plain_names, runs, small, words
+from loomtext.llm.common import binary, forget, gathered, lean, materialise, plain_names, runs, small, words
 from loomtext.llm.components import components
 
 #: Words in a shingle; bands and rows: a pair of similarity 0.85 shares no band with probability 8e-8, one of 0.8 with 2e-5.
@@ -183,17 +183,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     texts = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sketch = materialise(texts.mapInArrow(_sketch, "doc_id long, n long, d1 long, d2 long, bands array<long>"))
-    classes = materialise(sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("size")))
+    n_docs = sketch.count()
+    classes = materialise(gathered(sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("size")), n_docs))
+    n_keys = BANDS * classes.count()
     first = sketch.join(classes, ["d1", "d2"]).filter("doc_id = node")
-    entries = materialise(first.select("node", "n", F.explode("bands").alias("key")).distinct())
+    entries = materialise(gathered(first.select("node", "n", F.explode("bands").alias("key")).distinct(), n_keys))
     # What is joined to a key is written first, so that adaptive execution can split the rows of a hot one.
-    sizes = materialise(entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    sizes = materialise(gathered(entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), n_keys))
     met = materialise(entries.join(sizes, "key"))
     forget(entries, sizes)
     wide = met.groupBy("node").agg(F.sum("c").alias("wide"))
     met = materialise(met.join(wide, "node"))
     leaders = met.groupBy("key").agg(F.max(F.struct("wide", (-F.col("node")).alias("minus"), "n")).alias("l")).select("key", (-F.col("l.minus")).alias("leader"), F.col("l.n").alias("leader_n"))
-    leaders = materialise(leaders)
+    leaders = materialise(gathered(leaders, n_keys))
     met = materialise(met.join(leaders, "key").select("key", "node", "n", "leader", "leader_n"))
     fits = f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)"
     pairs = met.filter(f"node <> leader AND {fits}").select("leader", "node").distinct()
@@ -208,14 +210,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     rest = met.filter("node <> leader").join(label, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     rest = materialise(rest.select("key", "node", "comp"))
-    buckets = materialise(_split(rest))
+    buckets = materialise(gathered(_split(rest), n_keys))
     more = _compared(rest, buckets.filter(F.col("c") <= BLOCK), sets, percent)
-    crowd = materialise(rest.join(buckets.filter(F.col("c") > BLOCK).select("key"), "key", "left_semi").select("node", "comp").distinct())
+    crowd = materialise(gathered(rest.join(buckets.filter(F.col("c") > BLOCK).select("key"), "key", "left_semi").select("node", "comp").distinct(), n_docs))
     if not crowd.isEmpty():
         rare = materialise(_rarest(crowd.join(sets, "node"), percent))
-        dealt = materialise(_split(rare))
+        dealt = materialise(gathered(_split(rare), n_keys))
         more = more.unionByName(_compared(rare, dealt.filter(F.col("c") <= BLOCK), sets, percent))
-        alike = materialise(rare.join(dealt.filter(F.col("c") > BLOCK).select("key"), "key", "left_semi").select("node").distinct())
+        alike = materialise(gathered(rare.join(dealt.filter(F.col("c") > BLOCK).select("key"), "key", "left_semi").select("node").distinct(), n_docs))
         if not alike.isEmpty():  # near copies, whose rarest shingles are common too
             close = materialise(rest.join(alike, "node", "left_semi"))
             more = more.unionByName(_compared(close, _split(close), sets, percent))
