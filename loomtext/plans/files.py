@@ -10,7 +10,7 @@ from loomtext.operators import ledger
 from loomtext.plans import oracle, steps
 from loomtext.plans.queries import table, turns
 from loomtext.sources import gold, lines, sinks
-from loomtext.sources.scratch import scratch, written
+from loomtext.sources.scratch import scratch, spread, written
 
 
 def _flat(c) -> object:
@@ -23,9 +23,14 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("entry"), F.col("s_nationkey").alias("region"), note.alias("note"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries that documents are made of, dealt out."""
+    return spread(_entries(spark, sf_dir))
+
+
 def _records(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
     """One JSON file for each entry; the gold text is in another stage and form in each sixth, one of which has nothing but a late stage behind an object without text; some have no id."""
-    n = _entries(spark, sf_dir)
+    n = _documents(spark, sf_dir)
     k, c = F.pmod("id", F.lit(6)), F.col("note")
     stages = (
         F.when(k == 0, F.to_json(F.struct(F.struct(F.concat(F.lit("close "), c).alias("close_translation"), F.lit("t").alias("translation")).alias("L2"))))
@@ -51,7 +56,7 @@ def gold_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _published(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
-    n = _entries(spark, sf_dir)
+    n = _documents(spark, sf_dir)
     k, form = F.pmod("id", F.lit(4)), F.pmod("id", F.lit(5))
     told = F.repeat(F.concat("note", F.lit(" veda ")), 9)
     inner = lambda *fields: F.to_json(F.struct(*fields))
@@ -151,7 +156,7 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dcs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text files by name: index, school, tier and period."""
-    n = _entries(spark, sf_dir)
+    n = _documents(spark, sf_dir)
     path = scratch(spark)
     body = F.concat(F.lit("# "), "entry", F.lit("\n\n"), "note", F.lit("\nsecond "), "entry", F.when(F.pmod("id", F.lit(2)) == 0, "\n").otherwise(""))
     sinks.write_files(n.select(F.concat(F.element_at(F.array(*map(F.lit, ("yoga", "krama", "nyAya", "z"))), (F.pmod("id", F.lit(4)) + 1).cast("int")), F.lit("-"), "id", F.lit(".txt")).alias("name"), body.alias("text")), path)
@@ -162,7 +167,7 @@ def dcs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run records, one file a signature, written twice: point lookup and scan in order."""
-    n = _entries(spark, sf_dir)
+    n = _documents(spark, sf_dir)
     path = scratch(spark)
     for version in (1, 2):
         rec = F.to_json(F.struct(F.sha2("entry", 256).alias("run_signature"), F.concat(F.lit("kind "), F.col("region") * version).alias("kind"), F.lit(f"2024-01-0{version}").alias("ts")))
@@ -248,7 +253,7 @@ def price_catalogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of files, one for all of them in order, and a configuration's."""
     path = scratch(spark)
-    n = _entries(spark, sf_dir)
+    n = _documents(spark, sf_dir)
     sinks.write_files(n.select(F.concat("id", F.lit(".py")).alias("name"), F.col("note").alias("text")), path)
     f = provenance.file_hashes(spark, [path]).select(lines.file_name(F.col("path")).alias("name"), "sha256")
     code = provenance.code_hash(f).select(F.lit("code").alias("name"), F.col("code_sha").alias("sha256"))

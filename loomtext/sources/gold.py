@@ -6,6 +6,7 @@ Files are read by Spark, so any store will do. Every loader gives an `ord` colum
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from loomtext.functions.lexicon import TRADITIONS, DEFAULT_TRADITION, tag
 from loomtext.functions.text import bleu1, chrf, is_junk, with_grams, words
 from loomtext.sources.lines import anything, numbered_files, read_files
+from loomtext.sources.scratch import once
 
 # Stages of a record in the order of preference; prefix of a source that the truncating loader keeps.
 LAB_STAGES, GOLD_STAGES, SOURCE_PREFIX = ("L2", "l2", "T1", "t1"), ("L2", "l2"), 400
@@ -23,41 +25,46 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return read_files(spark, path).withColumnRenamed("text", "raw")
 
 
-def _field(json: Column, path: str) -> tuple[Column, Column]:
-    """A field's text, and its kind: STRING, OBJECT<..>, ARRAY<..> or another; both null without the field."""
-    item = F.try_variant_get(F.try_parse_json(json), path, "variant")
-    return F.try_variant_get(item, "$", "string"), F.schema_of_variant(item)
+def _fields(json: Column, *paths: str) -> Column:
+    """For each path the field, its text, and its kind: STRING, OBJECT<..>, ARRAY<..> or another; all null without the field."""
+    found = F.array(*(F.try_variant_get(json, p, "variant") for p in paths))
+    return F.transform(found, lambda item: F.struct(item.alias("item"), F.try_variant_get(item, "$", "string").alias("text"), F.schema_of_variant(item).alias("kind")))
 
 
-def _said(text: Column, kind: Column) -> Column:
+def _said(field: Column) -> Column:
     """Whether a field says anything: not null, not empty text, an empty list or object, zero or false."""
+    text, kind = field["text"], field["kind"]
     return F.coalesce((kind != "VOID") & ~text.isin("", "{}", "[]") & ~((kind != "STRING") & text.isin("0", "0.0", "false")), F.lit(False))
 
 
+def _first(fields: Column) -> Column:
+    """The first field that says anything, or null."""
+    return F.get(F.filter(fields, _said), F.lit(0))
+
+
 def _ordered(df: DataFrame, *by: str) -> DataFrame:
     return df.withColumn("ord", F.struct(*by))
 
 
-def _stage(raw: Column, stages: tuple[str, ...]) -> Column:
+def _stage(json: Column, stages: tuple[str, ...]) -> Column:
     """Of the first stage that says anything: of an object its close translation, else its translation, else nothing; of a list its parts joined; else its text.
 
     A later stage does not stand in for one that says something else.
     """
-    first = None
-    for s in stages:
-        text, kind = _field(raw, f"$.stages.{s}")
-        either = [F.when(_said(*f), f[0]) for f in (_field(raw, f"$.stages.{s}.close_translation"), _field(raw, f"$.stages.{s}.translation"))]
-        of_object, of_list = F.coalesce(*either), F.array_join(F.from_json(text, "array<string>"), " ")
-        told = F.when(kind.startswith("OBJECT"), of_object).when(kind.startswith("ARRAY"), of_list).otherwise(text)
-        first = F.when(_said(text, kind), told) if first is None else first.when(_said(text, kind), told)
-    return first
+    def told(x: Column) -> Column:
+        inner = _first(_fields(x["item"], "$.close_translation", "$.translation"))["text"]
+        of_list = F.array_join(F.from_json(x["text"], "array<string>"), " ")
+        return F.when(x["kind"].startswith("OBJECT"), inner).when(x["kind"].startswith("ARRAY"), of_list).otherwise(x["text"])
+
+    said = F.filter(_fields(json, *(f"$.stages.{s}" for s in stages)), _said)
+    return F.get(F.transform(F.slice(said, 1, 1), told), F.lit(0))
 
 
 def records(spark: SparkSession, path: str, stages: tuple[str, ...] = LAB_STAGES, tradition: str | None = None) -> DataFrame:
     """Gold records, one JSON file each. Rows without source or gold, or whose gold is an unread object, are dropped; a record without passage_id goes by its file's name."""
-    f = _files(spark, path)
     raw = F.col("raw")
-    df = f.select(F.coalesce(F.get_json_object(raw, "$.source.source_text"), F.get_json_object(raw, "$.source.text")).alias("source"), _stage(raw, stages).alias("gold"), F.coalesce(F.get_json_object(raw, "$.passage_id"), "file").alias("passage_id"), "file")
+    df = once(_files(spark, path), "file", json=F.try_parse_json(raw), source=F.coalesce(F.get_json_object(raw, "$.source.source_text"), F.get_json_object(raw, "$.source.text")), passage_id=F.coalesce(F.get_json_object(raw, "$.passage_id"), "file"))
+    df = once(df, "source", "passage_id", "file", gold=_stage(F.col("json"), stages)).select("source", "gold", "passage_id", "file")
     df = df.filter((F.coalesce("source", F.lit("")) != "") & (F.coalesce("gold", F.lit("")) != "") & ~F.col("gold").startswith("{"))
     label = F.when(F.lower("file").contains("krama"), "Krama").otherwise(tag(F.col("source"), TRADITIONS, DEFAULT_TRADITION)) if tradition is None else F.lit(tradition)
     return _ordered(df.withColumn("tradition", label), "file").drop("file")
@@ -69,12 +76,11 @@ def published(spark: SparkSession, path: str, most: int | None = None) -> DataFr
     The source is the field `source`, or else `source_text`: an object's text, or plain text. The gold text is l2_text, or
     else l2. A passage without id goes by its file's name.
     """
-    f = _files(spark, path)
-    raw = F.col("raw")
-    either = lambda *keys: F.coalesce(*(F.when(_said(*_field(raw, k)), F.struct(*(c.alias(n) for c, n in zip(_field(raw, k), ("text", "kind"))))) for k in keys))
-    df = f.select(either("$.source", "$.source_text").alias("s"), either("$.l2_text", "$.l2")["text"].alias("gold"), F.coalesce(F.get_json_object(raw, "$.id"), "file").alias("passage_id"), "file")
+    raw, json = F.col("raw"), F.col("json")
+    df = once(_files(spark, path), "file", json=F.try_parse_json(raw), passage_id=F.coalesce(F.get_json_object(raw, "$.id"), "file"))
+    df = once(df, "passage_id", "file", s=_first(_fields(json, "$.source", "$.source_text")), gold=_first(_fields(json, "$.l2_text", "$.l2"))["text"])
     source = F.when(F.col("s.kind").startswith("OBJECT"), F.get_json_object("s.text", "$.text")).otherwise(F.col("s.text"))
-    df = df.withColumn("source", F.substring(source, 1, most) if most else source).filter((F.coalesce("source", F.lit("")) != "") & F.col("gold").isNotNull())
+    df = once(df.filter("gold IS NOT NULL"), "gold", "passage_id", "file", source=F.substring(source, 1, most) if most else source).filter(F.coalesce("source", F.lit("")) != "")
     return _ordered(df.select("source", "gold", "passage_id", "file").withColumn("tradition", tag(F.col("source"))), "file").drop("file")
 
 
@@ -153,10 +159,8 @@ def catalogue(samples: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
 
 def available(spark: SparkSession, datasets: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]]) -> DataFrame:
     """name, imported (whether there is anything at its path) and n, the number of rows that its loader gives, of each dataset."""
-    out = spark.createDataFrame([], "name string, imported boolean, n long")
-    for name, (path, load) in datasets.items():
-        out = out.unionByName(load(spark, path).agg(F.lit(name).alias("name"), F.lit(anything(spark, path)).alias("imported"), F.count("*").alias("n")))
-    return out
+    told = [load(spark, path).agg(F.lit(name).alias("name"), F.lit(anything(spark, path)).alias("imported"), F.count("*").alias("n")) for name, (path, load) in datasets.items()]
+    return reduce(DataFrame.unionByName, told) if told else spark.createDataFrame([], "name string, imported boolean, n long")
 
 
 def price_catalogue(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The folder of documents that lie together in files; Spark's readers of the folder above pass it by.
 PACKED = "_packed"
@@ -41,6 +42,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.globStatus(where))
 
 
+def within(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders in which what a pattern of paths leads to lies, one for each find."""
+    where, fs = file_system(spark, pattern)
+    return [found.getPath().getParent().toString() for found in fs.globStatus(where) or []]
+
+
 def holds_files(spark: SparkSession, path: str) -> bool:
     """Whether a path, or a pattern of paths, leads to a file or to a folder with anything that Spark's readers see."""
     where, fs = file_system(spark, path)
@@ -74,3 +81,15 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few splits, dealt out to all cores before anything is made of its rows: a small table is one split, however long what is made of it takes."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
+def once(df: DataFrame, *kept: str, **made: Column) -> DataFrame:
+    """The columns that are kept and those that are made, each of which is computed once a row: filters and later columns do not
+    go below a generator, as they go below a projection, where each computes again what it reads."""
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(name) for name, c in made.items())))))
