@@ -109,12 +109,13 @@ def tradition_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates against the first gold of their id; a few ids are unknown."""
-    n = _entries(spark, sf_dir)
+    n = _documents(spark, sf_dir)
     c = n.select(F.when(F.pmod("id", F.lit(8)) == 5, "nowhere").otherwise(F.col("entry")).alias("passage_id"), "id", F.substring("note", 3, 30).alias("candidate"))
     e = _exemplars(spark, sf_dir)
-    a, b = gold.score_vs_gold(e, c), gold.score_vs_gold(e, c, "bleu1")
+    scored = gold.score_vs_gold(e, c).withColumnRenamed("score", "chrf")
+    scored = gold.score_vs_gold(e, scored, "bleu1").withColumnRenamed("score", "bleu1").select("id", "chrf", "bleu1")
     first = gold.first_gold(e, "Supplier#000000006").select(F.lit(-1).alias("id"), F.lit(0.0).alias("chrf"), F.length("gold").cast("double").alias("bleu1"))
-    return a.select("id", F.col("score").alias("chrf")).join(b.select("id", F.col("score").alias("bleu1")), "id").unionByName(first)
+    return scored.unionByName(first)
 
 
 def frontier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from loomtext.sources import lines, sinks
 #: Each query, and how often documents are parsed for it: once by each loader, one of which finds nothing in dataset_counts.
 QUERIES = {
     "dataset_counts": 3,
+    "gold_scores": 2,
 }
 
 
