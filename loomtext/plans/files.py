@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,11 +274,11 @@ def test_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     b.coalesce(1).write.text(f"{base}/left")
     b.coalesce(1).write.text(f"{base}/right")
     steps.register_lines("both", "left", "right")
-    out = spark.createDataFrame([], "name string, n long, n_first long")
+    told = []
     for name in ("records", "published", "published-trunc", "pairs", "lines:both"):
         every, first = steps.load(spark, name, base), steps.load(spark, name, base, 3)
-        out = out.unionByName(every.agg(F.lit(name).alias("name"), F.count("*").alias("n")).crossJoin(first.agg(F.count("*").alias("n_first"))))
-    return out
+        told.append(every.agg(F.lit(name).alias("name"), F.count("*").alias("n")).crossJoin(first.agg(F.count("*").alias("n_first"))))
+    return reduce(DataFrame.unionByName, told)
 
 
 def step_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from loomtext.sources import lines, sinks
 QUERIES = {
     "dataset_counts": 3,
     "gold_scores": 2,
+    "test_sources": 6,
 }
 
 
