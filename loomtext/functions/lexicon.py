@@ -43,16 +43,18 @@ LETTERS = "[a-zA-Zāīūṛṝḷḹṃṁñṅśṣṭḍḥ]+"
 ERROR_FAMILIES = ("compound semantic loss", "case-role inversion", "negation loss", "implicit subject", "technical-term substitution", "scope loss", "metaphor literalisation", "dropped pāda")
 
 
-def hint_score(text: Column, hints: tuple[str, ...]) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return sum((low.contains(h).cast("int") for h in hints), F.lit(0))
+def hint_score(low: Column, hints: tuple[str, ...]) -> Column:
+    """How many hints a lower-case text holds; those with other letters are looked for only in texts that have such letters."""
+    held = lambda some: sum((low.contains(h).cast("int") for h in some), F.lit(0))
+    plain, other = [h for h in hints if h.isascii()], [h for h in hints if not h.isascii()]
+    return held(plain) + F.when(F.octet_length(low) > F.length(low), held(other)).otherwise(0) if other else held(plain)
 
 
 def tag(text: Column, lexicon: dict[str, tuple[str, ...]] = TRADITIONS, default: str = DEFAULT_TRADITION) -> Column:
-    """The class with most hints in the text; the earlier class wins a tie, the default a text without hints."""
-    scores = F.array(*[F.struct(hint_score(text, hints).alias("n"), F.lit(-k).alias("first"), F.lit(name).alias("name")) for k, (name, hints) in enumerate(lexicon.items())])
-    best = F.array_max(scores)
-    return F.when(best["n"] > 0, best["name"]).otherwise(default)
+    """The class with most hints in the text; the earlier class wins a tie, the default a text without hints. Classes are scored once: nothing but the best one's name is asked for."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    scored = lambda n, first, name: F.struct(n.alias("n"), F.lit(first).alias("first"), F.lit(name).alias("name"))
+    return F.array_max(F.array(scored(F.lit(0), 1, default), *(scored(hint_score(low, hints), -k, name) for k, (name, hints) in enumerate(lexicon.items()))))["name"]
 
 
 def detect(name: Column, fragments: dict[str, tuple[str, ...]] = SCHOOL_FRAGMENTS) -> Column:

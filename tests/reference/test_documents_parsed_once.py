@@ -3,7 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from loomtext.functions import lexicon
 from loomtext.plans import files
 from loomtext.sources import lines, sinks
 
@@ -12,6 +14,7 @@ QUERIES = {
     "dataset_counts": 3,
     "gold_scores": 2,
     "test_sources": 6,
+    "tradition_rows": 2,
 }
 
 
@@ -36,3 +39,17 @@ def test_documents_of_several_writes_are_the_last(spark, tmp_path):
     assert read(tmp_path / "a") == [("new.json", "new\n"), ("old.json", "old\n"), ("x.json", "new\n")]
     assert read(tmp_path / "b") == [("one.json", "one\n"), ("x.json", "one\n")]
     assert read(tmp_path / "*") == [("new.json", "new\n"), ("old.json", "old\n"), ("one.json", "one\n"), ("x.json", "new\n"), ("x.json", "one\n")]
+
+
+def test_classes_are_scored_once(spark):
+    texts = ["", None, "KRAMA", "Śiva Sūtra of mala", "ātman veda", "mala veda", "krama trika", "vimarśa krama ucyate", "tattva vidyā brahma", "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", lexicon.tag(F.col("t")).alias("tag"))
+    n = sum(map(len, lexicon.TRADITIONS.values()))
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") == n
+
+    def plain(t):
+        scores = {k: sum(h in (t or "").lower() for h in hints) for k, hints in lexicon.TRADITIONS.items()}
+        best = max(scores.values())
+        return next(k for k, v in scores.items() if v == best) if best else lexicon.DEFAULT_TRADITION
+
+    assert [r.tag for r in df.collect()] == [plain(t) for t in texts]
