@@ -15,6 +15,7 @@ QUERIES = {
     "gold_scores": 2,
     "test_sources": 6,
     "tradition_rows": 2,
+    "published_passages": 1,
 }
 
 
