@@ -16,6 +16,7 @@ QUERIES = {
     "test_sources": 6,
     "tradition_rows": 2,
     "published_passages": 1,
+    "code_fingerprints": 0,
 }
 
 
