@@ -17,6 +17,7 @@ QUERIES = {
     "tradition_rows": 2,
     "published_passages": 1,
     "code_fingerprints": 0,
+    "gold_records": 1,
 }
 
 
