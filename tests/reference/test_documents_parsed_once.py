@@ -18,6 +18,7 @@ QUERIES = {
     "published_passages": 1,
     "code_fingerprints": 0,
     "gold_records": 1,
+    "dcs_files": 0,
 }
 
 
