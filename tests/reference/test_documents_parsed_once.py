@@ -19,6 +19,7 @@ QUERIES = {
     "code_fingerprints": 0,
     "gold_records": 1,
     "dcs_files": 0,
+    "lab_records": 1,
 }
 
 
