@@ -19,15 +19,19 @@ def _flat(c) -> object:
     return F.regexp_replace(c, r"[\r\n]+", " ")
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _told(suppliers: DataFrame) -> DataFrame:
     """What files are made of: a key, a name, a region and a note for each supplier."""
     note = F.concat(F.lit("The note on "), F.initcap("s_name"), F.lit(" of region "), "s_nationkey", F.when(F.pmod("s_suppkey", F.lit(3)) == 0, ", its trika and mala").otherwise(", its veda"))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("entry"), F.col("s_nationkey").alias("region"), note.alias("note"))
+    return suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("entry"), F.col("s_nationkey").alias("region"), note.alias("note"))
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(table(spark, sf_dir, "supplier"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entries that documents are made of, dealt out."""
-    return spread(_entries(spark, sf_dir))
+    """The entries that documents are made of: suppliers are dealt out by their keys, and all else is done after that, by all tasks."""
+    return _told(spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey"))
 
 
 def _records(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
@@ -64,7 +68,7 @@ def _published(spark: SparkSession, sf_dir: str, path: str | None = None) -> str
     inner = lambda *fields: F.to_json(F.struct(*fields))
     source = F.when(form == 1, inner(told.alias("source"))).when(form == 2, inner(F.lit("").alias("source"), told.alias("source_text"))).otherwise(inner(F.struct(told.alias("text")).alias("source")))
     gold_text = inner(F.when(k == 1, "").when(k < 3, F.col("note")).alias("l2_text"), F.when(k != 3, F.lower("entry")).alias("l2"), F.when(F.pmod("id", F.lit(11)) != 4, F.col("entry")).alias("id"))
-    body = F.concat(F.regexp_replace(source, r"\}$", ","), F.regexp_replace(gold_text, r"^\{", ""))
+    body = F.concat(F.substring(source, F.lit(1), F.length(source) - 1), F.lit(","), F.substring(gold_text, F.lit(2), F.length(gold_text) - 1))  # one object of both
     path = path or scratch(spark)
     sinks.write_files(n.select(F.concat("id", F.lit(".json")).alias("name"), F.when(F.col("id") == 8, "{broken").otherwise(body).alias("text")), path)
     return path

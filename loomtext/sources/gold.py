@@ -25,10 +25,14 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return read_files(spark, path).withColumnRenamed("text", "raw")
 
 
-def _fields(json: Column, *paths: str) -> Column:
-    """For each path the field, its text, and its kind: STRING, OBJECT<..>, ARRAY<..> or another; all null without the field."""
-    found = F.array(*(F.try_variant_get(json, p, "variant") for p in paths))
-    return F.transform(found, lambda item: F.struct(item.alias("item"), F.try_variant_get(item, "$", "string").alias("text"), F.schema_of_variant(item).alias("kind")))
+def _fields(df: DataFrame, *kept: str, json: str = "json", **paths: str) -> DataFrame:
+    """The columns that are kept, and for each name the field at its path: its item, text and kind (STRING, OBJECT<..>, ARRAY<..> or another); all null without the field.
+
+    Neither this nor what reads it has lambdas, which Spark interprets, and with them all that is made beside them.
+    """
+    df = once(df, *kept, **{name: F.try_variant_get(json, path, "variant") for name, path in paths.items()})
+    field = lambda item: F.struct(F.col(item).alias("item"), F.try_variant_get(item, "$", "string").alias("text"), F.schema_of_variant(item).alias("kind"))
+    return once(df, *kept, **{name: field(name) for name in paths})
 
 
 def _said(field: Column) -> Column:
@@ -37,34 +41,42 @@ def _said(field: Column) -> Column:
     return F.coalesce((kind != "VOID") & ~text.isin("", "{}", "[]") & ~((kind != "STRING") & text.isin("0", "0.0", "false")), F.lit(False))
 
 
-def _first(fields: Column) -> Column:
+def _first(*fields: str) -> Column:
     """The first field that says anything, or null."""
-    return F.get(F.filter(fields, _said), F.lit(0))
+    return F.coalesce(*(F.when(_said(F.col(f)), F.col(f)) for f in fields))
+
+
+def _text(field: str, path: str) -> Column:
+    """The text of a field, of another kind than text as it stands in the raw text, which is then parsed again."""
+    return F.when(F.col(f"{field}.kind") == "STRING", F.col(f"{field}.text")).when(F.col(f"{field}.kind").isNotNull(), F.get_json_object("raw", path))
 
 
 def _ordered(df: DataFrame, *by: str) -> DataFrame:
     return df.withColumn("ord", F.struct(*by))
 
 
-def _stage(json: Column, stages: tuple[str, ...]) -> Column:
-    """Of the first stage that says anything: of an object its close translation, else its translation, else nothing; of a list its parts joined; else its text.
+def _stage(df: DataFrame, *kept: str, stages: tuple[str, ...]) -> DataFrame:
+    """The columns that are kept, and as gold, of the first stage that says anything: of an object its close translation, else its
+    translation, else nothing; of a list its parts joined; else its text. stages: fields of df.
 
     A later stage does not stand in for one that says something else.
     """
-    def told(x: Column) -> Column:
-        inner = _first(_fields(x["item"], "$.close_translation", "$.translation"))["text"]
-        of_list = F.array_join(F.from_json(x["text"], "array<string>"), " ")
-        return F.when(x["kind"].startswith("OBJECT"), inner).when(x["kind"].startswith("ARRAY"), of_list).otherwise(x["text"])
-
-    said = F.filter(_fields(json, *(f"$.stages.{s}" for s in stages)), _said)
-    return F.get(F.transform(F.slice(said, 1, 1), told), F.lit(0))
+    df = once(df, *kept, said=_first(*stages))
+    df = once(df, *kept, text=F.col("said.text"), kind=F.col("said.kind"), item=F.col("said.item"))
+    df = _fields(df, *kept, "text", "kind", json="item", close="$.close_translation", plain="$.translation")
+    of_list = F.array_join(F.from_json("text", "array<string>"), " ")
+    told = F.when(F.col("kind").startswith("OBJECT"), _first("close", "plain")["text"]).when(F.col("kind").startswith("ARRAY"), of_list).otherwise(F.col("text"))
+    return once(df, *kept, gold=told)
 
 
 def records(spark: SparkSession, path: str, stages: tuple[str, ...] = LAB_STAGES, tradition: str | None = None) -> DataFrame:
     """Gold records, one JSON file each. Rows without source or gold, or whose gold is an unread object, are dropped; a record without passage_id goes by its file's name."""
-    raw = F.col("raw")
-    df = once(_files(spark, path), "file", json=F.try_parse_json(raw), source=F.coalesce(F.get_json_object(raw, "$.source.source_text"), F.get_json_object(raw, "$.source.text")), passage_id=F.coalesce(F.get_json_object(raw, "$.passage_id"), "file"))
-    df = once(df, "source", "passage_id", "file", gold=_stage(F.col("json"), stages)).select("source", "gold", "passage_id", "file")
+    df = once(_files(spark, path), "file", "raw", json=F.try_parse_json("raw"))
+    at = {"source_text": "$.source.source_text", "source": "$.source.text", "id": "$.passage_id"}
+    fields = {f"stage{k}": f"$.stages.{s}" for k, s in enumerate(stages)}
+    df = _fields(df, "file", "raw", **at, **fields)
+    df = once(df, "file", *fields, source=F.coalesce(_text("source_text", at["source_text"]), _text("source", at["source"])), passage_id=F.coalesce(_text("id", at["id"]), "file"))
+    df = _stage(df, "source", "passage_id", "file", stages=tuple(fields)).select("source", "gold", "passage_id", "file")
     df = df.filter((F.coalesce("source", F.lit("")) != "") & (F.coalesce("gold", F.lit("")) != "") & ~F.col("gold").startswith("{"))
     label = F.when(F.lower("file").contains("krama"), "Krama").otherwise(tag(F.col("source"), TRADITIONS, DEFAULT_TRADITION)) if tradition is None else F.lit(tradition)
     return _ordered(df.withColumn("tradition", label), "file").drop("file")
@@ -76,9 +88,9 @@ def published(spark: SparkSession, path: str, most: int | None = None) -> DataFr
     The source is the field `source`, or else `source_text`: an object's text, or plain text. The gold text is l2_text, or
     else l2. A passage without id goes by its file's name.
     """
-    raw, json = F.col("raw"), F.col("json")
-    df = once(_files(spark, path), "file", json=F.try_parse_json(raw), passage_id=F.coalesce(F.get_json_object(raw, "$.id"), "file"))
-    df = once(df, "passage_id", "file", s=_first(_fields(json, "$.source", "$.source_text")), gold=_first(_fields(json, "$.l2_text", "$.l2"))["text"])
+    df = once(_files(spark, path), "file", "raw", json=F.try_parse_json("raw"))
+    df = _fields(df, "file", "raw", id="$.id", source="$.source", source_text="$.source_text", l2_text="$.l2_text", l2="$.l2")
+    df = once(df, "file", passage_id=F.coalesce(_text("id", "$.id"), "file"), s=_first("source", "source_text"), gold=_first("l2_text", "l2")["text"])
     source = F.when(F.col("s.kind").startswith("OBJECT"), F.get_json_object("s.text", "$.text")).otherwise(F.col("s.text"))
     df = once(df.filter("gold IS NOT NULL"), "gold", "passage_id", "file", source=F.substring(source, 1, most) if most else source).filter(F.coalesce("source", F.lit("")) != "")
     return _ordered(df.select("source", "gold", "passage_id", "file").withColumn("tradition", tag(F.col("source"))), "file").drop("file")

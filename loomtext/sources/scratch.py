@@ -83,10 +83,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of few splits, dealt out to all cores before anything is made of its rows: a small table is one split, however long what is made of it takes."""
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """A table of few splits, dealt out to all cores before anything is made of its rows: a small table is one split, however long what is made
+    of it takes. by: its keys, no two rows alike; without them rows are sorted before they are dealt, in as few tasks as there are splits."""
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, *by)
 
 
 def once(df: DataFrame, *kept: str, **made: Column) -> DataFrame:
