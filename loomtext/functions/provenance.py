@@ -43,7 +43,7 @@ def set_hash(df: DataFrame, keys: list[str], order: list[str], fields: list[str]
     of all rows. A group of at most BLOCK rows has one block and one level.
     """
     rows = df.select(*keys, *(o for o in order if o not in keys), content_hash(*[F.col(f) for f in fields]).alias("_h"))
-    rows = ranges.numbered(rows, [*order, "_h"], keys)
+    rows = ranges.numbered(rows, [*order, "_h"], keys, parts=0)
     over, most = "_n", None
     while most is None or most > 1:
         block = F.floor(F.col(over) / BLOCK).cast("long")

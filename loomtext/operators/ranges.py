@@ -17,10 +17,11 @@ def laid_out(df: DataFrame, by: list, parts: int | None = None) -> DataFrame:
     """df in the order of `by`, written, with `_part`, the number of its range partition, and `_at`, which grows with the order.
 
     Partitions hold nearly equal numbers of rows as long as no single value of all of `by` holds many: let `by` end in what
-    tells rows apart. The order of rows that are equal in `by` is fixed by writing them.
+    tells rows apart. The order of rows that are equal in `by` is fixed by writing them. parts: 0 for as many as their bytes need, up to
+    Spark's number of shuffle partitions, neighbours of which are then joined; None for that number.
     """
-    n = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    n = [] if parts == 0 else [parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))]
+    placed = df.repartitionByRange(*n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
     return written(placed.withColumn("_part", F.shiftright("_at", _PLACE).cast("int")))
 
 

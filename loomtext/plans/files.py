@@ -262,7 +262,7 @@ def code_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     n = _documents(spark, sf_dir)
     sinks.write_files(n.select(F.concat("id", F.lit(".py")).alias("name"), F.col("note").alias("text")), path)
-    f = provenance.file_hashes(spark, [path]).select(lines.file_name(F.col("path")).alias("name"), "sha256")
+    f = written(provenance.file_hashes(spark, [path]).select(lines.file_name(F.col("path")).alias("name"), "sha256"))  # documents are read once
     code = provenance.code_hash(f).select(F.lit("code").alias("name"), F.col("code_sha").alias("sha256"))
     config = spark.range(1).select(F.lit("config").alias("name"), provenance.config_hash({"model": "m", "batch": "8"}).alias("sha256"))
     return f.unionByName(code).unionByName(config)

@@ -5,10 +5,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from loomtext.functions import provenance
 from loomtext.plans import files
 from loomtext.sources import gold, sinks
 
-QUERIES = ["published_passages"]
+QUERIES = ["published_passages", "code_fingerprints"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -47,3 +48,31 @@ def test_odd_fields_of_passages(spark, tmp_path):
     got = sorted((r.passage_id, r.source, r.gold) for r in gold.published(spark, str(tmp_path / "p")).collect())
     want = [("p1", "a", "g"), ("7", "b", "g"), ("second", "c", '["x",1]'), ("1.5", "2", "true"), ("", "d", "g"), ('{"a":1}', "श\n", "g")]
     assert got == sorted(want)
+
+
+def test_a_hash_tree_takes_as_many_files_as_its_rows_need(spark, monkeypatch):
+    """Few rows are laid out in fewer files than Spark's number of shuffle partitions, and the hash stays the same."""
+    from hashlib import sha256
+
+    from loomtext.operators import ranges
+
+    parts, keep = [], ranges.written
+    monkeypatch.setattr(ranges, "written", lambda df: (lambda out: (parts.append(out.rdd.getNumPartitions()), parts.append(len(out.inputFiles())), out)[2])(keep(df)))
+    monkeypatch.setattr(provenance, "BLOCK", 8)
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        df = spark.range(100).select(F.format_string("%03d", "id").alias("name"))
+        got = provenance.set_hash(df, [], ["name"], ["name"]).first().set_hash
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+    sha = lambda x: sha256(x.encode()).hexdigest()
+    level = [sha(f"{i:03}") for i in range(100)]
+    while True:
+        level = [sha("\u0001".join(level[i : i + 8])) if i or len(level) > 1 else level[0] for i in range(0, len(level), 8)]
+        if len(level) == 1:
+            break
+    assert max(parts) < 20 and got == level[0]
+
+
+def test_documents_of_fingerprints_are_read_once(spark, sf_dir):
+    assert not [f for f in files.code_fingerprints(spark, sf_dir).inputFiles() if "/_packed/" in f]
