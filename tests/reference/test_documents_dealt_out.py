@@ -9,7 +9,7 @@ from loomtext.functions import provenance
 from loomtext.plans import files
 from loomtext.sources import gold, sinks
 
-QUERIES = ["published_passages", "code_fingerprints"]
+QUERIES = ["published_passages", "code_fingerprints", "gold_records"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -22,7 +22,7 @@ def test_notes_are_made_after_suppliers_are_dealt_out(spark, sf_dir, name, monke
         assert "s_suppkey" in dealt and "initcap" in above and "initcap" not in below
 
 
-@pytest.mark.parametrize("load", [gold.published])
+@pytest.mark.parametrize("load", [gold.published, gold.records])
 def test_fields_are_read_by_compiled_code(spark, tmp_path, load):
     sinks.write_files(spark.createDataFrame([("a.json", "{}")], "name string, text string"), str(tmp_path / "a"))
     plan = load(spark, str(tmp_path / "a"))._jdf.queryExecution().executedPlan().toString()
@@ -50,6 +50,26 @@ def test_odd_fields_of_passages(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_odd_stages_of_records(spark, tmp_path):
+    rec = lambda stages, **more: '{"passage_id": "%s", "source": {%s}, "stages": %s}' % (more.get("id", "r"), more.get("source", '"source_text": "s"'), stages)
+    texts = {
+        "close": rec('{"L2": {"close_translation": "c", "translation": "t"}}', id="1"),
+        "plain": rec('{"L2": {"close_translation": "", "translation": "t"}}', id="2"),
+        "list": rec('{"L2": [], "l2": ["a", null, "b"]}', id="3"),
+        "text": rec('{"L2": null, "l2": 0, "T1": "x"}', id="4", source='"text": "other"'),
+        "number": rec('{"t1": 12}', id="5", source='"source_text": 3'),
+        "stopped": rec('{"L2": {"other": "x"}, "T1": "late"}', id="6"),
+        "brace": rec('{"L2": "{x"}', id="7"),
+        "no stages": rec("[]", id="8"),
+        "empty source": rec('{"L2": "x"}', id="9", source='"source_text": "", "text": "y"'),
+        "plain source": '{"source": "s", "stages": {"L2": "x"}}',
+        "krama.json": '{"source": {"text": "s"}, "stages": {"L2": "x"}}',
+    }
+    sinks.write_files(spark.createDataFrame(list(texts.items()), "name string, text string"), str(tmp_path / "r"))
+    got = sorted((r.passage_id, r.source, r.gold, r.tradition == "Krama") for r in gold.records(spark, str(tmp_path / "r")).collect())
+    assert got == [("1", "s", "c", False), ("2", "s", "t", False), ("3", "s", "a b", False), ("4", "other", "x", False), ("5", "3", "12", False), ("krama.json", "s", "x", True)]
+
+
 def test_a_hash_tree_takes_as_many_files_as_its_rows_need(spark, monkeypatch):
     """Few rows are laid out in fewer files than Spark's number of shuffle partitions, and the hash stays the same."""
     from hashlib import sha256
