@@ -9,7 +9,7 @@ from loomtext.functions import provenance
 from loomtext.plans import files
 from loomtext.sources import gold, sinks
 
-QUERIES = ["published_passages", "code_fingerprints", "gold_records"]
+QUERIES = ["published_passages", "code_fingerprints", "gold_records", "dcs_files"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
