@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,27 +46,34 @@ LETTERS = "[a-zA-Zāīūṛṝḷḹṃṁñṅśṣṭḍḥ]+"
 ERROR_FAMILIES = ("compound semantic loss", "case-role inversion", "negation loss", "implicit subject", "technical-term substitution", "scope loss", "metaphor literalisation", "dropped pāda")
 
 
-def hint_score(low: Column, hints: tuple[str, ...]) -> Column:
-    """How many hints a lower-case text holds; those with other letters are looked for only in texts that have such letters."""
-    held = lambda some: sum((low.contains(h).cast("int") for h in some), F.lit(0))
+def _holds(text: str, parts: tuple[str, ...]) -> list[str]:
+    """Whether a column holds each part, as SQL: one expression of many parts is made in a hundredth of the time that one column for each takes."""
+    quoted = (p.replace("\\", "\\\\").replace("'", "\\'") for p in parts)
+    return [f"contains({text}, '{p}')" for p in quoted]
+
+
+def hint_score(low: Column | str, hints: tuple[str, ...]) -> Column:
+    """How many hints a lower-case text, or the column of that name, holds; those with other letters are looked for only in texts that have such letters."""
+    if isinstance(low, str):
+        held = lambda some: F.expr(" + ".join(["0", *(f"cast({h} AS int)" for h in _holds(low, some))]))
+    else:
+        held = lambda some: sum((low.contains(h).cast("int") for h in some), F.lit(0))
     plain, other = [h for h in hints if h.isascii()], [h for h in hints if not h.isascii()]
     return held(plain) + F.when(F.octet_length(low) > F.length(low), held(other)).otherwise(0) if other else held(plain)
 
 
-def tag(text: Column, lexicon: dict[str, tuple[str, ...]] = TRADITIONS, default: str = DEFAULT_TRADITION) -> Column:
-    """The class with most hints in the text; the earlier class wins a tie, the default a text without hints. Classes are scored once: nothing but the best one's name is asked for."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+def tag(text: Column | str, lexicon: dict[str, tuple[str, ...]] = TRADITIONS, default: str = DEFAULT_TRADITION) -> Column:
+    """The class with most hints in the text, or in the column of that name, which holds lower-case text; the earlier class wins a tie, the default a text without hints. Classes are scored once: nothing but the best one's name is asked for."""
+    low = text if isinstance(text, str) else F.lower(F.coalesce(text, F.lit("")))
     scored = lambda n, first, name: F.struct(n.alias("n"), F.lit(first).alias("first"), F.lit(name).alias("name"))
     return F.array_max(F.array(scored(F.lit(0), 1, default), *(scored(hint_score(low, hints), -k, name) for k, (name, hints) in enumerate(lexicon.items()))))["name"]
 
 
-def detect(name: Column, fragments: dict[str, tuple[str, ...]] = SCHOOL_FRAGMENTS) -> Column:
-    """The first class of which a fragment occurs in the name; null if none."""
+def detect(name: Column | str, fragments: dict[str, tuple[str, ...]] = SCHOOL_FRAGMENTS) -> Column:
+    """The first class of which a fragment occurs in the name, or in the column of that name; null if none."""
     out = None
     for label, parts in fragments.items():
-        hit = F.lit(False)
-        for p in parts:
-            hit = hit | name.contains(p)
+        hit = F.expr(" OR ".join(["false", *_holds(name, parts)])) if isinstance(name, str) else reduce(or_, (name.contains(p) for p in parts), F.lit(False))
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out
 
