@@ -74,7 +74,7 @@ def file_hashes(spark, paths: list[str]) -> DataFrame:
 
     parts = []
     for path in paths:
-        documents = packed(spark, path)
+        documents = packed(spark, path, folder=True)
         if documents is not None:
             at = F.concat_ws("/", "folder", F.regexp_replace(F.url_encode("file"), r"\+", "%20"))
             parts.append(documents.select(at.alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256")))

@@ -20,8 +20,9 @@ def _flat(c) -> object:
 
 
 def _told(suppliers: DataFrame) -> DataFrame:
-    """What files are made of: a key, a name, a region and a note for each supplier."""
-    note = F.concat(F.lit("The note on "), F.initcap("s_name"), F.lit(" of region "), "s_nationkey", F.when(F.pmod("s_suppkey", F.lit(3)) == 0, ", its trika and mala").otherwise(", its veda"))
+    """What files are made of: a key, a name, a region and a note for each supplier. A name that is one capitalised word is left as it is: ICU's change of case takes longer than all else."""
+    name = F.when(F.col("s_name").rlike("^[A-Z][a-z0-9#]*$"), F.col("s_name")).otherwise(F.initcap("s_name"))
+    note = F.concat(F.lit("The note on "), name, F.lit(" of region "), "s_nationkey", F.when(F.pmod("s_suppkey", F.lit(3)) == 0, ", its trika and mala").otherwise(", its veda"))
     return suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("entry"), F.col("s_nationkey").alias("region"), note.alias("note"))
 
 
@@ -168,7 +169,7 @@ def dcs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("# "), "entry", F.lit("\n\n"), "note", F.lit("\nsecond "), "entry", F.when(F.pmod("id", F.lit(2)) == 0, "\n").otherwise(""))
     sinks.write_files(n.select(F.concat(F.element_at(F.array(*map(F.lit, ("yoga", "krama", "nyAya", "z"))), (F.pmod("id", F.lit(4)) + 1).cast("int")), F.lit("-"), "id", F.lit(".txt")).alias("name"), body.alias("text")), path)
     files = lines.read_files(spark, path)
-    i = lines.index(files, "file", "text").withColumn("school", lexicon.detect(F.col("file")))
+    i = lines.index(files, "file", "text").withColumn("school", lexicon.detect("file"))
     return i.select("file", "lines", "chars", "school", lexicon.lookup(F.col("school"), lexicon.SCHOOL_TIER, lexicon.DEFAULT_TIER).alias("tier"), lexicon.lookup(F.col("school"), lexicon.SCHOOL_PERIOD, lexicon.DEFAULT_PERIOD).alias("period"))
 
 

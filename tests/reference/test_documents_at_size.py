@@ -2,11 +2,12 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import lexicon
 from loomtext.plans import files
-from loomtext.sources import gold, sinks
+from loomtext.sources import gold, lines, sinks
 
 
 def plan(df) -> str:
@@ -29,6 +30,21 @@ def test_fields_by_place(spark):
     assert list(map(tuple, got)) == [("two", "STRING", "[1]", "ARRAY<BIGINT>", "1", "BIGINT", None, "VOID"), (None, None, '{"c":1}', "OBJECT<c: BIGINT>", *none[:4]), none, none, none, none]
 
 
+def test_dcs_files_are_compiled_as_a_whole(spark, sf_dir):
+    """dcs_files: no lambda, and no record of its file's data for each row, which `_metadata` makes."""
+    told = plan(files.dcs_files(spark, sf_dir))
+    steps = [line for line in told.splitlines() if re.search("Generate|Project", line)]
+    assert "lambda" not in told and "file_modification_time" not in told and steps and all(re.search(r"\*\(\d+\)", line) for line in steps)
+
+
+def test_content_lines(spark):
+    texts = ["", "\n\n", "#", "# a\n#b\n", "x", "\nx\n", "#c\r\nd\r\n", "a#b\n# c\n d\n\n#", " #x", "a #b\u0085#c\r#d", "\r", "é\n#é\nzz", None]
+    got = lines.index(spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "file string, text string"), "file", "text").collect()
+    plain = lambda t: [x for x in t.split("\n") if x and not x.startswith("#")]
+    want = {str(k): (None, None) if t is None else (len(plain(t)), sum(map(len, plain(t)))) for k, t in enumerate(texts)}
+    assert {r.file: (r.lines, r.chars) for r in got} == want
+
+
 def test_documents_have_no_dictionary(spark, tmp_path):
     import pyarrow.parquet as pq
 
@@ -39,6 +55,13 @@ def test_documents_have_no_dictionary(spark, tmp_path):
     assert not [x for c in ("name", "text") for x in held[c] if "DICTIONARY" in x]
 
 
+@pytest.mark.parametrize("name", ["Supplier#000000001", "supplier#1", "SUPPLIER", "two words", "Two Words", "élan vital", "", None, "A", "a b\nc"])
+def test_names_are_capitalised(spark, name):
+    df = spark.createDataFrame([(1, name, 2)], "s_suppkey long, s_name string, s_nationkey int")
+    row = files._told(df).select("note", F.concat(F.lit("The note on "), F.initcap("entry"), F.lit(" of region 2, its veda")).alias("want")).first()
+    assert row.note == row.want
+
+
 def test_lexicons_by_column_and_by_name(spark):
     words = {"A": ("it's", "b\\n", "trika"), "B": ("śiva", "mala")}
     df = spark.createDataFrame([(t,) for t in ("it's", "b\\n trika", "śiva mala trika", "b\n", "", "mala")], "t string")
