@@ -48,7 +48,7 @@ def test_content_lines(spark):
 def test_documents_have_no_dictionary(spark, tmp_path):
     import pyarrow.parquet as pq
 
-    sinks.write_files(spark.createDataFrame([("a.txt", "one"), ("b.txt", "two")], "name string, text string").coalesce(1), str(tmp_path / "x"))
+    sinks.write_files(spark.range(1000).select(F.concat("id", F.lit(".txt")).alias("name"), F.lit("one text").alias("text")).coalesce(1), str(tmp_path / "x"))
     (file,) = (tmp_path / "x").rglob("*.parquet")
     group = pq.ParquetFile(file).metadata.row_group(0)
     held = {c.path_in_schema: c.encodings for c in map(group.column, range(group.num_columns))}
